@@ -1,16 +1,17 @@
-"""Text semantics as Column expressions: decoding, line splitting, stripping,
+"""Text semantics as SQL expressions: decoding, line splitting, stripping,
 the regular-expression dialect, and locating every match of a pattern.
 
-Everything here stays on the JVM side.  The rules were written against a
+Every function takes and returns the text of a SQL expression, to be used with
+``F.expr`` or ``selectExpr``; everything stays on the JVM side.  The rules were written against a
 dialect in which ``\\s`` is any Unicode white space, ``\\w`` any Unicode letter or
 digit or ``_``, and ``.`` any character but ``\\n``; :func:`jregex` spells those
-classes out for Java, :func:`re2` for RE2 engines.
+classes out for Java, :func:`re2` for RE2 engines.  ``\\b`` is used only at the
+ends of a pattern, next to a word character, where it means "no word character
+on the other side".
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 # White space and line boundaries as str.isspace / str.splitlines
 # define them.  The \x{..} escapes are understood by Java and RE2 alike.
 SPACE_CLASS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -33,7 +34,7 @@ _MARK, _MARK_STANDIN = chr(0xFFFF), chr(0xFFFE)
 _REPLACEMENT_CHAR = chr(0xFFFD)
 
 
-def _expand(pattern: str, boundary: str) -> str:
+def _expand(pattern: str, left: str, right: str) -> str:
     out, i, in_class = [], 0, False
     while i < len(pattern):
         two = pattern[i:i + 2]
@@ -42,7 +43,7 @@ def _expand(pattern: str, boundary: str) -> str:
         elif two == r"\w":
             out.append(WORD_CLASS if in_class else f"[{WORD_CLASS}]")
         elif two == r"\b":
-            out.append(boundary)
+            out.append(right if out else left)
         elif two[0] == "\\":
             out.append(two)
         else:
@@ -59,99 +60,124 @@ def _expand(pattern: str, boundary: str) -> str:
 
 def jregex(pattern: str) -> str:
     """The pattern for Spark's (Java's) engine; ``\\n`` is the only line end."""
-    w = f"[{WORD_CLASS}]"
-    body = _expand(pattern, f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
+    body = _expand(pattern, f"(?<![{WORD_CLASS}])", f"(?![{WORD_CLASS}])")
     return "(?d)" + body.replace("(?i)", "(?iu)")
 
 
 def re2(pattern: str) -> str:
     """The pattern for RE2 engines, where ``\\b`` knows ASCII only."""
-    return "(?-s)" + _expand(pattern, r"\b")
+    return "(?-s)" + _expand(pattern, r"\b", r"\b")
+
+
+def q(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def any_of(*conditions: str) -> str:
+    return "(" + " OR ".join(conditions) + ")"
+
 
+def all_of(*conditions: str) -> str:
+    return "(" + " AND ".join(conditions) + ")"
 
-def decode_utf8(raw: Column) -> Column:
+
+def decode_utf8(raw: str) -> str:
     """Bytes to text, dropping invalid sequences and keeping a real U+FFFD."""
-    bad, keep = F.lit(_REPLACEMENT_CHAR), F.lit(_MARK_STANDIN + _MARK)
-    text = F.replace(raw.cast("string"), bad, keep)
-    text = F.replace(F.make_valid_utf8(text), bad, F.lit(""))
-    return F.replace(text, keep, bad)
+    bad, keep = q(_REPLACEMENT_CHAR), q(_MARK_STANDIN + _MARK)
+    kept = f"replace(CAST({raw} AS STRING), {bad}, {keep})"
+    return f"replace(replace(make_valid_utf8({kept}), {bad}, ''), {keep}, {bad})"
 
 
-def unify_newlines(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+def unify_newlines(text: str) -> str:
+    return f"replace(replace({text}, '\\r\\n', '\\n'), '\\r', '\\n')"
 
 
-def splitlines(text: Column) -> Column:
+def splitlines(text: str) -> str:
     """Lines of a text; no empty line after a final line boundary."""
-    parts = F.split(text, f"[{BREAK_CLASS}]", -1)
-    closed = (text == "") | F.substring(text, -1, 1).rlike(f"[{BREAK_CLASS}]")
-    return F.slice(parts, F.lit(1), F.size(parts) - F.when(closed, 1).otherwise(0))
+    parts = f"split({text}, {q(f'[{BREAK_CLASS}]')}, -1)"
+    ends = f"({text} = '' OR substring({text}, -1, 1) RLIKE {q(f'[{BREAK_CLASS}]')})"
+    return f"slice({parts}, 1, size({parts}) - CASE WHEN {ends} THEN 1 ELSE 0 END)"
 
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(SPACE_CHARS))
+def strip(text: str) -> str:
+    return f"btrim({text}, {q(SPACE_CHARS)})"
 
 
-def lstrip(text: Column) -> Column:
-    return F.ltrim(text, F.lit(SPACE_CHARS))
+def lstrip(text: str) -> str:
+    return f"ltrim({q(SPACE_CHARS)}, {text})"
 
 
-def not_blank(text: Column) -> Column:
-    return text.rlike(f"[^{SPACE_CLASS}]")
+def not_blank(text: str) -> str:
+    return f"({text} RLIKE {q(f'[^{SPACE_CLASS}]')})"
 
 
-def suffix(path: Column) -> Column:
+def suffix(path: str) -> str:
     """Extension with its dot, lower case; '' for names such as ``.gitignore``."""
-    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+    return f"lower(regexp_extract({path}, {q(r'[^/](\.[^./]+)$')}, 1))"
+
+
+def file_name(path: str) -> str:
+    return f"substring_index({path}, '/', -1)"
+
+
+def is_in(value: str, options) -> str:
+    return f"({value} IN ({', '.join(q(o) for o in options)}))"
 
 
-def file_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+def contains(text: str, literal: str) -> str:
+    return f"contains({text}, {q(literal)})"
 
 
-def contains_any(text: Column, literals) -> Column:
-    hit = F.lit(False)
-    for literal in literals:
-        hit = hit | F.contains(text, F.lit(literal))
-    return hit
+def contains_any(text: str, literals) -> str:
+    return any_of(*[contains(text, w) for w in literals])
 
 
-def contains_any_ci(text: Column, lowered: Column, folding: Column, literals) -> Column:
+def contains_all(text: str, literals) -> str:
+    return all_of(*[contains(text, w) for w in literals])
+
+
+def contains_any_ci(text: str, lowered: str, folding: str, literals) -> str:
     """Case-insensitive search for literals.
 
     Plain substring search in the lower-cased text; only texts holding one of
     FOLDING_CHARS need the (slower) pattern as well.
     """
     pattern = "(?iu)" + "|".join("\\Q" + w + "\\E" for w in literals)
-    return contains_any(lowered, [w.lower() for w in literals]) | (folding & text.rlike(pattern))
+    return any_of(contains_any(lowered, [w.lower() for w in literals]), f"({folding} AND {text} RLIKE {q(pattern)})")
+
+
+def rlike(text: str, pattern: str) -> str:
+    return f"({text} RLIKE {q(jregex(pattern))})"
+
 
+def count_matches(text: str, pattern: str) -> str:
+    return f"regexp_count({text}, {q(jregex(pattern))})"
 
-def matches(text: Column, java_pattern: str) -> Column:
+
+def find_all(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {q(jregex(pattern))}, {group})"
+
+
+def matches(text: str, pattern: str) -> str:
     """Every match as ``array<struct<pos int, line int, match string>>``.
 
     ``line`` is one plus the number of ``\\n`` before the match.  A marker is set
     in front of each match; the number of markers on each line then gives the
     line numbers of all matches in one linear pass, however many there are.
     """
-    found = F.regexp_extract_all(text, F.lit(f"({java_pattern})"), F.lit(1))
-    marked = F.regexp_replace(
-        F.translate(text, _MARK, _MARK_STANDIN), f"({java_pattern})", _MARK + "$1"
-    )
-    per_line = F.transform(
-        F.split(marked, "\n", -1),
-        lambda line, i: F.array_repeat(
-            i + 1, F.length(line) - F.length(F.replace(line, F.lit(_MARK), F.lit("")))
-        ),
-    )
-    numbered = F.zip_with(
-        F.flatten(per_line), found, lambda line, m: F.struct(line.alias("line"), m.alias("match"))
+    mark, wrapped = q(_MARK), q(f"({jregex(pattern)})")
+    marked = f"regexp_replace(translate({text}, {mark}, {q(_MARK_STANDIN)}), {wrapped}, {q(_MARK + '$1')})"
+    lines = (
+        f"flatten(transform(split({marked}, '\\n', -1), "
+        f"(l, i) -> array_repeat(i + 1, length(l) - length(replace(l, {mark}, '')))))"
     )
-    return F.transform(
-        numbered,
-        lambda x, i: F.struct(i.alias("pos"), x["line"].alias("line"), x["match"].alias("match")),
+    return (
+        f"transform(zip_with({lines}, regexp_extract_all({text}, {wrapped}, 1), "
+        "(l, m) -> struct(l AS line, m AS match)), (x, i) -> struct(i AS pos, x.line AS line, x.match AS match))"
     )
 
 
-def token_estimate(text: Column) -> Column:
+def token_estimate(text: str) -> str:
     """``int(len / 3.5)``; 0 for an empty text."""
-    return F.floor(F.length(text) / F.lit(3.5)).cast("bigint")
+    return f"CAST(floor(length({text}) / 3.5D) AS BIGINT)"

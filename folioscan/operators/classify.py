@@ -7,19 +7,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from folioscan.functions import text as tx
 from folioscan.rules import catalog as cat
 
+PACKAGES = tuple(pkg for pkg, _ in cat.RISKY_PACKAGES)
 
-def file_kind(path: Column, text: Column) -> Column:
+
+def file_kind(ext: str, text: str) -> str:
     """code, prompt, config or other; the first that fits."""
-    ext = tx.suffix(path)
-    marked = tx.contains_any_ci(
-        text, F.lower(text), tx.contains_any(text, tx.FOLDING_CHARS), cat.PROMPT_MARKERS
-    )
+    marked = tx.contains_any_ci(text, f"lower({text})", tx.contains_any(text, tx.FOLDING_CHARS), cat.PROMPT_MARKERS)
     return (
-        F.when(ext.isin(*cat.CODE_SUFFIXES), "code")
-        .when(ext.isin(*cat.PROMPT_SUFFIXES), "prompt")
-        .when(F.coalesce(marked, F.lit(False)), "prompt")
-        .when(ext.isin(*cat.CONFIG_SUFFIXES), "config")
-        .otherwise("other")
+        f"CASE WHEN {tx.is_in(ext, cat.CODE_SUFFIXES)} THEN 'code' WHEN {tx.is_in(ext, cat.PROMPT_SUFFIXES)} THEN 'prompt' "
+        f"WHEN coalesce({marked}, false) THEN 'prompt' WHEN {tx.is_in(ext, cat.CONFIG_SUFFIXES)} THEN 'config' ELSE 'other' END"
     )
 
 
@@ -28,26 +24,25 @@ def classify(files: DataFrame) -> DataFrame:
 
     A NULL content stands for a file that could not be read.
     """
-    base = files.select(
-        "project_id", "path", "content", tx.unify_newlines(F.col("content")).alias("text"),
-        tx.file_name(F.col("path")).alias("name"), tx.suffix(F.col("path")).alias("ext"),
+    base = files.selectExpr(
+        "project_id", "path", "content", f"{tx.unify_newlines('content')} AS text",
+        f"{tx.file_name('path')} AS name", f"{tx.suffix('path')} AS ext",
     )
-    kinds = base.withColumn("kind", file_kind(F.col("path"), F.col("text")))
-    return kinds.withColumns({
-        "is_py": (F.col("kind") == "code") & F.col("path").endswith(".py"),
-        "is_prompt": F.col("kind") == "prompt",
-    })
+    kinds = base.selectExpr("*", f"{file_kind('ext', 'text')} AS kind")
+    return kinds.selectExpr("*", "kind = 'code' AND endswith(path, '.py') AS is_py", "kind = 'prompt' AS is_prompt")
 
 
 def single_files(files: DataFrame) -> DataFrame:
     """Each file a project of its own: prompt text or nothing, never code."""
-    own = classify(files.withColumn("project_id", F.col("path")))
-    kind = F.when(F.col("ext").isin(*cat.PROMPT_SUFFIXES), "prompt").otherwise("other")
-    return own.withColumns({"kind": kind, "is_py": F.lit(False), "is_prompt": kind == "prompt"})
+    own = classify(files.selectExpr("path AS project_id", "path", "content"))
+    prompt = tx.is_in("ext", cat.PROMPT_SUFFIXES)
+    return own.drop("kind", "is_py", "is_prompt").selectExpr(
+        "*", f"CASE WHEN {prompt} THEN 'prompt' ELSE 'other' END AS kind", "false AS is_py", f"{prompt} AS is_prompt")
 
 
-def skipped_path(path: Column) -> Column:
-    return path.rlike(r"(^|/)(" + "|".join(d.replace(".", r"\.") for d in cat.SKIPPED_DIRS) + r")(/|$)")
+def skipped_path(path: str) -> str:
+    dirs = "|".join(d.replace(".", r"\.") for d in cat.SKIPPED_DIRS)
+    return f"({path} RLIKE {tx.q(f'(^|/)({dirs})(/|$)')})"
 
 
 def first_special_files(classified: DataFrame) -> DataFrame:
@@ -57,73 +52,60 @@ def first_special_files(classified: DataFrame) -> DataFrame:
     config_mcp.  Only files whose name qualifies are looked at, and the rank
     limit prunes them on the map side, so a huge project stays small here.
     """
-    lowered = F.lower(F.coalesce("text", F.lit("")))
-    qualifies = F.col("name").isin(*cat.DEPENDENCY_FILES) | F.col("ext").isin(*cat.CONFIG_SUFFIXES)
+    lowered = "lower(coalesce(text, ''))"
+    is_dep = tx.is_in("name", cat.DEPENDENCY_FILES)
     # The three texts are searched as one: a word may straddle their borders.
-    edge = F.when(F.length(lowered) <= 4, lowered).otherwise(
-        F.concat(F.substring(lowered, 1, 2), F.lit("\0"), F.substring(lowered, -2, 2)))
+    edge = (f"CASE WHEN length({lowered}) <= 4 THEN {lowered} "
+            f"ELSE concat(substring({lowered}, 1, 2), '\\0', substring({lowered}, -2, 2)) END")
     rows = (
-        classified.filter(qualifies)
-        .select(
-            "project_id", "path", F.col("text").isNotNull().alias("readable"),
-            F.contains(lowered, F.lit("mcp")).alias("has_mcp"), edge.alias("edge"),
-            *[F.contains(lowered, F.lit(pkg)).alias(f"dep_{pkg}") for pkg, _ in cat.RISKY_PACKAGES],
-            F.explode(F.array_compact(F.array(
-                F.when(F.col("name").isin(*cat.DEPENDENCY_FILES), F.lit("dep")),
-                F.when(F.col("kind") == "config", F.lit("cfg")),
-            ))).alias("role"),
+        classified.filter(tx.any_of(is_dep, tx.is_in("ext", cat.CONFIG_SUFFIXES)))
+        .selectExpr(
+            "project_id", "path", "text IS NOT NULL AS readable", f"{tx.contains(lowered, 'mcp')} AS has_mcp", f"{edge} AS edge",
+            *[f"{tx.contains(lowered, p)} AS dep_{p}" for p in PACKAGES],
+            f"explode(array_compact(array(CASE WHEN {is_dep} THEN 'dep' END, CASE WHEN kind = 'config' THEN 'cfg' END))) AS role",
         )
     )
     order = Window.partitionBy("project_id", "role").orderBy(
-        F.when(F.col("role") == "cfg", F.col("path")).asc(), F.col("path").desc())
-    ranked = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= 3)
-    is_dep, is_cfg = (F.col("role") == "dep") & (F.col("rn") == 1), F.col("role") == "cfg"
+        F.expr("CASE WHEN role = 'cfg' THEN path END").asc(), F.col("path").desc())
+    ranked = rows.withColumn("rn", F.row_number().over(order)).filter("rn <= 3")
+    dep, cfg = "(role = 'dep' AND rn = 1)", "(role = 'cfg')"
+    edges = f"array_join(transform(sort_array(collect_list(CASE WHEN {cfg} THEN struct(rn, edge) END)), x -> x.edge), '')"
     return ranked.groupBy("project_id").agg(
-        F.max(F.when(is_dep, F.col("path"))).alias("dependency_file"),
-        F.bool_or(is_dep & F.col("readable")).alias("dependency_readable"),
-        *[F.bool_or(is_dep & F.col(f"dep_{pkg}")).alias(f"dep_{pkg}") for pkg, _ in cat.RISKY_PACKAGES],
-        (F.bool_or(is_cfg & F.col("has_mcp"))
-         | F.contains(F.array_join(F.transform(
-             F.sort_array(F.collect_list(F.when(is_cfg, F.struct("rn", "edge")))), lambda x: x["edge"]), ""),
-             F.lit("mcp"))).alias("config_mcp"),
+        F.expr(f"max(CASE WHEN {dep} THEN path END) AS dependency_file"),
+        F.expr(f"bool_or({dep} AND readable) AS dependency_readable"),
+        *[F.expr(f"bool_or({dep} AND dep_{p}) AS dep_{p}") for p in PACKAGES],
+        F.expr(f"(bool_or({cfg} AND has_mcp) OR contains({edges}, 'mcp')) AS config_mcp"),
     )
 
 
-def skill_type() -> Column:
-    """Decision list over manifest columns; the first that fits."""
-    return (
-        F.when(F.col("path_mcp") | F.coalesce("config_mcp", F.lit(False)), "mcp")
-        .when(F.col("path_rag"), "rag")
-        .when(F.col("path_tool") & (F.col("n_code") > 0), "tool")
-        .when(F.col("path_agent"), "agent_workflow")
-        .when((F.col("n_prompt") > 0) & (F.col("n_code") == 0), "prompt")
-        .when((F.col("n_prompt") > 0) & (F.col("n_code") > 0), "hybrid")
-        .otherwise("unknown")
-    )
+SKILL_TYPE = (
+    "CASE WHEN path_mcp OR coalesce(config_mcp, false) THEN 'mcp' WHEN path_rag THEN 'rag' "
+    "WHEN path_tool AND n_code > 0 THEN 'tool' WHEN path_agent THEN 'agent_workflow' "
+    "WHEN n_prompt > 0 AND n_code = 0 THEN 'prompt' WHEN n_prompt > 0 AND n_code > 0 THEN 'hybrid' ELSE 'unknown' END"
+)
 
 
-def manifest_flags() -> dict[str, tuple[Column, str]]:
+def manifest_flags() -> dict[str, tuple[str, str]]:
     """Per-file columns of the manifest with the aggregate that combines them."""
-    path, kind, text = F.lower("path"), F.col("kind"), F.col("text")
     return {
-        "n_files": (F.lit(1), "sum"),
-        "n_code": ((kind == "code").cast("int"), "sum"),
-        "n_prompt": ((kind == "prompt").cast("int"), "sum"),
-        "n_config": ((kind == "config").cast("int"), "sum"),
+        "n_files": ("1", "sum"),
+        "n_code": ("CAST(kind = 'code' AS INT)", "sum"),
+        "n_prompt": ("CAST(kind = 'prompt' AS INT)", "sum"),
+        "n_config": ("CAST(kind = 'config' AS INT)", "sum"),
         "estimated_total_tokens": (
-            F.when(kind != "other", F.coalesce(tx.token_estimate(text), F.lit(0))).otherwise(0), "sum"),
-        "readme_exists": (F.lower("name") == "readme.md", "any"),
-        "gitignore_exists": (F.col("name") == ".gitignore", "any"),
-        "path_mcp": (tx.contains_any(path, cat.MCP_PATH_WORDS), "any"),
-        "path_rag": (tx.contains_any(path, cat.RAG_PATH_WORDS), "any"),
-        "path_tool": (tx.contains_any(path, ("tool",)), "any"),
-        "path_agent": (tx.contains_any(path, cat.AGENT_PATH_WORDS), "any"),
+            f"CASE WHEN kind = 'other' THEN 0L ELSE coalesce({tx.token_estimate('text')}, 0L) END", "sum"),
+        "readme_exists": ("lower(name) = 'readme.md'", "any"),
+        "gitignore_exists": ("name = '.gitignore'", "any"),
+        "path_mcp": (tx.contains_any("lower(path)", cat.MCP_PATH_WORDS), "any"),
+        "path_rag": (tx.contains_any("lower(path)", cat.RAG_PATH_WORDS), "any"),
+        "path_tool": (tx.contains("lower(path)", "tool"), "any"),
+        "path_agent": (tx.contains_any("lower(path)", cat.AGENT_PATH_WORDS), "any"),
     }
 
 
-def combine(flags: dict[str, tuple[Column, str]]) -> list[Column]:
-    how = {"sum": F.sum, "any": F.bool_or}
-    return [how[kind](name).alias(name) for name, (_, kind) in flags.items()]
+def combine(flags: dict[str, tuple[str, str]]) -> list[Column]:
+    how = {"sum": "sum", "any": "bool_or"}
+    return [F.expr(f"{how[kind]}({name}) AS {name}") for name, (_, kind) in flags.items()]
 
 
 def manifests(files: DataFrame, classified: DataFrame | None = None) -> DataFrame:
@@ -131,46 +113,39 @@ def manifests(files: DataFrame, classified: DataFrame | None = None) -> DataFram
     per file), since a project may hold any number of files."""
     classified = classify(files) if classified is None else classified
     flags = manifest_flags()
-    # At most one language per code suffix, so the set stays tiny.
-    language = F.when(F.col("kind") == "code", F.substring("ext", 2, 100))
     per_project = (
-        classified.select("project_id", language.alias("language"), *[c.alias(n) for n, (c, _) in flags.items()])
+        classified.selectExpr(
+            "project_id", "CASE WHEN kind = 'code' THEN substring(ext, 2) END AS language",
+            *[f"{c} AS {n}" for n, (c, _) in flags.items()])
         .groupBy("project_id")
-        .agg(*combine(flags), F.sort_array(F.collect_set("language")).alias("languages"))
-    )
-    return (
-        per_project.join(first_special_files(classified), "project_id", "left")
-        .select(
-            "project_id", skill_type().alias("skill_type"), "n_files", "n_prompt", "n_code", "n_config",
-            "dependency_file", "readme_exists", "gitignore_exists", "estimated_total_tokens", "languages",
-        )
+        # At most one language per code suffix, so the set stays tiny.
+        .agg(*combine(flags), F.expr("sort_array(collect_set(language)) AS languages"))
     )
+    return per_project.join(first_special_files(classified), "project_id", "left").selectExpr(
+        "project_id", f"{SKILL_TYPE} AS skill_type", "n_files", "n_prompt", "n_code", "n_config",
+        "dependency_file", "readme_exists", "gitignore_exists", "estimated_total_tokens", "languages")
 
 
 def project_files(files: DataFrame) -> DataFrame:
     """The manifest's file lists in long form."""
-    return classify(files).select("project_id", "path", "kind", "ext", F.length("text").alias("n_chars"))
+    return classify(files).selectExpr("project_id", "path", "kind", "ext", "length(text) AS n_chars")
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:
     """(line_no, line) of every Python and prompt file."""
-    wanted = classify(files).filter(F.col("is_py") | F.col("is_prompt"))
-    return wanted.select(
-        "project_id", "path", "kind", F.posexplode(tx.splitlines(F.col("text"))).alias("i", "line")
-    ).select("project_id", "path", "kind", (F.col("i") + 1).alias("line_no"), "line")
+    return (
+        classify(files).filter("is_py OR is_prompt")
+        .selectExpr("project_id", "path", "kind", f"posexplode({tx.splitlines('text')}) AS (i, line)")
+        .selectExpr("project_id", "path", "kind", "i + 1 AS line_no", "line"))
 
 
 def code_metrics(files: DataFrame) -> DataFrame:
     """Functions, exception handling and hard-coded settings of each file."""
-    text = F.col("text")
-    hard = [F.regexp_extract_all(text, F.lit(f"({tx.jregex(p.regex)})"), F.lit(1)) for p in cat.HARDCODED_PATTERNS]
-    return classify(files).filter(text.isNotNull()).select(
+    hard = ", ".join(tx.find_all("text", p.regex) for p in cat.HARDCODED_PATTERNS)
+    return classify(files).filter("text IS NOT NULL").selectExpr(
         "project_id", "path",
-        F.when(F.col("path").endswith(".py"), F.regexp_count(text, F.lit(tx.jregex(cat.DEF_REGEX))))
-        .otherwise(0).alias("n_functions"),
-        (F.contains(text, F.lit("try:")) & F.contains(text, F.lit("except"))).alias("has_try_except"),
-        F.concat(*hard).alias("hardcoded"),
-    )
+        f"CASE WHEN endswith(path, '.py') THEN {tx.count_matches('text', cat.DEF_REGEX)} ELSE 0 END AS n_functions",
+        f"{tx.contains_all('text', ('try:', 'except'))} AS has_try_except", f"concat({hard}) AS hardcoded")
 
 
 def duplicate_lines(classified: DataFrame) -> DataFrame:
@@ -179,10 +154,10 @@ def duplicate_lines(classified: DataFrame) -> DataFrame:
     Lines travel as 128-bit digests, already counted within each map task, so a
     line that makes up a third of the corpus is one row per task.
     """
-    wanted = classified.filter(F.col("is_py") | F.col("is_prompt"))
-    lines = wanted.select("project_id", F.explode(tx.splitlines(F.col("text"))).alias("line"))
-    stripped = lines.select("project_id", tx.strip(F.col("line")).alias("line")).filter(F.col("line") != "")
-    digest = F.unhex(F.substring(F.sha2("line", 256), 1, 32))
-    per_line = stripped.groupBy("project_id", digest.alias("digest")).agg(F.count(F.lit(1)).alias("n"))
-    return per_line.groupBy("project_id").agg(
-        F.sum("n").alias("n_lines"), (F.sum("n") - F.count(F.lit(1))).alias("n_duplicates"))
+    return (
+        classified.filter("is_py OR is_prompt")
+        .selectExpr("project_id", f"explode({tx.splitlines('text')}) AS line")
+        .selectExpr("project_id", f"{tx.strip('line')} AS line").filter("line <> ''")
+        .selectExpr("project_id", "unhex(substring(sha2(line, 256), 1, 32)) AS digest")
+        .groupBy("project_id", "digest").agg(F.expr("count(1) AS n"))
+        .groupBy("project_id").agg(F.expr("sum(n) AS n_lines"), F.expr("sum(n) - count(1) AS n_duplicates")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscan.functions import text as tx
 from folioscan.operators import classify as cl, signals as sg
@@ -19,6 +19,8 @@ COLUMNS = (
     "fix_hint", "auto_fixable", "fix_safety", "source", "rule_rank", "group_rank", "pattern_rank", "pos",
 )
 
+HIT = "struct<key string, line int, pos int, grp int, detail string>"
+
 _CATALOG = (
     "array<struct<key string, rule_id string, pattern_id string, pattern_rank int, rule_rank int, dimension string, "
     "severity string, category string, message string, fix_hint string, auto_fixable boolean, fix_safety string>>"
@@ -34,77 +36,61 @@ def rule_catalog(spark: SparkSession, cfg: AuditConfig | None = None) -> DataFra
     return spark.range(1).select(F.inline(F.from_json(text, _CATALOG)))
 
 
-def _hit(key: str, line=None, pos=None, group=None, detail=None) -> Column:
-    none = F.lit(None)
-    return F.struct(
-        F.lit(key).alias("key"), (none if line is None else line).cast("int").alias("line"),
-        (F.lit(0) if pos is None else pos).cast("int").alias("pos"),
-        (F.lit(0) if group is None else group).cast("int").alias("grp"),
-        (none if detail is None else detail).cast("string").alias("detail"),
+def _hit(key: str, line="NULL", pos="0", group="0", detail="NULL") -> str:
+    return (
+        f"named_struct('key', {tx.q(key)}, 'line', CAST({line} AS INT), 'pos', CAST({pos} AS INT), "
+        f"'grp', CAST({group} AS INT), 'detail', CAST({detail} AS STRING))"
     )
 
 
-def _none() -> Column:
-    return F.array().cast(f"array<{sg.HIT}>")
+_NONE = f"CAST(array() AS array<{HIT}>)"
 
 
-def _if(condition: Column, hits: Column) -> Column:
-    return F.when(condition, hits).otherwise(_none())
+def _if(condition: str, hits: str) -> str:
+    return f"CASE WHEN {condition} THEN {hits} ELSE {_NONE} END"
 
 
-def match_hits(rule_id: str, pattern: cat.Pattern) -> Column:
+def match_hits(rule_id: str, pattern: cat.Pattern) -> str:
     """Every match of a pattern in a file."""
-    group = detail = None
+    group, detail = "0", "NULL"
     if rule_id == "sec_secrets":
-        group = (F.col("kind") == "config").cast("int")
-
-    def one(m):
-        nonlocal detail
-        if rule_id == "sec_secrets":
-            detail = F.concat(F.substring(m["match"], 1, 20), F.lit("..."))
-        elif rule_id == "sec_hardcoded_config":
-            detail = F.substring(m["match"], 1, 40)
-        return _hit(f"{rule_id}/{pattern.key}", m["line"], m["pos"], group, detail)
-
-    found = sg.match_scope(rule_id) & sg._guard(pattern)
-    if not pattern.needs:
-        found = found & F.col("text").rlike(tx.jregex(pattern.regex))
-    return _if(found, F.transform(tx.matches(F.col("text"), tx.jregex(pattern.regex)), one))
+        group, detail = "kind = 'config'", "concat(substring(m.match, 1, 20), '...')"
+    elif rule_id == "sec_hardcoded_config":
+        detail = "substring(m.match, 1, 40)"
+    found = tx.all_of(sg.match_scope(rule_id), sg.guard(pattern), tx.rlike("text", pattern.regex))
+    hit = _hit(f"{rule_id}/{pattern.key}", "m.line", "m.pos", group, detail)
+    return _if(found, f"transform({tx.matches('text', pattern.regex)}, m -> {hit})")
 
 
-def file_hits(rule_id: str) -> list[Column]:
+def file_hits(rule_id: str) -> list[str]:
     """What a rule finds in one file, as arrays of hits."""
     if rule_id in cat.MATCH_RULES:
         return [match_hits(rule_id, p) for p in cat.RULE[rule_id].patterns]
     if rule_id == "prompt_injection":
-        out = []
-        for i, p in enumerate(cat.INJECTION_PATTERNS):
-            group = F.lit(2 * i) + F.col("is_prompt").cast("int")
-            key = f"{rule_id}/{p.key}"
-            out.append(F.coalesce(
-                F.transform(sg.injection_lines(p), lambda m: _hit(key, m["line"], m["line"], group)), _none()))
-        return out
+        return [
+            f"coalesce(transform({sg.injection_lines(p)}, "
+            f"m -> {_hit(f'{rule_id}/{p.key}', 'm.line', 'm.line', f'{2 * i} + CAST(is_prompt AS INT)')}), {_NONE})"
+            for i, p in enumerate(cat.INJECTION_PATTERNS)]
     if rule_id == "compat_vendor_lock":
-        return [_if(sg.has_vendor(p), F.array(_hit(f"{rule_id}/{p.key}"))) for p in cat.VENDOR_PATTERNS]
+        return [_if(sg.has_vendor(p), f"array({_hit(f'{rule_id}/{p.key}')})") for p in cat.VENDOR_PATTERNS]
     if rule_id == "maint_complexity":
         n = sg.branch_count()
-        return [_if(n > cat.MAX_BRANCHES, F.array(_hit(f"{rule_id}/", detail=F.concat(F.lit("about "), n))))]
+        return [_if(f"{n} > {cat.MAX_BRANCHES}", f"array({_hit(f'{rule_id}/', detail=f"concat('about ', {n})")})")]
     if rule_id in cat.FILE_RULES:
-        return [_if(sg.file_conditions()[rule_id], F.array(_hit(f"{rule_id}/")))]
+        return [_if(sg.file_conditions()[rule_id], f"array({_hit(f'{rule_id}/')})")]
     return []
 
 
 def _finish(hits: DataFrame, spark: SparkSession, cfg: AuditConfig) -> DataFrame:
     """(project_id, path, place, hit) rows to findings."""
     rules = F.broadcast(rule_catalog(spark, cfg))  # fixed size
-    flat = hits.select("project_id", "path", "place", "hit.*").filter(F.col("key").isNotNull())
-    return flat.join(rules, "key").select(
+    flat = hits.select("project_id", "path", "place", "hit.*").filter("key IS NOT NULL")
+    return flat.join(rules, "key").selectExpr(
         "project_id", "dimension", "rule_id", "pattern_id", "severity", "category", "path", "line",
-        F.concat(F.coalesce("path", "place"), F.coalesce(F.concat(F.lit(":"), F.col("line")), F.lit(""))).alias("location"),
-        F.concat("message", F.coalesce(F.concat(F.lit(": "), F.col("detail")), F.lit(""))).alias("message"),
-        "fix_hint", "auto_fixable", "fix_safety", F.lit("deterministic").alias("source"),
-        "rule_rank", F.col("grp").alias("group_rank"), "pattern_rank", "pos",
-    )
+        "concat(coalesce(path, place), coalesce(concat(':', line), '')) AS location",
+        "concat(message, coalesce(concat(': ', detail), '')) AS message",
+        "fix_hint", "auto_fixable", "fix_safety", "'deterministic' AS source",
+        "rule_rank", "grp AS group_rank", "pattern_rank", "pos")
 
 
 def _wanted(cfg: AuditConfig, rules) -> set[str]:
@@ -124,75 +110,73 @@ def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, class
     if hits:
         # explode_outer: a plain explode would make Spark test the array size
         # below this projection and so evaluate every rule twice.
-        per_file = sg.readable(classified).select(
-            "project_id", "path", F.concat(*hits).alias("hits") if len(hits) > 1 else hits[0].alias("hits"))
-        parts.append(per_file.select(
-            "project_id", "path", F.lit(None).cast("string").alias("place"), F.explode_outer("hits").alias("hit")))
+        per_file = sg.readable(classified).selectExpr(
+            "project_id", "path", f"concat({', '.join(hits)}) AS hits")
+        parts.append(per_file.selectExpr(
+            "project_id", "path", "CAST(NULL AS STRING) AS place", "explode_outer(hits) AS hit"))
 
     if "sec_dependencies" in wanted:
-        packages = F.array(*[
-            F.when(F.col(f"dep_{pkg}"), _hit(f"sec_dependencies/{pkg}")) for pkg, _ in cat.RISKY_PACKAGES])
+        packages = ", ".join(f"CASE WHEN dep_{p} THEN {_hit(f'sec_dependencies/{p}')} END" for p in cl.PACKAGES)
         parts.append(
             cl.first_special_files(classified).filter("dependency_readable")
-            .select("project_id", F.col("dependency_file").alias("path"), F.lit(None).cast("string").alias("place"),
-                    F.explode_outer(F.array_compact(packages)).alias("hit")))
+            .selectExpr("project_id", "dependency_file AS path", "CAST(NULL AS STRING) AS place",
+                        f"explode_outer(array_compact(array({packages}))) AS hit"))
 
     about_project = wanted & {*cat.PROJECT_RULES, "sec_mcp_permissions"}
     if about_project:
         ps = sg.project_signals(files, cfg, classified=classified) if project_signals is None else project_signals
         if "sec_mcp_permissions" in wanted:
-            mcp = ps.filter(F.col("skill_type") == "mcp").select("project_id")
+            mcp = ps.filter("skill_type = 'mcp'").select("project_id")
             wide = sg.readable(classified).filter(sg.broad_mcp_permission()).select("project_id", "path")
-            parts.append(
-                wide.join(mcp, "project_id", "left_semi")
-                .select("project_id", "path", F.lit(None).cast("string").alias("place"),
-                        _hit("sec_mcp_permissions/").alias("hit")))
+            parts.append(wide.join(mcp, "project_id", "left_semi").selectExpr(
+                "project_id", "path", "CAST(NULL AS STRING) AS place", f"{_hit('sec_mcp_permissions/')} AS hit"))
         conditions = project_conditions(cfg)
         arrays = [
-            F.when(conditions[r], F.array(_hit(f"{r}/", detail=fuzzy_words() if r == "prompt_clarity" else None)))
-            .otherwise(_none())
+            _if(conditions[r], f"array({_hit(f'{r}/', detail=FUZZY_WORDS if r == 'prompt_clarity' else 'NULL')})")
             for r in cat.PROJECT_RULES if r in wanted]
         if arrays:
-            found = ps.select("project_id", F.explode_outer(F.concat(*arrays)).alias("hit"))
-            parts.append(found.select(
-                "project_id", F.lit(None).cast("string").alias("path"),
-                F.when(F.col("hit.key") == "prompt_clarity/", "prompt").otherwise(".").alias("place"), "hit"))
+            found = ps.selectExpr("project_id", f"explode_outer(concat({', '.join(arrays)})) AS hit")
+            parts.append(found.selectExpr(
+                "project_id", "CAST(NULL AS STRING) AS path",
+                "CASE WHEN hit.key = 'prompt_clarity/' THEN 'prompt' ELSE '.' END AS place", "hit"))
 
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return _finish(rows, spark, cfg)
-
+    rows = _finish(rows, spark, cfg)
+    if wanted & {"prompt_injection", "maint_complexity"} and not files.isStreaming:
+        rows = rows.join(failed_dimensions(classified, cfg), ["project_id", "dimension"], "left_anti").select(*COLUMNS)
+    return rows
 
-def prompt_evaluated() -> Column:
-    """The prompt rules ran: there is prompt text and all of it could be read."""
-    return F.col("has_prompt_text") & ~F.col("prompt_unreadable")
 
+def failed_dimensions(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """(project_id, dimension) pairs that fail because a file cannot be read."""
+    readme = "path = 'README.md'" if cfg.runs("maint_documentation") else "false"
+    return classified.filter("text IS NULL").selectExpr(
+        "project_id",
+        f"explode(array_compact(array(CASE WHEN {sg.IN_PROMPT} THEN 'P' END, CASE WHEN {readme} THEN 'X' END))) AS dimension")
 
-def fuzzy_words() -> Column:
-    return F.array_join(F.array(*[F.when(F.col(f"fuzzy_{i}"), w) for i, w in enumerate(cat.FUZZY_WORDS)]), ", ")
 
+# The prompt rules ran: there is prompt text and all of it could be read.
+PROMPT_EVALUATED = "(has_prompt_text AND NOT prompt_unreadable)"
+PROMPT_MISSING = "(NOT has_prompt_text AND NOT prompt_unreadable)"
 
-def fuzzy_count() -> Column:
-    flags = [F.col(f"fuzzy_{i}").cast("int") for i in range(len(cat.FUZZY_WORDS))]
-    return sum(flags[1:], flags[0])
+FUZZY_WORDS = "array_join(array({}), ', ')".format(
+    ", ".join(f"CASE WHEN fuzzy_{i} THEN {tx.q(w)} END" for i, w in enumerate(cat.FUZZY_WORDS)))
+FUZZY_COUNT = "(" + " + ".join(f"CAST(fuzzy_{i} AS INT)" for i in range(len(cat.FUZZY_WORDS))) + ")"
 
 
-def project_conditions(cfg: AuditConfig) -> dict[str, Column]:
+def project_conditions(cfg: AuditConfig) -> dict[str, str]:
     """The condition of each rule with at most one finding per project."""
-    out = {"prompt_missing": ~F.col("has_prompt_text") & ~F.col("prompt_unreadable")}
-    if cfg.runs("compat_protocol"):
-        out["compat_protocol"] = (F.col("skill_type") == "mcp") & ~F.col("declares_version")
-    if cfg.runs("maint_documentation"):
-        out["maint_documentation"] = ~F.col("readme_exists")
-    maint_ok = ~F.col("readme_unreadable") if cfg.runs("maint_documentation") else F.lit(True)
-    if cfg.runs("maint_tests"):
-        out["maint_tests"] = ~F.col("has_tests") & maint_ok
-    if cfg.runs("maint_versioning"):
-        out["maint_versioning"] = ~F.col("gitignore_exists") & maint_ok
-    if cfg.runs("prompt_clarity"):
-        out["prompt_clarity"] = prompt_evaluated() & (fuzzy_count() > 0)
-    return out
+    maintained = "NOT readme_unreadable" if cfg.runs("maint_documentation") else "true"
+    return {
+        "prompt_missing": PROMPT_MISSING,
+        "compat_protocol": "skill_type = 'mcp' AND NOT declares_version",
+        "maint_documentation": "NOT readme_exists",
+        "maint_tests": f"NOT has_tests AND {maintained}",
+        "maint_versioning": f"NOT gitignore_exists AND {maintained}",
+        "prompt_clarity": f"{PROMPT_EVALUATED} AND {FUZZY_COUNT} > 0",
+    }
 
 
 def finding_counts(found: DataFrame) -> DataFrame:

@@ -1,254 +1,225 @@
-"""Sub-scores, dimension scores, the overall score and what follows from it."""
+"""Sub-scores, dimension scores, the overall score and what follows from it.
+
+Formulas are SQL expressions over the project signals.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from folioscan.operators import findings as fd
+from folioscan.functions import text as tx
+from folioscan.operators import classify as cl, findings as fd
 from folioscan.plans.config import AuditConfig
 from folioscan.rules import catalog as cat
 
+IS_MCP = "skill_type = 'mcp'"
+PROMPT_TOKENS = "CAST(floor(prompt_chars / 3.5D) AS BIGINT)"
+_DEPENDENCY_HITS = " + ".join(f"CAST(coalesce(dependency_readable AND dep_{p}, false) AS INT)" for p in cl.PACKAGES)
 
-def _n(name: str) -> Column:
-    return F.col(name)
-
-
-def _minus(points: Column | int, *penalties: Column) -> Column:
-    score = F.lit(points) if isinstance(points, int) else points
-    for p in penalties:
-        score = score - p
-    return F.greatest(F.lit(0), score).cast("int")
 
+def _minus(*penalties: str, start: str = "100") -> str:
+    return f"greatest(0, {start} - {' - '.join(f'({p})' for p in penalties)})"
 
-def _if(condition: Column, points: int) -> Column:
-    return F.when(condition, points).otherwise(0)
 
-
-def _bands(value: Column, bands, best: int = 100) -> Column:
-    out = F.lit(best)
-    for limit, score in reversed(bands):
-        out = F.when(value > limit, score).otherwise(out)
-    return out
+def _if(condition: str, points: int, otherwise: str = "0") -> str:
+    return f"CASE WHEN {condition} THEN {points} ELSE {otherwise} END"
 
 
-def prompt_tokens() -> Column:
-    return F.floor(F.col("prompt_chars") / F.lit(3.5)).cast("bigint")
+def _bands(value: str, bands) -> str:
+    return "CASE " + " ".join(f"WHEN {value} > {limit} THEN {score}" for limit, score in bands) + " ELSE 100 END"
 
 
-def _low_ratio(part: str, whole: str, limit: float) -> Column:
+def _low_ratio(part: str, whole: str, limit: float) -> str:
     """part / whole < limit; false if there is no whole."""
-    return F.coalesce(F.col(part) / F.nullif(F.col(whole), F.lit(0)) < limit, F.lit(False))
-
-
-def sub_score_columns(cfg: AuditConfig) -> dict[tuple[str, str], Column]:
-    """Each enabled sub-score, computed from the project signals."""
-    dep_hits = [F.coalesce(F.col(f"dep_{p}"), F.lit(False)).cast("int") for p, _ in cat.RISKY_PACKAGES]
-    is_mcp = F.col("skill_type") == "mcp"
-    formulas = {
-        ("M", "vendor_lock"): lambda: _minus(100, F.least(_n("n_vendor") * 15, F.lit(60))),
-        ("M", "protocol"): lambda: _minus(100, _if(is_mcp & ~F.col("declares_version"), 25)),
-        ("M", "platform"): lambda: _minus(100, _n("n_platform") * 10),
-        ("M", "encoding"): lambda: _minus(100, _n("n_compat_encoding") * 10),
-        ("C", "error_handling"): lambda: _minus(
-            100, _n("n_corr_error_handling") * 15, _if(_low_ratio("n_handled", "n_py", cat.MIN_RATIO), 20)),
-        ("C", "type_safety"): lambda: _minus(100, _n("n_corr_type_safety") * 15),
-        ("C", "hallucination_risk"): lambda: _minus(100, _n("n_hallucination") * 25),
-        ("C", "validation"): lambda: _minus(100, _n("n_corr_validation") * 20),
-        ("C", "resource_cleanup"): lambda: _minus(100, _n("n_corr_resource_cleanup") * 15),
-        ("C", "input_sanitization"): lambda: _minus(100, _n("n_corr_input_sanitization") * 15),
-        ("X", "documentation"): lambda: F.when(~F.col("readme_exists"), F.lit(60)).otherwise(_minus(
-            100, _if(F.col("readme_short"), 15), _if(F.col("readme_no_install"), 10),
-            _if(F.col("readme_no_example"), 10), _if(F.col("readme_no_license"), 5))),
-        ("X", "tests"): lambda: F.when(~F.col("has_tests"), F.lit(50)).otherwise(
-            _minus(100, _if(_low_ratio("test_lines", "code_lines", cat.MIN_TEST_RATIO), 20))),
-        ("X", "versioning"): lambda: _minus(
-            100, _if(~F.col("has_changelog"), 20), _if(~F.col("gitignore_exists"), 15), _if(~F.col("has_version_file"), 10)),
-        ("X", "comments"): lambda: _minus(100, _if(_low_ratio("n_docstrings", "n_defs", cat.MIN_RATIO), 25)),
-        ("X", "complexity"): lambda: _minus(100, F.least(_n("n_maint_complexity") * 10, F.lit(40))),
-        ("F", "token_cost"): lambda: F.when(F.col("estimated_total_tokens") == 0, F.lit(70)).otherwise(
-            _bands(F.col("estimated_total_tokens"), cat.PROJECT_TOKEN_BANDS)),
-        ("F", "api_efficiency"): lambda: _minus(100, _n("n_perf_api_efficiency") * 30, _n("n_uncached") * 10),
-        ("F", "latency"): lambda: _minus(100, _n("n_perf_latency") * 15),
-        ("F", "streaming"): lambda: _minus(100, _n("n_perf_streaming") * 10),
-        ("P", "injection"): lambda: F.when(
-            _n("n_prompt_injection_critical") + _n("n_prompt_injection_warning") > 0, 30).otherwise(100),
-        ("P", "token"): lambda: _minus(
-            _bands(prompt_tokens(), cat.PROMPT_TOKEN_BANDS), _if(F.coalesce("n_duplicates", F.lit(0)) > 3, 15)),
-        ("P", "clarity"): lambda: _minus(
-            100, _if(~F.col("has_role"), 20), _if(~F.col("has_format"), 15), _if(~F.col("has_steps"), 10),
-            F.least(fd.fuzzy_count() * 5, F.lit(25))),
-        ("P", "specificity"): lambda: _minus(100, _if(F.col("generic_request") & F.col("generic_pointer"), 30)),
-        ("S", "secrets"): lambda: _minus(100, _n("n_sec_secrets_critical") * 30, _n("n_sec_secrets_warning") * 15),
-        ("S", "dangerous"): lambda: _minus(100, _n("n_sec_dangerous_functions_warning") * 20),
-        ("S", "dependencies"): lambda: F.when(
-            F.coalesce("dependency_readable", F.lit(False)), _minus(100, sum(dep_hits[1:], dep_hits[0]) * 15)).otherwise(70),
-        ("S", "mcp"): lambda: F.when(is_mcp, _minus(100, _n("n_sec_mcp_permissions") * 25)).otherwise(100),
-        ("S", "hardcoded_config"): lambda: _minus(100, _n("n_sec_hardcoded_config_info") * 10),
-        ("S", "insecure_network"): lambda: _minus(100, _n("n_sec_insecure_network_warning") * 20),
-        ("S", "logging_sensitive"): lambda: _minus(100, _n("n_sec_logging_sensitive_warning") * 20),
-    }
+    return f"coalesce({part} / nullif({whole}, 0) < {limit}D, false)"
+
+
+SUB_SCORES = {
+    ("M", "vendor_lock"): _minus("least(15 * n_vendor, 60)"),
+    ("M", "protocol"): _minus(_if(f"{IS_MCP} AND NOT declares_version", 25)),
+    ("M", "platform"): _minus("10 * n_platform"),
+    ("M", "encoding"): _minus("10 * n_compat_encoding"),
+    ("C", "error_handling"): _minus("15 * n_corr_error_handling", _if(_low_ratio("n_handled", "n_py", cat.MIN_RATIO), 20)),
+    ("C", "type_safety"): _minus("15 * n_corr_type_safety"),
+    ("C", "hallucination_risk"): _minus("25 * n_hallucination"),
+    ("C", "validation"): _minus("20 * n_corr_validation"),
+    ("C", "resource_cleanup"): _minus("15 * n_corr_resource_cleanup"),
+    ("C", "input_sanitization"): _minus("15 * n_corr_input_sanitization"),
+    ("X", "documentation"): _minus(
+        _if("NOT readme_exists", 40), _if("readme_short", 15), _if("readme_no_install", 10),
+        _if("readme_no_example", 10), _if("readme_no_license", 5)),
+    ("X", "tests"): _if("NOT has_tests", 50, _minus(_if(_low_ratio("test_lines", "code_lines", cat.MIN_TEST_RATIO), 20))),
+    ("X", "versioning"): _minus(
+        _if("NOT has_changelog", 20), _if("NOT gitignore_exists", 15), _if("NOT has_version_file", 10)),
+    ("X", "comments"): _minus(_if(_low_ratio("n_docstrings", "n_defs", cat.MIN_RATIO), 25)),
+    ("X", "complexity"): _minus("least(10 * n_maint_complexity, 40)"),
+    ("F", "token_cost"): _if("estimated_total_tokens = 0", 70, _bands("estimated_total_tokens", cat.PROJECT_TOKEN_BANDS)),
+    ("F", "api_efficiency"): _minus("30 * n_perf_api_efficiency", "10 * n_uncached"),
+    ("F", "latency"): _minus("15 * n_perf_latency"),
+    ("F", "streaming"): _minus("10 * n_perf_streaming"),
+    ("P", "injection"): _if("n_prompt_injection_critical + n_prompt_injection_warning > 0", 30, "100"),
+    ("P", "token"): _minus(_if("coalesce(n_duplicates, 0) > 3", 15), start=_bands(PROMPT_TOKENS, cat.PROMPT_TOKEN_BANDS)),
+    ("P", "clarity"): _minus(
+        _if("NOT has_role", 20), _if("NOT has_format", 15), _if("NOT has_steps", 10), f"least(5 * {fd.FUZZY_COUNT}, 25)"),
+    ("P", "specificity"): _minus(_if("generic_request AND generic_pointer", 30)),
+    ("S", "secrets"): _minus("30 * n_sec_secrets_critical", "15 * n_sec_secrets_warning"),
+    ("S", "dangerous"): _minus("20 * n_sec_dangerous_functions_warning"),
+    ("S", "dependencies"): f"CASE WHEN coalesce(dependency_readable, false) THEN {_minus(f'15 * ({_DEPENDENCY_HITS})')} ELSE 70 END",
+    ("S", "mcp"): _minus(f"CASE WHEN {IS_MCP} THEN 25 * n_sec_mcp_permissions ELSE 0 END"),
+    ("S", "hardcoded_config"): _minus("10 * n_sec_hardcoded_config_info"),
+    ("S", "insecure_network"): _minus("20 * n_sec_insecure_network_warning"),
+    ("S", "logging_sensitive"): _minus("20 * n_sec_logging_sensitive_warning"),
+}
+
+
+def sub_score_expressions(cfg: AuditConfig) -> dict[tuple[str, str], str]:
+    """Each sub-score of the enabled dimensions; NULL where its rule is off."""
     out = {}
-    for (dim, sub), formula in formulas.items():
-        missing = F.lit(False)
+    for (dim, sub), formula in SUB_SCORES.items():
+        if dim not in cfg.enabled_dimensions():
+            continue
+        expr = formula if cfg.runs(cat.SUB_RULE[dim, sub]) else "NULL"
         if dim == "P":
-            # Without prompt text every sub-score is 0, also of switched-off rules.
-            missing = fd.project_conditions(cfg)["prompt_missing"]
-        if cfg.runs(cat.SUB_RULE[dim, sub]):
-            out[dim, sub] = F.when(missing, 0).otherwise(formula()).cast("int") if dim == "P" else formula().cast("int")
-        elif dim == "P" and dim in cfg.enabled_dimensions():
-            out[dim, sub] = F.when(missing, 0).cast("int")
+            # Without prompt text every sub-score is 0, also of rules that are off.
+            expr = f"CASE WHEN {fd.PROMPT_MISSING} THEN 0 ELSE {expr} END"
+        out[dim, sub] = f"CASE WHEN NOT {dim}_failed THEN CAST({expr} AS INT) END"
     return out
 
 
-def failed_column(cfg: AuditConfig, dimension: str) -> Column:
+def failed(cfg: AuditConfig, dimension: str) -> str:
     """A dimension fails as a whole if a file it must read cannot be read."""
     if dimension == "P":
-        return F.col("prompt_unreadable")
+        return "prompt_unreadable"
     if dimension == "X" and cfg.runs("maint_documentation"):
-        return F.col("readme_unreadable")
-    return F.lit(False)
+        return "readme_unreadable"
+    return "false"
+
+
+def weighted_score(dimension: str) -> str:
+    """Weighted sum in a fixed order; a sub-score that is off counts as 100."""
+    terms = [f"{w}D * coalesce({dimension}_{s}, 100)" for s, w in cat.SUB_WEIGHTS[dimension]]
+    return f"CASE WHEN {dimension}_failed THEN 0 ELSE CAST({' + '.join(terms)} AS INT) END"
+
+
+def weight(cfg: AuditConfig, dimension: str) -> str:
+    """A failed dimension weighs 1."""
+    return f"CASE WHEN {dimension}_failed THEN 1.0D ELSE {float(cfg.weight(dimension))!r}D END"
+
+
+def overall_score(cfg: AuditConfig) -> str:
+    """Weighted mean of the dimensions, added up in their fixed order."""
+    dims = cfg.enabled_dimensions()
+    if not dims:
+        return "0"
+    total = " + ".join(f"{d} * {weight(cfg, d)}" for d in dims)
+    weights = " + ".join(weight(cfg, d) for d in dims)
+    return f"coalesce(CAST(({total}) / nullif({weights}, 0.0D) AS INT), 0)"
 
 
 def score_table(project_signals: DataFrame, cfg: AuditConfig) -> DataFrame:
     """One wide row per project: ``<D>_<sub>`` sub-scores (NULL where a rule is
     off), ``<D>`` scores, ``<D>_failed`` and ``overall``."""
     dims = cfg.enabled_dimensions()
-    subs = sub_score_columns(cfg)
-    failed = {d: failed_column(cfg, d) for d in dims}
-    wide = project_signals.withColumns({
-        **{f"{d}_failed": failed[d] for d in dims},
-        **{f"{d}_{s}": F.when(~failed[d], c) for (d, s), c in subs.items()},
-    })
-    wide = wide.withColumns({d: F.when(F.col(f"{d}_failed"), 0).otherwise(weighted_score(d, subs)).cast("int") for d in dims})
-    return wide.withColumn("overall", overall_score(cfg))
-
-
-def weighted_score(dimension: str, subs) -> Column:
-    """Weighted sum in a fixed order; a sub-score that is off counts as 100."""
-    total = None
-    for sub, weight in cat.SUB_WEIGHTS[dimension]:
-        score = F.coalesce(F.col(f"{dimension}_{sub}"), F.lit(100)) if (dimension, sub) in subs else F.lit(100)
-        term = F.lit(weight) * score
-        total = term if total is None else total + term
-    return total.cast("int")
+    wide = project_signals.selectExpr("*", *[f"{failed(cfg, d)} AS {d}_failed" for d in dims])
+    wide = wide.selectExpr("*", *[f"{c} AS {d}_{s}" for (d, s), c in sub_score_expressions(cfg).items()])
+    wide = wide.selectExpr("*", *[f"{weighted_score(d)} AS {d}" for d in dims])
+    return wide.selectExpr("*", f"{overall_score(cfg)} AS overall")
 
 
-def overall_score(cfg: AuditConfig) -> Column:
-    """Weighted mean of the dimensions, added up in their fixed order.  A failed
-    dimension weighs 1."""
-    score, weight = F.lit(0.0), F.lit(0.0)
-    for d in cfg.enabled_dimensions():
-        w = F.when(F.col(f"{d}_failed"), F.lit(1.0)).otherwise(F.lit(float(cfg.weight(d))))
-        score, weight = score + F.col(d) * w, weight + w
-    return F.coalesce((score / F.nullif(weight, F.lit(0.0))).cast("int"), F.lit(0))
+def _subs(dimension: str) -> list[str]:
+    return [s for s, _ in cat.SUB_WEIGHTS[dimension]]
 
 
-def sub_scores(scores: DataFrame, cfg: AuditConfig, dimensions=cat.DIMENSIONS) -> DataFrame:
+def sub_scores(scores: DataFrame, cfg: AuditConfig, dimensions=None) -> DataFrame:
     """Long form: (project_id, dimension, sub, score)."""
-    cells = [
-        F.struct(F.lit(d).alias("dimension"), F.lit(s).alias("sub"), F.col(f"{d}_{s}").alias("score"))
-        for d in dimensions for s, _ in cat.SUB_WEIGHTS[d] if f"{d}_{s}" in scores.columns]
-    return scores.select("project_id", F.inline(F.array(*cells))).filter(F.col("score").isNotNull())
+    cells = ", ".join(
+        f"struct('{d}' AS dimension, '{s}' AS sub, {d}_{s} AS score)"
+        for d in dimensions or cfg.enabled_dimensions() for s in _subs(d))
+    return scores.selectExpr("project_id", f"inline(array({cells}))").filter("score IS NOT NULL")
 
 
 def dimension_scores(scores: DataFrame, cfg: AuditConfig, dimensions=None) -> DataFrame:
     """(project_id, dimension, name, score, weight, sub_scores)."""
     cells = []
     for d in dimensions or cfg.enabled_dimensions():
-        subs = [(s, F.col(f"{d}_{s}")) for s, _ in cat.SUB_WEIGHTS[d] if f"{d}_{s}" in scores.columns]
-        entries = F.filter(
-            F.array(*[F.struct(F.lit(s).alias("k"), c.alias("v")) for s, c in subs]), lambda e: e["v"].isNotNull())
-        cells.append(F.struct(
-            F.lit(d).alias("dimension"),
-            F.when(F.col(f"{d}_failed"), "error").otherwise(cat.DIMENSION_NAMES[d]).alias("name"),
-            F.col(d).alias("score"),
-            F.when(F.col(f"{d}_failed"), F.lit(1.0)).otherwise(F.lit(float(cfg.weight(d)))).alias("weight"),
-            F.map_from_entries(entries).alias("sub_scores")))
-    return scores.select("project_id", F.inline(F.array(*cells)))
+        entries = ", ".join(f"CASE WHEN {d}_{s} IS NOT NULL THEN struct('{s}' AS k, {d}_{s} AS v) END" for s in _subs(d))
+        cells.append(
+            f"struct('{d}' AS dimension, CASE WHEN {d}_failed THEN 'error' ELSE '{cat.DIMENSION_NAMES[d]}' END AS name, "
+            f"{d} AS score, {weight(cfg, d)} AS weight, map_from_entries(array_compact(array({entries}))) AS sub_scores)")
+    return scores.selectExpr("project_id", f"inline(array({', '.join(cells)}))")
 
 
 def errors(scores: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """One critical finding for each dimension that failed."""
-    cells = [
-        F.when(F.col(f"{d}_failed"), F.struct(
-            F.lit(d).alias("dimension"), F.lit("critical").alias("severity"), F.lit("engine_error").alias("category"),
-            F.lit("engine").alias("location"), F.lit("a file could not be read").alias("message")))
-        for d in cfg.enabled_dimensions()]
-    return scores.select("project_id", F.explode_outer(F.array_compact(F.array(*cells))).alias("e")).filter(
-        F.col("e").isNotNull()).select("project_id", "e.*")
+    """One critical finding for each dimension that failed.  It belongs to the
+    dimension only; the audit's own counts leave it out."""
+    cells = ", ".join(
+        f"CASE WHEN {d}_failed THEN struct('{d}' AS dimension, 'critical' AS severity, 'engine_error' AS category, "
+        "'engine' AS location, 'a file could not be read' AS message) END" for d in cfg.enabled_dimensions())
+    return scores.selectExpr("project_id", f"inline(array_compact(array({cells})))")
 
 
-def _counts_by_severity(cfg: AuditConfig, available) -> dict[str, Column]:
+def severity_counts(cfg: AuditConfig) -> dict[str, str]:
     """Findings per severity, from the signals alone: nothing is exploded."""
-    totals = {s: F.lit(0) for s in cat.SEVERITIES}
+    totals = {s: ["0"] for s in cat.SEVERITIES}
 
-    def add(rule_id, own, column, prompt=False, maintain=False):
-        if prompt:
-            column = F.when(fd.prompt_evaluated(), column).otherwise(0)
-        if maintain and "readme_unreadable" in available:
-            column = F.when(F.col("readme_unreadable"), 0).otherwise(column)
-        severity = cfg.severity(rule_id, own)
-        totals[severity] = totals[severity] + column
+    def add(rule, own, expr):
+        totals[cfg.severity(rule.rule_id, own)].append(f"({expr})")
 
+    readme_ok = "NOT X_failed"
     for rule in cat.RULES:
         r = rule.rule_id
         if not cfg.runs(r):
             continue
         if r in cat.MATCH_RULES or r == "prompt_injection":
-            for severity in cat.SEVERITIES:
-                if f"n_{r}_{severity}" in available:
-                    add(r, severity, F.col(f"n_{r}_{severity}"), prompt=r == "prompt_injection")
+            for own in dict.fromkeys(p.severity for p in rule.patterns):
+                n = f"n_{r}_{own}"
+                add(rule, own, f"CASE WHEN {fd.PROMPT_EVALUATED} THEN {n} ELSE 0 END" if r == "prompt_injection" else n)
         elif r == "compat_vendor_lock":
-            add(r, rule.severity, F.col("n_vendor"))
+            add(rule, rule.severity, "n_vendor")
+        elif r == "maint_complexity":
+            add(rule, rule.severity, f"CASE WHEN {readme_ok} THEN n_{r} ELSE 0 END")
         elif r in cat.FILE_RULES:
-            add(r, rule.severity, F.col(f"n_{r}"), maintain=r == "maint_complexity")
+            add(rule, rule.severity, f"n_{r}")
         elif r == "sec_dependencies":
-            hits = [F.coalesce(F.col("dependency_readable") & F.col(f"dep_{p}"), F.lit(False)).cast("int")
-                    for p, _ in cat.RISKY_PACKAGES]
-            add(r, "warning", sum(hits[1:], hits[0]))
+            add(rule, rule.severity, _DEPENDENCY_HITS)
         elif r == "sec_mcp_permissions":
-            add(r, rule.severity, F.when(F.col("skill_type") == "mcp", F.col("n_sec_mcp_permissions")).otherwise(0))
+            add(rule, rule.severity, f"CASE WHEN {IS_MCP} THEN n_{r} ELSE 0 END")
         elif r in cat.PROJECT_RULES:
-            add(r, rule.severity, _if(fd.project_conditions(cfg)[r], 1))
-    return totals
+            add(rule, rule.severity, _if(fd.project_conditions(cfg)[r], 1))
+    return {s: f"CAST({' + '.join(parts)} AS BIGINT)" for s, parts in totals.items()}
 
 
-def audits(scores: DataFrame, cfg: AuditConfig) -> DataFrame:
+def audits(scores: DataFrame, cfg: AuditConfig, extra_counts: dict[str, str] | None = None) -> DataFrame:
     """One row per project: scores, finding counts, band, summary and gate."""
-    counts = _counts_by_severity(cfg, set(scores.columns))
     dims = cfg.enabled_dimensions()
-    rows = scores.select(
-        "project_id", "skill_type", F.col("n_files").alias("files_scanned"), "overall", *dims,
-        *[c.cast("bigint").alias(f"n_{s}") for s, c in counts.items()])
-    return rows.withColumns({
-        "band": score_band(F.col("overall")), "passed": gate(F.col("overall"), cfg.fail_threshold),
-    }).withColumn("summary", summary(dims))
-
-
-def score_band(score: Column) -> Column:
-    out = F.lit(cat.LOWEST_BAND)
-    for limit, name in reversed(cat.SCORE_BANDS):
-        out = F.when(score >= limit, name).otherwise(out)
-    return out
+    rows = scores.selectExpr(
+        "project_id", "skill_type", "n_files AS files_scanned", "overall", *dims,
+        *[f"{c} + {(extra_counts or {}).get(s, '0')} AS n_{s}" for s, c in severity_counts(cfg).items()])
+    return rows.selectExpr(
+        "*", f"{score_band('overall')} AS band", f"{gate('overall', cfg.fail_threshold)} AS passed"
+    ).selectExpr("*", f"{summary(dims)} AS summary")
+
+
+def score_band(score: str) -> str:
+    return "CASE " + " ".join(f"WHEN {score} >= {n} THEN '{b}'" for n, b in cat.SCORE_BANDS) + f" ELSE '{cat.LOWEST_BAND}' END"
 
 
-def gate(score: Column, threshold: int | None) -> Column:
+def gate(score: str, threshold: int | None) -> str:
     """False only if there is a threshold and the score is below it."""
-    return F.lit(True) if threshold is None else score >= threshold
+    return "true" if threshold is None else f"({score} >= {threshold})"
 
 
-def summary(dims) -> Column:
-    return F.concat(
-        F.lit("Project '"), F.col("project_id").cast("string"), F.lit("' ("), F.col("skill_type"), F.lit("): "),
-        F.col("overall").cast("string"), F.lit("/100 ("), F.col("band"), F.lit("). Findings: "),
-        *[x for s in cat.SEVERITIES for x in (F.col(f"n_{s}").cast("string"), F.lit(f" {s}, "))],
-        F.lit("scores: "), F.concat_ws(", ", *[F.concat(F.lit(f"{d}="), F.col(d).cast("string")) for d in dims]))
+def summary(dims) -> str:
+    counts = ", ".join(f"n_{s}, ' {s}, '" for s in cat.SEVERITIES)
+    return (
+        "concat(" + tx.q("Project '") + ", CAST(project_id AS STRING), " + tx.q("' (") + ", skill_type, '): ', overall, "
+        f"'/100 (', band, '). Findings: ', {counts}, 'scores: ', "
+        + "concat_ws(', ', " + ", ".join(f"concat('{d}=', {d})" for d in dims) + "))")
 
 
 def dimension_gate(scores: DataFrame, cfg: AuditConfig) -> DataFrame:
     """Each dimension against its own pass mark."""
-    cells = [
-        F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score"), F.lit(cfg.dimensions[d].threshold).alias("threshold"),
-                 (F.col(d) >= cfg.dimensions[d].threshold).alias("passed"))
-        for d in cfg.enabled_dimensions()]
-    return scores.select("project_id", F.inline(F.array(*cells)))
+    cells = ", ".join(
+        f"struct('{d}' AS dimension, {d} AS score, {cfg.dimensions[d].threshold} AS threshold, "
+        f"{d} >= {cfg.dimensions[d].threshold} AS passed)" for d in cfg.enabled_dimensions())
+    return scores.selectExpr("project_id", f"inline(array({cells}))")

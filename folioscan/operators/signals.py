@@ -3,240 +3,223 @@
 All rules read the text in one scan.  A file becomes a row of counts and flags;
 those are summed per project with map-side aggregation, so no text is shuffled
 and a project of any size costs one row per task.
+
+The rules are SQL expressions over the columns of :func:`readable`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from folioscan.functions import text as tx
 from folioscan.operators import classify as cl
 from folioscan.plans.config import AuditConfig
 from folioscan.rules import catalog as cat
 
-HIT = "struct<key string, line int, pos int, grp int, detail string>"
-
-_text, _lower, _folding = F.col("text"), F.col("ltext"), F.col("folding")
-_py, _prompt, _kind = F.col("is_py"), F.col("is_prompt"), F.col("kind")
+IN_PROMPT = "(is_py OR is_prompt)"
 
 
 def readable(classified: DataFrame) -> DataFrame:
     """Adds the helper columns the rule expressions share."""
-    return classified.withColumns({
-        "ltext": F.lower("text"),
-        "folding": tx.contains_any(F.col("text"), tx.FOLDING_CHARS),
-    })
+    return classified.selectExpr("*", "lower(text) AS ltext", f"{tx.contains_any('text', tx.FOLDING_CHARS)} AS folding")
+
+
+def _has(*words: str) -> str:
+    return tx.contains_any("text", words)
 
 
-def _has(*words: str) -> Column:
-    return tx.contains_any(_text, words)
+def _has_ci(words) -> str:
+    return tx.contains_any_ci("text", "ltext", "folding", words)
 
 
-def _has_ci(words) -> Column:
-    return tx.contains_any_ci(_text, _lower, _folding, words)
+def _json_config() -> str:
+    return "kind = 'config' AND endswith(path, '.json')"
 
 
-def _guard(pattern: cat.Pattern) -> Column:
+def guard(pattern: cat.Pattern) -> str:
     """A cheap test that every text with a match passes."""
     if pattern.needs:
         return _has(*pattern.needs)
     if pattern.key == "generic_api_key":
-        return (F.contains(_lower, F.lit("api")) & F.contains(_lower, F.lit("key"))) | _folding
+        return f"({tx.contains_all('ltext', ('api', 'key'))} OR folding)"
     if pattern.key == "password_literal":
-        return tx.contains_any(_lower, ("passw", "pwd")) | _folding
-    return F.lit(True)
+        return f"({tx.contains_any('ltext', ('passw', 'pwd'))} OR folding)"
+    return "true"
 
 
-def match_scope(rule_id: str) -> Column:
-    return _kind.isin("code", "config") if rule_id == "sec_secrets" else _py
+def match_scope(rule_id: str) -> str:
+    return "kind IN ('code', 'config')" if rule_id == "sec_secrets" else "is_py"
 
 
-def count_matches(rule_id: str, pattern: cat.Pattern) -> Column:
-    hit = match_scope(rule_id) & _guard(pattern)
-    return F.when(hit, F.regexp_count(_text, F.lit(tx.jregex(pattern.regex)))).otherwise(0)
+def count_matches(rule_id: str, pattern: cat.Pattern) -> str:
+    hit = tx.all_of(match_scope(rule_id), guard(pattern))
+    return f"CASE WHEN {hit} THEN {tx.count_matches('text', pattern.regex)} ELSE 0 END"
 
 
-def injection_lines(pattern: cat.Pattern) -> Column:
-    """Lines of a file that match, as array<struct<line int, match string>>."""
-    per_line = tx.jregex(pattern.one_pass or pattern.regex)
-    numbered = F.transform(tx.splitlines(_text), lambda l, i: F.struct((i + 1).alias("line"), l.alias("match")))
-    hit = (_py | _prompt) & _guard(pattern) & _text.rlike(per_line)
-    return F.when(hit, F.filter(numbered, lambda x: x["match"].rlike(per_line)))
+def injection_lines(pattern: cat.Pattern) -> str:
+    """Lines of a file that match, as array<struct<line int, match string>>; else NULL."""
+    per_line = pattern.one_pass or pattern.regex
+    numbered = f"transform({tx.splitlines('text')}, (l, i) -> struct(i + 1 AS line, l AS match))"
+    hit = tx.all_of(IN_PROMPT, guard(pattern), tx.rlike("text", per_line))
+    return f"CASE WHEN {hit} THEN filter({numbered}, x -> {tx.rlike('x.match', per_line)}) END"
 
 
-def count_injections(pattern: cat.Pattern) -> Column:
-    return F.coalesce(F.size(injection_lines(pattern)), F.lit(0))
+def count_injections(pattern: cat.Pattern) -> str:
+    return f"coalesce(array_size({injection_lines(pattern)}), 0)"
 
 
-def has_vendor(pattern: cat.Pattern) -> Column:
-    return _py & _guard(pattern) & _text.rlike(tx.jregex(pattern.regex))
+def has_vendor(pattern: cat.Pattern) -> str:
+    return tx.all_of("is_py", guard(pattern), tx.rlike("text", pattern.regex))
 
 
-def calls_api_in_loop() -> Column:
+def calls_api_in_loop() -> str:
     """Whether a line below a loop header, indented deeper, names a model API.
 
     A header starts (or restarts) the loop and is not searched itself; a line
-    indented no deeper than the header ends the loop.
+    indented no deeper than the header ends the loop.  The state is the indent
+    of the open loop (-1: none) and whether a call was found.
     """
-    header = tx.jregex(cat.LOOP_HEADER_REGEX)
-    start = F.struct(F.lit(-1).alias("indent"), F.lit(False).alias("found"))
-
-    def step(state, line):
-        body = tx.strip(line)
-        indent = F.length(line) - F.length(tx.lstrip(line))
-        ignored = state["found"] | (body == "") | body.startswith("#")
-        in_loop = state["indent"] >= 0
-        leaves = in_loop & (indent <= state["indent"])
-        return (
-            F.when(ignored, state)
-            .when(body.rlike(header), F.struct(indent.alias("indent"), F.lit(False).alias("found")))
-            .when(leaves, start)
-            .otherwise(F.struct(
-                state["indent"].alias("indent"),
-                (in_loop & tx.contains_any(line, cat.LOOP_API_WORDS)).alias("found")))
-        )
-
-    possible = _py & _has(*cat.LOOP_API_WORDS) & _has("for", "while")
-    return F.when(possible, F.aggregate(tx.splitlines(_text), start, step)["found"]).otherwise(False)
-
-
-def branch_count() -> Column:
-    return F.when(_py & _has(*cat.BRANCH_WORDS), F.regexp_count(_text, F.lit(tx.jregex(cat.BRANCH_REGEX)))).otherwise(0)
-
-
-def few_types() -> Column:
+    lines = (
+        f"transform({tx.splitlines('text')}, l -> struct({tx.strip('l')} AS body, "
+        f"length(l) - length({tx.lstrip('l')}) AS indent, {tx.contains_any('l', cat.LOOP_API_WORDS)} AS api))"
+    )
+    state = "named_struct('indent', {}, 'found', {})"
+    step = (
+        "CASE WHEN s.found OR l.body = '' OR startswith(l.body, '#') THEN s "
+        f"WHEN {tx.rlike('l.body', cat.LOOP_HEADER_REGEX)} THEN {state.format('l.indent', 'false')} "
+        f"WHEN s.indent >= 0 AND l.indent <= s.indent THEN {state.format('-1', 'false')} "
+        f"ELSE {state.format('s.indent', 's.indent >= 0 AND l.api')} END"
+    )
+    possible = tx.all_of("is_py", _has(*cat.LOOP_API_WORDS), _has("for", "while"))
+    walk = f"aggregate({lines}, {state.format('-1', 'false')}, (s, l) -> {step})"
+    return f"CASE WHEN {possible} THEN {walk}.found ELSE false END"
+
+
+def branch_count() -> str:
+    possible = tx.all_of("is_py", _has(*cat.BRANCH_WORDS))
+    return f"CASE WHEN {possible} THEN {tx.count_matches('text', cat.BRANCH_REGEX)} ELSE 0 END"
+
+
+def few_types() -> str:
     """Fewer than three in ten function definitions carry an annotation."""
-    def found(pattern, group):
-        return F.regexp_extract_all(_text, F.lit(tx.jregex(pattern)), F.lit(group))
+    typed = (
+        f"size(filter(zip_with({tx.find_all('text', cat.TYPED_DEF_REGEX, 1)}, {tx.find_all('text', cat.TYPED_DEF_REGEX, 2)}, "
+        "(params, arrow) -> arrow <> '' OR contains(params, ':')), t -> t))"
+    )
+    n_defs = f"size({tx.find_all('text', cat.DEF_SIGNATURE_REGEX)})"
+    return f"CASE WHEN is_py AND contains(text, 'def') THEN coalesce({typed} / nullif({n_defs}, 0) < {cat.MIN_RATIO}D, false) ELSE false END"
 
-    typed = F.filter(
-        F.zip_with(found(cat.TYPED_DEF_REGEX, 1), found(cat.TYPED_DEF_REGEX, 2),
-                   lambda params, arrow: (arrow != "") | F.contains(params, F.lit(":"))),
-        lambda is_typed: is_typed)
-    n_defs = F.size(found(cat.DEF_SIGNATURE_REGEX, 0))
-    ratio = F.size(typed) / F.nullif(n_defs, F.lit(0))
-    return F.when(_py & _has("def"), F.coalesce(ratio < cat.MIN_RATIO, F.lit(False))).otherwise(False)
 
-
-def file_conditions() -> dict[str, Column]:
+def file_conditions() -> dict[str, str]:
     """The condition of each rule with at most one finding per file."""
     return {
-        "compat_encoding": _py & _has(".read()") & ~_has("encoding="),
-        "corr_error_handling": _py & _has("except") & _text.rlike(tx.jregex(cat.BARE_EXCEPT_REGEX)),
+        "compat_encoding": f"is_py AND {_has('.read()')} AND NOT {_has('encoding=')}",
+        "corr_error_handling": f"is_py AND {_has('except')} AND {tx.rlike('text', cat.BARE_EXCEPT_REGEX)}",
         "corr_type_safety": few_types(),
-        "corr_validation": _py & _has("openai") & ~_has(*cat.VALIDATION_WORDS),
-        "corr_resource_cleanup": _py & _has("open") & ~_has("with ") & _text.rlike(tx.jregex(cat.OPEN_REGEX)),
-        "corr_input_sanitization": _py & _has(*cat.USER_INPUT_WORDS) & ~_has(*cat.SANITIZER_WORDS),
-        "maint_complexity": branch_count() > cat.MAX_BRANCHES,
+        "corr_validation": f"is_py AND {_has('openai')} AND NOT {_has(*cat.VALIDATION_WORDS)}",
+        "corr_resource_cleanup": f"is_py AND {_has('open')} AND NOT {_has('with ')} AND {tx.rlike('text', cat.OPEN_REGEX)}",
+        "corr_input_sanitization": f"is_py AND {_has(*cat.USER_INPUT_WORDS)} AND NOT {_has(*cat.SANITIZER_WORDS)}",
+        "maint_complexity": f"{branch_count()} > {cat.MAX_BRANCHES}",
         "perf_api_efficiency": calls_api_in_loop(),
-        "perf_latency": _py & _has(*cat.BLOCKING_API_WORDS) & ~_has(*cat.ASYNC_WORDS),
-        "perf_streaming": _py & _has(*cat.STREAM_API_WORDS) & ~_text.rlike(tx.jregex(cat.STREAM_ON_REGEX)),
+        "perf_latency": f"is_py AND {_has(*cat.BLOCKING_API_WORDS)} AND NOT {_has(*cat.ASYNC_WORDS)}",
+        "perf_streaming": f"is_py AND {_has(*cat.STREAM_API_WORDS)} AND NOT {tx.rlike('text', cat.STREAM_ON_REGEX)}",
     }
 
 
-def lacks_cache() -> Column:
-    return _py & _has(*cat.API_WORDS) & ~F.contains(_lower, F.lit("cache"))
+def lacks_cache() -> str:
+    return f"is_py AND {_has(*cat.API_WORDS)} AND NOT contains(ltext, 'cache')"
+
+
+def invites_hallucination() -> str:
+    assume = f"({tx.contains_all('text', cat.ASSUME_NEEDS)} AND {tx.rlike('text', cat.ASSUME_REGEX)})"
+    return f"is_prompt AND ({_has_ci(cat.INVENT_WORDS)} OR {_has_ci(cat.GUESS_WORDS)} OR {assume})"
 
 
-def invites_hallucination() -> Column:
-    needs = F.lit(True)
-    for word in cat.ASSUME_NEEDS:
-        needs = needs & _has(word)
-    return _prompt & (
-        _has_ci(cat.INVENT_WORDS) | _has_ci(cat.GUESS_WORDS) | (needs & _text.rlike(tx.jregex(cat.ASSUME_REGEX))))
+def broad_mcp_permission() -> str:
+    return f"{_json_config()} AND {tx.contains_all('ltext', cat.MCP_PERMISSION_WORDS)}"
 
 
-def broad_mcp_permission() -> Column:
-    wide = (_kind == "config") & F.col("path").endswith(".json")
-    for word in cat.MCP_PERMISSION_WORDS:
-        wide = wide & F.contains(_lower, F.lit(word))
-    return wide
+def _sum(parts) -> str:
+    return " + ".join(f"({p})" for p in parts)
 
 
-def file_flags(cfg: AuditConfig) -> dict[str, tuple[Column, str]]:
-    """Per-file columns and the aggregate that combines them, for enabled rules."""
+def file_flags(cfg: AuditConfig) -> dict[str, tuple[str, str]]:
+    """Per-file expressions and the aggregate that combines them, for enabled rules."""
     flags = dict(cl.manifest_flags())
-    path, lpath = F.col("path"), F.lower("path")
-    in_prompt = _py | _prompt
 
-    def put(name, column, how="sum"):
-        flags[name] = (F.coalesce(column.cast("int") if how == "sum" else column, F.lit(0 if how == "sum" else False)), how)
+    def put(name, expr, how="sum"):
+        flags[name] = (f"coalesce(CAST({expr} AS INT), 0)", how) if how == "sum" else (f"coalesce({expr}, false)", how)
 
-    put("n_py", _py & _text.isNotNull())
-    put("prompt_unreadable", in_prompt & _text.isNull(), "any")
-    put("has_prompt_text", in_prompt & tx.not_blank(_text), "any")
+    put("n_py", "is_py AND text IS NOT NULL")
+    put("prompt_unreadable", f"{IN_PROMPT} AND text IS NULL", "any")
+    put("has_prompt_text", f"{IN_PROMPT} AND {tx.not_blank('text')}", "any")
     conditions = file_conditions()
     for rule_id in cat.FILE_RULES:
         if cfg.runs(rule_id):
             put(f"n_{rule_id}", conditions[rule_id])
 
-    for rule_id in cat.MATCH_RULES:
+    for rule_id in (*cat.MATCH_RULES, "prompt_injection"):
         if cfg.runs(rule_id):
             for severity in cat.SEVERITIES:
-                counts = [count_matches(rule_id, p) for p in cat.RULE[rule_id].patterns if p.severity == severity]
+                counts = [
+                    count_injections(p) if rule_id == "prompt_injection" else count_matches(rule_id, p)
+                    for p in cat.RULE[rule_id].patterns if p.severity == severity]
                 if counts:
-                    total = counts[0]
-                    for c in counts[1:]:
-                        total = total + c
-                    put(f"n_{rule_id}_{severity}", total)
+                    put(f"n_{rule_id}_{severity}", _sum(counts))
     if cfg.runs("sec_mcp_permissions"):
         put("n_sec_mcp_permissions", broad_mcp_permission())
 
-    if cfg.runs("prompt_injection"):
-        for severity in ("critical", "warning"):
-            counts = [count_injections(p) for p in cat.INJECTION_PATTERNS if p.severity == severity]
-            put(f"n_prompt_injection_{severity}", sum(counts[1:], counts[0]))
     if cfg.runs("prompt_token_efficiency"):
-        put("prompt_chars", F.when(in_prompt, F.length(_text) + 1).otherwise(0))
+        put("prompt_chars", f"CASE WHEN {IN_PROMPT} THEN length(text) + 1 END")
     if cfg.runs("prompt_clarity"):
-        put("has_role", in_prompt & _has_ci(cat.ROLE_WORDS), "any")
-        put("has_format", in_prompt & _has_ci(cat.FORMAT_WORDS), "any")
-        put("has_steps", in_prompt & _has_ci(cat.STEP_WORDS), "any")
+        put("has_role", f"{IN_PROMPT} AND {_has_ci(cat.ROLE_WORDS)}", "any")
+        put("has_format", f"{IN_PROMPT} AND {_has_ci(cat.FORMAT_WORDS)}", "any")
+        put("has_steps", f"{IN_PROMPT} AND {_has_ci(cat.STEP_WORDS)}", "any")
         for i, word in enumerate(cat.FUZZY_WORDS):
-            put(f"fuzzy_{i}", in_prompt & _has(word), "any")
+            put(f"fuzzy_{i}", f"{IN_PROMPT} AND {_has(word)}", "any")
     if cfg.runs("prompt_specificity"):
-        put("generic_request", in_prompt & _has_ci(cat.GENERIC_REQUEST_WORDS), "any")
-        put("generic_pointer", in_prompt & _has_ci(cat.GENERIC_POINTER_WORDS), "any")
+        put("generic_request", f"{IN_PROMPT} AND {_has_ci(cat.GENERIC_REQUEST_WORDS)}", "any")
+        put("generic_pointer", f"{IN_PROMPT} AND {_has_ci(cat.GENERIC_POINTER_WORDS)}", "any")
 
     if cfg.runs("maint_documentation"):
-        root = path == "README.md"
-        put("readme_unreadable", root & _text.isNull(), "any")
-        put("readme_short", root & (F.length(_text) < cat.SHORT_README), "any")
+        root = "path = 'README.md'"
+        put("readme_unreadable", f"{root} AND text IS NULL", "any")
+        put("readme_short", f"{root} AND length(text) < {cat.SHORT_README}", "any")
         for code, word, other in cat.README_WORDS:
-            put(f"readme_{code}", root & ~(F.contains(_lower, F.lit(word)) | _has(other)), "any")
+            put(f"readme_{code}", f"{root} AND NOT ({tx.contains('ltext', word)} OR {_has(other)})", "any")
     if cfg.runs("maint_tests"):
-        is_test = F.contains(lpath, F.lit("test"))
-        n_lines = F.when(path.endswith(".py"), F.size(tx.splitlines(_text)))
+        is_test = "contains(lower(path), 'test')"
+        n_lines = f"size({tx.splitlines('text')})"
         put("has_tests", is_test, "any")
-        put("test_lines", F.when(is_test, n_lines))
-        put("code_lines", F.when(~is_test, n_lines))
+        put("test_lines", f"CASE WHEN endswith(path, '.py') AND {is_test} THEN {n_lines} END")
+        put("code_lines", f"CASE WHEN endswith(path, '.py') AND NOT {is_test} THEN {n_lines} END")
     if cfg.runs("maint_versioning"):
-        put("has_changelog", F.contains(lpath, F.lit("change")), "any")
-        put("has_version_file", path.isin(*cat.VERSION_FILES), "any")
+        put("has_changelog", "contains(lower(path), 'change')", "any")
+        put("has_version_file", tx.is_in("path", cat.VERSION_FILES), "any")
     if cfg.runs("maint_comments"):
-        put("n_defs", F.when(_py & _has("def"), F.regexp_count(_text, F.lit(tx.jregex(cat.DEF_REGEX)))))
-        put("n_docstrings", F.when(_py & _has('"""'), F.regexp_count(_text, F.lit(tx.jregex(cat.DOCSTRING_REGEX)))))
+        put("n_defs", f"CASE WHEN is_py AND contains(text, 'def') THEN {tx.count_matches('text', cat.DEF_REGEX)} END")
+        quotes = tx.q('"""')
+        put("n_docstrings", f"CASE WHEN is_py AND contains(text, {quotes}) THEN {tx.count_matches('text', cat.DOCSTRING_REGEX)} END")
 
     if cfg.runs("perf_api_efficiency"):
         put("n_uncached", lacks_cache())
     if cfg.runs("corr_error_handling"):
-        put("n_handled", _py & _has("try:") & _has("except"))
+        put("n_handled", f"is_py AND {tx.contains_all('text', ('try:', 'except'))}")
     if cfg.runs("corr_hallucination_risk"):
         put("n_hallucination", invites_hallucination())
     if cfg.runs("compat_vendor_lock"):
-        vendors = [F.coalesce(has_vendor(p).cast("int"), F.lit(0)) for p in cat.VENDOR_PATTERNS]
-        put("n_vendor", sum(vendors[1:], vendors[0]))
+        put("n_vendor", _sum(f"coalesce(CAST({has_vendor(p)} AS INT), 0)" for p in cat.VENDOR_PATTERNS))
     if cfg.runs("compat_platform"):
-        put("n_platform", _py & _has(*cat.PLATFORM_WORDS))
+        put("n_platform", f"is_py AND {_has(*cat.PLATFORM_WORDS)}")
     if cfg.runs("compat_protocol"):
-        put("declares_version", (_kind == "config") & path.endswith(".json") & _has(*cat.VERSION_KEYS), "any")
+        put("declares_version", f"{_json_config()} AND {_has(*cat.VERSION_KEYS)}", "any")
     return flags
 
 
 def file_signals(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
     """One row of counts and flags per file; no text."""
     flags = file_flags(cfg)
-    return readable(classified).select("project_id", "path", *[c.alias(n) for n, (c, _) in flags.items()])
+    return readable(classified).selectExpr("project_id", "path", *[f"{c} AS {n}" for n, (c, _) in flags.items()])
 
 
 def project_signals(files: DataFrame, cfg: AuditConfig, signals: DataFrame | None = None,
@@ -249,4 +232,4 @@ def project_signals(files: DataFrame, cfg: AuditConfig, signals: DataFrame | Non
     out = sums.join(cl.first_special_files(classified), "project_id", "left")
     if cfg.runs("prompt_token_efficiency"):
         out = out.join(cl.duplicate_lines(classified), "project_id", "left")
-    return out.withColumn("skill_type", cl.skill_type())
+    return out.selectExpr("*", f"{cl.SKILL_TYPE} AS skill_type")

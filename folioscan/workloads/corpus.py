@@ -7,9 +7,13 @@ line, and key-shaped strings are built with repeat().
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-SEEDED_FILES_SQL = r"""
+from folioscan.sources.files import spread
+
+SEEDED_FILES_SQL = r'''
 WITH snip(cls, sid, body) AS (VALUES
  ('py',0,'result = eval(user_data)|exec("x")'),
  ('py',1,'API_KEY = "sk-' || repeat('a1B2',13) || '"'),
@@ -62,22 +66,18 @@ k AS (SELECT *, CASE cls WHEN 'py' THEN 22 WHEN 'prompt' THEN 6 WHEN 'dep' THEN
 SELECT k.pid AS project_id, k.path, k.text || chr(10) || replace(a.body, '|', chr(10)) || chr(10) || replace(b.body, '|', chr(10)) || chr(10) AS content
 FROM k JOIN snip a ON a.cls = k.cls AND a.sid = (k.pid * 7 + k.r) % k.n
        JOIN snip b ON b.cls = k.cls AND b.sid = (k.pid * 3 + k.r * 5 + 1) % k.n
-"""
-
-# Widens the fixed layout: an MCP project without a version, a retrieval and an
-# agent project, typed functions, a second dependency file, unreadable files.
-EXTRA_SNIPPETS = ()
-
+'''
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def seeded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded_from(table(spark, sf_dir, "documents"))
+    return spread(seeded_from(table(spark, sf_dir, "documents")))
 
 
 def seeded_from(documents: DataFrame) -> DataFrame:
     """The corpus of any documents(doc_id, text) frame, also a streaming one."""
-    return documents.sparkSession.sql(
-        SEEDED_FILES_SQL.replace("FROM documents)", "FROM {documents})"), documents=documents)
+    view = f"documents_{uuid.uuid4().hex}"
+    documents.createOrReplaceTempView(view)
+    return documents.sparkSession.sql(SEEDED_FILES_SQL.replace("FROM documents)", f"FROM {view})"))

@@ -37,10 +37,9 @@ def frame(spark, texts):
 
 def test_line_and_space_helpers(spark):
     rows = frame(spark, TEXTS).select(
-        "text", tx.splitlines(F.col("text")).alias("lines"), tx.strip(F.col("text")).alias("s"),
-        tx.lstrip(F.col("text")).alias("l"), tx.not_blank(F.col("text")).alias("nb"),
-        tx.token_estimate(F.col("text")).alias("tok"), tx.unify_newlines(F.col("text")).alias("nl"),
-    ).collect()
+        "text", *[F.expr(e("text")).alias(n) for n, e in dict(
+            lines=tx.splitlines, s=tx.strip, l=tx.lstrip, nb=tx.not_blank, tok=tx.token_estimate, nl=tx.unify_newlines
+        ).items()]).collect()
     for r in rows:
         body = r.text.replace("\r\n", "\n").replace("\r", "\n")
         assert r.nl == body
@@ -57,7 +56,7 @@ def test_suffix_and_name(spark):
 
     paths = ["a.py", "x/.gitignore", ".gitignore", "x/y.tar.GZ", "noext", "a.b/c", "dir.d/e.Md", "x/.a.b"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(
-        "p", tx.suffix(F.col("p")).alias("s"), tx.file_name(F.col("p")).alias("n")).collect()
+        "p", F.expr(tx.suffix("p")).alias("s"), F.expr(tx.file_name("p")).alias("n")).collect()
     for r in got:
         assert r.s == PurePosixPath(r.p).suffix.lower(), r.p
         assert r.n == PurePosixPath(r.p).name
@@ -66,14 +65,14 @@ def test_suffix_and_name(spark):
 def test_decode_drops_invalid_bytes(spark):
     raw = [b"ok", b"a\xffb\xc3", b"\xe2\x82A\xef\xbf\xbdz", "é ".encode(), b"\xf0\x9f\x98"]
     got = spark.createDataFrame([(bytearray(b),) for b in raw], "b binary").select(
-        tx.decode_utf8(F.col("b")).alias("t")).collect()
+        F.expr(tx.decode_utf8("b")).alias("t")).collect()
     assert [r.t for r in got] == [b.decode("utf-8", "ignore") for b in raw]
 
 
 @pytest.mark.parametrize("pattern", [p.regex for p in catalog.MATCH_PATTERNS], ids=lambda p: p[:24])
 def test_matches_agree_with_finditer(spark, pattern):
     got = frame(spark, TEXTS).select(
-        "text", tx.matches(F.col("text"), tx.jregex(pattern)).alias("m")).collect()
+        "text", F.expr(tx.matches("text", pattern)).alias("m")).collect()
     for r in got:
         want = [(i, r.text[:m.start()].count("\n") + 1, m.group(0))
                 for i, m in enumerate(re.finditer(pattern, r.text))]
@@ -83,9 +82,35 @@ def test_matches_agree_with_finditer(spark, pattern):
 def test_contains_any_ci(spark):
     words = ["you are", "system:", "1."]
     texts = TEXTS + ["YOU ARE", LONG_S + "ystem:", f"SY{LONG_S}TEM: x", "yOu aRe", "11"]
-    t = F.col("text")
     got = frame(spark, texts).select(
-        "text", tx.contains_any_ci(t, F.lower(t), t.rlike(f"[{tx.FOLDING_CHARS}]"), words).alias("h")).collect()
+        "text", F.expr(tx.contains_any_ci(
+            "text", "lower(text)", tx.contains_any("text", tx.FOLDING_CHARS), words)).alias("h")).collect()
     rx = re.compile("(?i)" + "|".join(re.escape(w) for w in words))
     for r in got:
         assert r.h == bool(rx.search(r.text)), r.text[:60]
+
+
+def test_one_pass_patterns_find_the_same_lines():
+    pieces = ['f"', "f'", "{", "}", '"', "'", "user", "msg", ".format(", ".format (", "+ ", "+", "text", "x", "%", " "]
+    import random
+
+    rng = random.Random(7)
+    for p in catalog.INJECTION_PATTERNS:
+        if p.one_pass:
+            plain, fast = re.compile(p.regex), re.compile(p.one_pass)
+            for _ in range(20_000):
+                line = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+                assert bool(plain.search(line)) == bool(fast.search(line)), (p.key, line)
+
+
+@pytest.mark.parametrize("linear, plain", [
+    (catalog.DEF_REGEX, r"(?m)^\s*def\s+\w+\s*\("),
+    (catalog.TYPED_DEF_REGEX, r"(?m)^\s*def\s+\w+\s*\(([^)]*)\)(\s*->\s*[^:#]+)?"),
+    (catalog.DOCSTRING_REGEX, r'\n\s*"""'),
+    (catalog.BRANCH_REGEX, r"\b(if|for|while|except|and|or)\b"),
+])
+def test_counts_agree(spark, linear, plain):
+    texts = TEXTS + ['def f():\n\n   \n    """a"""\n"""b"""\n\x0b"""c"""', "  def a(x) -> int:\n\tdef b(\n\n def c():\n\n\n"]
+    got = frame(spark, texts).select("text", F.expr(tx.count_matches("text", linear)).alias("n")).collect()
+    for r in got:
+        assert r.n == len(list(re.finditer(plain, r.text))), r.text[:60]
