@@ -20,12 +20,12 @@ def file_kind(ext: str, text: str) -> str:
 
 
 def classify(files: DataFrame) -> DataFrame:
-    """Adds text, name, ext, kind, is_py and is_prompt to files(project_id, path, content).
+    """Adds text, name, ext, kind, is_py and is_prompt to files(project_id, path, content, ...).
 
     A NULL content stands for a file that could not be read.
     """
     base = files.selectExpr(
-        "project_id", "path", "content", f"{tx.unify_newlines('content')} AS text",
+        "*", f"{tx.unify_newlines('content')} AS text",
         f"{tx.file_name('path')} AS name", f"{tx.suffix('path')} AS ext",
     )
     kinds = base.selectExpr("*", f"{file_kind('ext', 'text')} AS kind")

@@ -80,7 +80,7 @@ def sarif_documents(found: DataFrame, tool: str = "folioscan", size: int = RESUL
         "'region', named_struct('startLine', start_line)))))"
     )
     results = (
-        _chunks(sarif_results(found), size).selectExpr("project_id", "part", key, f"{entry} AS entry")
+        _chunks(sarif_results(found), size).selectExpr("project_id", "part", *fd.ORDER, f"{entry} AS entry")
         .groupBy("project_id", "part")
         .agg(F.expr(f"transform(sort_array(collect_list(struct({key}, entry))), x -> x.entry) AS results")))
     described = (
@@ -94,13 +94,9 @@ def sarif_documents(found: DataFrame, tool: str = "folioscan", size: int = RESUL
         f"to_json(named_struct('$schema', '{SARIF_SCHEMA}', 'version', '2.1.0', 'runs', array({run}))) AS sarif")
 
 
-def json_reports(audits: DataFrame, dimension_scores: DataFrame) -> DataFrame:
+def json_reports(audits: DataFrame) -> DataFrame:
     """The audit of each project as JSON; its findings are a table of their own."""
-    dims = dimension_scores.groupBy("project_id").agg(  # at most six
-        F.expr("map_from_entries(sort_array(collect_list(struct(dimension, struct(name, score, weight, sub_scores))))) AS dimension_scores"))
-    fields = [c for c in audits.columns]
-    return audits.join(dims, "project_id").selectExpr(
-        "project_id", f"to_json(struct({', '.join(fields)}, dimension_scores)) AS report")
+    return audits.selectExpr("project_id", f"to_json(struct({', '.join(audits.columns)})) AS report")
 
 
 def finding_lines(found: DataFrame) -> DataFrame:

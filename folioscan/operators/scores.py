@@ -138,15 +138,20 @@ def sub_scores(scores: DataFrame, cfg: AuditConfig, dimensions=None) -> DataFram
     return scores.selectExpr("project_id", f"inline(array({cells}))").filter("score IS NOT NULL")
 
 
-def dimension_scores(scores: DataFrame, cfg: AuditConfig, dimensions=None) -> DataFrame:
-    """(project_id, dimension, name, score, weight, sub_scores)."""
+def _dimension_cells(cfg: AuditConfig, dimensions=None) -> list[tuple[str, str]]:
     cells = []
     for d in dimensions or cfg.enabled_dimensions():
         entries = ", ".join(f"CASE WHEN {d}_{s} IS NOT NULL THEN struct('{s}' AS k, {d}_{s} AS v) END" for s in _subs(d))
-        cells.append(
-            f"struct('{d}' AS dimension, CASE WHEN {d}_failed THEN 'error' ELSE '{cat.DIMENSION_NAMES[d]}' END AS name, "
-            f"{d} AS score, {weight(cfg, d)} AS weight, map_from_entries(array_compact(array({entries}))) AS sub_scores)")
-    return scores.selectExpr("project_id", f"inline(array({', '.join(cells)}))")
+        cells.append((d, (
+            f"CASE WHEN {d}_failed THEN 'error' ELSE '{cat.DIMENSION_NAMES[d]}' END AS name, "
+            f"{d} AS score, {weight(cfg, d)} AS weight, map_from_entries(array_compact(array({entries}))) AS sub_scores")))
+    return cells
+
+
+def dimension_scores(scores: DataFrame, cfg: AuditConfig, dimensions=None) -> DataFrame:
+    """(project_id, dimension, name, score, weight, sub_scores)."""
+    cells = ", ".join(f"struct('{d}' AS dimension, {fields})" for d, fields in _dimension_cells(cfg, dimensions))
+    return scores.selectExpr("project_id", f"inline(array({cells}))")
 
 
 def errors(scores: DataFrame, cfg: AuditConfig) -> DataFrame:
@@ -189,12 +194,15 @@ def severity_counts(cfg: AuditConfig) -> dict[str, str]:
     return {s: f"CAST({' + '.join(parts)} AS BIGINT)" for s, parts in totals.items()}
 
 
-def audits(scores: DataFrame, cfg: AuditConfig, extra_counts: dict[str, str] | None = None) -> DataFrame:
-    """One row per project: scores, finding counts, band, summary and gate."""
+def audits(scores: DataFrame, cfg: AuditConfig, nested: bool = False) -> DataFrame:
+    """One row per project: scores, finding counts, band, summary and gate;
+    ``nested`` adds the dimension scores as one struct."""
     dims = cfg.enabled_dimensions()
+    inner = ", ".join(f"struct({fields}) AS {d}" for d, fields in _dimension_cells(cfg))
     rows = scores.selectExpr(
         "project_id", "skill_type", "n_files AS files_scanned", "overall", *dims,
-        *[f"{c} + {(extra_counts or {}).get(s, '0')} AS n_{s}" for s, c in severity_counts(cfg).items()])
+        *[f"{c} AS n_{s}" for s, c in severity_counts(cfg).items()],
+        *([f"struct({inner}) AS dimension_scores"] if nested else []))
     return rows.selectExpr(
         "*", f"{score_band('overall')} AS band", f"{gate('overall', cfg.fail_threshold)} AS passed"
     ).selectExpr("*", f"{summary(dims)} AS summary")

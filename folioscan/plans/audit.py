@@ -50,8 +50,8 @@ class Audit:
     def dimension_scores(self) -> DataFrame:
         return sc.dimension_scores(self.score_table, self.config)
 
-    def audits(self) -> DataFrame:
-        return sc.audits(self.score_table, self.config)
+    def audits(self, nested: bool = False) -> DataFrame:
+        return sc.audits(self.score_table, self.config, nested)
 
     def patches(self, level: str = "safe") -> DataFrame:
         return fx.patches(self.files, level, self.config)

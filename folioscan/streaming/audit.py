@@ -48,11 +48,9 @@ def windowed_counts(arrivals: DataFrame, size: str, delay: str = "1 hour", cfg:
     """Findings per rule and tumbling window of arrival time, counted in the
     rows of the files: only counts reach the aggregation."""
     cfg = cfg or AuditConfig()
-    counted = cl.classify(arrivals.selectExpr(
-        "struct(project_id, arrived) AS project_id", "path", "content"))
     sizes = [f"named_struct('rule_id', '{r}', 'n', CAST(array_size(concat({', '.join(fd.file_hits(r))})) AS BIGINT))"
              for r in rules if cfg.runs(r)]
-    per_file = sg.readable(counted).selectExpr("project_id.arrived AS arrived", f"inline(array({', '.join(sizes)}))").filter("n > 0")
+    per_file = sg.readable(cl.classify(arrivals)).selectExpr("arrived", f"inline(array({', '.join(sizes)}))").filter("n > 0")
     return (
         per_file.withWatermark("arrived", delay).groupBy(F.window("arrived", size), "rule_id")
         .agg(F.sum("n").alias("n_findings")).selectExpr("window.start AS window_start", "rule_id", "n_findings"))

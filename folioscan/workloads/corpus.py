@@ -81,3 +81,79 @@ def seeded_from(documents: DataFrame) -> DataFrame:
     view = f"documents_{uuid.uuid4().hex}"
     documents.createOrReplaceTempView(view)
     return documents.sparkSession.sql(SEEDED_FILES_SQL.replace("FROM documents)", f"FROM {view})"))
+
+
+# Conversations as projects of one file per turn; the folder and ending depend
+# on the conversation, so that every skill type occurs.
+CONVERSATION_FILES_SQL = r"""
+SELECT 'conv-' || CAST(conv_id AS STRING) AS project_id,
+       CASE conv_id % 7 WHEN 0 THEN 'retriever/' WHEN 1 THEN 'workflow/' WHEN 2 THEN 'tools/' WHEN 3 THEN 'notes/'
+            WHEN 4 THEN 'mcp_config/' WHEN 5 THEN '' ELSE 'data/' END
+       || 'turn_' || CAST(turn AS STRING)
+       || CASE conv_id % 7 WHEN 2 THEN '.py' WHEN 3 THEN CASE WHEN turn = 0 THEN '.py' ELSE '.md' END
+            WHEN 4 THEN '.yaml' WHEN 5 THEN '.TXT' WHEN 6 THEN '.toml' ELSE '.md' END AS path,
+       CASE WHEN conv_id % 14 = 6 THEN 'You are a helper. These INSTRUCTIONS say: ' ELSE '' END || text AS content
+FROM conversations
+"""
+
+# Some files of the seeded corpus could not be read.
+UNREADABLE_FILES_SQL = r"""
+SELECT project_id, path, CASE WHEN length(content) % 17 = 0 THEN NULL ELSE content END AS content FROM seeded_files
+"""
+
+# The corpus as it was at an earlier audit: main.py has changed since in some projects.
+EARLIER_FILES_SQL = r"""
+SELECT project_id, path,
+       CASE WHEN path = 'main.py' AND length(content) % 3 = 0 THEN content || 'x = 1' ELSE content END AS content
+FROM seeded_files
+"""
+
+# Recorded judge answers: good, partial, wrapped in prose, broken and missing.
+RESPONSES_SQL = r"""
+SELECT project_id, 'P' AS judge,
+  CASE CAST(n % 6 AS INT)
+    WHEN 0 THEN '{"clarity": {"score": ' || CAST(n % 101 AS STRING) || ', "reason": "vague"}, "specificity": {"score": 61.5}, "injection_risk": {"score": 20, "reason": "joined input", "vulnerable_lines": ["a = b + user", "c", "d", "e"]}}'
+    WHEN 1 THEN 'Here it is:' || chr(10) || '{"clarity": {"score": 77, "reason": ""}, "overall_comment": "fine"} Thanks.'
+    WHEN 2 THEN '{"clarity": {"score": "90"}, "specificity": 5}'
+    WHEN 3 THEN 'no json here'
+    WHEN 4 THEN '{"clarity": {"score": 10'
+    ELSE '{}' END AS raw,
+  CASE CAST(n % 6 AS INT) WHEN 3 THEN 'error: timeout' ELSE 'success' END AS status,
+  CAST(n AS INT) AS input_tokens, 50 AS output_tokens, CAST(n * 13 % 997 AS INT) AS latency_ms, CAST(n % 3 AS INT) AS retries
+FROM (SELECT project_id, sum(length(content)) AS n FROM seeded_files GROUP BY project_id) s
+UNION ALL
+SELECT project_id, 'C',
+  CASE CAST(n % 4 AS INT)
+    WHEN 0 THEN '{"hallucination_risk": {"score": ' || CAST(n % 101 AS STRING) || ', "reason": "asks to guess"}, "risk_patterns": ["maybe guess", "make up"], "suggestions": []}'
+    WHEN 1 THEN '{"hallucination_risk": {"score": 88.5, "reason": ""}}'
+    WHEN 2 THEN '}{'
+    ELSE '{"risk_patterns": []}' END,
+  'success', CAST(n AS INT), 40, CAST(n * 7 % 997 AS INT), 0
+FROM (SELECT project_id, sum(length(content)) AS n FROM seeded_files GROUP BY project_id) s
+"""
+
+
+def query(sql: str, **frames: DataFrame) -> DataFrame:
+    """Runs one of the statements above; each table name gets its frame."""
+    for name, frame in frames.items():
+        view = f"{name}_{uuid.uuid4().hex}"
+        frame.createOrReplaceTempView(view)
+        sql = sql.replace(f"FROM {name}", f"FROM {view}")
+        spark = frame.sparkSession
+    return spark.sql(sql)
+
+
+def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(query(CONVERSATION_FILES_SQL, conversations=table(spark, sf_dir, "conversations")))
+
+
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(UNREADABLE_FILES_SQL, seeded_files=seeded_files(spark, sf_dir))
+
+
+def earlier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(EARLIER_FILES_SQL, seeded_files=seeded_files(spark, sf_dir))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(RESPONSES_SQL, seeded_files=seeded_files(spark, sf_dir))
