@@ -12,6 +12,8 @@ on the other side".
 
 from __future__ import annotations
 
+import re
+
 # White space and line boundaries as str.isspace / str.splitlines
 # define them.  The \x{..} escapes are understood by Java and RE2 alike.
 SPACE_CLASS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -24,6 +26,10 @@ SPACE_CHARS = "".join(
     )
 )
 
+# Chinese characters and the circled digit one: what non-ASCII literals consist of.
+HAN_CLASS = r"\x{2460}\x{4e00}-\x{9fff}"
+HAN_RANGE = chr(0x2460) + chr(0x4E00) + "-" + chr(0x9FFF)
+
 # Characters which equal an ASCII letter only when case is ignored and which
 # lower() does not map to it: dotted I, dotless i, long s.
 FOLDING_CHARS = chr(0x130) + chr(0x131) + chr(0x17F)
@@ -60,6 +66,12 @@ def _expand(pattern: str, left: str, right: str) -> str:
 
 def jregex(pattern: str) -> str:
     """The pattern for Spark's (Java's) engine; ``\\n`` is the only line end."""
+    literal = re.match(r"\\b((?:\w|\\\.)+)(?=\\|$)", pattern)
+    if literal:
+        # Literal first, then the look back over it: the engine can skip through
+        # the text to the literal instead of looking back at every character.
+        word = literal.group(1)
+        pattern = f"{word}(?<![{WORD_CLASS}]{word})" + pattern[literal.end():]
     body = _expand(pattern, f"(?<![{WORD_CLASS}])", f"(?![{WORD_CLASS}])")
     return "(?d)" + body.replace("(?i)", "(?iu)")
 
@@ -93,13 +105,26 @@ def unify_newlines(text: str) -> str:
     return f"replace(replace({text}, '\\r\\n', '\\n'), '\\r', '\\n')"
 
 
+def split_lines_loosely(text: str) -> str:
+    """Lines of a text, and an empty one after a final line boundary."""
+    return f"split({text}, {q(f'[{BREAK_CLASS}]')}, -1)"
+
+
 def splitlines(text: str) -> str:
     """Lines of a text; no empty line after a final line boundary."""
-    parts = f"split({text}, {q(f'[{BREAK_CLASS}]')}, -1)"
+    parts = split_lines_loosely(text)
     ends = f"({text} = '' OR substring({text}, -1, 1) RLIKE {q(f'[{BREAK_CLASS}]')})"
     return f"slice({parts}, 1, size({parts}) - CASE WHEN {ends} THEN 1 ELSE 0 END)"
 
 
+def count_lines(text: str) -> str:
+    """size(splitlines(text)); only texts with rare line boundaries are split."""
+    rare = BREAK_CLASS.replace("\\n", "")
+    newlines = f"length({text}) - length(replace({text}, '\\n', ''))"
+    return (f"CASE WHEN {text} RLIKE {q(f'[{rare}]')} THEN size({splitlines(text)}) "
+            f"ELSE {newlines} + CASE WHEN {text} = '' OR endswith({text}, '\\n') THEN 0 ELSE 1 END END")
+
+
 def strip(text: str) -> str:
     return f"btrim({text}, {q(SPACE_CHARS)})"
 
@@ -137,14 +162,29 @@ def contains_all(text: str, literals) -> str:
     return all_of(*[contains(text, w) for w in literals])
 
 
-def contains_any_ci(text: str, lowered: str, folding: str, literals) -> str:
+def has_han(text: str) -> str:
+    return f"(octet_length({text}) > length({text}) AND {text} RLIKE {q(f'[{HAN_CLASS}]')})"
+
+
+def contains_any_by_script(text: str, han: str, literals) -> str:
+    """contains_any that looks for Chinese literals in Chinese texts only."""
+    chinese = [w for w in literals if re.search(f"[{HAN_RANGE}]", w)]
+    other = [w for w in literals if w not in chinese]
+    parts = [contains_any(text, other)] if other else []
+    if chinese:
+        parts.append(f"({han} AND {contains_any(text, chinese)})")
+    return any_of(*parts)
+
+
+def contains_any_ci(text: str, lowered: str, folding: str, literals, han: str = "true") -> str:
     """Case-insensitive search for literals.
 
     Plain substring search in the lower-cased text; only texts holding one of
     FOLDING_CHARS need the (slower) pattern as well.
     """
     pattern = "(?iu)" + "|".join("\\Q" + w + "\\E" for w in literals)
-    return any_of(contains_any(lowered, [w.lower() for w in literals]), f"({folding} AND {text} RLIKE {q(pattern)})")
+    lower = [w.lower() for w in literals]
+    return any_of(contains_any_by_script(lowered, han, lower), f"({folding} AND {text} RLIKE {q(pattern)})")
 
 
 def rlike(text: str, pattern: str) -> str:
@@ -166,14 +206,14 @@ def matches(text: str, pattern: str) -> str:
     in front of each match; the number of markers on each line then gives the
     line numbers of all matches in one linear pass, however many there are.
     """
-    mark, wrapped = q(_MARK), q(f"({jregex(pattern)})")
-    marked = f"regexp_replace(translate({text}, {mark}, {q(_MARK_STANDIN)}), {wrapped}, {q(_MARK + '$1')})"
+    mark, found = q(_MARK), q(jregex(pattern))
+    marked = f"regexp_replace(translate({text}, {mark}, {q(_MARK_STANDIN)}), {found}, {q(_MARK + '$0')})"
     lines = (
         f"flatten(transform(split({marked}, '\\n', -1), "
         f"(l, i) -> array_repeat(i + 1, length(l) - length(replace(l, {mark}, '')))))"
     )
     return (
-        f"transform(zip_with({lines}, regexp_extract_all({text}, {wrapped}, 1), "
+        f"transform(zip_with({lines}, regexp_extract_all({text}, {found}, 0), "
         "(l, m) -> struct(l AS line, m AS match)), (x, i) -> struct(i AS pos, x.line AS line, x.match AS match))"
     )
 

@@ -133,9 +133,9 @@ def project_files(files: DataFrame) -> DataFrame:
 
 def numbered_lines(files: DataFrame) -> DataFrame:
     """(line_no, line) of every Python and prompt file."""
+    lines = f"CASE WHEN is_py OR is_prompt THEN {tx.splitlines('text')} END"
     return (
-        classify(files).filter("is_py OR is_prompt")
-        .selectExpr("project_id", "path", "kind", f"posexplode({tx.splitlines('text')}) AS (i, line)")
+        classify(files).selectExpr("project_id", "path", "kind", f"posexplode({lines}) AS (i, line)")
         .selectExpr("project_id", "path", "kind", "i + 1 AS line_no", "line"))
 
 
@@ -154,9 +154,10 @@ def duplicate_lines(classified: DataFrame) -> DataFrame:
     Lines travel as 128-bit digests, already counted within each map task, so a
     line that makes up a third of the corpus is one row per task.
     """
+    # Not a filter on the files: Spark would repeat the classification for it.
+    lines = f"CASE WHEN is_py OR is_prompt THEN {tx.split_lines_loosely('text')} END"
     return (
-        classified.filter("is_py OR is_prompt")
-        .selectExpr("project_id", f"explode({tx.splitlines('text')}) AS line")
+        classified.selectExpr("project_id", f"explode({lines}) AS line")
         .selectExpr("project_id", f"{tx.strip('line')} AS line").filter("line <> ''")
         .selectExpr("project_id", "unhex(substring(sha2(line, 256), 1, 32)) AS digest")
         .groupBy("project_id", "digest").agg(F.expr("count(1) AS n"))

@@ -39,7 +39,7 @@ def _remarks() -> list[tuple[str, str, str, str]]:
         ("perf_token_cost", "no_tokens", "estimated_total_tokens = 0", "NULL"),
         ("perf_token_cost", "total_tokens", "estimated_total_tokens > 0", "CAST(estimated_total_tokens AS STRING)"),
         ("perf_token_cost", "cost_usd", "estimated_total_tokens > 0",
-         "format_string('%.4f', CAST(estimated_total_tokens AS DOUBLE) / 1000D * 0.03D)"),
+         "format_number(CAST(estimated_total_tokens AS DOUBLE) / 1000D * 0.03D, '0.0000')"),
         ("perf_token_cost", "token_band", "estimated_total_tokens > 0",
          f"CAST({sc._bands('estimated_total_tokens', cat.PROJECT_TOKEN_BANDS)} AS STRING)"),
         ("prompt_missing", "no_prompt", fd.PROMPT_MISSING, "NULL"),

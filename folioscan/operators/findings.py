@@ -97,48 +97,61 @@ def _wanted(cfg: AuditConfig, rules) -> set[str]:
     return {r.rule_id for r in cat.RULES if cfg.runs(r.rule_id) and (rules is None or r.rule_id in rules)}
 
 
+def hits_column(cfg: AuditConfig, rules=None) -> str:
+    """Everything the enabled rules find in one file, as one array."""
+    wanted = _wanted(cfg, rules)
+    hits = [h for r in cat.RULES if r.rule_id in wanted for h in file_hits(r.rule_id)]
+    return f"concat({', '.join(hits)})" if hits else ""
+
+
 def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, classified: DataFrame | None = None,
-             project_signals: DataFrame | None = None) -> DataFrame:
-    """All findings of the given rules (default: all enabled ones)."""
+             project_signals: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """All findings of the given rules (default: all enabled ones).
+
+    ``hits`` may be a stored table of (project_id, path, hits), see
+    :func:`hits_column`; the text is then not matched again.
+    """
     cfg = cfg or AuditConfig()
     spark = files.sparkSession
     wanted = _wanted(cfg, rules)
     classified = cl.classify(files) if classified is None else classified
+    nowhere = "CAST(NULL AS STRING) AS place"
     parts = []
 
-    hits = [h for r in cat.RULES if r.rule_id in wanted for h in file_hits(r.rule_id)]
-    if hits:
+    in_file = hits_column(cfg, wanted)
+    if in_file:
         # explode_outer: a plain explode would make Spark test the array size
         # below this projection and so evaluate every rule twice.
-        per_file = sg.readable(classified).selectExpr(
-            "project_id", "path", f"concat({', '.join(hits)}) AS hits")
-        parts.append(per_file.selectExpr(
-            "project_id", "path", "CAST(NULL AS STRING) AS place", "explode_outer(hits) AS hit"))
-
-    if "sec_dependencies" in wanted:
-        packages = ", ".join(f"CASE WHEN dep_{p} THEN {_hit(f'sec_dependencies/{p}')} END" for p in cl.PACKAGES)
-        parts.append(
-            cl.first_special_files(classified).filter("dependency_readable")
-            .selectExpr("project_id", "dependency_file AS path", "CAST(NULL AS STRING) AS place",
-                        f"explode_outer(array_compact(array({packages}))) AS hit"))
-
-    about_project = wanted & {*cat.PROJECT_RULES, "sec_mcp_permissions"}
+        if hits is None:
+            hits = sg.readable(classified).selectExpr("project_id", "path", f"{in_file} AS hits")
+        found = hits.selectExpr("project_id", "path", nowhere, "explode_outer(hits) AS hit")
+        if rules is not None:
+            found = found.filter(tx.is_in("substring_index(hit.key, '/', 1)", sorted(wanted)))
+        parts.append(found)
+
+    about_project = [r for r in cat.PROJECT_RULES if r in wanted]
+    if about_project or "sec_mcp_permissions" in wanted:
+        ps = project_signals
+        if ps is None:
+            ps = sg.project_signals(files, cfg, classified=classified, repeated_lines=False)
+    if "sec_mcp_permissions" in wanted:
+        mcp = ps.filter("skill_type = 'mcp'").select("project_id")
+        wide = sg.readable(classified).filter(sg.broad_mcp_permission()).select("project_id", "path")
+        parts.append(wide.join(mcp, "project_id", "left_semi").selectExpr(
+            "project_id", "path", nowhere, f"{_hit('sec_mcp_permissions/')} AS hit"))
     if about_project:
-        ps = sg.project_signals(files, cfg, classified=classified) if project_signals is None else project_signals
-        if "sec_mcp_permissions" in wanted:
-            mcp = ps.filter("skill_type = 'mcp'").select("project_id")
-            wide = sg.readable(classified).filter(sg.broad_mcp_permission()).select("project_id", "path")
-            parts.append(wide.join(mcp, "project_id", "left_semi").selectExpr(
-                "project_id", "path", "CAST(NULL AS STRING) AS place", f"{_hit('sec_mcp_permissions/')} AS hit"))
         conditions = project_conditions(cfg)
-        arrays = [
+        arrays = ", ".join(
             _if(conditions[r], f"array({_hit(f'{r}/', detail=FUZZY_WORDS if r == 'prompt_clarity' else 'NULL')})")
-            for r in cat.PROJECT_RULES if r in wanted]
-        if arrays:
-            found = ps.selectExpr("project_id", f"explode_outer(concat({', '.join(arrays)})) AS hit")
-            parts.append(found.selectExpr(
-                "project_id", "CAST(NULL AS STRING) AS path",
-                "CASE WHEN hit.key = 'prompt_clarity/' THEN 'prompt' ELSE '.' END AS place", "hit"))
+            for r in about_project)
+        parts.append(ps.selectExpr("project_id", f"explode_outer(concat({arrays})) AS hit").selectExpr(
+            "project_id", "CAST(NULL AS STRING) AS path",
+            "CASE WHEN hit.key = 'prompt_clarity/' THEN 'prompt' ELSE '.' END AS place", "hit"))
+    if "sec_dependencies" in wanted:
+        special = ps if about_project else cl.first_special_files(classified)
+        packages = ", ".join(f"CASE WHEN dep_{p} THEN {_hit(f'sec_dependencies/{p}')} END" for p in cl.PACKAGES)
+        parts.append(special.filter("dependency_readable").selectExpr(
+            "project_id", "dependency_file AS path", nowhere, f"explode_outer(array_compact(array({packages}))) AS hit"))
 
     rows = parts[0]
     for part in parts[1:]:
@@ -152,7 +165,7 @@ def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, class
 def failed_dimensions(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
     """(project_id, dimension) pairs that fail because a file cannot be read."""
     readme = "path = 'README.md'" if cfg.runs("maint_documentation") else "false"
-    return classified.filter("text IS NULL").selectExpr(
+    return classified.filter("content IS NULL").selectExpr(
         "project_id",
         f"explode(array_compact(array(CASE WHEN {sg.IN_PROMPT} THEN 'P' END, CASE WHEN {readme} THEN 'X' END))) AS dimension")
 

@@ -20,16 +20,24 @@ IN_PROMPT = "(is_py OR is_prompt)"
 
 
 def readable(classified: DataFrame) -> DataFrame:
-    """Adds the helper columns the rule expressions share."""
-    return classified.selectExpr("*", "lower(text) AS ltext", f"{tx.contains_any('text', tx.FOLDING_CHARS)} AS folding")
+    """Adds the helper columns the rule expressions share: the lower-cased text,
+    whether it holds characters of special case or of Chinese, and whether code
+    names a model API."""
+    return classified.selectExpr(
+        "*", "lower(text) AS ltext", f"octet_length(text) > length(text) AND {tx.contains_any('text', tx.FOLDING_CHARS)} AS folding",
+        f"{tx.has_han('text')} AS han", f"is_py AND {tx.contains_any('text', _ANY_API)} AS calls_api")
+
+
+# At least one is in every text that one of the API word lists hits.
+_ANY_API = ("openai", "anthropic", "completions", "requests.post", "messages.create", ".invoke(")
 
 
 def _has(*words: str) -> str:
-    return tx.contains_any("text", words)
+    return tx.contains_any_by_script("text", "han", words)
 
 
 def _has_ci(words) -> str:
-    return tx.contains_any_ci("text", "ltext", "folding", words)
+    return tx.contains_any_ci("text", "ltext", "folding", words, "han")
 
 
 def _json_config() -> str:
@@ -51,9 +59,15 @@ def match_scope(rule_id: str) -> str:
     return "kind IN ('code', 'config')" if rule_id == "sec_secrets" else "is_py"
 
 
-def count_matches(rule_id: str, pattern: cat.Pattern) -> str:
-    hit = tx.all_of(match_scope(rule_id), guard(pattern))
-    return f"CASE WHEN {hit} THEN {tx.count_matches('text', pattern.regex)} ELSE 0 END"
+def count_matches(rule_id: str, severity: str) -> str:
+    """Matches of a rule's patterns of one severity; patterns with the same
+    guard share its search."""
+    groups: dict[str, list[str]] = {}
+    for p in cat.RULE[rule_id].patterns:
+        if p.severity == severity:
+            groups.setdefault(guard(p), []).append(tx.count_matches("text", p.regex))
+    counts = [f"CASE WHEN {g} THEN {' + '.join(c)} ELSE 0 END" for g, c in groups.items()]
+    return f"CASE WHEN {match_scope(rule_id)} THEN {_sum(counts)} ELSE 0 END"
 
 
 def injection_lines(pattern: cat.Pattern) -> str:
@@ -90,7 +104,7 @@ def calls_api_in_loop() -> str:
         f"WHEN s.indent >= 0 AND l.indent <= s.indent THEN {state.format('-1', 'false')} "
         f"ELSE {state.format('s.indent', 's.indent >= 0 AND l.api')} END"
     )
-    possible = tx.all_of("is_py", _has(*cat.LOOP_API_WORDS), _has("for", "while"))
+    possible = tx.all_of("calls_api", _has(*cat.LOOP_API_WORDS), _has("for", "while"))
     walk = f"aggregate({lines}, {state.format('-1', 'false')}, (s, l) -> {step})"
     return f"CASE WHEN {possible} THEN {walk}.found ELSE false END"
 
@@ -116,18 +130,18 @@ def file_conditions() -> dict[str, str]:
         "compat_encoding": f"is_py AND {_has('.read()')} AND NOT {_has('encoding=')}",
         "corr_error_handling": f"is_py AND {_has('except')} AND {tx.rlike('text', cat.BARE_EXCEPT_REGEX)}",
         "corr_type_safety": few_types(),
-        "corr_validation": f"is_py AND {_has('openai')} AND NOT {_has(*cat.VALIDATION_WORDS)}",
+        "corr_validation": f"calls_api AND {_has('openai')} AND NOT {_has(*cat.VALIDATION_WORDS)}",
         "corr_resource_cleanup": f"is_py AND {_has('open')} AND NOT {_has('with ')} AND {tx.rlike('text', cat.OPEN_REGEX)}",
         "corr_input_sanitization": f"is_py AND {_has(*cat.USER_INPUT_WORDS)} AND NOT {_has(*cat.SANITIZER_WORDS)}",
         "maint_complexity": f"{branch_count()} > {cat.MAX_BRANCHES}",
         "perf_api_efficiency": calls_api_in_loop(),
-        "perf_latency": f"is_py AND {_has(*cat.BLOCKING_API_WORDS)} AND NOT {_has(*cat.ASYNC_WORDS)}",
-        "perf_streaming": f"is_py AND {_has(*cat.STREAM_API_WORDS)} AND NOT {tx.rlike('text', cat.STREAM_ON_REGEX)}",
+        "perf_latency": f"calls_api AND {_has(*cat.BLOCKING_API_WORDS)} AND NOT {_has(*cat.ASYNC_WORDS)}",
+        "perf_streaming": f"calls_api AND {_has(*cat.STREAM_API_WORDS)} AND NOT {tx.rlike('text', cat.STREAM_ON_REGEX)}",
     }
 
 
 def lacks_cache() -> str:
-    return f"is_py AND {_has(*cat.API_WORDS)} AND NOT contains(ltext, 'cache')"
+    return f"calls_api AND {_has(*cat.API_WORDS)} AND NOT contains(ltext, 'cache')"
 
 
 def invites_hallucination() -> str:
@@ -161,11 +175,11 @@ def file_flags(cfg: AuditConfig) -> dict[str, tuple[str, str]]:
     for rule_id in (*cat.MATCH_RULES, "prompt_injection"):
         if cfg.runs(rule_id):
             for severity in cat.SEVERITIES:
-                counts = [
-                    count_injections(p) if rule_id == "prompt_injection" else count_matches(rule_id, p)
-                    for p in cat.RULE[rule_id].patterns if p.severity == severity]
-                if counts:
-                    put(f"n_{rule_id}_{severity}", _sum(counts))
+                patterns = [p for p in cat.RULE[rule_id].patterns if p.severity == severity]
+                if patterns and rule_id == "prompt_injection":
+                    put(f"n_{rule_id}_{severity}", _sum(count_injections(p) for p in patterns))
+                elif patterns:
+                    put(f"n_{rule_id}_{severity}", count_matches(rule_id, severity))
     if cfg.runs("sec_mcp_permissions"):
         put("n_sec_mcp_permissions", broad_mcp_permission())
 
@@ -189,7 +203,7 @@ def file_flags(cfg: AuditConfig) -> dict[str, tuple[str, str]]:
             put(f"readme_{code}", f"{root} AND NOT ({tx.contains('ltext', word)} OR {_has(other)})", "any")
     if cfg.runs("maint_tests"):
         is_test = "contains(lower(path), 'test')"
-        n_lines = f"size({tx.splitlines('text')})"
+        n_lines = tx.count_lines("text")
         put("has_tests", is_test, "any")
         put("test_lines", f"CASE WHEN endswith(path, '.py') AND {is_test} THEN {n_lines} END")
         put("code_lines", f"CASE WHEN endswith(path, '.py') AND NOT {is_test} THEN {n_lines} END")
@@ -223,13 +237,13 @@ def file_signals(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
 
 
 def project_signals(files: DataFrame, cfg: AuditConfig, signals: DataFrame | None = None,
-                    classified: DataFrame | None = None) -> DataFrame:
+                    classified: DataFrame | None = None, repeated_lines: bool = True) -> DataFrame:
     """Sums of the file signals per project, with skill type, dependency file
     and repeated lines.  Pass ``signals`` to start from a stored signal table."""
     classified = cl.classify(files) if classified is None else classified
     signals = file_signals(classified, cfg) if signals is None else signals
     sums = signals.groupBy("project_id").agg(*cl.combine(file_flags(cfg)))
     out = sums.join(cl.first_special_files(classified), "project_id", "left")
-    if cfg.runs("prompt_token_efficiency"):
+    if repeated_lines and cfg.runs("prompt_token_efficiency"):
         out = out.join(cl.duplicate_lines(classified), "project_id", "left")
     return out.selectExpr("*", f"{cl.SKILL_TYPE} AS skill_type")

@@ -15,8 +15,8 @@ from folioscan.plans.config import AuditConfig
 class Audit:
     """The tables of an audit over files(project_id, path, content), all lazy.
 
-    ``signals`` may name a stored per-file signal table (:meth:`store_signals`);
-    scores then read that small table instead of matching the text again.
+    ``signals`` may be a stored per-file table (:meth:`store_signals`); scores and
+    findings then read that small table instead of matching the text again.
     """
 
     files: DataFrame
@@ -42,7 +42,10 @@ class Audit:
         return cl.manifests(self.files, self.classified)
 
     def findings(self, rules=None) -> DataFrame:
-        return fd.findings(self.files, self.config, rules, self.classified, self.project_signals)
+        # Findings need no repeated lines; the scores' signals have them.
+        project = sg.project_signals(self.files, self.config, self.signals, self.classified, repeated_lines=False)
+        hits = self.signals.select("project_id", "path", "hits") if self.signals and "hits" in self.signals.columns else None
+        return fd.findings(self.files, self.config, rules, self.classified, project, hits)
 
     def sub_scores(self) -> DataFrame:
         return sc.sub_scores(self.score_table, self.config)
@@ -60,8 +63,12 @@ class Audit:
         return fx.patched_files(self.files, level, self.config)
 
     def store_signals(self, path: str) -> Audit:
-        """Writes the per-file signals once; the returned audit reads them."""
-        sg.file_signals(self.classified, self.config).write.mode("overwrite").parquet(path)
+        """Matches the text once and writes counts, flags and hits of each file;
+        the returned audit reads them."""
+        flags = sg.file_flags(self.config)
+        sg.readable(self.classified).selectExpr(
+            "project_id", "path", *[f"{c} AS {n}" for n, (c, _) in flags.items()], f"{fd.hits_column(self.config)} AS hits"
+        ).write.mode("overwrite").parquet(path)
         return Audit(self.files, self.config, self.files.sparkSession.read.parquet(path))
 
 

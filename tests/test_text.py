@@ -38,13 +38,16 @@ def frame(spark, texts):
 def test_line_and_space_helpers(spark):
     rows = frame(spark, TEXTS).select(
         "text", *[F.expr(e("text")).alias(n) for n, e in dict(
-            lines=tx.splitlines, s=tx.strip, l=tx.lstrip, nb=tx.not_blank, tok=tx.token_estimate, nl=tx.unify_newlines
+            lines=tx.splitlines, s=tx.strip, l=tx.lstrip, nb=tx.not_blank, tok=tx.token_estimate, nl=tx.unify_newlines,
+            n=tx.count_lines, han=tx.has_han
         ).items()]).collect()
     for r in rows:
         body = r.text.replace("\r\n", "\n").replace("\r", "\n")
         assert r.nl == body
         if "\r" not in r.text:
             assert r.lines == r.text.splitlines()
+            assert r.n == len(r.lines)
+        assert r.han == bool(re.search(f"[{tx.HAN_RANGE}]", r.text))
         assert r.s == r.text.strip()
         assert r.l == r.text.lstrip()
         assert r.nb == bool(r.text.strip())
