@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscan.functions import text as tx
 from folioscan.operators import classify as cl
+from folioscan.rules import catalog as cat
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -26,21 +31,83 @@ def files_from_table(df: DataFrame, project: str, path: str, text: str) -> DataF
     return spread(df.selectExpr(f"{project} AS project_id", f"{path} AS path", f"CAST({text} AS STRING) AS content"))
 
 
-def read_project_tree(spark: SparkSession, root: str) -> DataFrame:
+def read_project_tree(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """Every file below ``root``; the first folder is the project.
 
-    Bytecode caches and version-control folders are left out; content keeps its
-    bytes as far as they are valid UTF-8.
+    Spark's own readers leave out names that begin with ``.`` or ``_``, and with
+    them ``.gitignore`` and ``__init__.py``; so tasks list the folders through
+    pyarrow's file systems (local, HDFS, object stores).  The driver lists the
+    projects only, one task round their entries, the next round all below those;
+    reading is spread by path over ``partitions`` tasks.  Bytecode caches and
+    version-control folders are left out.  A file that cannot be read has a NULL
+    content.  Store the result as a table before auditing it.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    # Spark's paths carry a scheme; what follows the root folder is relative.
-    relative = f"substring_index(path, {tx.q(base + '/')}, -1)"
-    named = raw.selectExpr(f"{relative} AS rel", f"{tx.decode_utf8('content')} AS content")
-    return named.selectExpr(
-        "substring_index(rel, '/', 1) AS project_id", "substring(rel, instr(rel, '/') + 1) AS path", "content"
-    ).filter("path <> project_id").filter(f"NOT {cl.skipped_path('path')}")
+    n = partitions or 8 * spark.sparkContext.defaultParallelism
+    fs, top = _file_system(root)
+    projects = [i.base_name for i in fs.get_file_info(_entries(top)) if not i.is_file and i.base_name not in cat.SKIPPED_DIRS]
+    listing = "project_id string, path string, is_dir boolean"
+
+    def enter(batches):
+        fs, top = _file_system(root)
+        for batch in batches:
+            for project in batch["project_id"]:
+                yield from _batches([(project, *row) for row in _list(fs, f"{top}/{project}", "")], listing)
+
+    def descend(batches):
+        fs, top = _file_system(root)
+        for batch in batches:
+            for project, path, is_dir in batch.itertuples(index=False):
+                yield from _batches(((project, *row) for row in _walk(fs, f"{top}/{project}", path, is_dir)), listing)
+
+    def read(batches):
+        fs, top = _file_system(root)
+        for batch in batches:
+            for project, path in zip(batch["project_id"], batch["path"]):
+                try:
+                    with fs.open_input_stream(f"{top}/{project}/{path}") as stream:
+                        data = stream.read()
+                except OSError:
+                    data = None
+                yield pd.DataFrame({"project_id": [project], "path": [path], "content": [data]})
+
+    found = spark.createDataFrame([(p,) for p in projects], "project_id string").repartition(n, "project_id").mapInPandas(enter, listing)
+    files = found.repartition(n, "project_id", "path").mapInPandas(descend, listing)
+    raw = files.repartition(n, "project_id", "path").mapInPandas(read, "project_id string, path string, content binary")
+    return raw.selectExpr("project_id", "path", f"{tx.decode_utf8('content')} AS content")
+
+
+def _file_system(root: str):
+    fs, path = pa_fs.FileSystem.from_uri(root)
+    return fs, path.rstrip("/")
+
+
+def _entries(folder: str):
+    return pa_fs.FileSelector(folder, recursive=False)
+
+
+def _list(fs, project_folder: str, path: str):
+    """(path, is_dir) of the entries of one folder of a project."""
+    for info in fs.get_file_info(_entries(f"{project_folder}/{path}".rstrip("/"))):
+        if info.is_file or info.base_name not in cat.SKIPPED_DIRS:
+            yield f"{path}/{info.base_name}".lstrip("/"), not info.is_file
+
+
+def _walk(fs, project_folder: str, path: str, is_dir: bool):
+    """(path, False) of every file at or below a path."""
+    pending = [(path, is_dir)]
+    while pending:
+        path, is_dir = pending.pop()
+        if is_dir:
+            pending.extend(_list(fs, project_folder, path))
+        else:
+            yield path, False
+
+
+def _batches(rows, ddl: str, size: int = 10_000):
+    names = [field.split()[0] for field in ddl.split(", ")]
+    rows = iter(rows)
+    while chunk := list(islice(rows, size)):
+        yield pd.DataFrame(chunk, columns=names)
 
 
 def read_single_file(spark: SparkSession, path: str) -> DataFrame:

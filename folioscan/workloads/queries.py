@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -202,18 +201,19 @@ def _judge_usage(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(jd.judge_usage(corpus.responses(spark, sf)))
 
 
-def _stub_client():
-    """Stands in for a model: the answer depends on the request alone."""
-    def ask(system: str, user: str, timeout: int):
-        score = int(hashlib.sha256(user.encode()).hexdigest()[:4], 16) % 101
-        key = "clarity" if "clarity" in system else "hallucination_risk"
-        return f'{{"{key}": {{"score": {score}, "reason": "stub"}}}}', len(user), 10
-    return ask
+def _call_judge(spark: SparkSession, sf: str) -> DataFrame:
+    def connect():
+        """Stands in for a model: the answer depends on the request alone."""
+        import hashlib
 
+        def ask(system: str, user: str, timeout: int):
+            score = int(hashlib.sha256(user.encode()).hexdigest()[:4], 16) % 101
+            key = "clarity" if "clarity" in system else "hallucination_risk"
+            return f'{{"{key}": {{"score": {score}, "reason": "stub"}}}}', len(user), 10
+        return ask
 
-def _call_judge(spark: SparkSession, sf: str) -> DataFrame:
     requests = jd.judge_requests(corpus.seeded_files(spark, sf))
-    answers = jd.call_judge(requests, _stub_client, retry_delay=0.0)
+    answers = jd.call_judge(requests, connect, retry_delay=0.0)
     return _wide(answers.select("project_id", "judge", "raw", "status", "input_tokens", "output_tokens", "retries"))
 
 
