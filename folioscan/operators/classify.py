@@ -162,3 +162,19 @@ def duplicate_lines(classified: DataFrame) -> DataFrame:
         .selectExpr("project_id", "unhex(substring(sha2(line, 256), 1, 32)) AS digest")
         .groupBy("project_id", "digest").agg(F.expr("count(1) AS n"))
         .groupBy("project_id").agg(F.expr("sum(n) AS n_lines"), F.expr("sum(n) - count(1) AS n_duplicates")))
+
+
+def exact_token_counts(files: DataFrame, make_encoder) -> DataFrame:
+    """Tokens of each file by a real tokenizer instead of the estimate.
+
+    ``make_encoder()`` runs once per task and returns ``encode(text) -> tokens``.
+    """
+
+    def count(batches):
+        encode = make_encoder()
+        for batch in batches:
+            tokens = [len(encode(t)) if t else 0 for t in batch["text"]]
+            yield batch[["project_id", "path"]].assign(tokens=tokens)
+
+    texts = classify(files).filter("kind <> 'other'").selectExpr("CAST(project_id AS STRING) AS project_id", "path", "text")
+    return texts.mapInPandas(count, "project_id string, path string, tokens bigint")

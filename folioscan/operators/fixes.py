@@ -42,7 +42,8 @@ def fix_dangerous(line: str) -> str:
     )
 
 
-# rule, fixer of a line, description, safety; in the order findings arise
+# rule, fixer of a line, description, safety; in the order findings arise.
+# A fixer takes and returns the SQL of a line; own ones can be passed along.
 LINE_FIXERS = (
     ("sec_secrets", fix_secret, "read the secret from the environment", "safe"),
     ("sec_dangerous_functions", fix_dangerous, "replace the dangerous call", "suggested"),
@@ -55,9 +56,9 @@ def allowed(level: str) -> tuple[str, ...]:
     return cat.SAFETIES[:LEVELS.index(level)]
 
 
-def with_patches(classified: DataFrame, level: str, cfg: AuditConfig) -> DataFrame:
+def with_patches(classified: DataFrame, level: str, cfg: AuditConfig, line_fixers=LINE_FIXERS) -> DataFrame:
     """Adds ``patches``, an array in finding order, one patch per original line."""
-    fixers = [f for f in LINE_FIXERS if f[3] in allowed(level) and cfg.runs(f[0])]
+    fixers = [f for f in line_fixers if f[3] in allowed(level) and cfg.runs(f[0])]
     df = sg.readable(classified)
     hits = {rule: f"transform(concat({', '.join(fd.file_hits(rule))}), h -> h.line)" for rule, *_ in fixers}
     df = df.selectExpr("*", *[f"{e} AS at_{rule}" for rule, e in hits.items()])
@@ -92,10 +93,10 @@ def _adds_gitignore(level: str, cfg: AuditConfig) -> bool:
     return "safe" in allowed(level) and cfg.runs("maint_versioning")
 
 
-def patches(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = None) -> DataFrame:
+def patches(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = None, line_fixers=LINE_FIXERS) -> DataFrame:
     cfg = cfg or AuditConfig()
     classified = cl.classify(files)
-    rows = with_patches(classified, level, cfg).selectExpr("project_id", "path AS file_path", "posexplode_outer(patches) AS (seq, p)")
+    rows = with_patches(classified, level, cfg, line_fixers).selectExpr("project_id", "path AS file_path", "posexplode_outer(patches) AS (seq, p)")
     rows = rows.filter("p IS NOT NULL").selectExpr(
         "project_id", "file_path", "p.original", "p.replacement", "p.description", "p.safety", "p.issue_rule_id", "seq")
     if _adds_gitignore(level, cfg):
@@ -110,12 +111,12 @@ def apply_patches(patches_expr: str, text: str) -> str:
     return f"aggregate({patches_expr}, {text}, (t, p) -> CASE WHEN {at} > 0 THEN {swap} ELSE t END)"
 
 
-def patched_files(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = None) -> DataFrame:
+def patched_files(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = None, line_fixers=LINE_FIXERS) -> DataFrame:
     """The files with their patches applied, and the new files; files without a
     patch keep their content as it is."""
     cfg = cfg or AuditConfig()
     classified = cl.classify(files)
-    rows = with_patches(classified, level, cfg).selectExpr(
+    rows = with_patches(classified, level, cfg, line_fixers).selectExpr(
         "project_id", "path",
         f"CASE WHEN size(patches) > 0 THEN {apply_patches('patches', 'text')} ELSE content END AS content",
         "size(patches) AS n_patches")

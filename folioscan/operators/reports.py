@@ -72,7 +72,8 @@ def _chunks(rows: DataFrame, size: int) -> DataFrame:
 
 def sarif_documents(found: DataFrame, tool: str = "folioscan", size: int = RESULTS_PER_RUN) -> DataFrame:
     """SARIF 2.1.0 documents as JSON text: one per project, or several for a
-    project with more than ``size`` results."""
+    project with more than ``size`` results.  The findings are read three times,
+    so pass a stored table of them."""
     key = ", ".join(fd.ORDER)
     entry = (
         "named_struct('ruleId', rule_id, 'level', level, 'message', named_struct('text', message), 'locations', "
@@ -94,9 +95,15 @@ def sarif_documents(found: DataFrame, tool: str = "folioscan", size: int = RESUL
         f"to_json(named_struct('$schema', '{SARIF_SCHEMA}', 'version', '2.1.0', 'runs', array({run}))) AS sarif")
 
 
-def json_reports(audits: DataFrame) -> DataFrame:
-    """The audit of each project as JSON; its findings are a table of their own."""
-    return audits.selectExpr("project_id", f"to_json(struct({', '.join(audits.columns)})) AS report")
+def json_reports(audits: DataFrame, cfg: AuditConfig | None = None, audited_at: str | None = None) -> DataFrame:
+    """The audit of each project as JSON, with the configuration and the time of
+    the audit if given; its findings are a table of their own."""
+    extra = []
+    if cfg is not None:
+        extra.append(f"{tx.q(cfg.to_json())} AS config_snapshot")
+    if audited_at is not None:
+        extra.append(f"TIMESTAMP {tx.q(audited_at)} AS audit_timestamp")
+    return audits.selectExpr("project_id", f"to_json(struct({', '.join([*audits.columns, *extra])})) AS report")
 
 
 def finding_lines(found: DataFrame) -> DataFrame:

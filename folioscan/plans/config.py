@@ -60,9 +60,12 @@ class AuditConfig:
     def severity(self, rule_id: str, own: str) -> str:
         return (self.rule(rule_id).severity or own) if self.override_severity else own
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
     def digest(self) -> str:
         """Identifies the configuration in stored results."""
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
+        return hashlib.sha256(self.to_json().encode()).hexdigest()[:16]
 
 
 def merge_layers(*layers: dict) -> dict:

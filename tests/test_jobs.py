@@ -4,8 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import findings as fd, judges as jd, reports as rp
+from folioscan.operators import classify as cl, findings as fd, fixes as fx, judges as jd, reports as rp
+from folioscan.operators.custom import CustomDimension, CustomRule, custom_findings, with_custom_dimensions
 from folioscan.plans.audit import Audit
+from folioscan.rules import catalog as cat
 from folioscan.sources import files as src, sinks
 from folioscan.streaming import audit as st
 
@@ -110,3 +112,57 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select(*fd.COLUMNS).collect()
     want = fd.findings(rows, rules=st.FILE_LEVEL_RULES).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_custom_dimension(spark):
+    rows = frame(spark, FILES)
+    dims = (CustomDimension("Z", "style", (
+        CustomRule("z_exec", "exec is used", pattern=r"\bexec\s*\(", penalty=30),
+        CustomRule("z_name", "file is called z", "info", condition="startswith(path, 'z')", penalty=5)), weight=0.5),)
+    found = {(r.rule_id, r.location, r.severity) for r in custom_findings(rows, dims).collect()}
+    assert found == {("z_exec", "main.py:2", "warning"), ("z_name", "z.py", "info")}
+    audit = Audit(rows)
+    table = {r.project_id: r for r in with_custom_dimensions(rows, audit.score_table, dims, audit.config).collect()}
+    assert (table["p"].Z, table["q"].Z) == (65, 100)
+    plain = {r.project_id: r for r in audit.score_table.collect()}
+    p = plain["p"]
+    weights = cat.DIMENSION_WEIGHTS
+    assert table["p"].overall == int((sum(p[d] * weights[d] for d in cat.DIMENSIONS) + 65 * 0.5) / (sum(weights.values()) + 0.5))
+
+
+def test_own_line_fixer(spark):
+    own = (("sec_dangerous_functions", lambda line: f"concat('# ', {line})", "comment it out", "suggested"),)
+    got = {r.file_path: r.replacement for r in fx.patches(frame(spark, FILES), "suggested", line_fixers=own).filter("file_path = 'z.py'").collect()}
+    assert got == {"z.py": "# x = eval(c)"}
+
+
+def test_exact_tokens(spark):
+    rows = cl.exact_token_counts(frame(spark, FILES + [("q", "n.bin", "x")]), lambda: str.split)
+    assert {(r.project_id, r.path, r.tokens) for r in rows.collect()} == {("p", "main.py", 2), ("p", "z.py", 3), ("q", "m.md", 1)}
+
+
+def _exchanged(df):
+    """Columns that each exchange of the plan moves."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    out = StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return [b for b in out.getvalue().split("\n\n") if ") Exchange" in b.split("\n")[0]]
+
+
+def test_text_is_not_shuffled(spark, tmp_path):
+    frame(spark, FILES).write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    for df in (Audit(files).audits(), Audit(files).findings(), Audit(files).patched_files("suggested")):
+        moves = _exchanged(df)
+        assert moves and not any("text#" in m or "content#" in m for m in moves)
+
+
+def test_report_carries_configuration_and_time(spark):
+    audit = Audit(frame(spark, FILES))
+    row = rp.json_reports(audit.audits(nested=True), audit.config, "2024-01-02 03:04:05").first()
+    report = json.loads(row.report)
+    assert report["audit_timestamp"].startswith("2024-01-02T03:04:05")
+    assert json.loads(report["config_snapshot"])["dimensions"]["S"]["weight"] == 0.25
