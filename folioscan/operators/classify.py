@@ -33,11 +33,12 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def single_files(files: DataFrame) -> DataFrame:
-    """Each file a project of its own: prompt text or nothing, never code."""
+    """Each file a project of its own: prompt text, or of the kind ``single``
+    that no rule but the token count looks at."""
     own = classify(files.selectExpr("path AS project_id", "path", "content"))
     prompt = tx.is_in("ext", cat.PROMPT_SUFFIXES)
     return own.drop("kind", "is_py", "is_prompt").selectExpr(
-        "*", f"CASE WHEN {prompt} THEN 'prompt' ELSE 'other' END AS kind", "false AS is_py", f"{prompt} AS is_prompt")
+        "*", f"CASE WHEN {prompt} THEN 'prompt' ELSE 'single' END AS kind", "false AS is_py", f"{prompt} AS is_prompt")
 
 
 def skipped_path(path: str) -> str:

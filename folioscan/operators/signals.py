@@ -247,3 +247,18 @@ def project_signals(files: DataFrame, cfg: AuditConfig, signals: DataFrame | Non
     if repeated_lines and cfg.runs("prompt_token_efficiency"):
         out = out.join(cl.duplicate_lines(classified), "project_id", "left")
     return out.selectExpr("*", f"{cl.SKILL_TYPE} AS skill_type")
+
+
+def single_file_signals(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """:func:`project_signals` of lone files (:func:`classify.single_files`): a
+    prompt or unknown, without README, .gitignore and dependency file, whatever
+    the file is called."""
+    flags = file_flags(cfg)
+    sums = file_signals(classified, cfg).groupBy("project_id").agg(*cl.combine(flags))
+    absent = {n: "false" for n in flags if n.startswith("readme_") or n == "gitignore_exists"}
+    absent |= {"dependency_file": "CAST(NULL AS STRING)", "dependency_readable": "false", "config_mcp": "false"}
+    absent |= {f"dep_{p}": "false" for p in cl.PACKAGES}
+    out = sums.join(cl.duplicate_lines(classified), "project_id", "left")
+    return out.selectExpr(
+        *[c for c in out.columns if c not in absent], *[f"{e} AS {n}" for n, e in absent.items()],
+        "CASE WHEN n_prompt > 0 THEN 'prompt' ELSE 'unknown' END AS skill_type")

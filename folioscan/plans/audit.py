@@ -22,16 +22,19 @@ class Audit:
     files: DataFrame
     config: AuditConfig = None
     signals: DataFrame | None = None
+    single: bool = False  # every file is a project of its own
 
     def __post_init__(self):
         self.config = self.config or AuditConfig()
 
     @cached_property
     def classified(self) -> DataFrame:
-        return cl.classify(self.files)
+        return cl.single_files(self.files) if self.single else cl.classify(self.files)
 
     @cached_property
     def project_signals(self) -> DataFrame:
+        if self.single:
+            return sg.single_file_signals(self.classified, self.config)
         return sg.project_signals(self.files, self.config, self.signals, self.classified)
 
     @cached_property
@@ -43,8 +46,10 @@ class Audit:
 
     def findings(self, rules=None) -> DataFrame:
         # Findings need no repeated lines; the scores' signals have them.
-        project = sg.project_signals(self.files, self.config, self.signals, self.classified, repeated_lines=False)
+        project = self.project_signals if self.single else sg.project_signals(self.files, self.config, self.signals, self.classified, repeated_lines=False)
         hits = self.signals.select("project_id", "path", "hits") if self.signals and "hits" in self.signals.columns else None
+        if self.single:  # without a dependency file
+            rules = [r for r in rules or fd.cat.RULE if r != "sec_dependencies"]
         return fd.findings(self.files, self.config, rules, self.classified, project, hits)
 
     def sub_scores(self) -> DataFrame:

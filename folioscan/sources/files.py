@@ -22,7 +22,8 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    # By key: a round-robin spread would sort the rows first.
+    return df.repartition(cores, "project_id", "path") if df.rdd.getNumPartitions() < cores else df
 
 
 def files_from_table(df: DataFrame, project: str, path: str, text: str) -> DataFrame:

@@ -98,7 +98,7 @@ def classified(source: str = "seeded") -> str:
         f"CASE WHEN {one_of('ext', cat.CODE_SUFFIXES)} THEN 'code' WHEN {one_of('ext', cat.PROMPT_SUFFIXES)} THEN 'prompt' "
         f"WHEN coalesce({marked}, false) THEN 'prompt' WHEN {one_of('ext', cat.CONFIG_SUFFIXES)} THEN 'config' ELSE 'other' END")
     if source == "single":
-        kind = f"CASE WHEN {one_of('ext', cat.PROMPT_SUFFIXES)} THEN 'prompt' ELSE 'other' END"
+        kind = f"CASE WHEN {one_of('ext', cat.PROMPT_SUFFIXES)} THEN 'prompt' ELSE 'single' END"
     ext = q(r"[^/](\.[^./]+)$")
     return f"""WITH {SOURCES[source]},
 f0 AS (SELECT project_id, path, content, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text,
@@ -190,7 +190,7 @@ def features(source: str = "seeded") -> str:
     ps = "(is_py OR is_prompt)"
     sums = {
         "n_files": "1", "n_code": "kind = 'code'", "n_prompt": "kind = 'prompt'", "n_config": "kind = 'config'",
-        "estimated_total_tokens": "CASE WHEN kind IN ('code', 'prompt', 'config') THEN floor(length(text) / 3.5::DOUBLE) END",
+        "estimated_total_tokens": "CASE WHEN kind <> 'other' THEN floor(length(text) / 3.5::DOUBLE) END",
         "n_py": "is_py AND text IS NOT NULL",
         "prompt_chars": f"CASE WHEN {ps} THEN length(text) + 1 END",
         "test_lines": f"CASE WHEN path LIKE '%.py' AND contains(lower(path), 'test') THEN len({lines('text')}) END",
@@ -228,6 +228,12 @@ def features(source: str = "seeded") -> str:
         "CASE WHEN path_mcp OR coalesce(config_mcp, false) THEN 'mcp' WHEN path_rag THEN 'rag' WHEN path_tool AND n_code > 0 THEN 'tool' "
         "WHEN path_agent THEN 'agent_workflow' WHEN n_prompt > 0 AND n_code = 0 THEN 'prompt' "
         "WHEN n_prompt > 0 THEN 'hybrid' ELSE 'unknown' END")
+    lone = ""
+    if source == "single":  # nothing is told from the name of a lone file
+        skill = "CASE WHEN n_prompt > 0 THEN 'prompt' ELSE 'unknown' END"
+        lone = " REPLACE (" + ", ".join(f"false AS {n}" for n in (
+            "readme_exists", "gitignore_exists", "readme_unreadable", "readme_short", "dependency_readable",
+            *(f"readme_{c}" for c, _, _ in cat.README_WORDS))) + ")"
     return classified(source) + loop_ctes() + f""",
 sums AS (SELECT project_id, {', '.join(columns)} FROM k GROUP BY project_id),
 dep AS (SELECT project_id, path AS dependency_file, text IS NOT NULL AS dependency_readable, {deps} FROM
@@ -246,7 +252,7 @@ j AS (SELECT sums.*, dependency_file, coalesce(dependency_readable, false) AS de
   coalesce(n_duplicates, 0) AS n_duplicates,
   {', '.join(f"coalesce(n_{r}_{s}, 0) AS n_{r}_{s}" for r in (*cat.MATCH_RULES, 'prompt_injection') for s in cat.SEVERITIES)}
   FROM sums LEFT JOIN dep USING (project_id) LEFT JOIN cfg USING (project_id) LEFT JOIN dup USING (project_id) LEFT JOIN hitn USING (project_id)),
-feat AS MATERIALIZED (SELECT *, {skill} AS skill_type, has_prompt_text AND NOT prompt_unreadable AS p_ok,
+feat AS MATERIALIZED (SELECT *{lone}, {skill} AS skill_type, has_prompt_text AND NOT prompt_unreadable AS p_ok,
   NOT has_prompt_text AND NOT prompt_unreadable AS p_missing FROM j)"""
 
 
@@ -580,7 +586,7 @@ def statements() -> dict[str, str]:
         out[f"duplicate_lines{suffix}"] = features(source) + duplicates
         out[f"overall{suffix}"] = scores(source) + f" SELECT project_id, skill_type, n_files AS files_scanned, overall, {DIMS} FROM score"
     out["single_file_scores"] = scores("single") + (
-        " SELECT project_id, CASE WHEN n_prompt > 0 THEN 'prompt' ELSE 'unknown' END AS skill_type, P, P_injection, P_token, P_clarity, P_specificity FROM score")
+        " SELECT project_id, skill_type, overall, P, F, X, P_injection, P_token, P_clarity, P_specificity FROM score")
     out["numbered_lines"] = classified() + " SELECT project_id, path, kind, line_no, line FROM ln"
     hard = " || ".join(f"regexp_extract_all(text, {rx(p.regex)})" for p in cat.HARDCODED_PATTERNS)
     out["code_metrics"] = classified() + (

@@ -116,12 +116,8 @@ def _fail_gate(files: DataFrame) -> DataFrame:
 def _single(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus.table(spark, sf, "documents").selectExpr(
         "0 AS project_id", "'doc_' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.md' END AS path", "text AS content")
-    own = cl.single_files(corpus.spread(docs))
-    scores = sc.score_table(sg.project_signals(docs, DEFAULT, classified=own), DEFAULT)
-    # A lone file is a prompt or nothing; its name decides nothing else.
-    return _wide(scores.selectExpr(
-        "project_id", "CASE WHEN n_prompt > 0 THEN 'prompt' ELSE 'unknown' END AS skill_type", "P",
-        "P_injection", "P_token", "P_clarity", "P_specificity"))
+    scores = Audit(corpus.spread(docs), single=True).score_table
+    return _wide(scores.select("project_id", "skill_type", "overall", "P", "F", "X", "P_injection", "P_token", "P_clarity", "P_specificity"))
 
 
 def _sarif_results(files: DataFrame) -> DataFrame:

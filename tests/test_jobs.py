@@ -166,3 +166,14 @@ def test_report_carries_configuration_and_time(spark):
     report = json.loads(row.report)
     assert report["audit_timestamp"].startswith("2024-01-02T03:04:05")
     assert json.loads(report["config_snapshot"])["dimensions"]["S"]["weight"] == 0.25
+
+
+def test_single_files(spark):
+    rows = frame(spark, [("x", "README.md", "You are an expert"), ("x", "tool.py", "eval(a)"), ("x", "requirements.txt", "flask")])
+    audit = Audit(rows, single=True)
+    got = {r.project_id: r for r in audit.score_table.collect()}
+    assert {p: r.skill_type for p, r in got.items()} == {"README.md": "prompt", "tool.py": "unknown", "requirements.txt": "prompt"}
+    assert got["README.md"].X_documentation == 60 and got["requirements.txt"].S_dependencies == 70
+    assert got["tool.py"].S_dangerous == 100 and got["tool.py"].P == 0 and got["tool.py"].estimated_total_tokens == 2
+    rules = {(r.project_id, r.rule_id) for r in audit.findings().collect()}
+    assert ("tool.py", "prompt_missing") in rules and not any(r == "sec_dependencies" for _, r in rules)
