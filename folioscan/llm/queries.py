@@ -1,15 +1,30 @@
-"""The registered queries of this subpackage."""
+"""The registered queries of this subpackage, with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import byte_cnn
+from folioscan.llm import bin_completion, byte_cnn, credentials, license_rules, mixture_lang, simhash_vp, spaced_seeds
 from folioscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixture_lang.languages(docs, mixture_lang.learn(docs))
+
+
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +32,19 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality_scores(docs, byte_cnn.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_quality_cnn,)}
+def op7_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_credentials, op3_language_mixture, op4_spaced_seeds, op6_quality_cnn, op7_simhash_vp, op9_license_rules,
+    op10_bin_completion)}
 ORACLE: dict[str, str] = {}
