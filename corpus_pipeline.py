@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import byte_cnn
+from folioscan.llm import bin_completion, byte_cnn, simhash_vp, spaced_seeds, surrogates
 from folioscan.llm.common import stored, table
+from folioscan.llm.queries import SURROGATE_KEY, WORD_BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -17,7 +18,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash_vp.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return spaced_seeds.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by surrogates."""
+    return surrogates.mask_documents(docs, SURROGATE_KEY)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in as few sequences as can be."""
+    return bin_completion.pack(docs, WORD_BPE)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
+# A trained network, shingle hashes and tokenizers have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

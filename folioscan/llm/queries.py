@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscan.llm import bin_completion, byte_cnn, credentials, license_rules, mixture_lang, simhash_vp, spaced_seeds
+from folioscan.llm import (
+    bin_completion, byte_cnn, credentials, learned_partitions, license_rules, mixture_lang, packed_output, simhash_vp, spaced_seeds,
+    surrogates,
+)
 from folioscan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+# A caller's own key belongs here; this one only makes the registered query repeatable.
+SURROGATE_KEY = b"folioscan registered query"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -18,6 +24,11 @@ def op1_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, SURROGATE_KEY, count=True)
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixture_lang.languages(docs, mixture_lang.learn(docs))
@@ -27,6 +38,10 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_cnn.quality_scores(docs, byte_cnn.learn(docs, table(spark, sf_dir, "labels")))
@@ -36,6 +51,10 @@ def op7_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_output.packed_matrices(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.license_scan(table(spark, sf_dir, "documents"))
 
@@ -45,6 +64,6 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_credentials, op3_language_mixture, op4_spaced_seeds, op6_quality_cnn, op7_simhash_vp, op9_license_rules,
-    op10_bin_completion)}
+    op1_credentials, op2_surrogates, op3_language_mixture, op4_spaced_seeds, op5_learned_partitions, op6_quality_cnn,
+    op7_simhash_vp, op8_packed_matrices, op9_license_rules, op10_bin_completion)}
 ORACLE: dict[str, str] = {}

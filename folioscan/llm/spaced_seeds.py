@@ -41,62 +41,54 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(mask: str, number: int, hashes: Column, at: Column) -> Column:
-    seen = [F.get(hashes, at + k) for k, c in enumerate(mask) if c == "1"]
-    return F.when(at + len(mask) <= F.size(hashes), F.xxhash64(F.lit(number), *seen))
-
-
-def _seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
-    """A line for each place and mask of ``rows(..., hashes)``."""
-    n = len(masks)
-    coded = rows.withColumn("code", F.explode(F.when(F.size("hashes") > 0, F.sequence(F.lit(0), F.size("hashes") * n - 1))))
-    at = F.expr(f"code div {n}").cast("int")
-    number = F.col("code") % n
-    seed = reduce(lambda chain, i: chain.when(number == i, _seed(masks[i], i, F.col("hashes"), at)),
-                  range(1, n), F.when(number == 0, _seed(masks[0], 0, F.col("hashes"), at)))
-    return coded.withColumns({"seed": seed, "at": at, "span": F.element_at(
-        F.array(*[F.lit(len(m)) for m in masks]), number + 1)}).where("seed IS NOT NULL").drop("code")
-
-
-def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Stored seeds of the items, and the masks: besides the fixed ones a full
-    one for each length of short items."""
-    items = stored(benchmark.select(F.col("item_id").alias("item_id"), _word_hashes(F.col("text")).alias("hashes"))
-                   .where(F.size("hashes") >= LEAST_WORDS).distinct(), "items")
-    short = items.select(F.size("hashes").alias("n")).where(F.col("n") < SPAN).distinct().collect()  # four rows at most
-    masks = [*MASKS, *("1" * r["n"] for r in sorted(short, key=lambda r: r["n"]))]
-    seeds = _seeds(items, masks).where((F.col("span") == SPAN) | (F.col("span") == F.size("hashes")))
-    return stored(seeds.select("seed", "item_id", F.col("at").alias("item_at"), "span", F.col("hashes").alias("item")), "seeds"), masks
+def _seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """A line (..., at, seed) for each place of ``rows(..., hashes)`` and each of
+    ``masks``, which are equally long.  No branches and no lambdas, so that all
+    up to the join with the benchmark is one generated loop over a row."""
+    last = F.size("hashes") - len(masks[0])
+    places = rows.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    seen = [F.xxhash64(F.lit(mask), *[F.get("hashes", F.col("at") + k) for k, c in enumerate(mask) if c == "1"]) for mask in masks]
+    return places.select("*", F.explode(F.array(*seen)).alias("seed"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, slice_rows: int = 100_000) -> DataFrame:
-    """doc_id, item_id, start (the document's word that the compared words begin
-    at), n_words, n_same, similarity: the best verified overlap of each pair."""
-    seeds, masks = benchmark_seeds(benchmark)
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_id and word hashes of items with enough words, stored."""
+    items = benchmark.select("item_id", _word_hashes(F.coalesce("text", F.lit(""))).alias("hashes"))
+    return stored(items.where(F.size("hashes") >= LEAST_WORDS).distinct(), "items")
+
+
+def _hits(rows: DataFrame, items: DataFrame, masks: tuple[str, ...], slice_rows: int) -> DataFrame:
+    seeds = stored(_seeds(items, masks).select("seed", "item_id", F.col("at").alias("item_at"), F.col("hashes").alias("item")), "seeds")
     slices = max(1, math.ceil(seeds.count() / slice_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _word_hashes(F.coalesce("text", F.lit(""))).alias("hashes"))
-    places = _seeds(rows, masks).drop("span")
-    found = [_verified(places, seeds if slices == 1 else seeds.where(F.pmod(F.xxhash64("seed", "item_id", "item_at"), F.lit(slices)) == i))
-             for i in range(slices)]
-    best = F.max_by(F.struct("start", "n_words", "n_same"), F.struct("similarity", -F.col("start")))
-    return (reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id")
-            .agg(best.alias("best"), F.max("similarity").alias("similarity"))
-            .select("doc_id", "item_id", "best.*", "similarity"))
-
-
-def _verified(places: DataFrame, seeds: DataFrame) -> DataFrame:
-    # About `slice_rows` seeds of one benchmark item's length each.
-    hits = places.join(F.broadcast(seeds), "seed")
+    places = _seeds(rows, masks)
+    # About `slice_rows` seeds, each with the words of one item.
+    found = [places.join(F.broadcast(
+        seeds if slices == 1 else seeds.where(F.pmod(F.xxhash64("seed", "item_id", "item_at"), F.lit(slices)) == i)), "seed")
+        for i in range(slices)]
     size = F.size("item")
     n = F.least(size, F.lit(OVERLAP))
-    low = F.greatest(F.lit(0), F.least(F.expr(f"item_at + span div 2 - {OVERLAP // 2}").cast("int"), size - n))
-    hits = hits.select("doc_id", "item_id", "hashes", "item", n.alias("n_words"), low.alias("low"),
-                       (F.col("at") - F.col("item_at") + low).alias("start"))
+    low = F.greatest(F.lit(0), F.least(F.col("item_at") + (len(masks[0]) // 2 - OVERLAP // 2), size - n))
+    return reduce(DataFrame.unionByName, found).select(
+        "doc_id", "item_id", "hashes", "item", n.alias("n_words"), low.alias("low"), (F.col("at") - F.col("item_at") + low).alias("start"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, slice_rows: int = 50_000) -> DataFrame:
+    """doc_id, item_id, start (the document's word that the compared words begin
+    at), n_words, n_same, similarity: the best verified overlap of each pair."""
+    items = benchmark_items(benchmark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _word_hashes(F.coalesce("text", F.lit(""))).alias("hashes"))
+    hits = _hits(rows, items, MASKS, slice_rows)
+    short = items.select(F.size("hashes").alias("n")).where(F.col("n") < SPAN).distinct().collect()  # four rows at most
+    for n in sorted(r["n"] for r in short):
+        hits = hits.unionByName(_hits(rows, items.where(F.size("hashes") == n), ("1" * n,), slice_rows))
     same = F.aggregate(F.sequence(F.lit(0), F.col("n_words") - 1), F.lit(0), lambda acc, k: acc + F.when(
         (F.col("start") + k >= 0) & (F.get(F.col("hashes"), F.greatest(F.lit(0), F.col("start") + k)) == F.get(F.col("item"), F.col("low") + k)),
         1).otherwise(0))
     hits = hits.select("doc_id", "item_id", "start", "n_words", same.alias("n_same"))
-    return hits.withColumn("similarity", F.col("n_same") / F.col("n_words")).where(F.col("similarity") >= SIMILAR)
+    # Filtered after the sums: a filter before would move into the join and out of the generated loop.
+    best = F.max(F.struct((F.col("n_same") / F.col("n_words")).alias("similarity"), (-F.col("start")).alias("back"), "n_words", "n_same"))
+    return (hits.groupBy("doc_id", "item_id").agg(best.alias("best")).where(F.col("best.similarity") >= SIMILAR)
+            .select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.n_words", "best.n_same", "best.similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
