@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscan.llm import (
-    bin_completion, byte_cnn, credentials, learned_partitions, license_rules, mixture_lang, packed_output, simhash_vp, spaced_seeds,
+    bin_completion, byte_cnn, credentials, learned_partitions, license_rules, mixture_lang, oracle, packed_output, simhash_vp, spaced_seeds,
     surrogates,
 )
 from folioscan.llm.common import table
@@ -66,4 +66,4 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_credentials, op2_surrogates, op3_language_mixture, op4_spaced_seeds, op5_learned_partitions, op6_quality_cnn,
     op7_simhash_vp, op8_packed_matrices, op9_license_rules, op10_bin_completion)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.STATEMENTS
