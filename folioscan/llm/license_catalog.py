@@ -47,7 +47,7 @@ gpl-2-or-later 62 0.97 general | gnu general public license (?:as published by t
 gpl-1 50 0.9 general | gnu general public licen[sc]e version 1
 gpl 20 0.75 general | gnu general public licen[sc]e
 gpl 10 0.6 gpl | gnu gpl
-gpl 30 0.8 free | redistribute it and or modify it under the terms of the gnu general public license
+gpl 30 0.8 redistribute | redistribute it and or modify it under the terms of the gnu general public license
 lgpl-3 60 0.97 lesser | gnu lesser general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:v|version )3
 lgpl-3 50 0.95 lgpl | lgpl ?v?3(?: 0)?
 lgpl-3 55 0.95 lgpl | spdx license identifier lgpl 3 0(?: only| or later)?
@@ -198,13 +198,13 @@ cdla-permissive-1 50 0.95 community | community data licen[sc]e agreement permis
 cdla-sharing-1 50 0.95 community | community data licen[sc]e agreement sharing(?: version)?(?: 1(?: 0)?)?
 ogl-uk-3 50 0.95 government | open government licen[sc]e (?:v|version )?3(?: 0)?
 ogl-uk 20 0.8 government | open government licen[sc]e
-etalab-2 50 0.95 etalab | (?:licence ouverte|open licen[sc]e)(?: etalab)? (?:v|version )?2(?: 0)?
+etalab-2 50 0.95 licen | (?:licence ouverte|open licen[sc]e)(?: etalab)? (?:v|version )?2(?: 0)?
 dl-de-by-2 50 0.95 datenlizenz | datenlizenz deutschland namensnennung(?: version)? 2 0
 cecill-2.1 50 0.95 cecill | cecill(?: version)? 2 1
 cecill-b 50 0.95 cecill | cecill b
 cecill-c 50 0.95 cecill | cecill c
 cecill 20 0.8 cecill | cecill
-openrail-m 50 0.95 openrail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?
+openrail-m 50 0.95 rail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?
 bigscience-rail 50 0.95 bigscience | bigscience rail licen[sc]e(?: (?:v|version )?1(?: 0)?)?
 llama-2 50 0.95 llama | llama 2 community licen[sc]e(?: agreement)?
 llama-3 50 0.95 llama | (?:meta )?llama 3(?: [123])? community licen[sc]e(?: agreement)?
@@ -235,7 +235,7 @@ non-commercial 40 0.8 commercial | for non ?commercial (?:use|purposes) only
 non-commercial 40 0.8 commercial | not for commercial use
 no-derivatives 30 0.75 derivative | no derivative works (?:are )?(?:allowed|permitted)
 no-redistribution 40 0.8 redistribut | (?:may not|must not|do not) (?:be )?redistribut[a-z]+
-no-training 50 0.85 training | (?:may|must) not be used (?:for|in|to) (?:the )?train(?:ing)?(?: of)?(?: machine learning| ai| language| models?)+
+no-training 50 0.85 train | (?:may|must) not be used (?:for|in|to) (?:the )?train(?:ing)?(?: of)?(?: machine learning| ai| language| models?)+
 all-rights-reserved 20 0.7 rights | all rights reserved
 all-rights-reserved 20 0.7 rechte | alle rechte vorbehalten
 all-rights-reserved 20 0.7 droits | tous droits r[^ ]+s

@@ -577,9 +577,9 @@ def test_suppression_equals_all_pairs():
 
 def test_rules_of_the_catalog():
     found = [rule for mine in lr.rules().values() for rule in mine]
-    assert len(found) >= 200 and {r.pattern.pattern[10:-8].decode() for r in found if r.base} == set(lr.BASE)
+    assert len(found) >= 200 and {r.pattern.pattern[12:-9].decode() for r in found if r.base} == set(lr.BASE)
     # A keyword that a rule's own plain words lack would keep it from ever being tried.
     for rule in found:
-        plain = re.sub(rb"\(\?:[^()|]*\)\?", b"", rule.pattern.pattern[10:-8])
+        plain = re.sub(rb"\(\?:[^()|]*\)\?", b"", rule.pattern.pattern[12:-9])
         if not re.search(rb"[|\[\](){}+*?]", plain):
             assert rule.keyword in plain, rule
