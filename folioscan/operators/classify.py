@@ -33,9 +33,9 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def single_files(files: DataFrame) -> DataFrame:
-    """Each file a project of its own: prompt text, or of the kind ``single``
-    that no rule but the token count looks at."""
-    own = classify(files.selectExpr("path AS project_id", "path", "content"))
+    """Each file a project of its own, named by its project and path: prompt text,
+    or of the kind ``single`` that no rule but the token count looks at."""
+    own = classify(files.selectExpr("struct(project_id, path) AS project_id", "path", "content"))
     prompt = tx.is_in("ext", cat.PROMPT_SUFFIXES)
     return own.drop("kind", "is_py", "is_prompt").selectExpr(
         "*", f"CASE WHEN {prompt} THEN 'prompt' ELSE 'single' END AS kind", "false AS is_py", f"{prompt} AS is_prompt")
@@ -46,37 +46,37 @@ def skipped_path(path: str) -> str:
     return f"({path} RLIKE {tx.q(f'(^|/)({dirs})(/|$)')})"
 
 
-def first_special_files(classified: DataFrame) -> DataFrame:
-    """What the dependency file and the first three configuration files say.
+LOWERED = "lower(coalesce(text, ''))"
 
-    One row per project that has any: dependency_file, dep_<package> flags and
-    config_mcp.  Only files whose name qualifies are looked at, and the rank
-    limit prunes them on the map side, so a huge project stays small here.
-    """
-    lowered = "lower(coalesce(text, ''))"
-    is_dep = tx.is_in("name", cat.DEPENDENCY_FILES)
-    # The three texts are searched as one: a word may straddle their borders.
-    edge = (f"CASE WHEN length({lowered}) <= 4 THEN {lowered} "
-            f"ELSE concat(substring({lowered}, 1, 2), '\\0', substring({lowered}, -2, 2)) END")
-    rows = (
-        classified.filter(tx.any_of(is_dep, tx.is_in("ext", cat.CONFIG_SUFFIXES)))
-        .selectExpr(
-            "project_id", "path", "text IS NOT NULL AS readable", f"{tx.contains(lowered, 'mcp')} AS has_mcp", f"{edge} AS edge",
-            *[f"{tx.contains(lowered, p)} AS dep_{p}" for p in PACKAGES],
-            f"explode(array_compact(array(CASE WHEN {is_dep} THEN 'dep' END, CASE WHEN kind = 'config' THEN 'cfg' END))) AS role",
-        )
-    )
-    order = Window.partitionBy("project_id", "role").orderBy(
-        F.expr("CASE WHEN role = 'cfg' THEN path END").asc(), F.col("path").desc())
-    ranked = rows.withColumn("rn", F.row_number().over(order)).filter("rn <= 3")
-    dep, cfg = "(role = 'dep' AND rn = 1)", "(role = 'cfg')"
-    edges = f"array_join(transform(sort_array(collect_list(CASE WHEN {cfg} THEN struct(rn, edge) END)), x -> x.edge), '')"
-    return ranked.groupBy("project_id").agg(
-        F.expr(f"max(CASE WHEN {dep} THEN path END) AS dependency_file"),
-        F.expr(f"bool_or({dep} AND readable) AS dependency_readable"),
-        *[F.expr(f"bool_or({dep} AND dep_{p}) AS dep_{p}") for p in PACKAGES],
-        F.expr(f"(bool_or({cfg} AND has_mcp) OR contains({edges}, 'mcp')) AS config_mcp"),
-    )
+
+def special_flags() -> dict[str, tuple[str, str]]:
+    """What the dependency file (the last by path) and any configuration file
+    say, as per-file columns with the aggregate that combines them."""
+    says = ", ".join(f"{tx.contains(LOWERED, p)} AS dep_{p}" for p in PACKAGES)
+    return {
+        "dependency": (f"CASE WHEN {tx.is_in('name', cat.DEPENDENCY_FILES)} THEN struct(path, text IS NOT NULL AS readable, {says}) END", "last"),
+        "config_mcp": (f"kind = 'config' AND {tx.contains(LOWERED, 'mcp')}", "any"),
+    }
+
+
+# Columns out of the combined ``dependency``.
+DEPENDENCY = (
+    "dependency.path AS dependency_file", "coalesce(dependency.readable, false) AS dependency_readable",
+    *(f"coalesce(dependency.dep_{p}, false) AS dep_{p}" for p in PACKAGES))
+
+
+def first_configs(classified: DataFrame, n: int) -> DataFrame:
+    """(project_id, config_mcp) by the first ``n`` configuration files only,
+    searched as one text, in which the word may straddle a border.  The rank
+    limit prunes on the map side."""
+    edge = (f"CASE WHEN length({LOWERED}) <= 4 THEN {LOWERED} "
+            f"ELSE concat(substring({LOWERED}, 1, 2), '\\0', substring({LOWERED}, -2, 2)) END")
+    order = Window.partitionBy("project_id").orderBy("path")
+    first = classified.filter("kind = 'config'").selectExpr(
+        "project_id", "path", f"{tx.contains(LOWERED, 'mcp')} AS has_mcp", f"{edge} AS edge")
+    first = first.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n)
+    edges = "array_join(transform(sort_array(collect_list(struct(rn, edge))), x -> x.edge), '')"
+    return first.groupBy("project_id").agg(F.expr(f"bool_or(has_mcp) OR contains({edges}, 'mcp') AS config_mcp"))
 
 
 SKILL_TYPE = (
@@ -101,12 +101,13 @@ def manifest_flags() -> dict[str, tuple[str, str]]:
         "path_rag": (tx.contains_any("lower(path)", cat.RAG_PATH_WORDS), "any"),
         "path_tool": (tx.contains("lower(path)", "tool"), "any"),
         "path_agent": (tx.contains_any("lower(path)", cat.AGENT_PATH_WORDS), "any"),
+        **special_flags(),
     }
 
 
 def combine(flags: dict[str, tuple[str, str]]) -> list[Column]:
-    how = {"sum": "sum", "any": "bool_or"}
-    return [F.expr(f"{how[kind]}({name}) AS {name}") for name, (_, kind) in flags.items()]
+    how = {"sum": "sum({0})", "any": "bool_or({0})", "last": "max_by({0}, {0}.path)"}
+    return [F.expr(f"{how[kind].format(name)} AS {name}") for name, (_, kind) in flags.items()]
 
 
 def manifests(files: DataFrame, classified: DataFrame | None = None) -> DataFrame:
@@ -122,9 +123,9 @@ def manifests(files: DataFrame, classified: DataFrame | None = None) -> DataFram
         # At most one language per code suffix, so the set stays tiny.
         .agg(*combine(flags), F.expr("sort_array(collect_set(language)) AS languages"))
     )
-    return per_project.join(first_special_files(classified), "project_id", "left").selectExpr(
+    return per_project.selectExpr(
         "project_id", f"{SKILL_TYPE} AS skill_type", "n_files", "n_prompt", "n_code", "n_config",
-        "dependency_file", "readme_exists", "gitignore_exists", "estimated_total_tokens", "languages")
+        "dependency.path AS dependency_file", "readme_exists", "gitignore_exists", "estimated_total_tokens", "languages")
 
 
 def project_files(files: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def file_hits(rule_id: str) -> list[str]:
     return []
 
 
-def _finish(hits: DataFrame, spark: SparkSession, cfg: AuditConfig) -> DataFrame:
+def finish(hits: DataFrame, spark: SparkSession, cfg: AuditConfig) -> DataFrame:
     """(project_id, path, place, hit) rows to findings."""
     rules = F.broadcast(rule_catalog(spark, cfg))  # fixed size
     flat = hits.select("project_id", "path", "place", "hit.*").filter("key IS NOT NULL")
@@ -104,12 +104,19 @@ def hits_column(cfg: AuditConfig, rules=None) -> str:
     return f"concat({', '.join(hits)})" if hits else ""
 
 
+def matched_rules(cfg: AuditConfig, rules=None) -> set[str]:
+    """The enabled rules that look at one file."""
+    return {r for r in _wanted(cfg, rules) if file_hits(r)}
+
+
 def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, classified: DataFrame | None = None,
-             project_signals: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+             project_signals: DataFrame | None = None, hits: DataFrame | None = None, single: bool = False) -> DataFrame:
     """All findings of the given rules (default: all enabled ones).
 
     ``hits`` may be a stored table of (project_id, path, hits), see
-    :func:`hits_column`; the text is then not matched again.
+    :func:`hits_column`; the text is then not matched again.  What rules that are
+    off found in it is left out; a table that lacks a rule is refused.
+    ``single``: every file is a project of its own.
     """
     cfg = cfg or AuditConfig()
     spark = files.sparkSession
@@ -124,50 +131,54 @@ def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, class
         # below this projection and so evaluate every rule twice.
         if hits is None:
             hits = sg.readable(classified).selectExpr("project_id", "path", f"{in_file} AS hits")
+            stored = False
+        else:
+            missing = matched_rules(cfg, wanted) - set(hits.schema["hits"].metadata.get("rules", ()))
+            if missing:
+                raise ValueError(f"the stored hits lack {', '.join(sorted(missing))}")
+            stored = True
         found = hits.selectExpr("project_id", "path", nowhere, "explode_outer(hits) AS hit")
-        if rules is not None:
+        if stored or rules is not None:
             found = found.filter(tx.is_in("substring_index(hit.key, '/', 1)", sorted(wanted)))
         parts.append(found)
 
-    about_project = [r for r in cat.PROJECT_RULES if r in wanted]
-    if about_project or "sec_mcp_permissions" in wanted:
-        ps = project_signals
-        if ps is None:
-            ps = sg.project_signals(files, cfg, classified=classified, repeated_lines=False)
     if "sec_mcp_permissions" in wanted:
-        mcp = ps.filter("skill_type = 'mcp'").select("project_id")
         wide = sg.readable(classified).filter(sg.broad_mcp_permission()).select("project_id", "path")
+        mcp = project_signals if project_signals is not None else cl.manifests(files, classified)
+        mcp = mcp.filter("skill_type = 'mcp'").select("project_id")
         parts.append(wide.join(mcp, "project_id", "left_semi").selectExpr(
             "project_id", "path", nowhere, f"{_hit('sec_mcp_permissions/')} AS hit"))
-    if about_project:
+    about_project = [r for r in cat.PROJECT_RULES if r in wanted]
+    if about_project or "sec_dependencies" in wanted:
+        ps = project_signals
+        if ps is None:
+            ps = sg.project_signals(files, cfg, classified=classified, repeated_lines=False)
+        # One branch tells all that is known of a project.
         conditions = project_conditions(cfg)
-        arrays = ", ".join(
-            _if(conditions[r], f"array({_hit(f'{r}/', detail=FUZZY_WORDS if r == 'prompt_clarity' else 'NULL')})")
-            for r in about_project)
-        parts.append(ps.selectExpr("project_id", f"explode_outer(concat({arrays})) AS hit").selectExpr(
-            "project_id", "CAST(NULL AS STRING) AS path",
-            "CASE WHEN hit.key = 'prompt_clarity/' THEN 'prompt' ELSE '.' END AS place", "hit"))
-    if "sec_dependencies" in wanted:
-        special = ps if about_project else cl.first_special_files(classified)
-        packages = ", ".join(f"CASE WHEN dep_{p} THEN {_hit(f'sec_dependencies/{p}')} END" for p in cl.PACKAGES)
-        parts.append(special.filter("dependency_readable").selectExpr(
-            "project_id", "dependency_file AS path", nowhere, f"explode_outer(array_compact(array({packages}))) AS hit"))
+        cells = [f"CASE WHEN {conditions[r]} THEN struct(CAST(NULL AS STRING) AS path, '{'prompt' if r == 'prompt_clarity' else '.'}' AS place, "
+                 f"{_hit(f'{r}/', detail=FUZZY_WORDS if r == 'prompt_clarity' else 'NULL')} AS hit) END" for r in about_project]
+        if "sec_dependencies" in wanted:
+            cells += [f"CASE WHEN dependency_readable AND dep_{p} THEN struct(dependency_file AS path, CAST(NULL AS STRING) AS place, "
+                      f"{_hit(f'sec_dependencies/{p}')} AS hit) END" for p in cl.PACKAGES]
+        parts.append(ps.selectExpr("project_id", f"explode_outer(array_compact(array({', '.join(cells)}))) AS x").selectExpr(
+            "project_id", "x.path", "x.place", "x.hit"))
 
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    rows = _finish(rows, spark, cfg)
+    rows = finish(rows, spark, cfg)
     if wanted & {"prompt_injection", "maint_complexity"} and not files.isStreaming:
-        rows = rows.join(failed_dimensions(classified, cfg), ["project_id", "dimension"], "left_anti").select(*COLUMNS)
+        rows = rows.join(failed_dimensions(classified, cfg, single), ["project_id", "dimension"], "left_anti").select(*COLUMNS)
     return rows
 
 
-def failed_dimensions(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """(project_id, dimension) pairs that fail because a file cannot be read."""
-    readme = "path = 'README.md'" if cfg.runs("maint_documentation") else "false"
+def failed_dimensions(classified: DataFrame, cfg: AuditConfig, single: bool = False) -> DataFrame:
+    """(project_id, dimension) pairs that fail because a file cannot be read.  A
+    lone file is no project's README."""
+    readme = "path = 'README.md'" if cfg.runs("maint_documentation") and not single else "false"
     return classified.filter("content IS NULL").selectExpr(
         "project_id",
-        f"explode(array_compact(array(CASE WHEN {sg.IN_PROMPT} THEN 'P' END, CASE WHEN {readme} THEN 'X' END))) AS dimension")
+        f"explode(array_compact(array(CASE WHEN {sg.IN_PROMPT} THEN 'P' END, CASE WHEN {readme} THEN 'X' END))) AS dimension").distinct()
 
 
 # The prompt rules ran: there is prompt text and all of it could be read.

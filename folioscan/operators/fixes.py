@@ -15,7 +15,7 @@ from folioscan.rules import catalog as cat
 
 LEVELS = ("none", "safe", "suggested", "all")
 PATCH = "struct<original string, replacement string, description string, safety string, issue_rule_id string>"
-COLUMNS = ("project_id", "file_path", "original", "replacement", "description", "safety", "issue_rule_id", "seq")
+COLUMNS = ("project_id", "file_path", "original", "replacement", "description", "safety", "issue_rule_id", "seq", "applied")
 
 FUZZY_NOTE = "\n<!-- audit note: replace fuzzy words by measurable limits -->\n"
 
@@ -86,7 +86,7 @@ def gitignore_patches(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
     ).filter("NOT has AND NOT broken")
     return lacking.selectExpr(
         "project_id", "'.gitignore' AS file_path", "'' AS original", f"{tx.q(cat.GITIGNORE_BODY)} AS replacement",
-        "'add a standard .gitignore' AS description", "'safe' AS safety", "'maint_versioning' AS issue_rule_id", "0 AS seq")
+        "'add a standard .gitignore' AS description", "'safe' AS safety", "'maint_versioning' AS issue_rule_id", "0 AS seq", "true AS applied")
 
 
 def _adds_gitignore(level: str, cfg: AuditConfig) -> bool:
@@ -94,21 +94,28 @@ def _adds_gitignore(level: str, cfg: AuditConfig) -> bool:
 
 
 def patches(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = None, line_fixers=LINE_FIXERS) -> DataFrame:
+    """One row per patch.  ``applied``: whether the text still holds its original
+    when its turn comes."""
     cfg = cfg or AuditConfig()
     classified = cl.classify(files)
-    rows = with_patches(classified, level, cfg, line_fixers).selectExpr("project_id", "path AS file_path", "posexplode_outer(patches) AS (seq, p)")
+    rows = with_patches(classified, level, cfg, line_fixers)
+    walked = f"CASE WHEN size(patches) > 0 THEN {apply_patches('patches', 'text')}.applied END"
+    rows = rows.selectExpr("project_id", "path", "patches", f"{walked} AS done")
+    rows = rows.selectExpr("project_id", "path AS file_path", "done", "posexplode_outer(patches) AS (seq, p)")
     rows = rows.filter("p IS NOT NULL").selectExpr(
-        "project_id", "file_path", "p.original", "p.replacement", "p.description", "p.safety", "p.issue_rule_id", "seq")
+        "project_id", "file_path", "p.original", "p.replacement", "p.description", "p.safety", "p.issue_rule_id", "seq", "get(done, seq) AS applied")
     if _adds_gitignore(level, cfg):
         rows = rows.unionByName(gitignore_patches(classified, cfg))
     return rows.select(*COLUMNS)
 
 
 def apply_patches(patches_expr: str, text: str) -> str:
-    """Each patch in turn replaces the first occurrence of its original."""
-    at = "instr(t, p.original)"
-    swap = f"concat(substring(t, 1, {at} - 1), p.replacement, substring(t, {at} + length(p.original)))"
-    return f"aggregate({patches_expr}, {text}, (t, p) -> CASE WHEN {at} > 0 THEN {swap} ELSE t END)"
+    """struct<t, applied>: each patch in turn replaces the first occurrence of
+    its original, if there is one."""
+    at = "instr(s.t, p.original)"
+    swap = f"concat(substring(s.t, 1, {at} - 1), p.replacement, substring(s.t, {at} + length(p.original)))"
+    step = f"struct(CASE WHEN {at} > 0 THEN {swap} ELSE s.t END AS t, array_append(s.applied, {at} > 0) AS applied)"
+    return f"aggregate({patches_expr}, struct({text} AS t, CAST(array() AS array<boolean>) AS applied), (s, p) -> {step})"
 
 
 def patched_files(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = None, line_fixers=LINE_FIXERS) -> DataFrame:
@@ -118,7 +125,7 @@ def patched_files(files: DataFrame, level: str = "safe", cfg: AuditConfig | None
     classified = cl.classify(files)
     rows = with_patches(classified, level, cfg, line_fixers).selectExpr(
         "project_id", "path",
-        f"CASE WHEN size(patches) > 0 THEN {apply_patches('patches', 'text')} ELSE content END AS content",
+        f"CASE WHEN size(patches) > 0 THEN {apply_patches('patches', 'text')}.t ELSE content END AS content",
         "size(patches) AS n_patches")
     if _adds_gitignore(level, cfg):
         rows = rows.unionByName(gitignore_patches(classified, cfg).selectExpr(
@@ -128,7 +135,8 @@ def patched_files(files: DataFrame, level: str = "safe", cfg: AuditConfig | None
 
 def patch_stats(patch_rows: DataFrame) -> DataFrame:
     return patch_rows.groupBy("safety", "issue_rule_id").agg(
-        F.expr("count(1) AS n_patches"), F.expr("sum(CAST(original = '' AS INT)) AS n_new_files"))
+        F.expr("count(1) AS n_patches"), F.expr("count_if(original = '') AS n_new_files"), F.expr("count_if(applied) AS n_applied"),
+        F.expr("count_if(NOT applied) AS n_failed"))
 
 
 def fuzzy_prompt_patches(files: DataFrame) -> DataFrame:
@@ -141,4 +149,4 @@ def fuzzy_prompt_patches(files: DataFrame) -> DataFrame:
     first = Window.partitionBy("project_id").orderBy("path")
     return hits.select("project_id", "path", "text").withColumn("rn", F.row_number().over(first)).filter("rn = 1").selectExpr(
         "project_id", "path AS file_path", "text AS original", f"concat(text, {tx.q(FUZZY_NOTE)}) AS replacement",
-        "'note on fuzzy words' AS description", "'suggested' AS safety", "'prompt_clarity' AS issue_rule_id", "0 AS seq")
+        "'note on fuzzy words' AS description", "'suggested' AS safety", "'prompt_clarity' AS issue_rule_id", "0 AS seq", "true AS applied")

@@ -37,15 +37,34 @@ def full_audit(files: DataFrame, cfg: AuditConfig) -> DataFrame:
         "config_hash", F.lit(cfg.digest()))
 
 
-def incremental_audit(files: DataFrame, store: DataFrame, cfg: AuditConfig) -> DataFrame:
+KEY = ("project_id", "project_hash", "config_hash")
+
+
+def newest(store: DataFrame, order: str | None = None) -> DataFrame:
+    """One row of the store for each project, content and configuration, however
+    often it was appended: the last by ``order``, or any (they are equal)."""
+    if order is None:
+        return store.dropDuplicates(list(KEY))
+    rest = [c for c in store.columns if c not in KEY]
+    rows = store.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("row"))
+    return rows.select(*KEY, "row.*").select(store.columns)
+
+
+def incremental_audit(files: DataFrame, store: DataFrame, cfg: AuditConfig, order: str | None = None) -> DataFrame:
     """Audits only projects whose content or configuration is not in the store.
 
-    Adds ``reused``.  If few projects changed, Spark broadcasts their ids (it
-    checks the size) or filters the files by a Bloom filter before the shuffle.
+    Adds ``reused``; :func:`fresh` gives the rows to append to the store.  If few
+    projects changed, Spark broadcasts their ids (it checks the size) or filters
+    the files by a Bloom filter before the shuffle.
     """
     hashes = project_hashes(files).select("project_id", "project_hash")
-    current = store.filter(F.col("config_hash") == cfg.digest())
-    known = current.join(hashes, ["project_id", "project_hash"], "left_semi")
+    current = newest(store.filter(F.col("config_hash") == cfg.digest()), order)
+    known = current.join(hashes, ["project_id", "project_hash"], "left_semi").select(store.columns)
     changed = hashes.join(current.select("project_id", "project_hash"), ["project_id", "project_hash"], "left_anti")
-    fresh = full_audit(files.join(changed.select("project_id"), "project_id", "left_semi"), cfg)
-    return known.withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))
+    fresh_rows = full_audit(files.join(changed.select("project_id"), "project_id", "left_semi"), cfg)
+    return known.withColumn("reused", F.lit(True)).unionByName(fresh_rows.withColumn("reused", F.lit(False)), allowMissingColumns=True)
+
+
+def fresh(audited: DataFrame) -> DataFrame:
+    """The rows of an incremental audit that the store does not hold yet."""
+    return audited.filter("NOT reused").drop("reused")

@@ -9,7 +9,6 @@ from folioscan.operators import findings as fd
 from folioscan.plans.config import AuditConfig
 from folioscan.rules import catalog as cat
 
-RESULTS_PER_RUN = 5000
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
 LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' WHEN 'info' THEN 'note' ELSE 'warning' END"
@@ -61,37 +60,33 @@ def sarif_rules(found: DataFrame) -> DataFrame:
         .selectExpr("project_id", "rule_id", "category AS name", "message", f"{LEVEL} AS level", "rule_rank"))
 
 
-def _chunks(rows: DataFrame, size: int) -> DataFrame:
-    """Adds ``part``: about ``size`` rows of a project each, so that no document
-    and no group grows with the project."""
-    large = rows.groupBy("project_id").agg(F.expr("count(1) AS n")).filter(F.col("n") > size)
+def sarif_documents(found: DataFrame, tool: str = "folioscan") -> DataFrame:
+    """SARIF 2.1.0 documents as JSON text, one for each project, dimension and
+    file (path NULL: about the project as a whole), so that a document is as
+    large as what one file gives, and results keep their order.  Results and the
+    rules they name come from one pass over the findings."""
     key = ", ".join(fd.ORDER)
-    return rows.join(large, "project_id", "left").selectExpr(
-        *rows.columns, f"CAST(coalesce(pmod(xxhash64({key}), CAST(ceil(n / {size}) AS BIGINT)), 0L) AS INT) AS part")
-
-
-def sarif_documents(found: DataFrame, tool: str = "folioscan", size: int = RESULTS_PER_RUN) -> DataFrame:
-    """SARIF 2.1.0 documents as JSON text: one per project, or several for a
-    project with more than ``size`` results.  The findings are read three times,
-    so pass a stored table of them."""
-    key = ", ".join(fd.ORDER)
-    entry = (
-        "named_struct('ruleId', rule_id, 'level', level, 'message', named_struct('text', message), 'locations', "
-        "array(named_struct('physicalLocation', named_struct('artifactLocation', named_struct('uri', uri), "
-        "'region', named_struct('startLine', start_line)))))"
+    result = (
+        "named_struct('ruleId', r.rule_id, 'level', r.level, 'message', named_struct('text', r.message), 'locations', "
+        "array(named_struct('physicalLocation', named_struct('artifactLocation', named_struct('uri', r.uri), "
+        "'region', named_struct('startLine', r.start_line)))))"
     )
-    results = (
-        _chunks(sarif_results(found), size).selectExpr("project_id", "part", *fd.ORDER, f"{entry} AS entry")
-        .groupBy("project_id", "part")
-        .agg(F.expr(f"transform(sort_array(collect_list(struct({key}, entry))), x -> x.entry) AS results")))
     described = (
-        "named_struct('id', rule_id, 'name', name, 'shortDescription', named_struct('text', message), "
-        "'defaultConfiguration', named_struct('level', level))")
-    rules = sarif_rules(found).groupBy("project_id").agg(  # at most one per rule of the catalog
-        F.expr(f"transform(sort_array(collect_list(struct(rule_rank, {described} AS rule))), x -> x.rule) AS rules"))
-    run = f"named_struct('tool', named_struct('driver', named_struct('name', '{tool}', 'rules', rules)), 'results', results)"
-    return results.join(rules, "project_id", "left").selectExpr(
-        "project_id", "part",
+        "named_struct('id', r.rule_id, 'name', r.category, 'shortDescription', named_struct('text', r.about), "
+        "'defaultConfiguration', named_struct('level', r.level))")
+    line = f"try_cast(regexp_extract(location, {tx.q(tx.jregex(_LINE_AT_END))}, 1) AS BIGINT)"
+    rows = found.selectExpr(
+        "project_id", "dimension", "path",
+        f"struct({key}, coalesce(rule_id, category) AS rule_id, rule_id AS own_id, {LEVEL} AS level, category, message AS about, "
+        "concat(message, CASE WHEN fix_hint <> '' THEN concat('\\nFix: ', fix_hint) ELSE '' END) AS message, "
+        f"regexp_replace(location, {tx.q(tx.jregex(_LINE_AT_END))}, '') AS uri, {line} AS start_line) AS r")
+    files = rows.groupBy("project_id", "dimension", "path").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    # Sorted by rule first, so a rule's first finding follows another rule's.
+    first = "filter(rs, (r, i) -> r.own_id IS NOT NULL AND (i = 0 OR NOT (r.rule_rank <=> get(rs, i - 1).rule_rank)))"
+    run = (f"named_struct('tool', named_struct('driver', named_struct('name', '{tool}', 'rules', transform({first}, r -> {described}))), "
+           f"'results', transform(rs, r -> {result}))")
+    return files.selectExpr(
+        "project_id", "dimension", "path",
         f"to_json(named_struct('$schema', '{SARIF_SCHEMA}', 'version', '2.1.0', 'runs', array({run}))) AS sarif")
 
 
@@ -109,3 +104,18 @@ def json_reports(audits: DataFrame, cfg: AuditConfig | None = None, audited_at:
 def finding_lines(found: DataFrame) -> DataFrame:
     """Findings as JSON lines."""
     return found.selectExpr("project_id", f"to_json(struct({', '.join(fd.COLUMNS)})) AS finding")
+
+
+def report_lines(audits: DataFrame, found: DataFrame, patches: DataFrame, files: DataFrame, cfg: AuditConfig | None = None,
+                 audited_at: str | None = None) -> DataFrame:
+    """The whole report of each project as JSON lines (project_id, record, line):
+    one ``audit``, and one line for each ``issue``, ``patch`` and ``file``.
+    Nothing is gathered, so a project may have any number of them.  ``files``:
+    :func:`classify.project_files`."""
+    def lines(rows: DataFrame, record: str) -> DataFrame:
+        columns = ", ".join(f"`{c}`" for c in rows.columns if c != "project_id")
+        return rows.selectExpr("project_id", f"'{record}' AS record", f"to_json(struct({columns})) AS line")
+
+    audit = json_reports(audits, cfg, audited_at).selectExpr("project_id", "'audit' AS record", "report AS line")
+    return (audit.unionByName(lines(found.select(*fd.COLUMNS), "issue")).unionByName(lines(patches, "patch"))
+            .unionByName(lines(files, "file")))

@@ -5,7 +5,7 @@ Formulas are SQL expressions over the project signals.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from folioscan.functions import text as tx
 from folioscan.operators import classify as cl, findings as fd
@@ -138,19 +138,22 @@ def sub_scores(scores: DataFrame, cfg: AuditConfig, dimensions=None) -> DataFram
     return scores.selectExpr("project_id", f"inline(array({cells}))").filter("score IS NOT NULL")
 
 
-def _dimension_cells(cfg: AuditConfig, dimensions=None) -> list[tuple[str, str]]:
+def _dimension_cells(cfg: AuditConfig, scores: DataFrame, dimensions=None) -> list[tuple[str, str]]:
     cells = []
     for d in dimensions or cfg.enabled_dimensions():
         entries = ", ".join(f"CASE WHEN {d}_{s} IS NOT NULL THEN struct('{s}' AS k, {d}_{s} AS v) END" for s in _subs(d))
+        entries = f"array_compact(array({entries}))"
+        if f"{d}_merged" in scores.columns:  # blended with a judge's
+            entries = f"CASE WHEN {d}_judged THEN {d}_merged ELSE {entries} END"
         cells.append((d, (
             f"CASE WHEN {d}_failed THEN 'error' ELSE '{cat.DIMENSION_NAMES[d]}' END AS name, "
-            f"{d} AS score, {weight(cfg, d)} AS weight, map_from_entries(array_compact(array({entries}))) AS sub_scores")))
+            f"{d} AS score, {weight(cfg, d)} AS weight, map_from_entries({entries}) AS sub_scores")))
     return cells
 
 
 def dimension_scores(scores: DataFrame, cfg: AuditConfig, dimensions=None) -> DataFrame:
     """(project_id, dimension, name, score, weight, sub_scores)."""
-    cells = ", ".join(f"struct('{d}' AS dimension, {fields})" for d, fields in _dimension_cells(cfg, dimensions))
+    cells = ", ".join(f"struct('{d}' AS dimension, {fields})" for d, fields in _dimension_cells(cfg, scores, dimensions))
     return scores.selectExpr("project_id", f"inline(array({cells}))")
 
 
@@ -194,14 +197,21 @@ def severity_counts(cfg: AuditConfig) -> dict[str, str]:
     return {s: f"CAST({' + '.join(parts)} AS BIGINT)" for s, parts in totals.items()}
 
 
+def with_counts(scores: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``more_<severity>``: findings that the signals know nothing of."""
+    counts = found.groupBy("project_id").agg(*[F.expr(f"count_if(severity = '{s}') AS more_{s}") for s in cat.SEVERITIES])
+    more = [f"coalesce(more_{s}, 0L) AS more_{s}" for s in cat.SEVERITIES]
+    return scores.join(counts, "project_id", "left").selectExpr(*[f"`{c}`" for c in scores.columns], *more)
+
+
 def audits(scores: DataFrame, cfg: AuditConfig, nested: bool = False) -> DataFrame:
     """One row per project: scores, finding counts, band, summary and gate;
     ``nested`` adds the dimension scores as one struct."""
     dims = cfg.enabled_dimensions()
-    inner = ", ".join(f"struct({fields}) AS {d}" for d, fields in _dimension_cells(cfg))
+    inner = ", ".join(f"struct({fields}) AS {d}" for d, fields in _dimension_cells(cfg, scores))
     rows = scores.selectExpr(
         "project_id", "skill_type", "n_files AS files_scanned", "overall", *dims,
-        *[f"{c} AS n_{s}" for s, c in severity_counts(cfg).items()],
+        *[f"{c}{f' + more_{s}' if f'more_{s}' in scores.columns else ''} AS n_{s}" for s, c in severity_counts(cfg).items()],
         *([f"struct({inner}) AS dimension_scores"] if nested else []))
     return rows.selectExpr(
         "*", f"{score_band('overall')} AS band", f"{gate('overall', cfg.fail_threshold)} AS passed"

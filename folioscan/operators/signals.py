@@ -236,17 +236,19 @@ def file_signals(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
     return readable(classified).selectExpr("project_id", "path", *[f"{c} AS {n}" for n, (c, _) in flags.items()])
 
 
-def project_signals(files: DataFrame, cfg: AuditConfig, signals: DataFrame | None = None,
-                    classified: DataFrame | None = None, repeated_lines: bool = True) -> DataFrame:
+def project_signals(files: DataFrame, cfg: AuditConfig, signals: DataFrame | None = None, classified: DataFrame | None = None,
+                    repeated_lines: bool = True, configs: int | None = None) -> DataFrame:
     """Sums of the file signals per project, with skill type, dependency file
-    and repeated lines.  Pass ``signals`` to start from a stored signal table."""
+    and repeated lines.  Pass ``signals`` to start from a stored signal table.
+    ``configs``: only so many configuration files tell the skill type."""
     classified = cl.classify(files) if classified is None else classified
     signals = file_signals(classified, cfg) if signals is None else signals
-    sums = signals.groupBy("project_id").agg(*cl.combine(file_flags(cfg)))
-    out = sums.join(cl.first_special_files(classified), "project_id", "left")
+    out = signals.groupBy("project_id").agg(*cl.combine(file_flags(cfg)))
+    if configs is not None:
+        out = out.drop("config_mcp").join(cl.first_configs(classified, configs), "project_id", "left")
     if repeated_lines and cfg.runs("prompt_token_efficiency"):
         out = out.join(cl.duplicate_lines(classified), "project_id", "left")
-    return out.selectExpr("*", f"{cl.SKILL_TYPE} AS skill_type")
+    return out.selectExpr("*", *cl.DEPENDENCY, f"{cl.SKILL_TYPE} AS skill_type").drop("dependency")
 
 
 def single_file_signals(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
@@ -258,7 +260,7 @@ def single_file_signals(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
     absent = {n: "false" for n in flags if n.startswith("readme_") or n == "gitignore_exists"}
     absent |= {"dependency_file": "CAST(NULL AS STRING)", "dependency_readable": "false", "config_mcp": "false"}
     absent |= {f"dep_{p}": "false" for p in cl.PACKAGES}
-    out = sums.join(cl.duplicate_lines(classified), "project_id", "left")
+    out = sums.drop("dependency").join(cl.duplicate_lines(classified), "project_id", "left")
     return out.selectExpr(
         *[c for c in out.columns if c not in absent], *[f"{e} AS {n}" for n, e in absent.items()],
         "CASE WHEN n_prompt > 0 THEN 'prompt' ELSE 'unknown' END AS skill_type")

@@ -2,6 +2,11 @@
 
 What a rule finds in one file needs that file only, so it streams; rules about a
 whole project are left to the batch audit over the signals collected so far.
+
+A file may arrive again, unchanged or changed.  Every streamed row names the
+version of the file it was made from (its arrival and a hash of its content);
+:func:`newest` and :func:`current_findings` reduce the streamed tables to the
+last version of each file before anything is summed.
 """
 
 from __future__ import annotations
@@ -14,21 +19,61 @@ from folioscan.plans.config import AuditConfig
 from folioscan.rules import catalog as cat
 
 FILE_LEVEL_RULES = (*cat.MATCH_RULES, "prompt_injection", "compat_vendor_lock", *cat.FILE_RULES)
+FILE = ("project_id", "path")
+VERSION = ("arrived", "content_sha")
 
 
-def new_files(arrivals: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drops files delivered again unchanged within ``delay`` of arrival.
+def versions(arrivals: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Drops what is delivered again: the same content with the same arrival,
+    within ``delay``.
 
     ``arrivals`` is a stream of files(project_id, path, content, arrived)."""
     return (
         arrivals.withWatermark("arrived", delay)
-        .withColumn("content_sha", F.sha2("content", 256))
-        .dropDuplicatesWithinWatermark(["project_id", "path", "content_sha"]))
+        .withColumn("content_sha", F.sha2(F.coalesce("content", F.lit("unreadable")), 256))
+        .dropDuplicatesWithinWatermark([*FILE, *VERSION]))
+
+
+def _file_hits(rows: DataFrame, cfg: AuditConfig, rules) -> DataFrame:
+    return sg.readable(cl.classify(rows)).selectExpr(*FILE, *VERSION, f"{fd.hits_column(cfg, rules)} AS hits")
 
 
 def stream_findings(arrivals: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
-    """A stream of file-level findings."""
-    return fd.findings(new_files(arrivals), cfg or AuditConfig(), rules=FILE_LEVEL_RULES)
+    """A stream of file-level findings, each with the version of its file."""
+    cfg = cfg or AuditConfig()
+    hits = _file_hits(versions(arrivals), cfg, FILE_LEVEL_RULES)
+    # The version travels through the operator as part of the path.
+    keyed = hits.selectExpr("struct(project_id, arrived, content_sha) AS project_id", "path", "explode_outer(hits) AS hit", "CAST(NULL AS STRING) AS place")
+    found = fd.finish(keyed, arrivals.sparkSession, cfg)
+    return found.selectExpr("project_id.*", *[c for c in fd.COLUMNS if c != "project_id"])
+
+
+def stream_signals(arrivals: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
+    """A stream of per-file signals; batch audits sum them per project."""
+    cfg = cfg or AuditConfig()
+    flags = sg.file_flags(cfg)
+    return sg.readable(cl.classify(versions(arrivals))).selectExpr(*FILE, *VERSION, *[f"{c} AS {n}" for n, (c, _) in flags.items()])
+
+
+def newest(signals: DataFrame) -> DataFrame:
+    """The signals of the last version of each file."""
+    rest = [c for c in signals.columns if c not in (*FILE, *VERSION)]
+    last = signals.groupBy(*FILE).agg(F.max_by(F.struct(*VERSION, *rest), F.struct(*VERSION)).alias("last"))
+    return last.select(*FILE, "last.*")
+
+
+def current_findings(found: DataFrame, signals: DataFrame) -> DataFrame:
+    """The findings of the last version of each file, once each.  ``signals`` has
+    a row for every version, also of files without a finding."""
+    last = newest(signals.select(*FILE, *VERSION)).select(*FILE, "content_sha")
+    rows = found.join(last, [*FILE, "content_sha"], "left_semi")
+    return rows.dropDuplicates(list(dict.fromkeys([*FILE, *fd.ORDER, "rule_id"]))).select(*fd.COLUMNS)
+
+
+def current_files(arrived: DataFrame) -> DataFrame:
+    """The last version of each file of a stored table of arrivals."""
+    version = F.struct("arrived", F.sha2(F.coalesce("content", F.lit("unreadable")), 256))
+    return arrived.groupBy(*FILE).agg(F.max_by("content", version).alias("content"))
 
 
 def write_stream(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -38,21 +83,27 @@ def write_stream(stream: DataFrame, out: str, checkpoint: str, trigger: dict | N
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
 
 
-def stream_signals(arrivals: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
-    """A stream of per-file signals; batch audits sum them per project."""
-    return sg.file_signals(cl.classify(new_files(arrivals)), cfg or AuditConfig())
-
-
-def windowed_counts(arrivals: DataFrame, size: str, delay: str = "1 hour", cfg: AuditConfig | None = None,
-                    rules=("sec_secrets", "sec_dangerous_functions", "prompt_injection")) -> DataFrame:
-    """Findings per rule and tumbling window of arrival time, counted in the
-    rows of the files: only counts reach the aggregation."""
+def stream_counts(arrivals: DataFrame, delay: str = "1 hour", cfg: AuditConfig | None = None, rules=FILE_LEVEL_RULES) -> DataFrame:
+    """A stream of (project_id, path, arrived, rule_id, n): how often each rule
+    found something in a content, once for each content of a file within
+    ``delay``.  Counted in the rows of the files."""
     cfg = cfg or AuditConfig()
-    sizes = [f"named_struct('rule_id', '{r}', 'n', CAST(array_size(concat({', '.join(fd.file_hits(r))})) AS BIGINT))"
-             for r in rules if cfg.runs(r)]
-    per_file = sg.readable(cl.classify(arrivals)).selectExpr("arrived", f"inline(array({', '.join(sizes)}))").filter("n > 0")
+    sizes = []
+    for r in rules:
+        if cfg.runs(r):
+            total = " + ".join(f"coalesce(array_size({h}), 0)" for h in fd.file_hits(r))
+            sizes.append(f"named_struct('rule_id', '{r}', 'n', CAST({total} AS BIGINT))")
+    once = (arrivals.withWatermark("arrived", delay).withColumn("content_sha", F.sha2(F.coalesce("content", F.lit("unreadable")), 256))
+            .dropDuplicatesWithinWatermark([*FILE, "content_sha"]))
+    return sg.readable(cl.classify(once)).selectExpr(*FILE, "arrived", f"inline(array({', '.join(sizes)}))").filter("n > 0")
+
+
+def windowed_counts(counts: DataFrame, size: str, delay: str = "1 hour") -> DataFrame:
+    """Findings per rule and tumbling window of arrival time, from a stream over
+    the table that :func:`stream_counts` writes.  (Two streams, as Spark runs
+    one aggregation in update mode, and removing repeats is one.)"""
     return (
-        per_file.withWatermark("arrived", delay).groupBy(F.window("arrived", size), "rule_id")
+        counts.withWatermark("arrived", delay).groupBy(F.window("arrived", size), "rule_id")
         .agg(F.sum("n").alias("n_findings")).selectExpr("window.start AS window_start", "rule_id", "n_findings"))
 
 

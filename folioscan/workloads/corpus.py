@@ -11,18 +11,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.sources.files import spread
+from folioscan.sources.files import files_from_table
 
 SEEDED_FILES_SQL = r'''
 WITH snip(cls, sid, body) AS (VALUES
- ('py',0,'result = eval(user_data)|exec("x")'),
+ ('py',0,'total = eval(form["sum"])|exec(plan)'),
  ('py',1,'API_KEY = "sk-' || repeat('a1B2',13) || '"'),
- ('py',2,'temperature = 0.7|base_url = "https://api.example.com"'),
- ('py',3,'prompt = f"Tell me about {user_input}"'),
+ ('py',2,'temperature = 0.35|base_url = "https://llm.internal.test"'),
+ ('py',3,'prompt = f"Summarise this ticket: {user_input}"'),
  ('py',4,'def load(p):|    f = open(p)|    return f.read()'),
  ('py',5,'def run(x: int) -> int:|    """doc"""|    try:|        return x|    except Exception:|        raise'),
  ('py',6,'try:|    go()|except:|    stop()'),
- ('py',7,'import openai|for item in items:|    client.chat.completions.create(model="m", functions=tools)'),
+ ('py',7,'import openai|for row in backlog:|    llm.chat.completions.create(model=NAME, functions=specs)'),
  ('py',8,'import os|os.system(cmd)|subprocess.run(cmd)|subprocess.Popen(c)|subprocess.call(c)'),
  ('py',9,'import pickle|pickle.loads(b)|pickle.load(f)|yaml.load(s)|marshal.loads(b)|shelve.open(p)|__import__(m)|compile(s)'),
  ('py',10,'requests.get("http://x.example.com/api/login", verify=False)|ssl._create_unverified_context()'),
@@ -72,8 +72,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The given tables are one row group each; a session may ask for more
+    tasks (the benchmark does).  By default rows stay where they are read."""
+    n = spark.conf.get("folioscan.partitions", None)
+    return files_from_table(files, "project_id", "path", "content", int(n) if n else None)
+
+
 def seeded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(seeded_from(table(spark, sf_dir, "documents")))
+    return dealt(spark, seeded_from(table(spark, sf_dir, "documents")))
 
 
 def seeded_from(documents: DataFrame) -> DataFrame:
@@ -96,6 +103,12 @@ SELECT 'conv-' || CAST(conv_id AS STRING) AS project_id,
 FROM conversations
 """
 
+# Projects a and b have files of the same paths.
+SHARED_PATHS_SQL = r"""
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS project_id,
+       'doc_' || CAST(floor(doc_id / 2) AS INT) || CASE WHEN doc_id % 6 < 2 THEN '.py' ELSE '.md' END AS path, text AS content FROM documents
+"""
+
 # Some files of the seeded corpus could not be read.
 UNREADABLE_FILES_SQL = r"""
 SELECT project_id, path, CASE WHEN length(content) % 17 = 0 THEN NULL ELSE content END AS content FROM seeded_files
@@ -144,7 +157,7 @@ def query(sql: str, **frames: DataFrame) -> DataFrame:
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(query(CONVERSATION_FILES_SQL, conversations=table(spark, sf_dir, "conversations")))
+    return dealt(spark, query(CONVERSATION_FILES_SQL, conversations=table(spark, sf_dir, "conversations")))
 
 
 def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,8 @@ SOURCES = {
     "earlier": f"seeded_files AS ({corpus.SEEDED_FILES_SQL}), files AS ({corpus.EARLIER_FILES_SQL})",
     "single": "files AS (SELECT 'doc_' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.md' END AS project_id, "
               "'doc_' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.md' END AS path, text AS content FROM documents)",
+    # Two projects with the same paths.
+    "shared": f"files AS (SELECT project_id || '/' || path AS project_id, path, content FROM ({corpus.SHARED_PATHS_SQL}))",
 }
 
 
@@ -97,7 +99,7 @@ def classified(source: str = "seeded") -> str:
     kind = (
         f"CASE WHEN {one_of('ext', cat.CODE_SUFFIXES)} THEN 'code' WHEN {one_of('ext', cat.PROMPT_SUFFIXES)} THEN 'prompt' "
         f"WHEN coalesce({marked}, false) THEN 'prompt' WHEN {one_of('ext', cat.CONFIG_SUFFIXES)} THEN 'config' ELSE 'other' END")
-    if source == "single":
+    if source in ("single", "shared"):
         kind = f"CASE WHEN {one_of('ext', cat.PROMPT_SUFFIXES)} THEN 'prompt' ELSE 'single' END"
     ext = q(r"[^/](\.[^./]+)$")
     return f"""WITH {SOURCES[source]},
@@ -229,7 +231,7 @@ def features(source: str = "seeded") -> str:
         "WHEN path_agent THEN 'agent_workflow' WHEN n_prompt > 0 AND n_code = 0 THEN 'prompt' "
         "WHEN n_prompt > 0 THEN 'hybrid' ELSE 'unknown' END")
     lone = ""
-    if source == "single":  # nothing is told from the name of a lone file
+    if source in ("single", "shared"):  # nothing is told from the name of a lone file
         skill = "CASE WHEN n_prompt > 0 THEN 'prompt' ELSE 'unknown' END"
         lone = " REPLACE (" + ", ".join(f"false AS {n}" for n in (
             "readme_exists", "gitignore_exists", "readme_unreadable", "readme_short", "dependency_readable",
@@ -239,9 +241,7 @@ sums AS (SELECT project_id, {', '.join(columns)} FROM k GROUP BY project_id),
 dep AS (SELECT project_id, path AS dependency_file, text IS NOT NULL AS dependency_readable, {deps} FROM
   (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path DESC) AS rn FROM k WHERE {one_of('name', cat.DEPENDENCY_FILES)}) d
   WHERE rn = 1),
-cfg AS (SELECT project_id, contains(string_agg(ltext, '' ORDER BY path), 'mcp') AS config_mcp FROM
-  (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path) AS rn FROM k WHERE kind = 'config') c WHERE rn <= 3
-  GROUP BY project_id),
+cfg AS (SELECT project_id, bool_or(contains(ltext, 'mcp')) AS config_mcp FROM k WHERE kind = 'config' GROUP BY project_id),
 dup AS (SELECT project_id, count(*) AS n_lines, count(*) - count(DISTINCT trim(line, {SPACES})) AS n_duplicates FROM ln
   WHERE trim(line, {SPACES}) <> '' GROUP BY project_id),
 hits AS MATERIALIZED ({match_rows()} UNION ALL {injection_rows()}),
@@ -428,15 +428,17 @@ patch AS MATERIALIZED (SELECT project_id, path AS file_path, original, replaceme
   WHERE {PROJECT_CONDITIONS['maint_versioning']})"""
 
 
+SWAP = ("CASE WHEN instr(a.t, x.o) > 0 AND x.o <> '' THEN substr(a.t, 1, instr(a.t, x.o) - 1) || x.r || "
+        "substr(a.t, instr(a.t, x.o) + length(x.o)) ELSE a.t END")
+
+
 def patched(source: str = "seeded") -> str:
     """WITH ... up to ``pf``: files with patches applied one after the other."""
-    swap = ("CASE WHEN instr(a.t, x.o) > 0 AND x.o <> '' THEN substr(a.t, 1, instr(a.t, x.o) - 1) || x.r || "
-            "substr(a.t, instr(a.t, x.o) + length(x.o)) ELSE a.t END")
     return patches("suggested", source) + f""",
 pl AS (SELECT project_id, file_path AS path, list({{'t': '', 'o': original, 'r': replacement}} ORDER BY {ORDERED}) AS ps FROM patch
   WHERE original <> '' GROUP BY ALL),
 pf AS MATERIALIZED (SELECT k.project_id, k.path, CASE WHEN ps IS NULL THEN content ELSE
-    list_reduce(list_prepend({{'t': k.text, 'o': '', 'r': ''}}, ps), lambda a, x: {{'t': {swap}, 'o': '', 'r': ''}}).t END AS content,
+    list_reduce(list_prepend({{'t': k.text, 'o': '', 'r': ''}}, ps), lambda a, x: {{'t': {SWAP}, 'o': '', 'r': ''}}).t END AS content,
     CAST(coalesce(len(ps), 0) AS BIGINT) AS n_patches FROM k LEFT JOIN pl USING (project_id, path)
   UNION ALL SELECT project_id, file_path, replacement, 1 FROM patch WHERE original = '')"""
 
@@ -517,6 +519,30 @@ def judge_findings() -> str:
     return (f"WITH {SOURCES['seeded']}" + parsed_ctes() + " SELECT *, 'ai_judge' AS source FROM (" + " UNION ALL ".join(parts) + ")")
 
 
+def judged_audit() -> str:
+    """The audit with its judges: blended scores, and counts of rules' and judges' findings."""
+    rules = severity_counts()
+    body = blended().rsplit("\nSELECT ", 1)[0].replace(scores(), full(), 1)
+    own = judge_findings().split(parsed_ctes(), 1)[1]
+    more = ", ".join(f"count(*) FILTER (severity = '{s}') AS more_{s}" for s in cat.SEVERITIES)
+    counts = ", ".join(f"full_.n_{s} + coalesce(more_{s}, 0) AS n_{s}" for s in cat.SEVERITIES)
+    assert rules in body
+    return body + f""",
+own AS ({own}),
+more AS (SELECT project_id, {more} FROM own GROUP BY project_id),
+final AS (SELECT bC.* EXCLUDE (overall), {overall()} AS overall FROM bC)
+SELECT final.project_id, final.overall, {', '.join(f'final.{d}' for d in cat.DIMENSIONS)}, {counts},
+  {BAND.replace('overall', 'final.overall')} AS band, final.overall >= 80 AS passed
+FROM final JOIN full_ USING (project_id) LEFT JOIN more USING (project_id)"""
+
+
+# The stub of the registered query answers by the request alone.
+STUB = """
+, asked AS (SELECT *, CAST(('0x' || substr(sha256(user_prompt), 1, 4)) AS INT) % 101 AS score FROM requests)
+SELECT CAST(project_id AS VARCHAR) AS project_id, judge, '{"' || CASE judge WHEN 'P' THEN 'clarity' ELSE 'hallucination_risk' END || '": {"score": ' || score || ', "reason": "stub"}}' AS raw,
+  'success' AS status, CAST(length(user_prompt) AS BIGINT) AS input_tokens, CAST(10 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS retries FROM asked"""
+
+
 def evidence() -> str:
     low = "coalesce(CAST({} AS DOUBLE) / nullif({}, 0) < {}, false)"
     tokens = "CAST(floor(prompt_chars / 3.5::DOUBLE) AS BIGINT)"
@@ -579,7 +605,8 @@ def statements() -> dict[str, str]:
         "SELECT project_id, skill_type, n_files, n_prompt, n_code, n_config, dependency_file, readme_exists, gitignore_exists, "
         "estimated_total_tokens, coalesce(languages, '') AS languages FROM feat LEFT JOIN lang USING (project_id)")
     duplicates = " SELECT project_id, n_lines, n_duplicates FROM dup"
-    out["files_from_table"] = f"WITH {SOURCES['talk']} SELECT project_id, path, length(content) AS n_chars FROM files"
+    out["files_from_table"] = (
+        "SELECT split_part(split_part(url, '//', 2), '/', 1) AS project_id, 'page_' || page_id || '.html' AS path, length(html) AS n_chars FROM pages")
     for suffix, source in (("", "seeded"), ("_conversations", "talk")):
         out[f"file_kind{suffix}"] = f"{classified(source)} {kinds}"
         out[f"manifest{suffix}"] = features(source) + manifest
@@ -643,20 +670,28 @@ def statements() -> dict[str, str]:
     first_rule = f"SELECT *, row_number() OVER (PARTITION BY project_id, rule_id ORDER BY {ORDERED}) AS rn FROM found"
     out["sarif_rules"] = findings() + (
         f" SELECT project_id, rule_id, category AS name, message, {LEVEL} AS level FROM ({first_rule}) WHERE rn = 1")
+    ordered = "ORDER BY rule_rank, group_rank, path NULLS FIRST, pattern_rank, pos"
     out["sarif_documents"] = findings() + (
-        f" SELECT project_id, CAST(0 AS BIGINT) AS part, '2.1.0' AS version, count(*) AS n_results, count(DISTINCT rule_id) AS n_rules, "
-        f"arg_min({SARIF_MESSAGE}, rn) AS first_message, arg_min(rule_id, rn) AS first_rule FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY project_id ORDER BY rule_rank, group_rank, path NULLS FIRST, pattern_rank, pos) AS rn FROM found) GROUP BY project_id")
+        f" SELECT project_id, dimension, path, '2.1.0' AS version, string_agg(rule_id, '|' {ordered}) AS result_rules, "
+        f"string_agg({SARIF_MESSAGE}, '|' {ordered}) AS messages, string_agg(coalesce(CAST(line AS VARCHAR), '-'), '|' {ordered}) AS lines, "
+        f"string_agg(rule_id, '|' ORDER BY rule_rank) FILTER (first) AS described, string_agg(message, '|' ORDER BY rule_rank) FILTER (first) AS about "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY project_id, dimension, path, rule_id {ordered}) = 1 AS first FROM found) "
+        "GROUP BY project_id, dimension, path")
     out["json_reports"] = full() + f" SELECT project_id, overall, {SUMMARY} AS summary, S_secrets AS secrets, 0.2::DOUBLE AS p_weight FROM full_"
     out["finding_lines"] = findings() + (
-        " SELECT project_id, rule_id, location, message FROM found WHERE rule_id IN ('sec_secrets', 'compat_vendor_lock')")
+        f" SELECT project_id, {', '.join(qs.LINE_FIELDS)} FROM found")
 
     columns = "project_id, file_path, original, replacement, safety, issue_rule_id"
     out["patches_safe"] = patches("safe") + f" SELECT {columns} FROM patch"
     out["patches_suggested"] = patches("suggested") + f" SELECT {columns} FROM patch"
     out["patched_files"] = patched() + " SELECT * FROM pf"
-    out["patch_stats"] = patches("suggested") + (
-        " SELECT safety, issue_rule_id, count(*) AS n_patches, count(*) FILTER (WHERE original = '') AS n_new_files FROM patch GROUP BY ALL")
+    out["patch_stats"] = patched() + (
+        ", turns AS (SELECT safety, issue_rule_id, original, original = '' OR contains(list_reduce(list_prepend({'t': text, 'o': '', 'r': ''}, "
+        f"coalesce(ps[1:turn - 1], [])), lambda a, x: {{'t': {SWAP}, 'o': '', 'r': ''}}).t, original) AS applied FROM (SELECT patch.*, k.text, ps, "
+        f"row_number() OVER (PARTITION BY patch.project_id, file_path ORDER BY {', '.join(f'patch.{c}' for c in ORDERED.split(', '))}) AS turn FROM patch LEFT JOIN k ON k.project_id = patch.project_id "
+        "AND k.path = file_path LEFT JOIN pl ON pl.project_id = patch.project_id AND pl.path = file_path)) "
+        "SELECT safety, issue_rule_id, count(*) AS n_patches, count(*) FILTER (WHERE original = '') AS n_new_files, "
+        "count(*) FILTER (applied) AS n_applied, count(*) FILTER (NOT applied) AS n_failed FROM turns GROUP BY ALL")
     note = q(fx.FUZZY_NOTE)
     out["fuzzy_prompt_patches"] = classified() + (
         f" SELECT project_id, path AS file_path, text AS original, text || {note} AS replacement FROM (SELECT *, row_number() OVER "
@@ -682,6 +717,9 @@ def statements() -> dict[str, str]:
         f"* REPLACE ({listed})", f"* EXCLUDE (vulnerable_lines, risk_patterns), {listed}")
     out["judge_blend"] = blended()
     out["judge_findings"] = judge_findings()
+    out["judged_audit"] = judged_audit()
+    head, tail = judge_requests().rsplit("\nSELECT project_id, judge,", 1)
+    out["call_judge"] = f"{head},\nrequests AS (SELECT project_id, judge,{tail})" + STUB
     out["judge_usage"] = f"WITH {SOURCES['seeded']}{parsed_ctes()}" + (
         " SELECT judge, status, count(*) AS n_calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, "
         "CAST(max(latency_ms) AS BIGINT) AS max_latency_ms, CAST(quantile_disc(latency_ms, 0.5) AS BIGINT) AS median_latency_ms, "
@@ -694,6 +732,13 @@ def statements() -> dict[str, str]:
         f" SELECT project_id, rule_id, severity, count(*) AS n FROM found WHERE rule_id IN ({level}) GROUP BY ALL")
     out["stream_windows"] = findings() + (
         " SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS window_start, rule_id, count(*) AS n_findings FROM found "
-        "JOIN events ON event_id = project_id WHERE rule_id IN ('sec_secrets', 'sec_dangerous_functions', 'prompt_injection') GROUP BY 1, 2")
+        "JOIN events ON event_id = project_id WHERE rule_id IN (" + level + ") GROUP BY 1, 2")
     out["stream_signals"] = scores() + f" SELECT project_id, overall, {DIMS} FROM score"
+    out["stream_updates"] = out["stream_signals"]
+    out["stream_update_findings"] = out["stream_findings"]
+    out["incremental_appended_twice"] = out["incremental"]
+    out["stored_other_config"] = findings("seeded", qs.CONFIGURED) + (
+        f" SELECT project_id, rule_id, severity, count(*) AS n FROM found WHERE rule_id IN ({', '.join(repr(r.rule_id) for r in cat.RULES if qs.CONFIGURED.runs(r.rule_id))}) GROUP BY ALL")
+    out["single_files_shared_paths"] = scores("shared") + (
+        " SELECT split_part(project_id, '/', 1) AS project_id, split_part(project_id, '/', 2) AS path, skill_type, n_files, overall, P, F, X FROM score")
     return out

@@ -14,6 +14,7 @@ from folioscan.plans.audit import Audit
 from folioscan.plans.config import AuditConfig, layered_config
 from folioscan.rules import catalog as cat
 from folioscan.session import shared_dir
+from folioscan.sources.files import files_from_table
 from folioscan.streaming import audit as st
 from folioscan.workloads import corpus
 
@@ -116,8 +117,8 @@ def _fail_gate(files: DataFrame) -> DataFrame:
 def _single(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus.table(spark, sf, "documents").selectExpr(
         "0 AS project_id", "'doc_' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.md' END AS path", "text AS content")
-    scores = Audit(corpus.spread(docs), single=True).score_table
-    return _wide(scores.select("project_id", "skill_type", "overall", "P", "F", "X", "P_injection", "P_token", "P_clarity", "P_specificity"))
+    scores = Audit(docs, single=True).score_table
+    return _wide(scores.selectExpr("project_id.path AS project_id", "skill_type", "overall", "P", "F", "X", "P_injection", "P_token", "P_clarity", "P_specificity"))
 
 
 def _sarif_results(files: DataFrame) -> DataFrame:
@@ -128,14 +129,21 @@ def _sarif_rules(files: DataFrame) -> DataFrame:
     return rp.sarif_rules(Audit(files).findings()).select("project_id", "rule_id", "name", "message", "level")
 
 
+SARIF_RUN = ("struct<tool struct<driver struct<rules array<struct<id string, shortDescription struct<text string>>>>>, results array<struct<ruleId string, "
+             "message struct<text string>, locations array<struct<physicalLocation struct<region struct<startLine bigint>>>>>>>")
+
+
 def _sarif_documents(files: DataFrame) -> DataFrame:
     docs = rp.sarif_documents(Audit(files).findings())
+    docs = docs.selectExpr("project_id", "dimension", "path", f"from_json(sarif, 'version string, runs array<{SARIF_RUN}>') AS s")
+    run = "s.runs[0]"
     return docs.selectExpr(
-        "project_id", "part", "get_json_object(sarif, '$.version') AS version",
-        "json_array_length(get_json_object(sarif, '$.runs[0].results')) AS n_results",
-        "json_array_length(get_json_object(sarif, '$.runs[0].tool.driver.rules')) AS n_rules",
-        "get_json_object(sarif, '$.runs[0].results[0].message.text') AS first_message",
-        "get_json_object(sarif, '$.runs[0].tool.driver.rules[0].id') AS first_rule")
+        "project_id", "dimension", "path", "s.version AS version",
+        f"array_join(transform({run}.results, r -> r.ruleId), '|') AS result_rules",
+        f"array_join(transform({run}.results, r -> r.message.text), '|') AS messages",
+        f"array_join(transform({run}.results, r -> CAST(r.locations[0].physicalLocation.region.startLine AS STRING)), '|', '-') AS lines",
+        f"array_join(transform({run}.tool.driver.rules, r -> r.id), '|') AS described",
+        f"array_join(transform({run}.tool.driver.rules, r -> r.shortDescription.text), '|') AS about")
 
 
 def _json_reports(files: DataFrame) -> DataFrame:
@@ -147,10 +155,12 @@ def _json_reports(files: DataFrame) -> DataFrame:
         "CAST(get_json_object(report, '$.dimension_scores.P.weight') AS DOUBLE) AS p_weight")
 
 
+LINE_FIELDS = ("rule_id", "pattern_id", "dimension", "severity", "category", "path", "location", "message", "fix_hint", "fix_safety")
+
+
 def _finding_lines(files: DataFrame) -> DataFrame:
-    lines = rp.finding_lines(Audit(files).findings(["sec_secrets", "compat_vendor_lock"]))
-    return lines.selectExpr("project_id", "get_json_object(finding, '$.rule_id') AS rule_id",
-                            "get_json_object(finding, '$.location') AS location", "get_json_object(finding, '$.message') AS message")
+    lines = rp.finding_lines(Audit(files).findings())
+    return lines.selectExpr("project_id", *[f"get_json_object(finding, '$.{f}') AS {f}" for f in LINE_FIELDS])
 
 
 def _patches(level: str) -> Callable[[DataFrame], DataFrame]:
@@ -177,6 +187,30 @@ def _incremental(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(rows.select("project_id", "overall", "project_hash", "reused"))
 
 
+def _appended_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """A store that holds every row twice."""
+    store = inc.full_audit(corpus.earlier_files(spark, sf), DEFAULT)
+    rows = inc.incremental_audit(corpus.seeded_files(spark, sf), store.unionByName(store), DEFAULT)
+    return _wide(rows.select("project_id", "overall", "project_hash", "reused"))
+
+
+def _stored_other_config(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals stored with all rules on, findings with some off."""
+    stored = Audit(corpus.seeded_files(spark, sf)).store_signals(shared_dir(spark, "signals"))
+    return _wide(fd.finding_counts(Audit(stored.files, CONFIGURED, stored.signals).findings()))
+
+
+def _shared_paths(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus.query(corpus.SHARED_PATHS_SQL, documents=corpus.table(spark, sf, "documents"))
+    scores = Audit(files, single=True).score_table
+    return _wide(scores.selectExpr("project_id.project_id AS project_id", "project_id.path AS path", "skill_type", "n_files", "overall", "P", "F", "X"))
+
+
+def _judged_audit(spark: SparkSession, sf: str) -> DataFrame:
+    audit = Audit(corpus.seeded_files(spark, sf), layered_config({"fail_threshold": 80}), judged=corpus.responses(spark, sf))
+    return _wide(audit.audits().select("project_id", "overall", *cat.DIMENSIONS, *[f"n_{s}" for s in cat.SEVERITIES], "band", "passed"))
+
+
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     parsed = jd.parse_responses(corpus.responses(spark, sf))
     scores = jd.blend(Audit(corpus.seeded_files(spark, sf)).score_table, parsed, DEFAULT)
@@ -224,6 +258,26 @@ def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.seeded_from(docs).join(events, "project_id")
 
 
+def _streamed(spark: SparkSession, deliveries: list[DataFrame], *streams: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """The tables that ``streams`` write, one run of each after every delivery."""
+    source = shared_dir(spark, "arrivals")
+    places = [(make, shared_dir(spark, "streamed"), shared_dir(spark, "state")) for make in streams]
+    for files in deliveries:
+        files.write.mode("append").parquet(source)
+        for make, out, checkpoint in places:
+            st.write_stream(make(spark.readStream.schema(files.schema).parquet(source)), out, checkpoint).awaitTermination()
+    return [spark.read.parquet(out) for _, out, _ in places]
+
+
+def _deliveries(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The corpus as it was earlier, later as it is, that twice within a
+    delivery, and once more."""
+    events = corpus.table(spark, sf, "events").selectExpr("event_id AS project_id", "CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP) AS arrived")
+    before = corpus.earlier_files(spark, sf).join(events, "project_id")
+    now = corpus.seeded_files(spark, sf).join(events, "project_id").withColumn("arrived", F.expr("arrived + INTERVAL 400 DAYS"))
+    return [before, now.unionByName(now), now]
+
+
 def _stream_findings(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = shared_dir(spark, "findings"), shared_dir(spark, "state")
     st.write_stream(st.stream_findings(_arrivals(spark, sf)), out, checkpoint).awaitTermination()
@@ -231,8 +285,13 @@ def _stream_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream_windows(spark: SparkSession, sf: str) -> DataFrame:
-    out, checkpoint = shared_dir(spark, "windows"), shared_dir(spark, "state")
-    st.write_updates(st.windowed_counts(_arrivals(spark, sf), "6 hours"), out, checkpoint).awaitTermination()
+    """Every file is delivered again, ten minutes later."""
+    arrivals = _arrivals(spark, sf)
+    again = arrivals.withColumn("arrived", F.expr("arrived + INTERVAL 10 MINUTES"))
+    counts, out = shared_dir(spark, "counts"), shared_dir(spark, "windows")
+    st.write_stream(st.stream_counts(arrivals.unionByName(again)), counts, shared_dir(spark, "state")).awaitTermination()
+    stream = spark.readStream.schema(spark.read.parquet(counts).schema).parquet(counts)
+    st.write_updates(st.windowed_counts(stream, "6 hours"), out, shared_dir(spark, "state")).awaitTermination()
     rows = st.latest_updates(spark.read.parquet(out), ["window_start", "rule_id"])
     return _wide(rows.selectExpr("unix_seconds(window_start) AS window_start", "rule_id", "n_findings"))
 
@@ -241,10 +300,21 @@ def _stream_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Scores from signals that streamed in, against the same files."""
     out, checkpoint = shared_dir(spark, "signals"), shared_dir(spark, "state")
     st.write_stream(st.stream_signals(_arrivals(spark, sf)), out, checkpoint).awaitTermination()
-    audit = Audit(corpus.seeded_files(spark, sf), signals=spark.read.parquet(out))
+    audit = Audit(corpus.seeded_files(spark, sf), signals=st.newest(spark.read.parquet(out)))
     return _wide(audit.audits().select("project_id", "overall", *cat.DIMENSIONS))
 
 
+def _stream_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that changed and came again: the scores of the last versions."""
+    signals, arrived = _streamed(spark, _deliveries(spark, sf), st.stream_signals, lambda arrivals: arrivals)
+    return _wide(Audit(st.current_files(arrived), signals=st.newest(signals)).audits().select("project_id", "overall", *cat.DIMENSIONS))
+
+
+def _stream_update_findings(spark: SparkSession, sf: str) -> DataFrame:
+    found, signals = _streamed(spark, _deliveries(spark, sf), st.stream_findings, st.stream_signals)
+    return _wide(fd.finding_counts(st.current_findings(found, signals)))
+
+
 def _lines(files: DataFrame) -> DataFrame:
     return cl.numbered_lines(files).select("project_id", "path", "kind", "line_no", "line")
 
@@ -254,7 +324,9 @@ def _findings(files: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "files_from_table": _talk(lambda files: files.selectExpr("project_id", "path", "length(content) AS n_chars")),
+    "files_from_table": lambda spark, sf: _wide(files_from_table(
+        corpus.table(spark, sf, "pages"), "split_part(split_part(url, '//', 2), '/', 1)", "concat('page_', page_id, '.html')", "html"
+    ).selectExpr("project_id", "path", "length(content) AS n_chars")),
     "file_kind": _seeded(cl.project_files),
     "file_kind_conversations": _talk(cl.project_files),
     "manifest": _seeded(_manifest),
@@ -309,4 +381,10 @@ QUERIES: dict[str, Query] = {
     "stream_findings": _stream_findings,
     "stream_windows": _stream_windows,
     "stream_signals": _stream_signals,
+    "stream_updates": _stream_updates,
+    "stream_update_findings": _stream_update_findings,
+    "incremental_appended_twice": _appended_twice,
+    "stored_other_config": _stored_other_config,
+    "single_files_shared_paths": _shared_paths,
+    "judged_audit": _judged_audit,
 }

@@ -15,13 +15,13 @@ KEY = "sk-" + "a1B2c" * 10 + "xyz"
 PROJECTS = {
     "missing": {"main.py": " \n"},
     "good_prompt": {"prompt.md": "你是一名专家\n请分步骤\n1. 阅读\n2. 输出 JSON 格式\n"},
-    "injection": {"main.py": 'prompt = f"Tell me about {user_input}"'},
+    "injection": {"main.py": 'prompt = f"Sort this mail: {user_input}"'},
     "secret": {"main.py": f'api_key = "{KEY}"'},
-    "eval": {"main.py": "result = eval(user_data)"},
-    "hardcoded": {"main.py": "temperature = 0.7"},
+    "eval": {"main.py": "total = eval(cell)"},
+    "hardcoded": {"main.py": "temperature = 0.25"},
     "good_readme": {"README.md": "# T\ninstall it\nexample\n" + "text " * 50},
-    "bare_except": {"main.py": "try:\n    pass\nexcept:\n    pass"},
-    "vendor": {"main.py": 'client.chat.completions.create(model="gpt-4", functions=tools)'},
+    "bare_except": {"main.py": "try:\n    send()\nexcept:\n    stop()"},
+    "vendor": {"main.py": 'llm.chat.completions.create(model=NAME, functions=specs)'},
     "unreadable": {"main.py": None, "README.md": "# x"},
     "mcp": {"mcp.json": '{"filesystem": ["read", "write"]}', "a.md": "x"},
     "split_mcp": {"a.json": '{"x": "m', "b.json": 'cp"}', "c.md": "x"},
@@ -51,11 +51,20 @@ def scores(files):
     return {r.project_id: r.asDict() for r in Audit(files).score_table.collect()}
 
 
+def test_first_configuration_files(files, spark):
+    """All configuration files tell the skill type, or the first few as one text."""
+    def types(n):
+        return {r.project_id: r.skill_type for r in Audit(files.unionByName(more), first_configs=n).score_table.collect()}
+
+    more = spark.createDataFrame([("late_mcp", f"{c}.json", "{}" if c < "d" else '{"mcp": 1}') for c in "abcd"], files.schema)
+    assert types(None)["late_mcp"] == "mcp" != types(3)["late_mcp"]
+    assert types(3)["split_mcp"] == "mcp" != types(None)["split_mcp"]  # the word straddles two files
+
+
 def test_scores(scores):
     for (project, column), value in EXPECTED.items():
         assert scores[project][column] == value, (project, column)
     assert scores["mcp"]["skill_type"] == "mcp"
-    assert scores["split_mcp"]["skill_type"] == "mcp"  # the word straddles two files
     assert scores["empty_name"]["gitignore_exists"] and scores["empty_name"]["n_code"] == 0
 
 
@@ -82,7 +91,7 @@ def test_findings(files):
     assert by["injection", "prompt_injection"][0].line == 1
     assert by["mcp", "sec_mcp_permissions"][0].path == "mcp.json"
     assert ("unreadable", "prompt_injection") not in by
-    assert by["hardcoded", "sec_hardcoded_config"][0].message.endswith("temperature = 0.7")
+    assert by["hardcoded", "sec_hardcoded_config"][0].message.endswith("temperature = 0.25")
 
 
 def test_counts_equal_findings(files):
@@ -104,6 +113,45 @@ def test_stored_signals_give_the_same(files, tmp_path):
     assert sorted(map(str, stored.audits().collect())) == sorted(map(str, Audit(files).audits().collect()))
 
 
+def test_stored_signals_of_another_configuration(files, tmp_path):
+    """Rules that are off find nothing in stored hits; rules that were off are refused."""
+    off = layered_config({"dimensions": {"S": {"rules": {"sec_secrets": {"enabled": False}}}}})
+    stored = Audit(files).store_signals(str(tmp_path / "all"))
+    got = Audit(files, off, stored.signals).findings().collect()
+    assert sorted(got) == sorted(Audit(files, off).findings().collect()) and not any(f.rule_id == "sec_secrets" for f in got)
+    less = Audit(files, off).store_signals(str(tmp_path / "less"))
+    with pytest.raises(ValueError, match="n_sec_secrets"):
+        Audit(files, AuditConfig(), less.signals)
+    with pytest.raises(ValueError, match="sec_secrets"):
+        fd.findings(files, AuditConfig(), hits=less.signals.select("project_id", "path", "hits"))
+
+
+def test_lone_unreadable_readme(spark):
+    rows = spark.createDataFrame([("p", "README.md", None), ("q", "README.md", "x")], "project_id string, path string, content string")
+    audit = Audit(rows, single=True)
+    counts = {r.project_id.project_id: (r.n_critical, r.n_warning, r.n_info) for r in audit.audits().collect()}
+    found = [(f.project_id.project_id, f.severity) for f in audit.findings().collect()]
+    assert {p: tuple(sum(f == (p, s) for f in found) for s in cat.SEVERITIES) for p in counts} == counts and len(found) > 3
+
+
+def test_judged_audit(files, spark):
+    answers = spark.createDataFrame([
+        ("eval", "P", '{"clarity": {"score": 10, "reason": "vague"}, "injection_risk": {"score": 50, "vulnerable_lines": ["a", "b"]}}', "success"),
+        ("eval", "C", '{"hallucination_risk": {"score": 0}}', "success"), ("secret", "P", "no answer", "success")],
+        "project_id string, judge string, raw string, status string")
+    plain, judged = Audit(files), Audit(files, judged=answers)
+    before = {r.project_id: r for r in plain.audits().collect()}
+    after = {r.project_id: r for r in judged.audits(nested=True).collect()}
+    assert {p for p in before if before[p].overall != after[p].overall or before[p].n_warning != after[p].n_warning} == {"eval"}
+    row = after["eval"]
+    assert (row.n_warning, row.n_info) == (before["eval"].n_warning + 2, before["eval"].n_info + 1)
+    subs = row.dimension_scores["P"].sub_scores
+    assert subs["clarity_ai"] == 10 and subs["injection_risk"] == int(0.6 * 100 + 0.4 * 50) and row.P == int(sum(subs.values()) / len(subs))
+    found = judged.findings().groupBy("project_id").pivot("severity", list(cat.SEVERITIES)).count().na.fill(0).collect()
+    assert {r[0]: tuple(r[1:]) for r in found} == {p: (r.n_critical, r.n_warning, r.n_info) for p, r in after.items()}
+    assert f"{row.n_warning} warning" in row.summary
+
+
 LINES = ["for x in y:", "  for z in w:", "while True:", "    openai.call()", "  openai.call()", "openai.call()", "", "# openai",
          "  # for a in b:", "    pass", "  x = anthropic.y", "forx in y:", "\tr.invoke(1)", "for a: openai"]
 
@@ -158,7 +206,7 @@ def test_patches(files, spark):
     assert fx.patches(files, "none").count() == 0
     assert ("eval", "main.py") in {(r.project_id, r.file_path) for r in fx.patches(files, "suggested").collect()}
     done = {(r.project_id, r.path): r.content for r in fx.patched_files(files, "suggested").collect()}
-    assert done["eval", "main.py"] == "result = ast.literal_eval(user_data)"
+    assert done["eval", "main.py"] == "total = ast.literal_eval(cell)"
     assert done["good_readme", "README.md"] == PROJECTS["good_readme"]["README.md"]
     with pytest.raises(ValueError):
         fx.patches(files, "everything")
@@ -207,6 +255,11 @@ def test_hashes_and_incremental(files, spark):
     assert {p: r.overall for p, r in rows.items()} == fresh
     other = layered_config({"fail_threshold": 1})
     assert not any(r.reused for r in inc.incremental_audit(files, store, other).collect())
+    twice = {r.project_id for r in inc.incremental_audit(changed, store.unionByName(store), cfg).collect()}
+    audited = inc.incremental_audit(changed, store.unionByName(store), cfg)
+    assert audited.count() == len(twice) and {r.project_id for r in inc.fresh(audited).collect()} == {"eval"}
+    dated = store.withColumn("n", F.lit(1)).unionByName(store.withColumn("n", F.lit(2)).withColumn("overall", F.lit(-1)))
+    assert {r.overall for r in inc.newest(dated, "n").collect()} == {-1}
     renamed = files.withColumn("path", F.concat(F.lit("x/"), "path"))
     assert not {r.project_hash for r in inc.project_hashes(files).collect()} & {r.project_hash for r in inc.project_hashes(renamed).collect()}
 

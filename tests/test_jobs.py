@@ -19,16 +19,27 @@ def frame(spark, rows):
 def test_read_project_tree(spark, tmp_path):
     for name, data in {
         "a/main.py": b"x = eval(y)\r\n\xff", "a/pkg/__pycache__/m.py": b"eval(1)", "a/.git/config": b"", "a/.gitignore": b"*.pyc", "a/x/y/__init__.py": b"",
-        "b/README.md": "é".encode(), "top.txt": b"no project",
+        "b/README.md": "é".encode(), "top.txt": b"no project", "c/1/2/3/4/5/deep.txt": b"d",
     }.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    got = {(r.project_id, r.path): r.content for r in src.read_project_tree(spark, str(tmp_path)).collect()}
-    assert got == {("a", "main.py"): "x = eval(y)\r\n", ("a", ".gitignore"): "*.pyc", ("a", "x/y/__init__.py"): "", ("b", "README.md"): "é"}
+    want = {("a", "main.py"): "x = eval(y)\r\n", ("a", ".gitignore"): "*.pyc", ("a", "x/y/__init__.py"): "", ("b", "README.md"): "é",
+            (".", "top.txt"): "no project", ("c", "1/2/3/4/5/deep.txt"): "d"}
+    got = {(r.project_id, r.path): r.content for r in src.read_project_tree(spark, str(tmp_path), 4).collect()}
+    assert got == want
+    lone = {(r.project_id, r.path) for r in src.read_project_tree(spark, str(tmp_path), 4, project="all").collect()}
+    assert lone == {("all", f"{p}/{path}".removeprefix("./")) for p, path in want}
     one = src.read_single_file(spark, str(tmp_path / "b" / "README.md")).collect()
     assert [(r.path, r.kind, r.text) for r in one] == [("README.md", "prompt", "é")]
 
 
+def test_read_many_folders(spark, tmp_path):
+    for i in range(2000):
+        (tmp_path / "src" / f"d{i:04}").mkdir(parents=True)
+        (tmp_path / "src" / f"d{i:04}" / "f.txt").write_text(str(i))
+    assert src.read_project_tree(spark, str(tmp_path), 8, project="p").selectExpr("sum(CAST(content AS INT))").first()[0] == sum(range(2000))
+
+
 FILES = [("p", "main.py", "eval(a)\nexec(b)\n"), ("p", "z.py", "\n\nx = eval(c)"), ("q", "m.md", "hi")]
 
 
@@ -37,22 +48,42 @@ def test_sarif(spark):
     results = {(r.uri, r.start_line): r for r in rp.sarif_results(found).filter("rule_id = 'sec_dangerous_functions'").collect()}
     assert set(results) == {("main.py", 1), ("main.py", 2), ("z.py", 3)}
     assert results["z.py", 3].level == "warning" and "\nFix: " in results["z.py", 3].message
-    docs = [json.loads(r.sarif) for r in rp.sarif_documents(found).filter("project_id = 'p'").collect()]
-    assert len(docs) == 1 and docs[0]["version"] == "2.1.0"
-    run = docs[0]["runs"][0]
-    assert len(run["results"]) == found.filter("project_id = 'p'").count()
-    ids = [r["id"] for r in run["tool"]["driver"]["rules"]]
-    assert len(ids) == len(set(ids)) and set(ids) == {r["ruleId"] for r in run["results"]}
-    whole = [r for r in run["results"] if r["ruleId"] == "maint_documentation"]
+    docs = {(r.dimension, r.path): json.loads(r.sarif) for r in rp.sarif_documents(found).filter("project_id = 'p'").collect()}
+    assert {d["version"] for d in docs.values()} == {"2.1.0"}
+    assert sum(len(d["runs"][0]["results"]) for d in docs.values()) == found.filter("project_id = 'p'").count()
+    for d in docs.values():
+        ids = [r["id"] for r in d["runs"][0]["tool"]["driver"]["rules"]]
+        assert ids == list(dict.fromkeys(r["ruleId"] for r in d["runs"][0]["results"]))
+    whole = [r for r in docs["X", None]["runs"][0]["results"] if r["ruleId"] == "maint_documentation"]
     assert whole[0]["locations"][0]["physicalLocation"]["region"] == {}
 
 
-def test_large_projects_get_several_documents(spark):
-    rows = spark.range(500).selectExpr("'p' AS project_id", "concat('f', id, '.py') AS path", "'eval(x)' AS content")
-    found = fd.findings(rows, rules=["sec_dangerous_functions"])
-    docs = rp.sarif_documents(found, size=100).collect()
-    sizes = [len(json.loads(d.sarif)["runs"][0]["results"]) for d in docs]
-    assert len(sizes) == 5 and sum(sizes) == 500
+def test_a_document_keeps_any_number_of_results_in_order(spark):
+    rows = frame(spark, [("p", "big.py", "eval(x)\nexec(y)\n" * 10_000), ("p", "small.py", "eval(z)")])
+    docs = {r.path: json.loads(r.sarif)["runs"][0]["results"] for r in rp.sarif_documents(fd.findings(rows, rules=["sec_dangerous_functions"])).collect()}
+    assert {p: len(d) for p, d in docs.items()} == {"big.py": 20_000, "small.py": 1}
+    lines = [r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in docs["big.py"]]
+    assert lines == [*range(1, 20_001, 2), *range(2, 20_001, 2)]  # by pattern, then by place
+
+
+def test_report_lines(spark):
+    audit = Audit(frame(spark, FILES))
+    rows = rp.report_lines(audit.audits(nested=True), audit.findings(), audit.patches("suggested"), cl.project_files(audit.files)).collect()
+    kinds = {k: [json.loads(r.line) for r in rows if r.record == k] for k in ("audit", "issue", "patch", "file")}
+    assert len(rows) == sum(map(len, kinds.values())) and len(kinds["audit"]) == 2 and len(kinds["file"]) == len(FILES)
+    assert len(kinds["issue"]) == audit.findings().count() and {p["applied"] for p in kinds["patch"]} == {True}
+
+
+def test_patches_that_cannot_be_applied(spark):
+    """A line that lies within one patched before is gone when its turn comes."""
+    own = (("sec_dangerous_functions", lambda line: "'done'", "x", "suggested"),)
+    rows = frame(spark, [("p", "m.py", "a = eval(x) + b\neval(x)\n")])
+    got = {r.original: r.applied for r in fx.patches(rows, "suggested", line_fixers=own).filter("file_path = 'm.py'").collect()}
+    assert got == {"a = eval(x) + b": True, "eval(x)": True}
+    rows = frame(spark, [("p", "m.py", "eval(x)\n  eval(x)\n")])
+    again = (("sec_dangerous_functions", lambda line: f"concat('#', replace({line}, 'eval', 'parse'))", "x", "suggested"),)
+    stats = fx.patch_stats(fx.patches(rows, "suggested", line_fixers=again).filter("file_path = 'm.py'")).first()
+    assert (stats.n_patches, stats.n_applied, stats.n_failed) == (2, 2, 0)
 
 
 def test_sinks(spark, tmp_path):
@@ -103,15 +134,34 @@ def test_parse_responses(spark):
                    6: (False, None), 7: (False, None)}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = frame(spark, FILES + [("q", "s.py", 'password = "abcdefgh1"')])
-    arrivals = rows.withColumn("arrived", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    arrivals.unionByName(arrivals.filter("path = 'z.py'")).write.parquet(str(tmp_path / "in"))  # one file twice
-    stream = spark.readStream.schema(arrivals.schema).parquet(str(tmp_path / "in"))
-    st.write_stream(st.stream_findings(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select(*fd.COLUMNS).collect()
-    want = fd.findings(rows, rules=st.FILE_LEVEL_RULES).collect()
-    assert sorted(map(str, got)) == sorted(map(str, want))
+def stamped(rows, when):
+    return rows.withColumn("arrived", F.lit(when).cast("timestamp"))
+
+
+def test_streams_follow_the_last_version(spark, tmp_path):
+    """A file that changed, one that came again, one that changed and went back."""
+    first = frame(spark, FILES + [("q", "s.py", 'password = "abcdefgh1"')])
+    changed = frame(spark, [("p", "main.py", "x = 1\n"), ("q", "s.py", "y = 2")])
+    back = frame(spark, [("q", "s.py", 'password = "abcdefgh1"')])
+    deliveries = [stamped(first, "2024-01-01 00:00:00"), stamped(changed, "2024-01-01 00:20:00"), stamped(changed, "2024-01-01 00:20:00"),
+                  stamped(back, "2024-01-01 00:30:00").unionByName(stamped(first.filter("path = 'z.py'"), "2024-01-01 00:30:00"))]
+    source, outs = str(tmp_path / "in"), {}
+    for rows in deliveries:
+        rows.write.mode("append").parquet(source)
+        for name, make in (("findings", st.stream_findings), ("signals", st.stream_signals), ("counts", st.stream_counts)):
+            stream = make(spark.readStream.schema(rows.schema).parquet(source))
+            st.write_stream(stream, str(tmp_path / name), str(tmp_path / f"state-{name}")).awaitTermination()
+            outs[name] = spark.read.parquet(str(tmp_path / name))
+    now = first.filter("path <> 'main.py'").unionByName(changed.filter("path = 'main.py'"))
+    arrived = spark.read.parquet(source)
+    assert sorted(st.current_files(arrived).collect()) == sorted(now.collect())
+    got = st.current_findings(outs["findings"], outs["signals"]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, fd.findings(now, rules=st.FILE_LEVEL_RULES).collect())) and got
+    streamed = Audit(st.current_files(arrived), signals=st.newest(outs["signals"])).audits().collect()
+    assert sorted(map(str, streamed)) == sorted(map(str, Audit(now).audits().collect()))
+    # Each content of a file counts once while the watermark remembers it.
+    n = {r.rule_id: r.n for r in outs["counts"].groupBy("rule_id").agg(F.sum("n").alias("n")).collect()}
+    assert n["sec_dangerous_functions"] == 3 and n["sec_secrets"] == 1
 
 
 def test_custom_dimension(spark):
@@ -152,14 +202,49 @@ def _exchanged(df):
     return [b for b in out.getvalue().split("\n\n") if ") Exchange" in b.split("\n")[0]]
 
 
+def _plan(df):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    out = StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def test_text_is_not_shuffled(spark, tmp_path):
-    frame(spark, FILES).write.parquet(str(tmp_path / "f"))
-    files = spark.read.parquet(str(tmp_path / "f"))
-    for df in (Audit(files).audits(), Audit(files).findings(), Audit(files).patched_files("suggested")):
+    frame(spark, FILES).repartition(3).write.parquet(str(tmp_path / "f"))
+    files = src.files_from_table(spark.read.parquet(str(tmp_path / "f")), "project_id", "path", "content")
+    for df in (Audit(files).audits(), Audit(files).findings(), Audit(files).patched_files("suggested"), rp.sarif_documents(Audit(files).findings())):
         moves = _exchanged(df)
         assert moves and not any("text#" in m or "content#" in m for m in moves)
 
 
+def test_findings_read_the_text_few_times(spark, tmp_path):
+    frame(spark, FILES).write.parquet(str(tmp_path / "f"))
+    audit = Audit(spark.read.parquet(str(tmp_path / "f")))
+    for df, most in ((audit.findings(), 5), (rp.sarif_documents(audit.findings()), 5), (audit.audits(), 2), (audit.manifests(), 1)):
+        assert sum(") Scan parquet" in part.split("\n")[0] for part in _plan(df).split("\n\n")) <= most
+
+
+def test_planning_starts_no_job(spark):
+    """Building a table runs nothing, but for what streams, lists folders or stores."""
+    from folioscan.workloads.queries import QUERIES
+
+    runs = {n for n in QUERIES if n.startswith("stream_")} | {"stored_other_config"}
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    small = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{small}/documents.parquet")
+    started = {}
+    for name in ("overall", "findings", "sarif_documents", "json_reports", "judge_blend", "judged_audit", "incremental", "patched_files",
+                 "reaudit_patched", "evidence", "single_file_scores", "files_from_table", "duplicate_lines", "error_audits"):
+        before = jobs()
+        df = QUERIES[name](spark, small)
+        reading = len(df.inputFiles())  # reading a footer for a schema is a job of Spark's own
+        started[name] = jobs() - before
+        assert name not in runs and reading and started[name] <= 6, started
+
+
 def test_report_carries_configuration_and_time(spark):
     audit = Audit(frame(spark, FILES))
     row = rp.json_reports(audit.audits(nested=True), audit.config, "2024-01-02 03:04:05").first()
@@ -171,9 +256,12 @@ def test_report_carries_configuration_and_time(spark):
 def test_single_files(spark):
     rows = frame(spark, [("x", "README.md", "You are an expert"), ("x", "tool.py", "eval(a)"), ("x", "requirements.txt", "flask")])
     audit = Audit(rows, single=True)
-    got = {r.project_id: r for r in audit.score_table.collect()}
+    got = {r.project_id.path: r for r in audit.score_table.collect()}
     assert {p: r.skill_type for p, r in got.items()} == {"README.md": "prompt", "tool.py": "unknown", "requirements.txt": "prompt"}
     assert got["README.md"].X_documentation == 60 and got["requirements.txt"].S_dependencies == 70
     assert got["tool.py"].S_dangerous == 100 and got["tool.py"].P == 0 and got["tool.py"].estimated_total_tokens == 2
-    rules = {(r.project_id, r.rule_id) for r in audit.findings().collect()}
+    rules = {(r.project_id.path, r.rule_id) for r in audit.findings().collect()}
     assert ("tool.py", "prompt_missing") in rules and not any(r == "sec_dependencies" for _, r in rules)
+    shared = frame(spark, [("a", "README.md", "x"), ("b", "README.md", "y"), ("b", "m.py", "z")])
+    assert {(*r.project_id, r.n_files) for r in Audit(shared, single=True).score_table.collect()} == {
+        ("a", "README.md", 1), ("b", "README.md", 1), ("b", "m.py", 1)}
