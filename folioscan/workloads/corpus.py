@@ -46,12 +46,14 @@ WITH snip(cls, sid, body) AS (VALUES
  ('dep',0,'requests==2.0|flask==1.0'),
  ('dep',1,'numpy'),
  ('dep',2,'Django|urllib3|jinja2'),
+ ('dep',3,'attrs==23.1'),
+ ('dep',4,'click|rich'),
  ('cfg',0,'{"mcpServers": {"filesystem": ["read", "write"]}}'),
  ('cfg',1,'{"version": "1.0"}'),
  ('cfg',2,'{"api_key": "' || repeat('abcd',5) || '"}'),
  ('other',0,'*.pyc')),
 d AS (SELECT doc_id, text, CAST(floor(doc_id / 8) AS BIGINT) AS pid, CAST(doc_id % 8 AS INT) AS r FROM documents),
-p AS (SELECT *, CASE r
+base AS (SELECT *, CASE r
    WHEN 0 THEN CASE WHEN pid % 3 = 0 THEN 'README.md' ELSE 'docs/notes.txt' END
    WHEN 1 THEN CASE WHEN pid % 5 = 0 THEN 'lib/io.py' ELSE 'system_prompt.md' END
    WHEN 2 THEN 'main.py'
@@ -59,13 +61,21 @@ p AS (SELECT *, CASE r
    WHEN 4 THEN CASE WHEN pid % 4 = 0 THEN 'src/tool_runner.py' WHEN pid % 4 = 1 THEN 'src/agent.js' ELSE 'src/core.py' END
    WHEN 5 THEN CASE WHEN pid % 6 = 0 THEN 'mcp.json' WHEN pid % 6 = 1 THEN 'settings.yaml' ELSE 'config.json' END
    WHEN 6 THEN CASE WHEN pid % 3 = 1 THEN 'CHANGELOG.md' ELSE 'requirements.txt' END
-   ELSE CASE WHEN pid % 2 = 0 THEN '.gitignore' ELSE '__init__.py' END END AS path FROM d),
+   ELSE CASE WHEN pid % 2 = 0 THEN '.gitignore' ELSE '__init__.py' END END AS plain FROM d),
+p AS (SELECT *, CASE pid % 13 WHEN 5 THEN replace(plain, '.py', '.md') WHEN 7 THEN 'retriever/' || plain WHEN 9 THEN 'f' || r || '.bin'
+   ELSE plain END AS path FROM base),
 c AS (SELECT *, CASE WHEN path LIKE '%.py' OR path LIKE '%.js' THEN 'py' WHEN path = 'requirements.txt' THEN 'dep'
    WHEN path LIKE '%.json' OR path LIKE '%.yaml' THEN 'cfg' WHEN path = '.gitignore' THEN 'other' ELSE 'prompt' END AS cls FROM p),
-k AS (SELECT *, CASE cls WHEN 'py' THEN 22 WHEN 'prompt' THEN 6 WHEN 'dep' THEN 3 WHEN 'cfg' THEN 3 ELSE 1 END AS n FROM c)
-SELECT k.pid AS project_id, k.path, k.text || chr(10) || replace(a.body, '|', chr(10)) || chr(10) || replace(b.body, '|', chr(10)) || chr(10) AS content
+k AS (SELECT *, CASE cls WHEN 'py' THEN 22 WHEN 'prompt' THEN 6 WHEN 'dep' THEN 5 WHEN 'cfg' THEN 3 ELSE 1 END AS n FROM c),
+t AS (SELECT k.pid, k.r, k.path, k.text || chr(10) || replace(a.body, '|', chr(10)) || chr(10) || replace(b.body, '|', chr(10)) AS body
 FROM k JOIN snip a ON a.cls = k.cls AND a.sid = (k.pid * 7 + k.r) % k.n
-       JOIN snip b ON b.cls = k.cls AND b.sid = (k.pid * 3 + k.r * 5 + 1) % k.n
+       JOIN snip b ON b.cls = k.cls AND b.sid = (k.pid * 3 + k.r * 5 + 1) % k.n)
+SELECT pid AS project_id, path, CASE (pid * 5 + r) % 17
+   WHEN 0 THEN replace(body, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(body, chr(10), chr(13)) WHEN 2 THEN body
+   WHEN 3 THEN replace(body, ' the ', ' the' || chr(12)) WHEN 4 THEN replace(body, ' de ', ' de ')
+   WHEN 5 THEN body || chr(10) || ' ' || chr(11) || chr(10) WHEN 6 THEN CASE WHEN pid % 3 = 0 THEN '' ELSE body END
+   ELSE body || chr(10) END AS content
+FROM t
 '''
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
