@@ -1,9 +1,17 @@
-"""Model judges: building requests, calling a client, and blending the answers."""
+"""Model judges: building requests, calling a client, and blending the answers.
+
+By default a judge sees every prompt and code file whole: a request holds one
+file, or a numbered part of a long one, so that requests need no order among
+files and nothing of a project is gathered.  Several answers about a project
+are averaged.  :class:`Limits` asks for one short request per project instead;
+it then says what was cut.
+"""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,14 +21,23 @@ from folioscan.operators import classify as cl, findings as fd, scores as sc
 from folioscan.plans.config import AuditConfig
 from folioscan.rules import catalog as cat
 
-# How much of a project a judge sees, and how scores blend.
-PROMPT_LIMIT, CODE_LIMIT, CODE_FILES, CODE_FILE_LIMIT = 6000, 4000, 5, 3000
+# How scores blend.
 RULE_SHARE, JUDGE_SHARE = 0.6, 0.4
 PROMPT_KEYS = ("clarity", "specificity", "injection_risk")
 CORRECTNESS_KEYS = ("hallucination_risk",)
-LISTED, LISTED_CHARS = 3, 100
+REQUEST_CHARS = 12_000  # of a file's text in a request
+
+
+@dataclass(frozen=True)
+class Limits:
+    """How much of a project a single request may hold."""
+
+    prompt: int = 6000
+    code: int = 4000
+    code_files: int = 5
+    code_file: int = 3000
+    salts: int = 256  # parts that a project's prompt files are cut in first
 
-_SALTS = 256
 
 SYSTEM_PROMPTS = {
     "P": (
@@ -38,55 +55,88 @@ SYSTEM_PROMPTS = {
 }
 
 RESPONSES = (
-    "project_id string, judge string, raw string, status string, input_tokens int, output_tokens int, latency_ms int, retries int")
+    "project_id string, judge string, path string, part int, request_id string, model string, temperature double, raw string, status string, "
+    "input_tokens int, output_tokens int, latency_ms int, retries int")
 
 
-def content_texts(classified: DataFrame) -> DataFrame:
-    """(project_id, prompt_content, code_content) as a judge sees them.
+def content_texts(classified: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(project_id, prompt_content, code_content, truncated): texts in path order
+    up to the limits, and whether they are less than the whole.
 
-    Prompt texts are joined in path order and cut at a limit, so only the files
-    that begin before it matter.  The running length is taken first in salted
-    parts of a project and then over what those parts keep: a part never drops a
-    file the whole would keep, and a huge project is spread over many tasks.
+    Only the files that begin before the limit matter.  The running length is
+    taken first in salted parts of a project and then over what those parts
+    keep: a part never drops a file the whole would keep, and a huge project is
+    spread over many tasks.
     """
-    prompts = classified.filter("is_prompt AND text IS NOT NULL").selectExpr(
-        "project_id", "path", f"left(text, {PROMPT_LIMIT}) AS text", f"pmod(xxhash64(path), {_SALTS}) AS salt")
+    all_prompts = classified.filter("is_prompt AND text IS NOT NULL")
+    prompts = all_prompts.selectExpr(
+        "project_id", "path", f"left(text, {limits.prompt}) AS text", f"pmod(xxhash64(path), {limits.salts}) AS salt")
     for keys in (("project_id", "salt"), ("project_id",)):
         before = Window.partitionBy(*keys).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
         prompts = prompts.withColumn("begins", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter(
-            F.col("begins") < PROMPT_LIMIT)
+            F.col("begins") < limits.prompt)
     joined = "array_join(transform(sort_array(collect_list(struct(path, text))), x -> x.text), '\\n')"
-    prompt = prompts.groupBy("project_id").agg(F.expr(f"left({joined}, {PROMPT_LIMIT}) AS prompt_content"))
+    prompt = prompts.groupBy("project_id").agg(F.expr(f"left({joined}, {limits.prompt}) AS prompt_content"))
     first = Window.partitionBy("project_id").orderBy("path")
     code = (
-        classified.filter("kind = 'code'").selectExpr("project_id", "path", f"left(text, {CODE_FILE_LIMIT}) AS text")
-        .withColumn("rn", F.row_number().over(first)).filter(f"rn <= {CODE_FILES}").filter("text IS NOT NULL")
-        .groupBy("project_id").agg(F.expr(f"left({joined}, {CODE_LIMIT}) AS code_content")))
-    return (
-        classified.select("project_id").distinct().join(prompt, "project_id", "left").join(code, "project_id", "left")
-        .selectExpr("project_id", "coalesce(prompt_content, '') AS prompt_content", "coalesce(code_content, '') AS code_content"))
+        classified.filter("kind = 'code'").selectExpr("project_id", "path", f"left(text, {limits.code_file}) AS text")
+        .withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= limits.code_files).filter("text IS NOT NULL")
+        .groupBy("project_id").agg(F.expr(f"left({joined}, {limits.code}) AS code_content")))
+    readable = "text IS NOT NULL"
+    whole = classified.groupBy("project_id").agg(*[F.expr(f"coalesce(sum(CASE WHEN {c} AND {readable} THEN length(text) + 1 END) - 1, 0) AS {n}")
+                                                   for n, c in (("prompt_chars", "is_prompt"), ("code_chars", "kind = 'code'"))])
+    return whole.join(prompt, "project_id", "left").join(code, "project_id", "left").selectExpr(
+        "project_id", "coalesce(prompt_content, '') AS prompt_content", "coalesce(code_content, '') AS code_content",
+        "coalesce(length(prompt_content), 0) < prompt_chars OR coalesce(length(code_content), 0) < code_chars AS truncated")
+
 
+NOTHING = "Nothing to review was found."
 
-def judge_requests(files: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
-    """One request per project and judge."""
+
+def _fenced(title: str, text: str) -> str:
+    return f"concat('## {title}\\n```\\n', {text}, '\\n```')"
+
+
+def judge_requests(files: DataFrame, cfg: AuditConfig | None = None, limits: Limits | None = None, size: int = REQUEST_CHARS) -> DataFrame:
+    """Requests (project_id, judge, path, part, system_prompt, user_prompt,
+    truncated) for each judge that is on."""
     cfg = cfg or AuditConfig()
     judges = [d for d in ("P", "C") if d in cfg.enabled_dimensions()]
-    fence = "concat('## {}\\n```\\n', {}, '\\n```')"
-    prompt, code = fence.format("Prompt", "prompt_content"), fence.format("Code", "code_content")
-    body = (
-        f"concat_ws('\\n\\n', CASE WHEN prompt_content <> '' THEN {prompt} END, CASE WHEN code_content <> '' THEN {code} END)")
     cells = ", ".join(f"struct('{j}' AS judge, {tx.q(SYSTEM_PROMPTS[j])} AS system_prompt)" for j in judges)
-    return content_texts(cl.classify(files)).selectExpr(
-        "project_id", f"inline(array({cells}))",
-        f"CASE WHEN {body} = '' THEN 'Nothing to review was found.' ELSE {body} END AS user_prompt")
+    classified = cl.classify(files)
+    if limits is not None:
+        body = (f"concat_ws('\\n\\n', CASE WHEN prompt_content <> '' THEN {_fenced('Prompt', 'prompt_content')} END, "
+                f"CASE WHEN code_content <> '' THEN {_fenced('Code', 'code_content')} END)")
+        rows = content_texts(classified, limits).selectExpr(
+            "project_id", "CAST(NULL AS STRING) AS path", "0 AS part", f"CASE WHEN {body} = '' THEN '{NOTHING}' ELSE {body} END AS user_prompt", "truncated")
+    else:
+        seen = "(is_prompt OR kind = 'code') AND length(text) > 0"
+        parts = classified.selectExpr("project_id", "path", "kind", "text", f"CASE WHEN {seen} THEN sequence(0, (length(text) - 1) div {size}) END AS parts")
+        text = f"substring(text, CAST(part * {size} + 1 AS INT), {size})"
+        rows = parts.selectExpr("project_id", "path", "kind", "text", "explode(parts) AS part").selectExpr(
+            "project_id", "path", "CAST(part AS INT) AS part",
+            f"CASE WHEN kind = 'code' THEN {_fenced('Code', text)} ELSE {_fenced('Prompt', text)} END AS user_prompt", "false AS truncated")
+        empty = classified.groupBy("project_id").agg(F.expr(f"coalesce(bool_or({seen}), false) AS some")).filter("NOT some")
+        rows = rows.unionByName(empty.selectExpr(
+            "project_id", "CAST(NULL AS STRING) AS path", "0 AS part", f"'{NOTHING}' AS user_prompt", "false AS truncated"))
+    return rows.selectExpr("project_id", f"inline(array({cells}))", "path", "part", "user_prompt", "truncated")
+
+
+def with_ids(requests: DataFrame) -> DataFrame:
+    """Adds request_id, a hash of what is asked about what."""
+    return requests.withColumn("request_id", F.sha2(F.to_json(F.struct("project_id", "judge", "path", "part", "system_prompt", "user_prompt")), 256))
 
 
 def call_judge(requests: DataFrame, connect: Callable[[], Callable | None], max_retries: int = 2, retry_delay: float = 1.0,
-               timeout: int = 30) -> DataFrame:
+               timeout: int = 30, model: str | None = None, temperature: float | None = None,
+               answered: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Sends each request to a client; failures become a status, not an error.
 
     ``connect()`` runs once per task and returns ``ask(system, user, timeout) ->
     (text, input_tokens, output_tokens)``, or None if no client is available.
+    ``answered``: stored answers; what succeeded there is not asked again, so a
+    job that died goes on where it ended.  ``partitions`` spreads the requests
+    by their id: the smaller a task, the less is asked again if it is lost.
     """
 
     def ask_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,9 +159,15 @@ def call_judge(requests: DataFrame, connect: Callable[[], Callable | None], max_
         names = ["raw", "status", "input_tokens", "output_tokens", "latency_ms", "retries"]
         for batch in batches:
             answers = pd.DataFrame([one(r) for r in batch.itertuples()], columns=names, index=batch.index)
-            yield pd.concat([batch[["project_id", "judge"]].astype({"project_id": str}), answers], axis=1)
+            kept = batch[["project_id", "judge", "path", "part", "request_id"]].assign(model=model, temperature=temperature)
+            yield pd.concat([kept, answers], axis=1)
 
-    return requests.mapInPandas(ask_all, RESPONSES)
+    todo = with_ids(requests).withColumn("project_id", F.col("project_id").cast("string"))
+    if answered is not None:
+        todo = todo.join(answered.filter("status = 'success'").select("request_id"), "request_id", "left_anti")
+    if partitions:
+        todo = todo.repartition(partitions, "request_id")
+    return todo.select("project_id", "judge", "path", "part", "request_id", "system_prompt", "user_prompt").mapInPandas(ask_all, RESPONSES)
 
 
 def _score(path: str) -> str:
@@ -136,15 +192,21 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         "try_variant_get(answer, '$.risk_patterns', 'array<string>') AS risk_patterns")
 
 
+def averaged(parsed: DataFrame) -> DataFrame:
+    """One row per project and judge: the mean of each score over its answers."""
+    keys = [f"{k}_score" for k in (*PROMPT_KEYS, *CORRECTNESS_KEYS)]
+    return parsed.filter("parsed").groupBy("project_id", "judge").agg(F.lit(True).alias("parsed"), *[F.avg(k).alias(k) for k in keys])
+
+
 def blend(scores: DataFrame, parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
     """Score table with judged P and C dimensions and a new overall score.
 
     A judged sub-score is 0.6 of the rules' score (100 if there is none: the
     judge's ``injection_risk`` is not the rules' ``injection``) plus 0.4 of the
     judge's; the dimension becomes the plain mean of all its sub-scores, the
-    judge's own (``<sub>_ai``) among them.
+    judge's own (``<sub>_ai``) among them.  Several answers are averaged first.
     """
-    out = scores
+    out, parsed = scores, averaged(parsed)
     keys = {"P": PROMPT_KEYS, "C": CORRECTNESS_KEYS}
     for d, judged in keys.items():
         if d not in cfg.enabled_dimensions():
@@ -170,7 +232,7 @@ def blend(scores: DataFrame, parsed: DataFrame, cfg: AuditConfig) -> DataFrame:
 
 
 def judge_findings(parsed: DataFrame) -> DataFrame:
-    """A note per reason, a warning for each of the first listed lines."""
+    """A note per reason, a warning for each listed line."""
     def struct(dim, severity, category, message, hint, pos):
         return (f"named_struct('dimension', '{dim}', 'severity', '{severity}', 'category', '{category}', 'message', {message}, "
                 f"'fix_hint', '{hint}', 'pos', {pos})")
@@ -181,8 +243,8 @@ def judge_findings(parsed: DataFrame) -> DataFrame:
             + struct(dim, "info", f"judged_{k}", f"concat('judge: ', {k}_reason)", "", i) + " END END" for i, k in enumerate(keys))
 
     def listed(dim, column, category, hint):
-        one = struct(dim, "warning", category, f"concat('judge: ', left(l, {LISTED_CHARS}))", hint, "10 + i")
-        return f"transform(slice(coalesce({column}, CAST(array() AS array<string>)), 1, {LISTED}), (l, i) -> {one})"
+        one = struct(dim, "warning", category, "concat('judge: ', l)", hint, "10 + i")
+        return f"transform(coalesce({column}, CAST(array() AS array<string>)), (l, i) -> {one})"
 
     rows = (
         "CASE judge "
@@ -199,6 +261,9 @@ def judge_findings(parsed: DataFrame) -> DataFrame:
 
 
 def judge_usage(responses: DataFrame) -> DataFrame:
-    return responses.groupBy("judge", "status").agg(F.expr("count(1) AS n_calls"), *[F.expr(e) for e in (
+    """Calls, tokens and exact median latency by judge, status and, where the
+    answers name it, model."""
+    keys = ["judge", "status", *[c for c in ("model",) if c in responses.columns]]
+    return responses.groupBy(*keys).agg(F.expr("count(1) AS n_calls"), *[F.expr(e) for e in (
         "sum(input_tokens) AS input_tokens", "sum(output_tokens) AS output_tokens", "max(latency_ms) AS max_latency_ms",
-        "percentile_approx(latency_ms, 0.5) AS median_latency_ms", "sum(retries) AS retries")])
+        "CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) AS INT) AS median_latency_ms", "sum(retries) AS retries")])

@@ -455,16 +455,34 @@ def project_hashes(table: str, name: str) -> str:
         f"FROM {table} WHERE NOT regexp_matches(path, {q(skipped)})) GROUP BY project_id))")
 
 
+def _fenced(title: str, column: str) -> str:
+    return f"'## {title}' || chr(10) || '```' || chr(10) || {column} || chr(10) || '```'"
+
+
 def judge_requests() -> str:
-    def section(title, column):
-        return f"'## {title}' || chr(10) || '```' || chr(10) || {column} || chr(10) || '```'"
-    both = f"concat_ws(chr(10) || chr(10), CASE WHEN pc <> '' THEN {section('Prompt', 'pc')} END, CASE WHEN cc <> '' THEN {section('Code', 'cc')} END)"
+    """Every prompt and code file, part by part."""
+    n = jd.REQUEST_CHARS
+    return classified() + f""",
+seen AS (SELECT * FROM k WHERE (is_prompt OR kind = 'code') AND length(text) > 0),
+parts AS (SELECT *, unnest(range(0, (length(text) - 1) // {n} + 1)) AS part FROM seen),
+asked AS (SELECT project_id, path, part, CASE WHEN kind = 'code' THEN {_fenced('Code', f'substr(text, part * {n} + 1, {n})')}
+    ELSE {_fenced('Prompt', f'substr(text, part * {n} + 1, {n})')} END AS user_prompt FROM parts
+  UNION ALL SELECT DISTINCT project_id, NULL, 0, {q(jd.NOTHING)} FROM k WHERE project_id NOT IN (SELECT project_id FROM seen))
+SELECT project_id, judge, path, CAST(part AS BIGINT) AS part, user_prompt FROM asked, (VALUES ('P'), ('C')) j(judge)"""
+
+
+def limited_requests() -> str:
+    limits = jd.Limits()
+    both = f"concat_ws(chr(10) || chr(10), CASE WHEN pc <> '' THEN {_fenced('Prompt', 'pc')} END, CASE WHEN cc <> '' THEN {_fenced('Code', 'cc')} END)"
     return classified() + f""",
-pc AS (SELECT project_id, substr(string_agg(text, chr(10) ORDER BY path), 1, {jd.PROMPT_LIMIT}) AS pc FROM k WHERE is_prompt GROUP BY project_id),
-cc AS (SELECT project_id, substr(string_agg(substr(text, 1, {jd.CODE_FILE_LIMIT}), chr(10) ORDER BY path), 1, {jd.CODE_LIMIT}) AS cc FROM
-  (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path) AS rn FROM k WHERE kind = 'code') c WHERE rn <= {jd.CODE_FILES} GROUP BY project_id),
-body AS (SELECT project_id, {both} AS body FROM (SELECT DISTINCT project_id FROM k) LEFT JOIN pc USING (project_id) LEFT JOIN cc USING (project_id))
-SELECT project_id, judge, CASE WHEN body = '' THEN 'Nothing to review was found.' ELSE body END AS user_prompt
+pc AS (SELECT project_id, substr(string_agg(text, chr(10) ORDER BY path), 1, {limits.prompt}) AS pc,
+  length(string_agg(text, chr(10) ORDER BY path)) > {limits.prompt} AS pt FROM k WHERE is_prompt GROUP BY project_id),
+cw AS (SELECT project_id, length(string_agg(text, chr(10))) AS n FROM k WHERE kind = 'code' GROUP BY project_id),
+cc AS (SELECT project_id, substr(string_agg(substr(text, 1, {limits.code_file}), chr(10) ORDER BY path), 1, {limits.code}) AS cc FROM
+  (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path) AS rn FROM k WHERE kind = 'code') c WHERE rn <= {limits.code_files} GROUP BY project_id),
+body AS (SELECT project_id, {both} AS body, coalesce(pt, false) OR coalesce(length(cc) < n, false) AS truncated
+  FROM (SELECT DISTINCT project_id FROM k) LEFT JOIN pc USING (project_id) LEFT JOIN cc USING (project_id) LEFT JOIN cw USING (project_id))
+SELECT project_id, judge, CASE WHEN body = '' THEN {q(jd.NOTHING)} ELSE body END AS user_prompt, truncated
 FROM body, (VALUES ('P'), ('C')) j(judge)"""
 
 
@@ -515,7 +533,7 @@ def judge_findings() -> str:
             parts.append(f"SELECT project_id, '{d}' AS dimension, 'info' AS severity, 'judged_{k}' AS category, 'judge: ' || {k}_reason AS message "
                          f"FROM parsed WHERE judge = '{d}' AND parsed AND {k}_reason <> ''")
     for d, column, category in (("P", "vulnerable_lines", "judged_injection"), ("C", "risk_patterns", "judged_hallucination")):
-        parts.append(f"SELECT project_id, '{d}', 'warning', '{category}', 'judge: ' || substr(unnest({column}[1:3]), 1, 100) FROM parsed WHERE judge = '{d}' AND parsed")
+        parts.append(f"SELECT project_id, '{d}', 'warning', '{category}', 'judge: ' || unnest({column}) FROM parsed WHERE judge = '{d}' AND parsed")
     return (f"WITH {SOURCES['seeded']}" + parsed_ctes() + " SELECT *, 'ai_judge' AS source FROM (" + " UNION ALL ".join(parts) + ")")
 
 
@@ -538,9 +556,9 @@ FROM final JOIN full_ USING (project_id) LEFT JOIN more USING (project_id)"""
 
 # The stub of the registered query answers by the request alone.
 STUB = """
-, asked AS (SELECT *, CAST(('0x' || substr(sha256(user_prompt), 1, 4)) AS INT) % 101 AS score FROM requests)
-SELECT CAST(project_id AS VARCHAR) AS project_id, judge, '{"' || CASE judge WHEN 'P' THEN 'clarity' ELSE 'hallucination_risk' END || '": {"score": ' || score || ', "reason": "stub"}}' AS raw,
-  'success' AS status, CAST(length(user_prompt) AS BIGINT) AS input_tokens, CAST(10 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS retries FROM asked"""
+, scored AS (SELECT *, CAST(('0x' || substr(sha256(user_prompt), 1, 4)) AS INT) % 101 AS score FROM requests)
+SELECT CAST(project_id AS VARCHAR) AS project_id, judge, '{"' || CASE judge WHEN 'P' THEN 'clarity' ELSE 'hallucination_risk' END || '": {"score": ' || score || ', "reason": "stub"}}' AS raw, path, part,
+  'success' AS status, CAST(length(user_prompt) AS BIGINT) AS input_tokens, CAST(10 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS retries FROM scored"""
 
 
 def evidence() -> str:
@@ -720,6 +738,7 @@ def statements() -> dict[str, str]:
     out["judged_audit"] = judged_audit()
     head, tail = judge_requests().rsplit("\nSELECT project_id, judge,", 1)
     out["call_judge"] = f"{head},\nrequests AS (SELECT project_id, judge,{tail})" + STUB
+    out["judge_requests_limited"] = limited_requests()
     out["judge_usage"] = f"WITH {SOURCES['seeded']}{parsed_ctes()}" + (
         " SELECT judge, status, count(*) AS n_calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, "
         "CAST(max(latency_ms) AS BIGINT) AS max_latency_ms, CAST(quantile_disc(latency_ms, 0.5) AS BIGINT) AS median_latency_ms, "

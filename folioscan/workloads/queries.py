@@ -244,7 +244,7 @@ def _call_judge(spark: SparkSession, sf: str) -> DataFrame:
 
     requests = jd.judge_requests(corpus.seeded_files(spark, sf))
     answers = jd.call_judge(requests, connect, retry_delay=0.0)
-    return _wide(answers.select("project_id", "judge", "raw", "status", "input_tokens", "output_tokens", "retries"))
+    return _wide(answers.select("project_id", "judge", "path", "part", "raw", "status", "input_tokens", "output_tokens", "retries"))
 
 
 def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
@@ -372,7 +372,8 @@ QUERIES: dict[str, Query] = {
     "content_hash": _seeded(inc.file_hashes),
     "project_hash": _seeded(inc.project_hashes),
     "incremental": _incremental,
-    "judge_requests": _seeded(lambda files: jd.judge_requests(files).select("project_id", "judge", "user_prompt")),
+    "judge_requests": _seeded(lambda files: jd.judge_requests(files).select("project_id", "judge", "path", "part", "user_prompt")),
+    "judge_requests_limited": _seeded(lambda files: jd.judge_requests(files, limits=jd.Limits()).select("project_id", "judge", "user_prompt", "truncated")),
     "judge_parse": _parsed,
     "judge_blend": _judged,
     "judge_findings": _judge_findings,

@@ -97,11 +97,18 @@ def test_sinks(spark, tmp_path):
 
 def test_judge_requests_cut_prompts(spark):
     rows = [("p", f"m{i:04}.md", "y" * (i % 7)) for i in range(3000)] + [("p", f"c{i}.py", f"{i}" * 4000) for i in range(7)] + [("e", "x.bin", "")]
-    got = {(r.project_id, r.judge): r.user_prompt for r in jd.judge_requests(frame(spark, rows)).collect()}
+    got = {(r.project_id, r.judge): r.user_prompt for r in jd.judge_requests(frame(spark, rows), limits=jd.Limits()).collect()}
     prompt = "\n".join("y" * (i % 7) for i in range(3000))[:6000]
     code = "\n".join(f"{i}" * 3000 for i in range(5))[:4000]
     assert got["p", "P"] == f"## Prompt\n```\n{prompt}\n```\n\n## Code\n```\n{code}\n```"
     assert got["e", "C"] == "Nothing to review was found."
+    whole = {}
+    for r in jd.judge_requests(frame(spark, rows), size=1500).filter("judge = 'P'").orderBy("path", "part").collect():
+        assert not r.truncated and len(r.user_prompt) < 1600
+        body = r.user_prompt.split("```")[1][1:-1] if r.path else ""
+        whole[r.project_id, r.path] = whole.get((r.project_id, r.path), "") + body
+    whole.pop(("e", None))
+    assert whole == {(p, path): text for p, path, text in rows if text}
 
 
 def test_call_judge_retries(spark):
@@ -115,9 +122,16 @@ def test_call_judge_retries(spark):
             return '{"clarity": {"score": 50}}', 3, 4
         return ask
 
-    requests = spark.createDataFrame([("a", "P", "s", "now"), ("b", "P", "s", "later"), ("c", "P", "s", "never")],
-                                     "project_id string, judge string, system_prompt string, user_prompt string").coalesce(1)
-    got = {r.project_id: r for r in jd.call_judge(requests, flaky, retry_delay=0.0).collect()}
+    requests = spark.createDataFrame([("a", "P", "x", 0, "s", "now"), ("b", "P", "x", 0, "s", "later"), ("c", "P", "x", 0, "s", "never")],
+                                     "project_id string, judge string, path string, part int, system_prompt string, user_prompt string").coalesce(1)
+    answers = jd.call_judge(requests, flaky, retry_delay=0.0, model="m1", temperature=0.5)
+    got = {r.project_id: r for r in answers.collect()}
+    assert {(r.model, r.temperature) for r in got.values()} == {("m1", 0.5)}
+    assert [r.project_id for r in jd.call_judge(requests, flaky, retry_delay=0.0, answered=answers, partitions=2).collect()] == ["c"]
+    assert {r.model for r in jd.judge_usage(answers).collect()} == {"m1"}
+    several = jd.averaged(jd.parse_responses(spark.createDataFrame([("a", "P", '{"clarity": {"score": %d}}' % n) for n in (10, 40)] + [("a", "P", "x")],
+                                                                   "project_id string, judge string, raw string"))).collect()
+    assert [(r.project_id, r.clarity_score) for r in several] == [("a", 25.0)]
     assert (got["a"].status, got["a"].retries) == ("success", 0)
     assert (got["b"].status, got["b"].retries) == ("success", 1)
     assert got["c"].status == "error: slow" and got["c"].raw is None and got["c"].retries == 2
