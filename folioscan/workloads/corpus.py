@@ -67,14 +67,13 @@ p AS (SELECT *, CASE pid % 13 WHEN 5 THEN replace(plain, '.py', '.md') WHEN 7 TH
 c AS (SELECT *, CASE WHEN path LIKE '%.py' OR path LIKE '%.js' THEN 'py' WHEN path = 'requirements.txt' THEN 'dep'
    WHEN path LIKE '%.json' OR path LIKE '%.yaml' THEN 'cfg' WHEN path = '.gitignore' THEN 'other' ELSE 'prompt' END AS cls FROM p),
 k AS (SELECT *, CASE cls WHEN 'py' THEN 22 WHEN 'prompt' THEN 6 WHEN 'dep' THEN 5 WHEN 'cfg' THEN 3 ELSE 1 END AS n FROM c),
-t AS (SELECT k.pid, k.r, k.path, k.text || chr(10) || replace(a.body, '|', chr(10)) || chr(10) || replace(b.body, '|', chr(10)) AS body
+t AS (SELECT k.pid, (k.pid * 5 + k.r) % 17 AS v, k.path, k.text || chr(10) || replace(a.body, '|', chr(10)) || chr(10) || replace(b.body, '|', chr(10)) AS body
 FROM k JOIN snip a ON a.cls = k.cls AND a.sid = (k.pid * 7 + k.r) % k.n
        JOIN snip b ON b.cls = k.cls AND b.sid = (k.pid * 3 + k.r * 5 + 1) % k.n)
-SELECT pid AS project_id, path, CASE (pid * 5 + r) % 17
-   WHEN 0 THEN replace(body, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(body, chr(10), chr(13)) WHEN 2 THEN body
-   WHEN 3 THEN replace(body, ' the ', ' the' || chr(12)) WHEN 4 THEN replace(body, ' de ', ' de ')
-   WHEN 5 THEN body || chr(10) || ' ' || chr(11) || chr(10) WHEN 6 THEN CASE WHEN pid % 3 = 0 THEN '' ELSE body END
-   ELSE body || chr(10) END AS content
+SELECT pid AS project_id, path, CASE WHEN v = 6 AND pid % 3 = 0 THEN '' ELSE
+   replace(replace(body, chr(10), CASE v WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN chr(13) ELSE chr(10) END),
+     CASE v WHEN 3 THEN ' the ' WHEN 4 THEN ' de ' ELSE ' no such words ' END, CASE v WHEN 3 THEN ' the' || chr(12) WHEN 4 THEN '  de ' ELSE '' END)
+   || CASE v WHEN 2 THEN '' WHEN 5 THEN chr(10) || ' ' || chr(11) || chr(10) ELSE chr(10) END END AS content
 FROM t
 '''
 
