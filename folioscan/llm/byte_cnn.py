@@ -32,6 +32,7 @@ WIDTH, VECTOR, FILTERS, EVIDENCE = 6, 8, 16, 8
 HALF = 128  # bytes; a chunk is two halves
 SLAB = 1 << 17  # bytes whose responses are in memory at once
 ACCEPT = 0.7
+SHORT = 0.2  # share of the steps' texts that are cropped
 
 
 @dataclass
@@ -128,12 +129,20 @@ def _chunks(text: bytes, most: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.minimum(2 * HALF, len(text) - chosen * HALF)
 
 
+def _crop(text: bytes, rng: np.random.Generator) -> bytes:
+    """8 to 300 bytes out of a text, more often few than many."""
+    size = int(8 * (300 / 8) ** rng.random())
+    begin = int(rng.integers(0, max(1, len(text) - size + 1)))
+    return text[begin:begin + size]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, fit_chunks: int = 16,
         steps: int = 480, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:
     """Adam on the weighted cross entropy, as many steps for any number of texts."""
     rng = np.random.default_rng(seed)
     p = _start(rng)
     cut = [_chunks(t, fit_chunks) for t in texts]
+    short = [_chunks(_crop(t, rng), fit_chunks) for t in texts]  # short texts are few, and as good as long ones
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     queue = np.zeros(0, int)
     for step in range(1, steps + 1):
@@ -141,7 +150,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, fit_chunks:
             queue = np.concatenate([queue, rng.permutation(len(texts))])
         rows, queue = queue[:batch], queue[batch:]
         lowered = rate * (1 if 3 * step < 2 * steps else 0.25)
-        for k, g in _gradients(p, [cut[r] for r in rows], labels[rows], weights[rows]).items():
+        for k, g in _gradients(p, [(short if rng.random() < SHORT else cut)[r] for r in rows], labels[rows], weights[rows]).items():
             m, v = moments[k]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
