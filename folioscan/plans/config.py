@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
+from importlib import resources
 
 from folioscan.rules import catalog as cat
 
@@ -95,6 +96,11 @@ def layered_config(*layers: dict, override_severity: bool = False) -> AuditConfi
     return AuditConfig(dimensions, merged.get("fail_threshold"), override_severity)
 
 
+def preset(name: str) -> dict:
+    """A layer that comes with the package."""
+    return json.loads((resources.files("folioscan.presets") / f"{name}.json").read_text(encoding="utf-8"))
+
+
 def load_layer(path: str) -> dict:
     """A layer from a JSON file, or a YAML file where a YAML reader is installed."""
     with open(path, encoding="utf-8") as handle:

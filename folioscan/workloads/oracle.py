@@ -755,6 +755,16 @@ def statements() -> dict[str, str]:
     out["stream_signals"] = scores() + f" SELECT project_id, overall, {DIMS} FROM score"
     out["stream_updates"] = out["stream_signals"]
     out["stream_update_findings"] = out["stream_findings"]
+    imports, below = n_matches("text", r"\bimport\s+\w+"), "kind = 'code' AND path LIKE 'src/%'"
+    out["custom_findings"] = classified() + (
+        f" SELECT project_id, path, 'z_import' AS rule_id, 'warning' AS severity, {imports} AS n FROM k WHERE is_py AND {imports} > 0 "
+        f"UNION ALL SELECT project_id, path, 'z_source', 'info', 1 FROM k WHERE {below}")
+    failed = {"P": "prompt_unreadable", "X": "readme_unreadable"}
+    own = {d: f"(CASE WHEN {failed.get(d, 'false')} THEN 1::DOUBLE ELSE {qs.DEFAULT.weight(d)}::DOUBLE END)" for d in cat.DIMENSIONS}
+    out["custom_dimension"] = scores() + (
+        f", z AS (SELECT project_id, greatest(0, 100 - CAST(sum(CASE WHEN is_py THEN 3 * {imports} ELSE 0 END + CASE WHEN {below} THEN 5 ELSE 0 END) AS BIGINT)) AS Z "
+        f"FROM k GROUP BY project_id) SELECT project_id, Z, CAST(trunc(({' + '.join(f'{d} * {own[d]}' for d in cat.DIMENSIONS)} + Z * 0.1::DOUBLE) / "
+        f"({' + '.join(own.values())} + 0.1::DOUBLE)) AS BIGINT) AS overall FROM score JOIN z USING (project_id)")
     out["incremental_appended_twice"] = out["incremental"]
     out["stored_other_config"] = findings("seeded", qs.CONFIGURED) + (
         f" SELECT project_id, rule_id, severity, count(*) AS n FROM found WHERE rule_id IN ({', '.join(repr(r.rule_id) for r in cat.RULES if qs.CONFIGURED.runs(r.rule_id))}) GROUP BY ALL")

@@ -10,8 +10,9 @@ from folioscan.operators import (
     classify as cl, evidence as ev, findings as fd, fixes as fx, incremental as inc, judges as jd, reports as rp,
     scores as sc, signals as sg,
 )
+from folioscan.operators.custom import CustomDimension, CustomRule, custom_findings, with_custom_dimensions
 from folioscan.plans.audit import Audit
-from folioscan.plans.config import AuditConfig, layered_config
+from folioscan.plans.config import AuditConfig, layered_config, preset
 from folioscan.rules import catalog as cat
 from folioscan.session import shared_dir
 from folioscan.sources.files import files_from_table
@@ -23,16 +24,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 DEFAULT = AuditConfig()
 
 # A preset and a user layer: rules and a dimension off, other weights, another severity.
-PRESET_LAYER = {
-    "fail_threshold": 70,
-    "dimensions": {
-        "P": {"weight": 0.3, "rules": {"prompt_specificity": {"enabled": False}, "prompt_injection": {"severity": "warning"}}},
-        "S": {"rules": {"sec_hardcoded_config": {"enabled": False}, "sec_secrets": {"severity": "critical"}}},
-    },
-}
+PRESET_LAYER = preset("lean")
 USER_LAYER = {"fail_threshold": 85, "dimensions": {"F": {"enabled": False}, "S": {"weight": 0.4}}}
 CONFIGURED = layered_config(PRESET_LAYER, USER_LAYER, override_severity=True)
 
+# A dimension of one's own.
+STYLE = CustomDimension("Z", "style", (
+    CustomRule("z_import", "names a module", pattern=r"\bimport\s+\w+", penalty=3),
+    CustomRule("z_source", "lies below src", "info", scope="kind = 'code'", condition="startswith(path, 'src/')", penalty=5)), weight=0.1)
+
 FINDING_COLUMNS = ("project_id", "rule_id", "pattern_id", "severity", "path", "line", "location", "message")
 # Every project of the seeded corpus has prompt text.
 FOUND_RULES = tuple(dict.fromkeys(r["rule_id"] for r in cat.rows() if r["rule_id"] != "prompt_missing"))
@@ -388,4 +388,6 @@ QUERIES: dict[str, Query] = {
     "stored_other_config": _stored_other_config,
     "single_files_shared_paths": _shared_paths,
     "judged_audit": _judged_audit,
+    "custom_findings": _seeded(lambda files: custom_findings(files, (STYLE,)).groupBy("project_id", "path", "rule_id", "severity").agg(F.expr("count(1) AS n"))),
+    "custom_dimension": _seeded(lambda files: with_custom_dimensions(files, Audit(files).score_table, (STYLE,), DEFAULT).select("project_id", "Z", "overall")),
 }

@@ -239,6 +239,14 @@ def test_config_layers(files):
         RuleConfig(severity="fatal")
 
 
+def test_layers_from_files(tmp_path):
+    from folioscan.plans.config import load_layer, preset
+
+    (tmp_path / "own.json").write_text('{"fail_threshold": 55, "dimensions": {"P": {"weight": 0.1}}}')
+    cfg = layered_config(preset("lean"), load_layer(str(tmp_path / "own.json")))
+    assert cfg.fail_threshold == 55 and cfg.weight("P") == 0.1 and not cfg.runs("prompt_specificity")
+
+
 def test_two_dimensions_make_a_weighted_mean(spark):
     cfg = AuditConfig({"M": DimensionConfig(weight=0.5), "C": DimensionConfig(weight=0.5)})
     row = spark.sql(f"SELECT {sc.overall_score(cfg)} AS o FROM (SELECT 80 AS M, 60 AS C, false AS M_failed, false AS C_failed)").first()
