@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm import bin_completion, byte_cnn, simhash_vp, spaced_seeds, surrogates
-from folioscan.llm.common import stored, table
+from folioscan.llm.common import shipped, stored, table
 from folioscan.llm.queries import SURROGATE_KEY, WORD_BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,8 +38,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bin_completion.pack(docs, WORD_BPE)
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [(f.__name__, shipped(f)) for f in (quality, near_duplicates, decontamination, pii, packing)]
 # A trained network, shingle hashes and tokenizers have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import shutil
+import tempfile
+from collections.abc import Callable, Iterator
+from functools import wraps
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +15,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioscan.session import shared_dir
 
 
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package.  They do if it was shipped with
+    the job, is on PYTHONPATH or lies in the working folder; else Spark sends
+    the executors an archive of it, once."""
+    found = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    context = spark.sparkContext
+    if ROOT in found or not (ROOT / "folioscan").is_dir() or any("folioscan" in f for f in context.listFiles):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "folioscan"), "zip", ROOT, "folioscan")
+    context.addPyFile(archive)
+
+
+def shipped(function: Callable) -> Callable:
+    """A query or stage, whose first argument is the session, after :func:`ship`."""
+    @wraps(function)
+    def run(spark, *arguments):
+        ship(spark)
+        return function(spark, *arguments)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

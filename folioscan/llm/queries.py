@@ -11,7 +11,7 @@ from folioscan.llm import (
     bin_completion, byte_cnn, credentials, learned_partitions, license_rules, mixture_lang, oracle, packed_output, simhash_vp, spaced_seeds,
     surrogates,
 )
-from folioscan.llm.common import table
+from folioscan.llm.common import shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 # A caller's own key belongs here; this one only makes the registered query repeatable.
@@ -63,7 +63,7 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
     op1_credentials, op2_surrogates, op3_language_mixture, op4_spaced_seeds, op5_learned_partitions, op6_quality_cnn,
     op7_simhash_vp, op8_packed_matrices, op9_license_rules, op10_bin_completion)}
 ORACLE: dict[str, str] = oracle.STATEMENTS
