@@ -21,7 +21,7 @@ from pathlib import Path
 import tiktoken
 from tokenizers import Tokenizer
 
-KEPT = 250_000  # chunks, in each Python worker, of each generation
+KEPT = 400_000  # chunks, in each Python worker, of each generation
 PIECE = 1 << 20  # characters
 
 # Letters of Latin scripts that any Unicode version lowers and composes alike, and printable ASCII.
@@ -70,8 +70,11 @@ def word_bpe(path: str) -> Callable[[str], bytes]:
         seen = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
         return packed([t.id for t in model.tokenize(seen)])
 
-    words = Kept(one)
-    chunks = Kept(lambda chunk: words.join(WORD.findall(chunk)))
+    def several(chunk: str) -> bytes:
+        words = WORD.findall(chunk)
+        return one(chunk) if len(words) == 1 else b"".join(map(chunks.__getitem__, words))
+
+    chunks = Kept(several)
 
     def encode(text: str) -> bytes:
         if not PLAIN.fullmatch(text) or "<|" in text:
