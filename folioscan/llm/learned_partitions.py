@@ -37,6 +37,7 @@ from folioscan.llm.common import stored
 NEIGHBOURS, HIDDEN, COVERAGE = 16, 64, 0.98
 PER_PART, LEAST_SAMPLE, MOST_PARTS, PART_SIZE = 24, 4096, 2048, 1024
 CANDIDATE_BLOCK, QUERY_BLOCK = 1024, 256
+HELD = 1 << 20  # candidates that a task holds before it ranks them
 
 
 @dataclass
@@ -189,25 +190,40 @@ def _route(shared, most: int | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query, code, score) the k + 1 best of each query."""
+    order = np.lexsort((rows[1], -rows[2], rows[0]))
+    query = rows[0][order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return [x[order[place <= k]] for x in rows]
+
+
 def _ranker(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The k + 1 best distinct candidates of each query in a pair of blocks, by
-    exactly rounded inner products."""
+    """The k + 1 best distinct candidates of each query in the pairs of blocks
+    that a task sees, by inner products summed in extended precision."""
+    def emit(rows: list[np.ndarray]):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["query", "code", "score"])
+
     def run(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for batch in batches:
             for q, qv, c, cv in zip(*(batch.column(n) for n in ("query", "query_vec", "code", "code_vec"))):
                 queries, codes = q.values.to_numpy(), c.values.to_numpy()
                 left, right = (np.stack([x.to_numpy() for x in _lists(v)]) for v in (qv, cv))
                 near = left @ right.T
                 least = np.partition(near, -k - 1, axis=1)[:, -k - 1] if len(codes) > k + 1 else np.full(len(queries), -np.inf)
-                bound = 1e-9 * (np.abs(left).sum(1) * np.abs(right).max())
-                rows: list[tuple[int, int, float]] = []
-                for i in range(len(queries)):
-                    kept = np.flatnonzero(near[i] >= least[i] - bound[i])
-                    exact = [math.fsum(p) for p in (left[i] * right[kept]).tolist()]
-                    best = sorted(zip([-s for s in exact], codes[kept].tolist()))[:k + 1]
-                    rows += [(int(queries[i]), code, -s) for s, code in best]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["query", "code", "score"])
+                # Ties that rounding may have parted are kept until they are summed exactly.
+                row, column = np.nonzero(near >= (least - 1e-9 * (np.abs(left).sum(1) * np.abs(right).max()))[:, None])
+                exact = (left.astype(np.longdouble)[row] * right[column]).sum(1).astype(np.float64)
+                held = [np.concatenate(x) for x in zip(held, (queries[row], codes[column], exact))]
+                if len(held[0]) > HELD:
+                    held = _best(held, k)
+                    if len(held[0]) > HELD // 2:
+                        yield from emit(held)
+                        held = [x[:0] for x in held]
+        if len(held[0]):
+            yield from emit(_best(held, k))
 
     return run
 
