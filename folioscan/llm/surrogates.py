@@ -1,8 +1,8 @@
 """PII: detected entities get surrogates.
 
 Detection finds e-mail addresses, telephone numbers, payment cards (13 to 19 digits), IBANs,
-social security numbers, IPv4 and IPv6 addresses, and names of persons (after a
-title, or a known given name before a capitalised word).  A surrogate is drawn
+social security numbers, IPv4 and IPv6 addresses, and names of persons (after one
+or more titles, or a known given name before a capitalised word).  A surrogate is drawn
 by a key (HMAC of type, normal form and attempt), so that one entity has one
 surrogate wherever it occurs, in any spelling, and nobody without the key can
 go back.  It keeps the type and the look: digits stay digits and letters
@@ -90,6 +90,7 @@ _DETECT = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in TYPE
 _HAS_DETAIL = re.compile(r"[0-9@]")
 _BEFORE_NAME = re.compile(rf" (?={_UPPER})")
 _NAMES = re.compile(rf" {_NAME}(?: {_NAME})?(?!\w)")
+_WORD = re.compile(rf" ({_UPPER}[^\W\d_]+(?:-[^\W\d_]+)?)(?!\w)\.?")
 _FIRST = {n for names in GIVEN.values() for n in names.split()}
 
 
@@ -101,6 +102,18 @@ class Entity:
     text: str
 
 
+def _name_end(text: str, at: int) -> int:
+    """Where the name behind ``at`` ends, further titles stepped over; 0 if only titles remain."""
+    while (word := _WORD.match(text, at)) and word[1].lower() in TITLES:
+        at = word.end()
+    names = _NAMES.match(text, at)
+    if not names:
+        return 0
+    last = names.group().rsplit(" ", 1)[1]
+    # A title behind the name belongs to the next one.
+    return names.end() - (len(last) + 1 if last.lower() in TITLES else 0)
+
+
 def _persons(text: str) -> Iterator[Entity]:
     """A title or a known given name, and the capitalised words behind it."""
     at = 0
@@ -111,10 +124,10 @@ def _persons(text: str) -> Iterator[Entity]:
         word = text[begin:end].lstrip("([{\"'«„“‚‘")
         begin = end - len(word)
         if word in _FIRST or word.rstrip(".").lower() in TITLES:
-            names = _NAMES.match(text, end)
-            if names:
-                yield Entity(begin, names.end(), "person", text[begin:names.end()])
-                at = names.end()
+            stop = _name_end(text, end)
+            if stop:
+                yield Entity(begin, stop, "person", text[begin:stop])
+                at = stop
 
 
 def detect(text: str) -> list[Entity]:

@@ -141,6 +141,22 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len(set(new)) == len(names) and not set(new) & {n.lower() for n in names}
 
 
+def test_persons_behind_several_titles(spark):
+    for text, person, name in [("Herr Dr. Schmidt", "Herr Dr. Schmidt", "schmidt"), ("Dr. Prof. Lee", "Dr. Prof. Lee", "lee"),
+                               ("Frau Prof. Dr. Anna Weber", "Frau Prof. Dr. Anna Weber", "anna weber")]:
+        found = sg.detect(f"so {text}, who")
+        assert [(e.kind, e.text) for e in found] == [("person", person)] and sg.normal("person", person) == name
+    assert [e.text for e in sg.detect("met Mr. Smith Dr. Weber")] == ["Mr. Smith", "Dr. Weber"]
+    titles = ["Herr Dr.", "Herr Professor", "Dr. Prof. Dr", "Herr Dr.-Ing", "Mr. Don, Sir Dr. and"]
+    assert all(sg.detect(t) == [] for t in titles)
+    texts = ["so Herr Dr. Schmidt", "by Dr. Prof. Lee", *titles]
+    got = {r["doc_id"]: r for r in rows(sg.with_surrogates(table(spark, texts), KEY, count=True))}
+    assert got[0]["text"].startswith("so Herr Dr. ") and "Schmidt" not in got[0]["text"]
+    assert got[1]["text"].startswith("by Dr. Prof. ") and "Lee" not in got[1]["text"]
+    assert [got[i]["n_entities"] for i in range(len(texts))] == [1, 1, 0, 0, 0, 0, 0]
+    assert [got[i]["text"] for i in range(2, len(texts))] == titles
+
+
 # op3
 
 def test_languages(spark):
