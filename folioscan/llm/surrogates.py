@@ -14,7 +14,10 @@ given names keep gender and script.
 Two entities of one type must not share a surrogate, and no surrogate may be an
 entity of the corpus.  Both are checked over the whole corpus: entities are
 counted, their surrogates compared by joins on hashes, and all but the first of
-a clash draw again, until none clashes.  Only entities that had to draw again
+a clash draw again, until none clashes.  From attempt ``LEAVE_LOOK`` on the look
+is left: surrogates are made longer with each attempt (IPv6 addresses are drawn
+from all there are), so that there are always more of them than entities, also
+where the look allows few or only the entity itself.  Only entities that had to draw again
 are remembered; texts are replaced where they lie, with the attempts that
 their entities need beside them.
 
@@ -41,6 +44,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from folioscan.llm.common import stored
 
 REDRAWN = "_surrogate_redraws"
+LEAVE_LOOK = 4  # the first attempt whose surrogates need not look like the entity
 
 # Given names by script and gender; family names are made of syllables.
 GIVEN = {
@@ -208,9 +212,9 @@ def _letters(text: str, draw: Draw) -> str:
 
 
 def _filled(text: str, digits: str) -> str:
-    """``digits`` in the places of the letters and digits of ``text``."""
+    """``digits`` in the places of the letters and digits of ``text``, what is left behind it."""
     new = iter(digits)
-    return "".join(next(new) if c.isalnum() else c for c in text)
+    return "".join(next(new) if c.isalnum() else c for c in text) + "".join(new)
 
 
 def luhn(digits: str) -> int:
@@ -223,6 +227,11 @@ def _made(script: str, draw: Draw, endings: tuple[str, ...], syllables: int) ->
     return "".join(draw.pick(SYLLABLES[script].split()) for _ in range(syllables)) + draw.pick(endings)
 
 
+def _longer(attempt: int) -> int:
+    """By how much a surrogate is made longer."""
+    return max(0, attempt - LEAVE_LOOK + 1)
+
+
 def person_gender(text: str) -> str:
     words = [w.lower() for w in text.replace(".", " ").split()]
     for w in words:
@@ -234,14 +243,17 @@ def person_gender(text: str) -> str:
 def _person(text: str, key: bytes, attempt: int, gender: str) -> str:
     """New words for all but titles.  A family name follows the family name
     alone, so that it is the same with and without the given name; a given name
-    follows the whole.  After a few attempts given names are made up too."""
+    follows the whole.  After a few attempts given names are made up too, and
+    what is drawn again gets longer."""
     names = _names(text)
     script = _script(text)
     alone = len(names) == 1
-    family = _made(script, Draw(key, "family", names[-1].lower(), attempt if alone else 0), ENDINGS[script], 4)
+    family = _made(script, Draw(key, "family", names[-1].lower(), attempt if alone else 0), ENDINGS[script],
+                   4 + (_longer(attempt) if alone else 0))
     draw = Draw(key, "given", " ".join(names).lower(), gender, attempt)
     sex = gender or draw.pick("fm")
-    given = draw.pick(GIVEN[script, sex].split()) if attempt < 4 else _made(script, draw, GIVEN_ENDINGS[script, sex], 3)
+    longer = _longer(attempt)
+    given = _made(script, draw, GIVEN_ENDINGS[script, sex], 2 + longer) if longer else draw.pick(GIVEN[script, sex].split())
     out, seen = [], 0
     for word in re.split(r"( |\.)", text):
         if word in (" ", ".", "") or word.lower() in TITLES:
@@ -255,29 +267,35 @@ def _person(text: str, key: bytes, attempt: int, gender: str) -> str:
 def surrogate(kind: str, text: str, key: bytes, attempt: int = 0, gender: str = "") -> str:
     """The replacement of one spelling of an entity."""
     draw = Draw(key, kind, normal(kind, text), attempt)
+    longer = _longer(attempt)
+    digits_more = lambda: "".join(str(draw.below(10)) for _ in range(longer))
     if kind == "email":
         local, domain = text.split("@")
         labels = domain.split(".")
         # Of the domain, what is its owner's: not its last label, nor example.com and the like.
         own = Draw(key, "domain", domain.lower())
         labels = [_letters(x, own) if i < max(1, len(labels) - 1) and x.lower() != "example" else x for i, x in enumerate(labels)]
-        return _letters(local, draw) + "@" + ".".join(labels)
+        # Cut, as a local part has 64 characters at most.
+        local = _letters(local[:40], draw) + _letters("aa" * longer, draw) if longer else _letters(local, draw)
+        return local + "@" + ".".join(labels)
     if kind == "ipv4":
-        return ".".join(str(draw.below(254) + 1 if i in (0, 3) else draw.below(256)) for i in range(4))
+        return ".".join(str(draw.below(254) + 1 if i in (0, 3) else draw.below(256)) for i in range(4 + longer))
     if kind == "ipv6":
+        if longer:
+            return ":".join(f"{draw.below(1 << 16):x}" for _ in range(8))
         return ":".join(f"{draw.below(1 << 4 * len(g)):0{len(g)}x}" for g in text.split(":"))
     if kind == "card":
         digits = normal(kind, text)
-        new = digits[0] + "".join(str(draw.below(10)) for _ in digits[2:])
+        new = digits[0] + "".join(str(draw.below(10)) for _ in digits[2:]) + digits_more()
         checked = luhn(digits[:-1]) == int(digits[-1])
         last = luhn(new) if checked else (luhn(new) + 1 + draw.below(9)) % 10
         return _filled(text, new + str(last))
     if kind == "ssn":
         area = draw.below(898) + 1
-        return f"{area if area != 666 else 899:03d}-{draw.below(99) + 1:02d}-{draw.below(9999) + 1:04d}"
+        return f"{area if area != 666 else 899:03d}-{draw.below(99) + 1:02d}-{draw.below(9999) + 1:04d}" + digits_more()
     if kind == "iban":
         whole = normal(kind, text)
-        body = _letters(whole[4:], draw).upper()
+        body = _letters(whole[4:], draw).upper() + digits_more()
         number = int("".join(str(int(c, 36)) for c in body + whole[:2] + "00"))
         return _filled(text, whole[:2] + f"{98 - number % 97:02d}" + body)
     if kind == "phone":
@@ -285,7 +303,7 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0, gender: str =
         digits = normal(kind, text).lstrip("+")
         kept = text.startswith("+")
         new = iter(digits[:kept] + "".join("0123456789"[draw.below(10)] for _ in digits[kept:]))
-        return "".join(next(new) if c.isdigit() else c for c in text)
+        return "".join(next(new) if c.isdigit() else c for c in text) + digits_more()
     return _person(text, key, attempt, gender)
 
 
@@ -345,13 +363,13 @@ def _drawer(key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def collisions(found: DataFrame, key: bytes, rounds: int = 32) -> DataFrame:
+def collisions(found: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, attempt of the entities whose first surrogate another
     entity has too, or is itself an entity of the corpus."""
     known = stored(found.groupBy("kind", "entity").agg(F.min("gender").alias("gender"), F.min("spelling").alias("spelling")), "entities")
     schema = "kind string, entity string, gender string, spelling string, attempt int, drawn string"
     final = stored(known.withColumn("attempt", F.lit(0)).mapInArrow(_drawer(key), schema), "drawn")
-    for _ in range(rounds):
+    while True:  # ends, as surrogates get longer from round to round
         # The first by (attempt, entity) keeps its surrogate; the others, and what is an entity, draw again.
         first = final.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
         clash = (final.join(first.where("n > 1"), ["kind", "drawn"]).where("entity <> first.entity").select("kind", "entity")
@@ -361,7 +379,6 @@ def collisions(found: DataFrame, key: bytes, rounds: int = 32) -> DataFrame:
             return final.where("attempt > 0").select("kind", "entity", "attempt")
         again = final.join(clash, ["kind", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1).drop("drawn")
         final = stored(final.join(clash, ["kind", "entity"], "left_anti").unionByName(again.mapInArrow(_drawer(key), schema)), "drawn")
-    raise ValueError(f"surrogates still collide after {rounds} rounds; use another key")
 
 
 def _replacer(key: bytes, columns: list[str], count: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -157,6 +157,19 @@ def test_persons_behind_several_titles(spark):
     assert [got[i]["text"] for i in range(2, len(texts))] == titles
 
 
+def test_surrogates_where_the_look_allows_too_few(spark):
+    """All one-letter local parts of a kept domain, and one that has no letter to change."""
+    mails = [f"{c}@example.com" for c in "_abcdefghijklmnopqrstuvwxyz"]
+    texts = [f"write {m} now" for m in mails]
+    new = [re.search(r"\S+@example.com", r["text"])[0] for r in rows(sg.with_surrogates(table(spark, texts), KEY))]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails)
+    for kind, text in [("email", "_@example.com"), ("ipv4", "1.2.3.4"), ("ipv6", "1:2:3:4:5:6:7:8"), ("card", "4111 1111 1111 1111"),
+                       ("ssn", "123-45-6789"), ("iban", "DE89 3704 0044 0532 0130 00"), ("phone", "55 555 5555"), ("person", "Mr. Smith"),
+                       ("person", "Anna Smith")]:
+        drawn = [sg.normal(kind, sg.surrogate(kind, text, KEY, a)) for a in range(4, 24)]
+        assert len(set(drawn)) == 20 and (len(drawn[-1]) > len(drawn[0]) + 10 or kind == "ipv6"), kind
+
+
 # op3
 
 def test_languages(spark):
