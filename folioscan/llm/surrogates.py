@@ -2,7 +2,19 @@
 
 Detection finds e-mail addresses, telephone numbers, payment cards (13 to 19 digits), IBANs,
 social security numbers, IPv4 and IPv6 addresses, and names of persons (after one
-or more titles, or a known given name before a capitalised word).  A surrogate is drawn
+or more titles, or a known given name before a capitalised word).  Spellings:
+
+* telephone numbers in groups of 2-4, 3-4 and 3-4 digits parted by space, dot
+  or hyphen, the first also in brackets, with or without "+" and a country code;
+  behind a country code, with or without "(0)", also an area code and 4 to 9
+  digits or two-digit groups (+49 30 1234567, +33 6 12 34 56 78); without one, if
+  they begin with 0, five groups of two digits (06 12 34 56 78), or an area code in
+  brackets or before space, hyphen or slash (030/1234567).  Numbers written
+  without any break and without "+" are not found;
+* cards without breaks, in fours or as 4-6-5 and 4-6-4;
+* IPv6 addresses with all groups, or with "::" if they begin as global, local
+  or multicast addresses do (2xxx, 3xxx, fcxx to ffxx) and hold a digit; not "::1".
+  A surrogate is drawn
 by a key (HMAC of type, normal form and attempt), so that one entity has one
 surrogate wherever it occurs, in any spelling, and nobody without the key can
 go back.  It keeps the type and the look: digits stay digits and letters
@@ -31,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from bisect import bisect_right
@@ -43,6 +56,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from folioscan.llm.common import stored
 
+TRUNK = "(0)"  # not dialled behind a country code
 REDRAWN = "_surrogate_redraws"
 LEAVE_LOOK = 4  # the first attempt whose surrogates need not look like the entity
 
@@ -84,11 +98,22 @@ TYPES = {
     "email": r"\w[\w.%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+            r"|(?<![0-9A-Za-z:.])(?=[23][0-9A-Fa-f]{3}:|[Ff][C-Fc-f][0-9A-Fa-f]{2}:)(?=[A-Fa-f:]*[0-9])"
+            r"(?:(?=(?:[0-9A-Fa-f]{1,4}::?){1,6}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))(?:[0-9A-Fa-f]{1,4}:)+(?::[0-9A-Fa-f]{1,4})+"
+            r"|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![0-9A-Za-z:]|\.[0-9])",
+    "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"
-             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9]{6,12}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])"
+             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9]{6,12}(?![0-9])"
+             # +33 6 12 34 56 78, +41 44 123 45 67; +49 30 1234567, +49 (0)30/123456-78
+             r"|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})[ ./-]?"
+             r"(?:[0-9]{2,3}(?:[ .-][0-9]{2}){2,4}|[0-9]{3,4}[ .-][0-9]{3,4}|[0-9]{4,9}(?:-[0-9]{1,4})?)(?![0-9A-Za-z])"
+             # 06 12 34 56 78
+             r"|(?<![0-9A-Za-z.])(?<![0-9]{2}[ /:-])0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})(?![0-9A-Za-z]|[ .:/-][0-9])"
+             # 030/1234567, 0171 1234567, (030) 123 45 67
+             r"|(?<![0-9A-Za-z./-])(?:\(0[1-9][0-9]{1,4}\)(?: ?/ ?| |)|0[1-9][0-9]{1,4}(?: ?/ ?|[ -]))"
+             r"(?:[0-9]{5,8}(?:-[0-9]{1,4})?|[0-9]{2,4}(?: [0-9]{2,4}){1,3})(?![0-9A-Za-z]|[./-][0-9])",
 }
 _DETECT = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in TYPES.items()))
 _HAS_DETAIL = re.compile(r"[0-9@]")
@@ -152,11 +177,14 @@ def _names(text: str) -> list[str]:
 
 def normal(kind: str, text: str) -> str:
     """What all spellings of an entity have in common."""
-    if kind in ("email", "ipv4", "ipv6"):
+    if kind in ("email", "ipv4"):
         return text.lower()
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).compressed
     if kind == "person":
         return " ".join(_names(text)).lower()
     if kind == "phone":
+        text = text.replace(TRUNK, "") if text.startswith("+") else text
         return ("+" if text.startswith("+") else "") + "".join(c for c in text if c.isdigit())
     return "".join(c for c in text if c.isalnum()).upper()
 
@@ -283,7 +311,16 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0, gender: str =
     if kind == "ipv6":
         if longer:
             return ":".join(f"{draw.below(1 << 16):x}" for _ in range(8))
-        return ":".join(f"{draw.below(1 << 4 * len(g)):0{len(g)}x}" for g in text.split(":"))
+        # Zero groups stay, as "::" may stand for them; the others keep their number of digits, the first its kind of address.
+        groups = [f"{int(g, 16):x}" for g in ipaddress.IPv6Address(text).exploded.split(":")]
+        new = ["0" if g == "0" else f"{draw.below(15 << 4 * (len(g) - 1)) + (1 << 4 * (len(g) - 1)):x}" for g in groups]
+        if len(groups[0]) == 4:
+            new[0] = groups[0][:2] + f"{draw.below(256):02x}"
+        before, _, after = text.partition("::")
+        parts = [half.split(":") if half else [] for half in (before, after)]
+        parts = [[x.zfill(len(g)) for g, x in zip(p, q)] for p, q in zip(parts, (new, new[8 - len(parts[1]):]))]
+        out = "::".join(":".join(p) for p in parts) if "::" in text else ":".join(parts[0])
+        return out.upper() if text.isupper() else out
     if kind == "card":
         digits = normal(kind, text)
         new = digits[0] + "".join(str(draw.below(10)) for _ in digits[2:]) + digits_more()
@@ -299,11 +336,15 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0, gender: str =
         number = int("".join(str(int(c, 36)) for c in body + whole[:2] + "00"))
         return _filled(text, whole[:2] + f"{98 - number % 97:02d}" + body)
     if kind == "phone":
-        # The first digit after a plus stays; all spellings have the same digits.
+        # The first digit after a plus stays, and so does a first zero, no second behind it; all spellings have the same digits.
         digits = normal(kind, text).lstrip("+")
-        kept = text.startswith("+")
-        new = iter(digits[:kept] + "".join("0123456789"[draw.below(10)] for _ in digits[kept:]))
-        return "".join(next(new) if c.isdigit() else c for c in text) + digits_more()
+        plus = text.startswith("+")
+        zero = not plus and digits[0] == "0"
+        kept = plus or zero
+        drawn = [draw.below(9) + 1 if zero and not i else draw.below(10) for i in range(len(digits) - kept)]
+        new = iter(digits[:kept] + "".join(map(str, drawn)))
+        parts = text.split(TRUNK) if plus else [text]
+        return TRUNK.join("".join(next(new) if c.isdigit() else c for c in part) for part in parts) + digits_more()
     return _person(text, key, attempt, gender)
 
 

@@ -170,6 +170,34 @@ def test_surrogates_where_the_look_allows_too_few(spark):
         assert len(set(drawn)) == 20 and (len(drawn[-1]) > len(drawn[0]) + 10 or kind == "ipv6"), kind
 
 
+@pytest.mark.parametrize("kind, text", [
+    *(("phone", t) for t in ("(555)555-1234", "+1(555)555-1234", "+49 30 1234567", "+49 (0)30 123456", "+49 (0)30/123456-78", "030/1234567",
+                             "030 / 1234567", "(030) 1234567", "0171 1234567", "030/123 45 67", "06 12 34 56 78", "06.12.34.56.78",
+                             "+33 6 12 34 56 78", "+33 (0)6 12 34 56 78", "+41 44 123 45 67", "+44 20 7946 0958")),
+    *(("ipv6", t) for t in ("2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:0DB8:0:1::AB", "2001:db8:85a3:8d3::", "2001:db8:0:0:0:ff00:42:8329")),
+    ("card", "3782 822463 10005"), ("card", "3056-930902-5904")])
+def test_spellings(kind, text):
+    found = sg.detect(f"ab {text}, cd {text}. ef")
+    assert [(e.kind, e.text) for e in found] == [(kind, text)] * 2, found
+    new = sg.surrogate(kind, text, KEY)
+    assert new != text and len(new) == len(text) and [e.kind for e in sg.detect(f"ab {new}, cd")] == [kind], new
+
+
+def test_look_alikes_stay():
+    for text in ("2024-01-15", "15.01.2024", "01/15/2024", "01.02.2024 08:15", "2024/01/15", "12:30:45", "2024-01-15T12:30:45", "08:15:30:01", "1.2.3",
+                 "v2.10.04", "10.0.19045", "01.02.03.04", "std::abc", "add::bad1", "x[10::20]", "a::b", "12:30::", "::", "::1", "fe80::",
+                 "00 01 02 03 04 05 06 07", "2024-08-15-12-30-45", "003/120", "0.12 34", "1990-2000", "00:1A:2B:3C:4D:5E", "+5 to +10"):
+        assert sg.detect(f"ab {text} cd") == [], (text, sg.detect(f"ab {text} cd"))
+
+
+def test_spellings_of_one_entity():
+    for kind, one, other in [("phone", "+49 (0)30 123456", "+49 30 123456"), ("phone", "030/1234567", "(030) 1234567"),
+                             ("ipv6", "2001:db8::1", "2001:0DB8:0:0:0:0:0:1"), ("card", "3782 822463 10005", "378282246310005")]:
+        assert sg.normal(kind, one) == sg.normal(kind, other)
+        assert sg.normal(kind, sg.surrogate(kind, one, KEY)) == sg.normal(kind, sg.surrogate(kind, other, KEY))
+    assert "(0)" in sg.surrogate("phone", "+49 (0)30 123456", KEY)
+
+
 # op3
 
 def test_languages(spark):
