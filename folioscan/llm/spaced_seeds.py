@@ -10,7 +10,8 @@ be equal.
 
 Everything is DataFrame and SQL functions.  Texts are read once and never
 shuffled: the benchmark's hashes are broadcast in slices of ``slice_rows``
-rows at most, so that what is broadcast is bounded for a benchmark of any size;
+rows at most, each with the words compared around it and no others, so that
+what is broadcast is bounded for a benchmark of any size and items of any length;
 only verified overlaps are shuffled.
 
 Defined results: words are runs of letters and digits (all characters beyond
@@ -58,18 +59,19 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def _hits(rows: DataFrame, items: DataFrame, masks: tuple[str, ...], slice_rows: int) -> DataFrame:
-    seeds = stored(_seeds(items, masks).select("seed", "item_id", F.col("at").alias("item_at"), F.col("hashes").alias("item")), "seeds")
+    # With a seed go only the words that are compared around it.
+    size = F.size("hashes")
+    n = F.least(size, F.lit(OVERLAP))
+    low = F.greatest(F.lit(0), F.least(F.col("at") + (len(masks[0]) // 2 - OVERLAP // 2), size - n))
+    seeds = stored(_seeds(items, masks).select("seed", "item_id", F.col("at").alias("item_at"), low.alias("low"), F.slice("hashes", low + 1, n).alias("item")), "seeds")
     slices = max(1, math.ceil(seeds.count() / slice_rows))
     places = _seeds(rows, masks)
-    # About `slice_rows` seeds, each with the words of one item.
+    # About `slice_rows` seeds, each with OVERLAP words at most.
     found = [places.join(F.broadcast(
         seeds if slices == 1 else seeds.where(F.pmod(F.xxhash64("seed", "item_id", "item_at"), F.lit(slices)) == i)), "seed")
         for i in range(slices)]
-    size = F.size("item")
-    n = F.least(size, F.lit(OVERLAP))
-    low = F.greatest(F.lit(0), F.least(F.col("item_at") + (len(masks[0]) // 2 - OVERLAP // 2), size - n))
     return reduce(DataFrame.unionByName, found).select(
-        "doc_id", "item_id", "hashes", "item", n.alias("n_words"), low.alias("low"), (F.col("at") - F.col("item_at") + low).alias("start"))
+        "doc_id", "item_id", "hashes", "item", F.size("item").alias("n_words"), (F.col("at") - F.col("item_at") + F.col("low")).alias("start"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, slice_rows: int = 50_000) -> DataFrame:
@@ -82,7 +84,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, slice_rows: int = 50_000) ->
     for n in sorted(r["n"] for r in short):
         hits = hits.unionByName(_hits(rows, items.where(F.size("hashes") == n), ("1" * n,), slice_rows))
     same = F.aggregate(F.sequence(F.lit(0), F.col("n_words") - 1), F.lit(0), lambda acc, k: acc + F.when(
-        (F.col("start") + k >= 0) & (F.get(F.col("hashes"), F.greatest(F.lit(0), F.col("start") + k)) == F.get(F.col("item"), F.col("low") + k)),
+        (F.col("start") + k >= 0) & (F.get(F.col("hashes"), F.greatest(F.lit(0), F.col("start") + k)) == F.get(F.col("item"), k)),
         1).otherwise(0))
     hits = hits.select("doc_id", "item_id", "start", "n_words", same.alias("n_same"))
     # Filtered after the sums: a filter before would move into the join and out of the generated loop.

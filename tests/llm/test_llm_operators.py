@@ -268,6 +268,19 @@ def test_spaced_seeds(spark):
     assert ss.overlaps(table(spark, texts, ids), bench.limit(0)).collect() == []
 
 
+def test_seeds_of_long_items_carry_few_words(spark, monkeypatch):
+    rng = random.Random(3)
+    item = ["w%d" % rng.randrange(10 ** 6) for _ in range(3000)]
+    kept = {}
+    monkeypatch.setattr(ss, "stored", lambda df, purpose: kept.setdefault(purpose, df))
+    texts = [" ".join(item[1000:1030]), " ".join(item[-20:]), "nothing of it"]
+    got = {r["doc_id"]: r for r in rows(ss.overlaps(table(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")))}
+    assert set(got) == {0, 1} and got[0]["n_same"] == got[1]["n_same"] == 20
+    arrays = [f.name for f in kept["seeds"].schema if isinstance(f.dataType, T.ArrayType)]
+    longest = kept["seeds"].agg(*[F.max(F.size(c)).alias(c) for c in arrays], F.count("*").alias("n")).first().asDict()
+    assert longest.pop("n") == 3 * 2992 and max(longest.values()) <= ss.OVERLAP
+
+
 # op5
 
 def brute(ids, vectors, k):
