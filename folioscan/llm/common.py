@@ -16,6 +16,7 @@ from folioscan.session import shared_dir
 
 
 ROOT = Path(__file__).resolve().parents[2]
+ROW = "_stored_row"
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,6 +53,11 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` stored, each row with a key ``ROW`` that no other row has."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), purpose)
+
+
 def crc_class(key: str, classes: int) -> Column:
     """crc32 of a key's text, modulo ``classes``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % classes

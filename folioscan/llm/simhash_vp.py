@@ -45,7 +45,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscan.llm.common import as_bytes, stored
+from folioscan.llm.common import ROW, as_bytes, numbered, stored
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 BANDS, BAND_BITS = 4, 16
@@ -124,13 +124,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         texts = as_bytes(batch.column("text"))
         prints = fingerprints_of(as_bytes(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        keys = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(prints.view(np.int64))], [*keys, "print"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print (the fingerprint's 64 bits as a long) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, print long")
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, ``keys`` (longs) and print (the fingerprint's 64 bits as a long) of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, "text")
+    return rows.mapInArrow(_fingerprint_batches, ", ".join(f"{c} long" for c in ("doc_id", *keys, "print")))
 
 
 def _band(prints: np.ndarray, band: int) -> np.ndarray:
@@ -387,14 +388,19 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _rooted(prints: DataFrame, least: Column) -> DataFrame:
+    """print, least (of the rows that have it and a doc_id), root of each distinct fingerprint."""
+    known = stored(prints.where("doc_id IS NOT NULL").groupBy("print").agg(least.alias("least")), "distinct-prints")
+    roots = components(stored(links(known.select("print")), "links"))
+    return stored(known.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
+        "print", "least", F.coalesce("root", "print").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = stored(fingerprints(docs), "prints")
-    known = stored(prints.where("doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("least_doc")), "distinct-prints")
-    roots = components(stored(links(known.select("print")), "links"))
-    rooted = stored(known.join(roots.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", "least_doc", F.coalesce("root", "print").alias("root")), "roots")
-    least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
+    rooted = _rooted(prints, F.min("doc_id"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = rooted.join(least, "root").select("print", "component_id")
     return prints.join(labelled, "print", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
@@ -402,12 +408,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with its smallest doc_id; all columns
-    kept.  Rows without doc_id stay.  If rows repeat that doc_id, one stays."""
-    marks = stored(near_duplicates(docs), "components")
-    kept = stored(marks.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    # Nearly all documents are kept, so the ids grow with the corpus: texts meet them by a shuffle at every size.
-    once = docs.join(kept.where("copies = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    again = docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL")
-    return once.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(nameless)
+    """One row of each component, of those with its smallest doc_id; all columns
+    kept.  Rows without doc_id stay.  Rows that share a doc_id and have texts in
+    different components are told apart."""
+    rows = numbered(docs, "rows")
+    prints = stored(fingerprints(rows, ROW), "prints")
+    first = _rooted(prints, F.min(F.struct("doc_id", ROW))).groupBy("root").agg(F.min("least").alias("first"))
+    kept = stored(first.select(F.col("first")[ROW].alias(ROW)), "kept")
+    # Nearly all documents are kept, so the keys grow with the corpus: texts meet them by a shuffle at every size.
+    once = rows.where("doc_id IS NOT NULL").join(kept.hint("merge"), ROW, "left_semi")
+    nameless = rows.where("doc_id IS NULL")
+    return once.select(docs.columns).unionByName(nameless.select(docs.columns))

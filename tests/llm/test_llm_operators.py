@@ -281,6 +281,25 @@ def test_seeds_of_long_items_carry_few_words(spark, monkeypatch):
     assert longest.pop("n") == 3 * 2992 and max(longest.values()) <= ss.OVERLAP
 
 
+def test_rows_are_dropped_by_their_own_text(spark):
+    rng = random.Random(4)
+    noise = lambda n: " ".join("w%d" % rng.randrange(10 ** 6) for _ in range(n))
+    item = noise(30)
+    texts = [f"{noise(9)} {item}", noise(40), None, f"{item} {noise(9)}", noise(40), noise(40)]
+    docs = table(spark, texts, [None, None, None, 5, 5, 6])
+    kept = rows(ss.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")))
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept) == sorted(str(x) for x in zip([None, None, 5, 6], [*texts[1:3], *texts[4:]]))
+    assert set(kept[0]) == set(docs.columns)
+
+
+def test_one_row_of_each_component_where_doc_ids_repeat(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join("w%d" % rng.randrange(10 ** 6) for _ in range(60)) for _ in range(4))
+    docs = table(spark, [a, a, b, c, d, d, b, a], [3, 5, 5, 7, 7, 7, 8, None])
+    kept = rows(vp.keep_one(docs))
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept) == sorted(str(x) for x in [(3, a), (5, b), (7, c), (7, d), (None, a)])
+
+
 # op5
 
 def brute(ids, vectors, k):
