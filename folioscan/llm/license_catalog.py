@@ -230,7 +230,7 @@ zope-2.1 40 0.9 zope | zope public licen[sc]e(?: (?:v|version )?2 1)?
 cnri 40 0.9 cnri | cnri (?:open source )?(?:python )?licen[sc]e(?: agreement)?
 proprietary 50 0.85 proprietary | proprietary and confidential
 proprietary 40 0.8 proprietary | (?:under|subject to) (?:a|the|our) proprietary licen[sc]e
-proprietary 40 0.8 commercial | (?:commercial|paid) licen[sc]e (?:is )?required
+proprietary 40 0.8 required | (?:commercial|paid) licen[sc]e (?:is )?required
 non-commercial 40 0.8 commercial | for non ?commercial (?:use|purposes) only
 non-commercial 40 0.8 commercial | not for commercial use
 no-derivatives 30 0.75 derivative | no derivative works (?:are )?(?:allowed|permitted)

@@ -664,6 +664,36 @@ def test_suppression_equals_all_pairs():
         assert lr.resolved(found) == sorted(kept)
 
 
+def spelled(parsed):
+    """The shortest texts of a parsed pattern, one for each way through its alternatives and options."""
+    texts = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "IN":
+            more = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in value]
+        elif name == "BRANCH":
+            more = [t for part in value[1] for t in spelled(part)]
+        elif name == "SUBPATTERN":
+            more = spelled(value[3])
+        elif name == "MAX_REPEAT":
+            once = spelled(value[2])
+            more = ["", *once] if value[0] == 0 else [t * value[0] for t in once]
+        else:
+            assert name == "NOT_LITERAL"
+            more = ["x" if value != ord("x") else "y"]
+        texts = [t + m for t in texts for m in dict.fromkeys(more)]
+    return texts
+
+
+def test_keywords_stand_in_all_a_rule_matches():
+    for rule in (rule for mine in lr.rules().values() for rule in mine):
+        for text in spelled(re._parser.parse(rule.pattern.pattern[12:-9].decode("latin-1"))):
+            assert rule.pattern.fullmatch(text.encode("latin-1")) and rule.keyword.decode("latin-1") in text, (rule, text)
+    assert lr.scan(b"A paid license required for use")["labels"] == "proprietary"
+
+
 def test_rules_of_the_catalog():
     found = [rule for mine in lr.rules().values() for rule in mine]
     assert len(found) >= 200 and {r.pattern.pattern[12:-9].decode() for r in found if r.base} == set(lr.BASE)
