@@ -24,9 +24,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F, types as T, Window
 
-from folioscan.llm.common import as_bytes, blocks, crc_class
+from folioscan.llm.common import as_bytes, blocks, crc_class, stored
 
 WIDTH, VECTOR, FILTERS, EVIDENCE = 6, 8, 16, 8
 HALF = 128  # bytes; a chunk is two halves
@@ -129,25 +129,29 @@ def _chunks(text: bytes, most: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.minimum(2 * HALF, len(text) - chosen * HALF)
 
 
-def _crop(text: bytes, rng: np.random.Generator) -> bytes:
-    """8 to 300 bytes out of a text, more often few than many."""
+def _crop(length: int, rng: np.random.Generator) -> slice:
+    """8 to 300 bytes out of a text of ``length`` bytes, more often few than many."""
     size = int(8 * (300 / 8) ** rng.random())
-    begin = int(rng.integers(0, max(1, len(text) - size + 1)))
-    return text[begin:begin + size]
+    begin = int(rng.integers(0, max(1, length - size + 1)))
+    return slice(begin, begin + size)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, fit_chunks: int = 16,
+Cuts = list[tuple[np.ndarray, np.ndarray]]
+
+
+def fit(lengths: list[int], cuts: Callable[[list[slice]], tuple[Cuts, Cuts]], labels: np.ndarray, weights: np.ndarray,
         steps: int = 480, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> dict[str, np.ndarray]:
-    """Adam on the weighted cross entropy, as many steps for any number of texts."""
+    """Adam on the weighted cross entropy, as many steps for any number of texts,
+    of which only ``lengths`` and what ``cuts`` gives are seen: the chunks of
+    each, and those of its crop, which is passed."""
     rng = np.random.default_rng(seed)
     p = _start(rng)
-    cut = [_chunks(t, fit_chunks) for t in texts]
-    short = [_chunks(_crop(t, rng), fit_chunks) for t in texts]  # short texts are few, and as good as long ones
+    cut, short = cuts([_crop(n, rng) for n in lengths])  # short texts are few, and as good as long ones
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     queue = np.zeros(0, int)
     for step in range(1, steps + 1):
         while len(queue) < batch:
-            queue = np.concatenate([queue, rng.permutation(len(texts))])
+            queue = np.concatenate([queue, rng.permutation(len(lengths))])
         rows, queue = queue[:batch], queue[batch:]
         lowered = rate * (1 if 3 * step < 2 * steps else 0.25)
         for k, g in _gradients(p, [(short if rng.random() < SHORT else cut)[r] for r in rows], labels[rows], weights[rows]).items():
@@ -200,10 +204,29 @@ def _gradients(p: dict, cut: list, labels: np.ndarray, weights: np.ndarray) -> d
     return grads
 
 
+def _cutter(crops: dict, fit_chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each text its chunks and those of its crop, and their valid positions, as bytes."""
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            cut = [[a.tobytes() for part in (t, t[crops[i]]) for a in _chunks(part, fit_chunks)]
+                   for i, t in zip(ids.to_pylist(), as_bytes(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays(
+                [ids, *(pa.array([c[k] for c in cut], pa.binary()) for k in range(4))], ["doc_id", "rows", "valid", "short_rows", "short_valid"])
+
+    return run
+
+
+def _uncut(rows: bytes, valid: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(rows, np.uint8).reshape(-1, 2 * HALF + WIDTH - 1), np.frombuffer(valid, np.int64)
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fit_chunks: int = 16,
           left_out: tuple[int, int] = (4, 2), seed: int = 7) -> ByteCNN:
     """Fits the network to ``labels(doc_id, quality)`` of rows whose crc32 class
-    is not held out.  ``per_class`` bounds the rows that are collected."""
+    is not held out.  ``per_class`` bounds the rows that are collected, ``fit_chunks``
+    their size: texts are cut in the tasks.  Of rows that repeat a doc_id the
+    one with the greatest text counts."""
     classes, held = left_out
     known = (
         labels.where(F.col("quality").isin(0, 1) & (crc_class("doc_id", classes) != held))
@@ -217,12 +240,19 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fit_chunks:
     chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).drop("place")
     # 2 * per_class rows at most
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").collect()
-    sample = sorted({r["doc_id"]: r for r in sorted(sample, key=lambda r: r["text"])}.values(), key=lambda r: r["doc_id"])
-    marks = np.array([r["quality"] for r in sample], np.float32)
+    sample = stored(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text")), "sample")
+    sized = sorted(sample.select("doc_id", "quality", F.octet_length("text").alias("size")).collect(), key=lambda r: r["doc_id"])
+    schema = T.StructType([sample.schema["doc_id"], *(T.StructField(c, T.BinaryType()) for c in ("rows", "valid", "short_rows", "short_valid"))])
+
+    def cuts(crops: list[slice]) -> tuple[Cuts, Cuts]:
+        by_doc = {r["doc_id"]: crop for r, crop in zip(sized, crops)}
+        got = sorted(sample.select("doc_id", "text").mapInArrow(_cutter(by_doc, fit_chunks), schema).collect(), key=lambda r: r["doc_id"])
+        return [_uncut(r["rows"], r["valid"]) for r in got], [_uncut(r["short_rows"], r["short_valid"]) for r in got]
+
+    marks = np.array([r["quality"] for r in sized], np.float32)
     share = {q: counts[q] / max(1, int((marks == q).sum())) for q in (0, 1)}
     weights = np.array([share[int(m)] for m in marks], np.float32)
-    return ByteCNN(prior, fit([r["text"].encode() for r in sample], marks, weights / weights.mean(), fit_chunks, seed=seed))
+    return ByteCNN(prior, fit([r["size"] for r in sized], cuts, marks, weights / weights.mean(), seed=seed))
 
 
 def _scorer(model: ByteCNN) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -371,6 +371,19 @@ def test_quality(spark):
     assert cnn.quality_scores(docs.limit(0), model).collect() == []
 
 
+def test_sample_of_the_network_is_bounded(spark, monkeypatch):
+    """A hot doc_id with long texts: the driver sees one row of it, and chunks only."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abc " if i % 2 else "xyz ", k=rng.choice([0, 60, 9000]))) for i in range(60)] + ["hot " * 5000 + str(i) for i in range(200)]
+    docs = table(spark, texts, [*range(60), *[1] * 200])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    model = cnn.learn(docs, labels, per_class=20)
+    assert model.fitted and max(map(len, seen)) <= 40
+    assert max(len(v) for found in seen for r in found for v in r if isinstance(v, (str, bytes, bytearray))) <= 16 * 261
+
+
 def test_scores_do_not_depend_on_neighbours():
     rng = np.random.default_rng(1)
     model = cnn.ByteCNN(0.5, cnn._start(rng))
