@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscan.llm import (
-    bin_completion, byte_cnn, credentials, learned_partitions, license_rules, mixture_lang, oracle, packed_output, simhash_vp, spaced_seeds,
-    surrogates,
+    bin_completion, byte_cnn, credentials, group_join, learned_partitions, license_rules, mask_ranking, merkle_rollup, mixture_lang, oracle,
+    packed_output, simhash_vp, spaced_seeds, surrogates,
 )
-from folioscan.llm.common import shipped, table
+from folioscan.llm.common import crc_class, shipped, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 # A caller's own key belongs here; this one only makes the registered query repeatable.
@@ -63,7 +63,19 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rollup.manifest(table(spark, sf_dir, "documents"), crc_class("doc_id", 7) == 0)
+
+
+def op13_mask_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
     op1_credentials, op2_surrogates, op3_language_mixture, op4_spaced_seeds, op5_learned_partitions, op6_quality_cnn,
-    op7_simhash_vp, op8_packed_matrices, op9_license_rules, op10_bin_completion)}
+    op7_simhash_vp, op8_packed_matrices, op9_license_rules, op10_bin_completion, op11_group_join, op12_merkle_rollup, op13_mask_ranking)}
 ORACLE: dict[str, str] = oracle.STATEMENTS
