@@ -71,6 +71,8 @@ def file_hits(rule_id: str) -> list[str]:
             f"coalesce(transform({sg.injection_lines(p)}, "
             f"m -> {_hit(f'{rule_id}/{p.key}', 'm.line', 'm.line', f'{2 * i} + CAST(is_prompt AS INT)')}), {_NONE})"
             for i, p in enumerate(cat.INJECTION_PATTERNS)]
+    if rule_id == "sec_mcp_permissions":
+        return [_if(sg.broad_mcp_permission(), f"array({_hit(f'{rule_id}/')})")]
     if rule_id == "compat_vendor_lock":
         return [_if(sg.has_vendor(p), f"array({_hit(f'{rule_id}/{p.key}')})") for p in cat.VENDOR_PATTERNS]
     if rule_id == "maint_complexity":
@@ -110,19 +112,22 @@ def matched_rules(cfg: AuditConfig, rules=None) -> set[str]:
 
 
 def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, classified: DataFrame | None = None,
-             project_signals: DataFrame | None = None, hits: DataFrame | None = None, single: bool = False) -> DataFrame:
+             project_signals: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """All findings of the given rules (default: all enabled ones).
 
     ``hits`` may be a stored table of (project_id, path, hits), see
     :func:`hits_column`; the text is then not matched again.  What rules that are
-    off found in it is left out; a table that lacks a rule is refused.
-    ``single``: every file is a project of its own.
+    off found in it is left out; a table that lacks a rule is refused.  With
+    ``hits`` and ``project_signals`` no text is read at all, else it is read once
+    for each of them.
     """
     cfg = cfg or AuditConfig()
     spark = files.sparkSession
     wanted = _wanted(cfg, rules)
-    classified = cl.classify(files) if classified is None else classified
-    nowhere = "CAST(NULL AS STRING) AS place"
+    if classified is None and (hits is None or project_signals is None):
+        classified = cl.classify(files)
+    if project_signals is None and wanted & {*cat.PROJECT_RULES, *PROJECT_DECIDES, "sec_dependencies"} and not files.isStreaming:
+        project_signals = sg.project_signals(files, cfg, classified=classified, repeated_lines=False)
     parts = []
 
     in_file = hits_column(cfg, wanted)
@@ -137,22 +142,15 @@ def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, class
             if missing:
                 raise ValueError(f"the stored hits lack {', '.join(sorted(missing))}")
             stored = True
-        found = hits.selectExpr("project_id", "path", nowhere, "explode_outer(hits) AS hit")
+        found = hits.selectExpr("project_id", "path", "CAST(NULL AS STRING) AS place", "explode_outer(hits) AS hit")
         if stored or rules is not None:
             found = found.filter(tx.is_in("substring_index(hit.key, '/', 1)", sorted(wanted)))
+        if wanted & set(PROJECT_DECIDES) and project_signals is not None:
+            found = _as_projects_decide(found, project_signals, cfg, wanted)
         parts.append(found)
 
-    if "sec_mcp_permissions" in wanted:
-        wide = sg.readable(classified).filter(sg.broad_mcp_permission()).select("project_id", "path")
-        mcp = project_signals if project_signals is not None else cl.manifests(files, classified)
-        mcp = mcp.filter("skill_type = 'mcp'").select("project_id")
-        parts.append(wide.join(mcp, "project_id", "left_semi").selectExpr(
-            "project_id", "path", nowhere, f"{_hit('sec_mcp_permissions/')} AS hit"))
     about_project = [r for r in cat.PROJECT_RULES if r in wanted]
     if about_project or "sec_dependencies" in wanted:
-        ps = project_signals
-        if ps is None:
-            ps = sg.project_signals(files, cfg, classified=classified, repeated_lines=False)
         # One branch tells all that is known of a project.
         conditions = project_conditions(cfg)
         cells = [f"CASE WHEN {conditions[r]} THEN struct(CAST(NULL AS STRING) AS path, '{'prompt' if r == 'prompt_clarity' else '.'}' AS place, "
@@ -160,25 +158,33 @@ def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, class
         if "sec_dependencies" in wanted:
             cells += [f"CASE WHEN dependency_readable AND dep_{p} THEN struct(dependency_file AS path, CAST(NULL AS STRING) AS place, "
                       f"{_hit(f'sec_dependencies/{p}')} AS hit) END" for p in cl.PACKAGES]
-        parts.append(ps.selectExpr("project_id", f"explode_outer(array_compact(array({', '.join(cells)}))) AS x").selectExpr(
+        parts.append(project_signals.selectExpr("project_id", f"explode_outer(array_compact(array({', '.join(cells)}))) AS x").selectExpr(
             "project_id", "x.path", "x.place", "x.hit"))
 
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    rows = finish(rows, spark, cfg)
-    if wanted & {"prompt_injection", "maint_complexity"} and not files.isStreaming:
-        rows = rows.join(failed_dimensions(classified, cfg, single), ["project_id", "dimension"], "left_anti").select(*COLUMNS)
-    return rows
-
-
-def failed_dimensions(classified: DataFrame, cfg: AuditConfig, single: bool = False) -> DataFrame:
-    """(project_id, dimension) pairs that fail because a file cannot be read.  A
-    lone file is no project's README."""
-    readme = "path = 'README.md'" if cfg.runs("maint_documentation") and not single else "false"
-    return classified.filter("content IS NULL").selectExpr(
-        "project_id",
-        f"explode(array_compact(array(CASE WHEN {sg.IN_PROMPT} THEN 'P' END, CASE WHEN {readme} THEN 'X' END))) AS dimension").distinct()
+    return finish(rows, spark, cfg)
+
+
+# What these rules find in a file counts or not by what is known of its project:
+# the kind of the project, or that another file of it cannot be read.
+PROJECT_DECIDES = ("sec_mcp_permissions", "prompt_injection", "maint_complexity")
+
+
+def _as_projects_decide(found: DataFrame, project_signals: DataFrame, cfg: AuditConfig, wanted) -> DataFrame:
+    """Of ``found``, what the projects let count.  A row for each project and
+    rule where that is not the rule's usual case."""
+    unusual = {
+        "sec_mcp_permissions": "skill_type = 'mcp'", "prompt_injection": "prompt_unreadable",
+        "maint_complexity": "readme_unreadable" if cfg.runs("maint_documentation") else "false"}
+    cells = ", ".join(f"CASE WHEN {unusual[r]} THEN '{r}' END" for r in PROJECT_DECIDES if r in wanted)
+    said = project_signals.selectExpr("project_id", f"explode(array_compact(array({cells}))) AS rule_id")
+    # Rows of one project go apart by their rules.
+    rows = found.withColumn("rule_id", F.substring_index("hit.key", "/", 1))
+    marked = rows.join(said.withColumn("said", F.lit(True)), ["project_id", "rule_id"], "left")
+    kept = marked.filter("CASE WHEN rule_id = 'sec_mcp_permissions' THEN coalesce(said, false) ELSE said IS NULL END")
+    return kept.select(*found.columns)
 
 
 # The prompt rules ran: there is prompt text and all of it could be read.

@@ -67,13 +67,11 @@ class Audit:
         # Findings need no repeated lines; the scores' signals have them.
         project = self.project_signals if self.single else sg.project_signals(
             self.files, self.config, self.signals, self.classified, repeated_lines=False, configs=self.first_configs)
-        if not self.single and self.signals is None and self.first_configs is None:
-            project = None  # each part of the findings asks for what it needs only
         hits = self.signals.select("project_id", "path", "hits") if self.signals is not None and "hits" in self.signals.columns else None
         own = rules
         if self.single:  # without a dependency file
             own = [r for r in rules or fd.cat.RULE if r != "sec_dependencies"]
-        found = fd.findings(self.files, self.config, own, self.classified, project, hits, self.single)
+        found = fd.findings(self.files, self.config, own, self.classified, project, hits)
         # Judges' findings belong to no rule.
         return found if self.judged is None or rules is not None else found.unionByName(self.judge_findings())
 
