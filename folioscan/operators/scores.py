@@ -166,8 +166,9 @@ def errors(scores: DataFrame, cfg: AuditConfig) -> DataFrame:
     return scores.selectExpr("project_id", f"inline(array_compact(array({cells})))")
 
 
-def severity_counts(cfg: AuditConfig) -> dict[str, str]:
-    """Findings per severity, from the signals alone: nothing is exploded."""
+def severity_counts(cfg: AuditConfig, dimension: str | None = None) -> dict[str, str]:
+    """Findings per severity, of one dimension's rules or all, from the signals
+    alone: nothing is exploded."""
     totals = {s: ["0"] for s in cat.SEVERITIES}
 
     def add(rule, own, expr):
@@ -176,7 +177,7 @@ def severity_counts(cfg: AuditConfig) -> dict[str, str]:
     readme_ok = "NOT X_failed"
     for rule in cat.RULES:
         r = rule.rule_id
-        if not cfg.runs(r):
+        if not cfg.runs(r) or dimension not in (None, rule.dimension):
             continue
         if r in cat.MATCH_RULES or r == "prompt_injection":
             for own in dict.fromkeys(p.severity for p in rule.patterns):
@@ -213,6 +214,12 @@ def audits(scores: DataFrame, cfg: AuditConfig, nested: bool = False) -> DataFra
         "project_id", "skill_type", "n_files AS files_scanned", "overall", *dims,
         *[f"{c}{f' + more_{s}' if f'more_{s}' in scores.columns else ''} AS n_{s}" for s, c in severity_counts(cfg).items()],
         *([f"struct({inner}) AS dimension_scores"] if nested else []))
+    return with_summary(rows, cfg)
+
+
+def with_summary(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """Adds band, passed and summary to scores and counts."""
+    dims = cfg.enabled_dimensions()
     return rows.selectExpr(
         "*", f"{score_band('overall')} AS band", f"{gate('overall', cfg.fail_threshold)} AS passed"
     ).selectExpr("*", f"{summary(dims)} AS summary")

@@ -9,6 +9,8 @@ The rules are SQL expressions over the columns of :func:`readable`.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from folioscan.functions import text as tx
@@ -230,10 +232,25 @@ def file_flags(cfg: AuditConfig) -> dict[str, tuple[str, str]]:
     return flags
 
 
-def file_signals(classified: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """One row of counts and flags per file; no text."""
+def flag_dimensions(cfg: AuditConfig) -> dict[str, str]:
+    """The dimension of each flag that only the rules of one dimension ask for."""
+    def of(*dims):
+        return set(file_flags(replace(cfg, dimensions={d: c for d, c in cfg.dimensions.items() if d in dims})))
+
+    own = {d: of(d) - of() for d in cfg.enabled_dimensions()}
+    return {n: d for d, names in own.items() for n in names if sum(n in other for other in own.values()) == 1}
+
+
+def file_signals(classified: DataFrame, cfg: AuditConfig, only: str | None = None) -> DataFrame:
+    """One row of counts and flags per file; no text.  ``only``: the name of a
+    column of ``classified`` with the dimensions that the file's project needs;
+    rules of others are not matched."""
     flags = file_flags(cfg)
-    return readable(classified).selectExpr("project_id", "path", *[f"{c} AS {n}" for n, (c, _) in flags.items()])
+    exprs = {n: c for n, (c, _) in flags.items()}
+    if only is not None:
+        nothing = {"sum": "0", "any": "false"}
+        exprs |= {n: f"CASE WHEN array_contains({only}, '{d}') THEN {exprs[n]} ELSE {nothing[flags[n][1]]} END" for n, d in flag_dimensions(cfg).items()}
+    return readable(classified).selectExpr("project_id", "path", *[f"{c} AS {n}" for n, c in exprs.items()])
 
 
 def project_signals(files: DataFrame, cfg: AuditConfig, signals: DataFrame | None = None, classified: DataFrame | None = None,

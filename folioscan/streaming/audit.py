@@ -1,7 +1,9 @@
 """Audits of files that keep arriving.
 
-What a rule finds in one file needs that file only, so it streams; rules about a
-whole project are left to the batch audit over the signals collected so far.
+What a rule finds in one file needs that file only, so it streams.  Rules about a
+whole project need sums over its files as they are: :func:`maintain` keeps them
+in a :class:`maintained.SignalStore`, from which whole audits are read after
+every batch.
 
 A file may arrive again, unchanged or changed.  Every streamed row names the
 version of the file it was made from (its arrival and a hash of its content);
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscan.operators import classify as cl, findings as fd, signals as sg
+from folioscan.operators.maintained import SignalStore
 from folioscan.plans.config import AuditConfig
 from folioscan.rules import catalog as cat
 
@@ -83,6 +86,20 @@ def write_stream(stream: DataFrame, out: str, checkpoint: str, trigger: dict | N
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
 
 
+def maintain(arrivals: DataFrame, store: SignalStore, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Feeds files(project_id, path, content, arrived) into a store of its own,
+    a version for each batch.  A batch that is run again after a failure
+    overwrites what it left, or is skipped if it was done; files may come
+    changed, again, or late."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        store.update(batch, version=batch_id + 1)
+
+    return (
+        arrivals.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def stream_counts(arrivals: DataFrame, delay: str = "1 hour", cfg: AuditConfig | None = None, rules=FILE_LEVEL_RULES) -> DataFrame:
     """A stream of (project_id, path, arrived, rule_id, n): how often each rule
     found something in a content, once for each content of a file within

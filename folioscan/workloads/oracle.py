@@ -729,6 +729,28 @@ def statements() -> dict[str, str]:
         " SELECT score.project_id, overall, h.project_hash, h.project_hash = e.project_hash AS reused FROM score JOIN h USING (project_id) "
         "JOIN e ON e.project_id = score.project_id")
 
+    cells = " UNION ALL ".join(
+        f"(SELECT project_id, '{d}' AS dimension, {d} AS score, {qs.REWEIGHTED.weight(d)}::DOUBLE AS weight, n.*, same AND {'false' if d == 'S' else 'true'} AS reused "
+        f"FROM full_ JOIN same USING (project_id), LATERAL (SELECT "
+        + ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s}" for s in cat.SEVERITIES)
+        + f" FROM found WHERE found.project_id = full_.project_id AND found.dimension = '{d}') n)" for d in cat.DIMENSIONS)
+    out["incremental_dimensions"] = full("seeded", qs.REWEIGHTED) + (
+        f", files AS ({corpus.EARLIER_FILES_SQL}), {project_hashes('seeded_files', 'h')}, {project_hashes('files', 'e')}, "
+        f"same AS (SELECT h.project_id, h.project_hash = e.project_hash AS same FROM h JOIN e USING (project_id)) {cells}")
+    audited = "project_id, skill_type, n_files AS files_scanned, overall, " + DIMS + ", n_critical, n_warning, n_info FROM full_"
+    out["incremental_dimension_audits"] = full("seeded", qs.REWEIGHTED) + f" SELECT {audited}"
+    out["incremental_files"] = full() + f" SELECT {audited}"
+    out["incremental_file_findings"] = findings() + f" SELECT {FOUND} FROM found"
+    traits = ", ".join(("ext", "path LIKE '%.py'", "path LIKE '%.json'", "path = 'README.md'", "lower(name) = 'readme.md'", "name = '.gitignore'",
+                        has("lower(path)", *cat.MCP_PATH_WORDS), has("lower(path)", *cat.RAG_PATH_WORDS), has("lower(path)", "tool"),
+                        has("lower(path)", *cat.AGENT_PATH_WORDS), one_of("name", cat.DEPENDENCY_FILES), has("lower(path)", "test"),
+                        has("lower(path)", "change"), one_of("path", cat.VERSION_FILES)))
+    kinds_of = {i: f"({classified(source)} SELECT DISTINCT content, {traits} FROM k)" for i, source in ((1, "earlier"), (2, "seeded"))}
+    out["incremental_contents"] = (
+        f"SELECT 1 AS version, count(*) AS n_matched FROM {kinds_of[1]} UNION ALL SELECT 2, count(*) FROM ({kinds_of[2]} EXCEPT {kinds_of[1]})")
+    out["stream_audits"] = " UNION ALL ".join(
+        f"SELECT {i} AS delivery, * FROM ({full(source)} SELECT {audited})" for i, source in enumerate(("earlier", "seeded", "seeded")))
+
     out["judge_requests"] = judge_requests()
     listed = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in ("vulnerable_lines", "risk_patterns"))
     out["judge_parse"] = f"WITH {SOURCES['seeded']}{parsed_ctes()} SELECT * REPLACE ({listed}) FROM parsed".replace(

@@ -10,6 +10,7 @@ from folioscan.operators import (
     classify as cl, evidence as ev, findings as fd, fixes as fx, incremental as inc, judges as jd, reports as rp,
     scores as sc, signals as sg,
 )
+from folioscan.operators.maintained import SignalStore
 from folioscan.operators.custom import CustomDimension, CustomRule, custom_findings, with_custom_dimensions
 from folioscan.plans.audit import Audit
 from folioscan.plans.config import AuditConfig, layered_config, preset
@@ -194,6 +195,49 @@ def _appended_twice(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(rows.select("project_id", "overall", "project_hash", "reused"))
 
 
+# Another weight of one dimension: the others' results still hold.
+REWEIGHTED = layered_config({"dimensions": {"S": {"weight": 0.4}}})
+
+
+def _dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """Dimensions of the corpus as it is, out of those it had earlier under other weights."""
+    store = inc.full_dimensions(corpus.earlier_files(spark, sf), DEFAULT)
+    return inc.incremental_dimensions(corpus.seeded_files(spark, sf), store, REWEIGHTED)
+
+
+AUDIT_COLUMNS = ("project_id", "skill_type", "files_scanned", "overall", *cat.DIMENSIONS, "n_critical", "n_warning", "n_info")
+
+
+def _by_content(spark: SparkSession, sf: str) -> SignalStore:
+    """A store that took in the corpus as it was, then as it is."""
+    now = corpus.seeded_files(spark, sf)
+    store = SignalStore.create(spark, shared_dir(spark, "store"), project_id="bigint")
+    store.update(corpus.earlier_files(spark, sf))
+    store.update(now)
+    return store
+
+
+def _incremental_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """How many contents each update matched."""
+    store = _by_content(spark, sf)
+    versions = [spark.read.parquet(f"{store.path}/contents/version={v}").agg(F.count("*").alias("n_matched")).selectExpr(f"{v}L AS version", "n_matched")
+                for v in (1, 2)]
+    return versions[0].unionByName(versions[1])
+
+
+def _stream_audits(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole audits after each of three deliveries: the corpus as it was; as it is, twice; and as it was once more, late."""
+    before, now, _ = _deliveries(spark, sf)
+    source, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "state")
+    store = SignalStore.create(spark, shared_dir(spark, "store"), project_id="bigint")
+    audits = []
+    for i, files in enumerate((before, now, before)):
+        files.write.mode("append").parquet(source)
+        st.maintain(spark.readStream.schema(files.schema).parquet(source), store, checkpoint).awaitTermination()
+        audits.append(store.audits().select(F.lit(i).alias("delivery"), *AUDIT_COLUMNS))
+    return _wide(audits[0].unionByName(audits[1]).unionByName(audits[2]))
+
+
 def _stored_other_config(spark: SparkSession, sf: str) -> DataFrame:
     """Signals stored with all rules on, findings with some off."""
     stored = Audit(corpus.seeded_files(spark, sf)).store_signals(shared_dir(spark, "signals"))
@@ -372,6 +416,12 @@ QUERIES: dict[str, Query] = {
     "content_hash": _seeded(inc.file_hashes),
     "project_hash": _seeded(inc.project_hashes),
     "incremental": _incremental,
+    "incremental_dimensions": lambda spark, sf: _wide(_dimensions(spark, sf).select(
+        "project_id", "dimension", "score", "weight", "n_critical", "n_warning", "n_info", "reused")),
+    "incremental_dimension_audits": lambda spark, sf: _wide(inc.assembled_audits(_dimensions(spark, sf), REWEIGHTED).select(*AUDIT_COLUMNS)),
+    "incremental_files": lambda spark, sf: _wide(_by_content(spark, sf).audits().select(*AUDIT_COLUMNS)),
+    "incremental_file_findings": lambda spark, sf: _wide(_by_content(spark, sf).findings().select(*FINDING_COLUMNS)),
+    "incremental_contents": _incremental_contents,
     "judge_requests": _seeded(lambda files: jd.judge_requests(files).select("project_id", "judge", "path", "part", "user_prompt")),
     "judge_requests_limited": _seeded(lambda files: jd.judge_requests(files, limits=jd.Limits()).select("project_id", "judge", "user_prompt", "truncated")),
     "judge_parse": _parsed,
@@ -384,6 +434,7 @@ QUERIES: dict[str, Query] = {
     "stream_signals": _stream_signals,
     "stream_updates": _stream_updates,
     "stream_update_findings": _stream_update_findings,
+    "stream_audits": _stream_audits,
     "incremental_appended_twice": _appended_twice,
     "stored_other_config": _stored_other_config,
     "single_files_shared_paths": _shared_paths,
