@@ -9,8 +9,8 @@ what links reach.
   counters over the whole corpus, of which the cells far above the mean are
   kept; so what many documents share comes last.
 * Prefix.  Of n shingles, the first ``n - ceil(0.8 n) + extra + 1`` are a
-  document's prefix, with ``extra`` of ``n // 10``.  The prefixes of two linked
-  documents share at least one shingle more than the lesser ``extra``.
+  document's prefix, with ``extra`` of ``n // 10``.  So the prefixes of two linked
+  documents share more than a tenth of their shingles (:func:`_enough`).
 * Groups.  Documents with the same size and prefix are one group, and only
   groups are listed under the shingles of their prefixes.  A group that has too
   few shingles in lists with others, even for the smallest partner, is out.  Pairs of groups must agree in
@@ -19,12 +19,13 @@ what links reach.
   expanded to their classes, whose whole sets are compared, exactly.
 
 Dense clusters of near copies would give a pair for each two of them.  As links
-only have to connect, each group first is compared with one pivot, the first
-group of the lists it shares most with; so is each member with the first of its
-group.  What that connects is a component; rounds with other pivots follow as
-long as most comparisons are links.  After that all pairs that are still in
-different components are compared, list by list, the largest component of a
-list with the others but never with itself.
+only have to connect, each group first is compared with a neighbour, the one
+before it when groups are sorted by the least hashes of their listed shingles;
+so is each member with the first of its group.  What that connects is a
+component; rounds with other hashes follow as long as they add a twentieth to
+the links.  After that all pairs that are still in different components are
+compared, list by list, the largest component of a list with the others but
+never with itself.
 
 Hashes of shingles have 64 bits, classes 128.  Texts are read once for each of
 the four steps and not shuffled, only prefixes and the sets that are compared.
@@ -48,21 +49,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioscan.llm.common import as_bytes, stored
+from folioscan.llm.common import as_bytes, blocks, stored
 from folioscan.llm.simhash_vp import components
 
 SHINGLE = 5
 CELL_BITS = 20
-PIECE = 1 << 22  # bytes of a text that are split into words at a time
-REMEMBERED = 1 << 20  # words, groups or classes that a task remembers
+BLOCK = 1 << 20  # bytes of texts that are hashed at a time
+REMEMBERED = 1 << 20  # groups or classes that a task remembers
+PARITY = 1024  # bits that tell unlikely pairs before sets are compared
 FILTER_BITS = 1 << 27  # most bits of the filter that tells which sets to take
 TILE = 1000  # comparisons with one set in a task
 SAME_PREFIX = 1 << 30  # weight of the list of a group's own members
 SPACE = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+OF_BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
+OF_BYTE[0x41:0x5B] = OF_BYTE[0x61:0x7B]  # A-Z as a-z
+MULTIPLIER = np.uint64(0xD1342543DE82EF95)
 Batches = Iterator[pa.RecordBatch]
 
-_words: dict[bytes, int] = {}
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,31 +74,63 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(text: bytes) -> np.ndarray:
-    parts, begin = [], 0
-    while begin < len(text):
-        end = min((e for e in (text.find(s, begin + PIECE) for s in SPACE) if e >= 0), default=len(text)) if len(text) > begin + PIECE else len(text)
-        words = text[begin:end].lower().split()  # of bytes: A-Z and ASCII white space only
-        if len(_words) > REMEMBERED:
-            _words.clear()
-        for word in words:
-            if word not in _words:
-                _words[word] = xxhash.xxh3_64_intdigest(word)
-        parts.append(np.array([_words[w] for w in words], np.uint64))
-        begin = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-
-def shingle_set(text: bytes) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
-    words = _word_hashes(text)
-    if not len(words):
-        return words
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and their hashes: sums of a random number
+    for each byte times one for its place in the word, mixed."""
+    raw = np.frombuffer(text, np.uint8)
+    break_ = IS_SPACE[raw]
+    edge = np.flatnonzero(np.diff(break_.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+    begins, ends = edge[::2], edge[1::2]
+    if not len(begins):
+        return begins, np.zeros(0, np.uint64)
+    sizes = ends - begins
+    powers = np.full(int(sizes.max()), MULTIPLIER, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    letters = raw[~break_]
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters)) - np.repeat(first, sizes)
+    return begins, _mixed(np.add.reduceat(OF_BYTE[letters] * powers[place], first))
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of ``SHINGLE`` words, or of all words if they are fewer."""
     width = min(SHINGLE, len(words))
     hashes = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
         hashes = _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + words[k:k + len(hashes)])
-    return np.unique(hashes)
+    return hashes
+
+
+def _long_words(text: bytes) -> np.ndarray:
+    """The words' hashes of a long text, piece by piece."""
+    parts, begin = [], 0
+    while begin < len(text):
+        end = min((e for e in (text.find(s, begin + BLOCK) for s in SPACE) if e >= 0), default=len(text)) if len(text) > begin + BLOCK else len(text)
+        parts.append(word_hashes(text[begin:end])[1])
+        begin = end
+    return np.concatenate(parts)
+
+
+def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct shingles."""
+    for low, high in blocks([len(t) for t in texts], BLOCK):
+        if len(texts[low]) > BLOCK:
+            words = _long_words(texts[low])
+            yield np.unique(_shingles(words)) if len(words) else words
+            continue
+        begins, words = word_hashes(b" ".join(texts[low:high]))
+        after = np.cumsum([len(t) + 1 for t in texts[low:high]])
+        ends = np.searchsorted(begins, after).tolist()
+        hashes = _shingles(words) if len(words) >= SHINGLE else words
+        begin = 0
+        for end in ends:
+            if end - begin >= SHINGLE:
+                own = np.sort(hashes[begin:end - SHINGLE + 1])
+                yield own[np.r_[True, own[1:] != own[:-1]]]
+            else:
+                yield _shingles(words[begin:end]) if end > begin else words[:0]
+            begin = end
 
 
 def prefix_length(n: int) -> int:
@@ -102,7 +138,11 @@ def prefix_length(n: int) -> int:
 
 
 def _enough(n: Column) -> Column:
-    """How many shingles of its prefix a document of ``n`` shares with that of a linked one that has no fewer."""
+    """How many shingles of its prefix a document of ``n`` shares at least with
+    that of any linked one.  All they share up to the end of the prefix that ends
+    first is in both prefixes, and beyond it no more than the other shingles of
+    that document: of m and n shingles 4 / 9 (m + n) are shared, and seven tenths
+    of the larger number, at most, lie beyond."""
     return F.floor(n / 10) + 1
 
 
@@ -121,8 +161,8 @@ def prefix(tokens: np.ndarray, heat: np.ndarray) -> np.ndarray:
 def _cells(batches: Batches) -> Batches:
     counts = np.zeros(1 << CELL_BITS, np.int64)
     for batch in batches:
-        for text in as_bytes(batch.column("text")):
-            np.add.at(counts, shingle_set(text) >> np.uint64(64 - CELL_BITS), 1)
+        for tokens in shingle_sets(as_bytes(batch.column("text"))):
+            np.add.at(counts, tokens >> np.uint64(64 - CELL_BITS), 1)
     some = counts.nonzero()[0]
     for at in range(0, len(some), 1 << 16):
         part = some[at:at + (1 << 16)]
@@ -144,8 +184,7 @@ def _described(heat: np.ndarray) -> Callable[[Batches], Batches]:
     def describe(batches):
         for batch in batches:
             sizes, classes, groups = [], [], []
-            for text in as_bytes(batch.column("text")):
-                tokens = shingle_set(text)
+            for tokens in shingle_sets(as_bytes(batch.column("text"))):
                 sizes.append(len(tokens))
                 classes.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 groups.append(_group(prefix(tokens, heat), len(tokens)))
@@ -166,8 +205,7 @@ def _posted(heat: np.ndarray) -> Callable[[Batches], Batches]:
         seen: set[bytes] = set()
         for batch in batches:
             tokens, groups, sizes = [np.zeros(0, np.uint64)], [], []
-            for text in as_bytes(batch.column("text")):
-                own = shingle_set(text)
+            for own in shingle_sets(as_bytes(batch.column("text"))):
                 first = prefix(own, heat)
                 key = xxhash.xxh3_128_digest(first.tobytes(), len(own))
                 if not len(own) or key in seen:
@@ -217,6 +255,11 @@ def _bits(classes: list[bytes], mask: int) -> list[tuple[int, int]]:
     return [(int.from_bytes(c[:8], "little") & mask, int.from_bytes(c[8:], "little") & mask) for c in classes]
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
 def _filter_words(bits: int) -> Callable[[Batches], Batches]:
     def words(batches):
         for batch in batches:
@@ -226,16 +269,22 @@ def _filter_words(bits: int) -> Callable[[Batches], Batches]:
     return words
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the tokens fall on each of ``PARITY`` bits.  Of two
+    sets, at least as many tokens are in one only as their bits differ."""
+    odd = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _taken(heard: np.ndarray) -> Callable[[Batches], Batches]:
-    """(class, tokens) of the texts whose class the filter knows."""
+    """(class, parity, tokens) of the texts whose class the filter knows."""
     mask = len(heard) * 64 - 1
 
     def take(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            classes, sets = [], []
-            for text in as_bytes(batch.column("text")):
-                tokens = shingle_set(text)
+            classes, sets, parities = [], [], []
+            for tokens in shingle_sets(as_bytes(batch.column("text"))):
                 name = xxhash.xxh3_128_digest(tokens.tobytes())
                 if name not in seen and all(int(heard[at >> 6]) >> (at & 63) & 1 for at in _bits([name], mask)[0]):
                     if len(seen) >= REMEMBERED:
@@ -243,15 +292,14 @@ def _taken(heard: np.ndarray) -> Callable[[Batches], Batches]:
                     seen.add(name)
                     classes.append(name)
                     sets.append(tokens.view(np.int64))
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.ListArray.from_arrays(offsets, values)], ["class", "tokens"])
+                    parities.append(_parity(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), _lists(parities), _lists(sets)], ["class", "parity", "tokens"])
 
     return take
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, tokens), stored, of ``classes`` and a few others.  Tasks know which
+    """(class, parity, tokens), stored, of ``classes`` and a few others.  Tasks know which
     sets to take by a filter of at most ``FILTER_BITS`` bits; where more classes
     are asked for than it can tell apart, more sets are taken."""
     count = classes.count()
@@ -259,29 +307,45 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     words = classes.mapInArrow(_filter_words(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     heard = np.zeros(bits >> 6, np.uint64)
     heard[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    taken = docs.select("text").mapInArrow(_taken(heard), "class binary, tokens array<long>")
-    return stored(taken.groupBy("class").agg(F.first("tokens").alias("tokens")), "sets")
+    taken = docs.select("text").mapInArrow(_taken(heard), "class binary, parity array<long>, tokens array<long>")
+    return stored(taken.groupBy("class").agg(F.first("parity").alias("parity"), F.first("tokens").alias("tokens")), "sets")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose bits do not differ in more places than linked sets do."""
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("class").alias(name), F.col("parity").alias(f"parity_{name}"), F.size("tokens").alias(f"n_{name}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return both.where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs(a, b)`` of classes whose whole sets are similar.  A class that
     is ``b`` of many pairs is copied for every ``TILE`` of them."""
-    many = pairs.groupBy("b").count().where(F.col("count") > TILE).select("b", F.ceil(F.col("count") / TILE).alias("tiles"))
-    dealt = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("tiles", F.lit(1))).alias("tile"))
-    right = dealt.select("b", "tile").distinct().join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")), "b")
-    left = dealt.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")), "a")
+    likely = stored(_likely(pairs, sets), "likely")
+    many = likely.groupBy("b").count().where(F.col("count") > TILE).select("b", F.ceil(F.col("count") / TILE).alias("tiles"))
+    # Stored, so that Spark knows its size: few pairs are broadcast, and sets that no pair names stay where they are.
+    dealt = stored(likely.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("tiles", F.lit(1))).alias("tile")), "dealt")
+    right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")).join(dealt.select("b", "tile").distinct(), "b")
+    left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")).join(dealt, "a")
     common = F.size(F.array_intersect("left", "right"))
     return left.join(right, ["b", "tile"]).where(5 * common >= 4 * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
-def _stars(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of ``lists(token, member, n, part)`` with the pivot, of
-    another part, that it shares most lists with."""
-    order = Window.partitionBy("token").orderBy(F.xxhash64("member", F.lit(turn)), "member")
-    pivot = F.first(F.struct(F.col("member").alias("b"), F.col("n").alias("m"), F.col("part").alias("of"))).over(order)
-    votes = lists.withColumn("pivot", pivot).where((F.col("part") != F.col("pivot.of")) & _alike(F.col("n"), F.col("pivot.m")))
-    votes = votes.groupBy("member", "pivot.b").agg(F.sum("weight").alias("votes"))
-    return votes.groupBy(F.col("member").alias("a")).agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
+def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
+    """(a, b): members of ``lists(token, member, n, part)`` of different parts that
+    likely share much: those side by side when members are sorted by the least
+    hashes of their tokens, other hashes each turn."""
+    least = [F.min(F.xxhash64("token", F.lit(3 * turn + i))).alias(f"least_{i}") for i in range(3)]
+    members = lists.groupBy("member").agg(F.first("n").alias("n"), F.first("part").alias("part"), *least)
+    # The second hash splits what very many share the first of.
+    order = Window.partitionBy("least_0", F.pmod("least_1", F.lit(16))).orderBy("least_1", "least_2", "member")
+    own = F.struct(F.col("member").alias("b"), F.col("n").alias("m"), F.col("part").alias("of"))
+    near = members.withColumn("near", F.array(*[F.lag(own, i).over(order) for i in (1, 2, 3)]))
+    pairs = near.withColumn("before", F.explode("near")).where((F.col("part") != F.col("before.of")) & _alike(F.col("n"), F.col("before.m")))
+    return pairs.select(F.col("member").alias("a"), F.col("before.b").alias("b"))
 
 
 def _open(lists: DataFrame) -> DataFrame:
@@ -291,26 +355,33 @@ def _open(lists: DataFrame) -> DataFrame:
 
 
 def _across(lists: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different parts that share enough lists.  A list's
-    largest part meets the others, and those meet each other."""
+    """(a, b): all pairs of different parts that may be linked.  A list's largest
+    part meets the others, and those meet each other.  Linked documents share
+    :func:`_enough` lists, so a document may leave out its longest lists, one
+    fewer than that: the shortest list that two linked documents share is in
+    what both keep."""
     parts = lists.groupBy("token", "part").count()
-    most = parts.groupBy("token").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.ceil(F.sum("count") / (20 * TILE)).alias("tiles"))
-    rows = lists.join(most, "token")
-    few = rows.where("part <> main").select("token", F.col("member").alias("a"), F.col("n").alias("m"), F.col("part").alias("of"),
-                                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+    most = parts.groupBy("token").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("length"))
+    rows = lists.join(most.withColumn("tiles", F.ceil(F.col("length") / (20 * TILE))), "token")
+    of_member = Window.partitionBy("member")
+    shared = F.col("weight") == 1
+    rows = rows.withColumn("place", F.row_number().over(of_member.orderBy(shared, "length", "token"))).withColumn(
+        "last", F.count("*").over(of_member) - _enough(F.col("n")) + 1)
+    rows = stored(rows.where((F.col("place") <= F.col("last")) | ~shared), "kept")
+    few = rows.where("part <> main").select(
+        "token", F.col("member").alias("a"), F.col("n").alias("m"), F.col("part").alias("of"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
     rest = rows.withColumn("tile", F.pmod(F.xxhash64("member"), F.col("tiles")))
     pairs = few.join(rest, ["token", "tile"]).where(
         (F.col("of") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("member"))) & _alike(F.col("m"), F.col("n")))
-    pairs = pairs.groupBy(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).agg(
-        F.sum("weight").alias("shared"), F.min(F.least("m", "n")).alias("n"))
-    return pairs.where(F.col("shared") >= _enough(F.col("n"))).select("a", "b")
+    return pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
 
 
 def links(docs: DataFrame, heat: np.ndarray, classes: DataFrame) -> DataFrame:
     """Links (a, b) of ``classes(class, n, group)``, stored, that connect all that links connect."""
     posted = docs.select("text").mapInArrow(_posted(heat), "token long, group long, n long")
     lists = stored(posted.repartition("token").sortWithinPartitions("token", "group").mapInArrow(_shared, "token long, group long, n long"), "lists")
-    enough = lists.groupBy("group", "n").count().where(F.col("count") >= _enough(F.ceil(4 * F.col("n") / 5))).select("group")
+    enough = lists.groupBy("group", "n").count().where(F.col("count") >= _enough(F.col("n"))).select("group")
     one = F.lit(1).cast("long").alias("weight")
     lists = stored(_open(lists.join(enough, "group", "left_semi").select("token", F.col("group").alias("member"), "n", F.col("group").alias("part"), one)), "groups")
     heads = classes.groupBy("group").agg(F.min("class").alias("head"), F.count("*").alias("classes"))
@@ -319,25 +390,25 @@ def links(docs: DataFrame, heat: np.ndarray, classes: DataFrame) -> DataFrame:
     wanted = stored(classes.join(heads, "group").select("class", "n", "group", "head"), "wanted")
     sets = whole_sets(docs, wanted)
     ends = [wanted.where("class = head").select(F.col("group").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab"]
-    stars = _stars(lists, 0).join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    pairs = stored(stars.unionByName(wanted.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))), "pairs")
+    near = _neighbours(lists, 0).join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    pairs = stored(near.unionByName(wanted.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))), "pairs")
     found = stored(linked(pairs, sets), "links")
     expanded = lists.select("token", F.col("member").alias("group"), "weight").join(wanted, "group").select("token", "class", "n", "weight")
     inside = wanted.join(wanted.where("class <> head").select("group").distinct(), "group", "left_semi")
     members = stored(expanded.unionByName(inside.select(F.col("group").alias("token"), "class", "n", F.lit(SAME_PREFIX).cast("long").alias("weight")))
                      .withColumnRenamed("class", "member"), "members")
-    turn, mostly = 0, 2 * found.count() >= pairs.count()
+    turn, more, many = 0, found, 0
     while True:
         roots = components(found).select(F.col("node").alias("member"), "root")
         apart = stored(_open(members.join(roots, "member", "left").withColumn("part", F.coalesce("root", "member")).drop("root")), "apart")
         if not apart.limit(1).count():
             return found
-        if not mostly:
+        many += more.count()
+        if 20 * more.count() < many:
             return stored(found.unionByName(linked(stored(_across(apart), "pairs"), sets)), "links")
         turn += 1
-        pairs = stored(_stars(apart, turn), "pairs")
+        pairs = stored(_neighbours(apart, turn), "pairs")
         more = stored(linked(pairs, sets), "links")
-        mostly = 2 * more.count() >= pairs.count() > 0
         found = stored(found.unionByName(more), "links")
 
 
