@@ -56,7 +56,7 @@ SHINGLE = 5
 CELL_BITS = 20
 BLOCK = 1 << 20  # bytes of texts that are hashed at a time
 REMEMBERED = 1 << 20  # groups or classes that a task remembers
-PARITY = 1024  # bits that tell unlikely pairs before sets are compared
+PARITY = 512  # bits that tell unlikely pairs before sets are compared
 FILTER_BITS = 1 << 27  # most bits of the filter that tells which sets to take
 TILE = 1000  # comparisons with one set in a task
 SAME_PREFIX = 1 << 30  # weight of the list of a group's own members
@@ -311,23 +311,27 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(taken.groupBy("class").agg(F.first("parity").alias("parity"), F.first("tokens").alias("tokens")), "sets")
 
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs(a, b)`` whose bits do not differ in more places than linked sets do."""
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("class").alias(name), F.col("parity").alias(f"parity_{name}"), F.size("tokens").alias(f"n_{name}"))
+def _likely(parities: tuple[str, str], sizes: tuple[str, str]) -> Column:
+    """Do the bits of two sets differ in no more places than those of linked sets do?"""
+    differ = sum((F.bit_count(F.col(parities[0])[i].bitwiseXOR(F.col(parities[1])[i])) for i in range(PARITY // 64)), F.lit(0))
+    return 9 * differ <= F.col(sizes[0]) + F.col(sizes[1])
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
-    return both.where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+def _probable(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose bits may be those of linked sets."""
+    def side(name: str, parity: str, size: str) -> DataFrame:
+        return sets.select(F.col("class").alias(name), F.col("parity").alias(parity), F.size("tokens").alias(size))
+
+    both = pairs.join(side("a", "own", "m"), "a").join(side("b", "parity", "n"), "b")
+    return stored(both.where(_likely(("own", "parity"), ("m", "n"))).select("a", "b"), "probable")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs(a, b)`` of classes whose whole sets are similar.  A class that
     is ``b`` of many pairs is copied for every ``TILE`` of them."""
-    likely = stored(_likely(pairs, sets), "likely")
-    many = likely.groupBy("b").count().where(F.col("count") > TILE).select("b", F.ceil(F.col("count") / TILE).alias("tiles"))
+    many = pairs.groupBy("b").count().where(F.col("count") > TILE).select("b", F.ceil(F.col("count") / TILE).alias("tiles"))
     # Stored, so that Spark knows its size: few pairs are broadcast, and sets that no pair names stay where they are.
-    dealt = stored(likely.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("tiles", F.lit(1))).alias("tile")), "dealt")
+    dealt = stored(pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("tiles", F.lit(1))).alias("tile")), "dealt")
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("right")).join(dealt.select("b", "tile").distinct(), "b")
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("left")).join(dealt, "a")
     common = F.size(F.array_intersect("left", "right"))
@@ -341,7 +345,7 @@ def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
     least = [F.min(F.xxhash64("token", F.lit(3 * turn + i))).alias(f"least_{i}") for i in range(3)]
     members = lists.groupBy("member").agg(F.first("n").alias("n"), F.first("part").alias("part"), *least)
     # The second hash splits what very many share the first of.
-    order = Window.partitionBy("least_0", F.pmod("least_1", F.lit(16))).orderBy("least_1", "least_2", "member")
+    order = Window.partitionBy("least_0", "least_1").orderBy("least_2", "member")
     own = F.struct(F.col("member").alias("b"), F.col("n").alias("m"), F.col("part").alias("of"))
     near = members.withColumn("near", F.array(*[F.lag(own, i).over(order) for i in (1, 2, 3)]))
     pairs = near.withColumn("before", F.explode("near")).where((F.col("part") != F.col("before.of")) & _alike(F.col("n"), F.col("before.m")))
@@ -354,7 +358,7 @@ def _open(lists: DataFrame) -> DataFrame:
     return lists.join(parts.select("token"), "token", "left_semi")
 
 
-def _across(lists: DataFrame) -> DataFrame:
+def _across(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): all pairs of different parts that may be linked.  A list's largest
     part meets the others, and those meet each other.  Linked documents share
     :func:`_enough` lists, so a document may leave out its longest lists, one
@@ -367,13 +371,15 @@ def _across(lists: DataFrame) -> DataFrame:
     shared = F.col("weight") == 1
     rows = rows.withColumn("place", F.row_number().over(of_member.orderBy(shared, "length", "token"))).withColumn(
         "last", F.count("*").over(of_member) - _enough(F.col("n")) + 1)
-    rows = stored(rows.where((F.col("place") <= F.col("last")) | ~shared), "kept")
+    kept = rows.where((F.col("place") <= F.col("last")) | ~shared).select("token", "member", "n", "part", "main", "tiles")
+    rows = stored(kept.join(sets.select(F.col("class").alias("member"), "parity"), "member"), "kept")
     few = rows.where("part <> main").select(
-        "token", F.col("member").alias("a"), F.col("n").alias("m"), F.col("part").alias("of"),
+        "token", F.col("member").alias("a"), F.col("n").alias("m"), F.col("part").alias("of"), F.col("parity").alias("own"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
     rest = rows.withColumn("tile", F.pmod(F.xxhash64("member"), F.col("tiles")))
     pairs = few.join(rest, ["token", "tile"]).where(
-        (F.col("of") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("member"))) & _alike(F.col("m"), F.col("n")))
+        (F.col("of") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("a") < F.col("member"))) & _alike(F.col("m"), F.col("n"))
+        & _likely(("own", "parity"), ("m", "n")))
     return pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
 
 
@@ -392,7 +398,7 @@ def links(docs: DataFrame, heat: np.ndarray, classes: DataFrame) -> DataFrame:
     ends = [wanted.where("class = head").select(F.col("group").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab"]
     near = _neighbours(lists, 0).join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
     pairs = stored(near.unionByName(wanted.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))), "pairs")
-    found = stored(linked(pairs, sets), "links")
+    found = stored(linked(_probable(pairs, sets), sets), "links")
     expanded = lists.select("token", F.col("member").alias("group"), "weight").join(wanted, "group").select("token", "class", "n", "weight")
     inside = wanted.join(wanted.where("class <> head").select("group").distinct(), "group", "left_semi")
     members = stored(expanded.unionByName(inside.select(F.col("group").alias("token"), "class", "n", F.lit(SAME_PREFIX).cast("long").alias("weight")))
@@ -405,10 +411,10 @@ def links(docs: DataFrame, heat: np.ndarray, classes: DataFrame) -> DataFrame:
             return found
         many += more.count()
         if 20 * more.count() < many:
-            return stored(found.unionByName(linked(stored(_across(apart), "pairs"), sets)), "links")
+            return stored(found.unionByName(linked(stored(_across(apart, sets), "pairs"), sets)), "links")
         turn += 1
         pairs = stored(_neighbours(apart, turn), "pairs")
-        more = stored(linked(pairs, sets), "links")
+        more = stored(linked(_probable(pairs, sets), sets), "links")
         found = stored(found.unionByName(more), "links")
 
 
