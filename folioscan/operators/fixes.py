@@ -6,10 +6,12 @@ the row of the file: no text is shuffled.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folioscan.functions import text as tx
 from folioscan.operators import classify as cl, findings as fd, signals as sg
+from folioscan.operators.splice import splice
 from folioscan.plans.config import AuditConfig
 from folioscan.rules import catalog as cat
 
@@ -68,7 +70,8 @@ def with_patches(classified: DataFrame, level: str, cfg: AuditConfig, line_fixer
     done = []
     for rule, fixer, description, safety in fixers:
         # Findings count lines by \n only, so a line may not exist.
-        lines = f"array_distinct(array_compact(transform(at_{rule}, n -> get(lines, n - 1))))"
+        # The outer lambda holds the lines: Spark would split the text anew for each of them.
+        lines = f"transform(array(lines), held -> array_distinct(array_compact(transform(at_{rule}, n -> get(held, n - 1)))))[0]"
         patch = f"named_struct('original', o, 'replacement', {fixer('o')}, 'description', {tx.q(description)}, 'safety', '{safety}', 'issue_rule_id', '{rule}')"
         df = df.selectExpr("*", f"coalesce(filter(transform(array_except({lines}, {taken}), o -> {patch}), "
                                 f"p -> p.replacement <> p.original), CAST(array() AS array<{PATCH}>)) AS fix_{rule}")
@@ -98,9 +101,7 @@ def patches(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = Non
     when its turn comes."""
     cfg = cfg or AuditConfig()
     classified = cl.classify(files)
-    rows = with_patches(classified, level, cfg, line_fixers)
-    walked = f"CASE WHEN size(patches) > 0 THEN {apply_patches('patches', 'text')}.applied END"
-    rows = rows.selectExpr("project_id", "path", "patches", f"{walked} AS done")
+    rows = with_applied(with_patches(classified, level, cfg, line_fixers)).selectExpr("project_id", "path", "patches", "result.applied AS done")
     rows = rows.selectExpr("project_id", "path AS file_path", "done", "posexplode_outer(patches) AS (seq, p)")
     rows = rows.filter("p IS NOT NULL").selectExpr(
         "project_id", "file_path", "p.original", "p.replacement", "p.description", "p.safety", "p.issue_rule_id", "seq", "get(done, seq) AS applied")
@@ -111,22 +112,50 @@ def patches(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = Non
 
 def apply_patches(patches_expr: str, text: str) -> str:
     """struct<t, applied>: each patch in turn replaces the first occurrence of
-    its original, if there is one."""
+    its original, if there is one.  See :func:`with_applied` for many patches."""
     at = "instr(s.t, p.original)"
     swap = f"concat(substring(s.t, 1, {at} - 1), p.replacement, substring(s.t, {at} + length(p.original)))"
     step = f"struct(CASE WHEN {at} > 0 THEN {swap} ELSE s.t END AS t, array_append(s.applied, {at} > 0) AS applied)"
     return f"aggregate({patches_expr}, struct({text} AS t, CAST(array() AS array<boolean>) AS applied), (s, p) -> {step})"
 
 
+# A patch more makes the fold search the text once more; beyond this many the
+# originals are sought together.
+FOLDED = 64
+
+
+def _spliced(text: pd.Series, originals: pd.Series, replacements: pd.Series) -> pd.DataFrame:
+    def line(t, old, new):
+        if t is None:
+            return None, None
+        pairs = [tuple(x.decode("utf-8", "surrogateescape") for x in pair) for pair in zip(old, new)]
+        t, applied = splice(t.decode("utf-8", "surrogateescape"), pairs)
+        return t.encode("utf-8", "surrogateescape"), applied
+
+    return pd.DataFrame([line(*row) for row in zip(text, originals, replacements)], columns=["t", "applied"])
+
+
+def with_applied(rows: DataFrame, folded: int = FOLDED) -> DataFrame:
+    """Adds ``result``, struct<t, applied>, to rows with text and patches.  Files
+    with few patches stay in the JVM; of the others, each takes one pass."""
+    def part(field: str) -> str:
+        return f"CASE WHEN size(patches) > {folded} THEN transform(patches, p -> CAST(p.{field} AS BINARY)) END"
+
+    rows = rows.withColumn("spliced", F.pandas_udf(_spliced, "t binary, applied array<boolean>")(
+        F.expr(f"CASE WHEN size(patches) > {folded} THEN CAST(text AS BINARY) END"), F.expr(part("original")), F.expr(part("replacement"))))
+    few = apply_patches("patches", "text")
+    return rows.selectExpr(
+        "*", f"CASE WHEN size(patches) > {folded} THEN struct(CAST(spliced.t AS STRING) AS t, spliced.applied AS applied) "
+             f"WHEN size(patches) > 0 THEN {few} END AS result").drop("spliced")
+
+
 def patched_files(files: DataFrame, level: str = "safe", cfg: AuditConfig | None = None, line_fixers=LINE_FIXERS) -> DataFrame:
     """The files with their patches applied, and the new files; files without a
     patch keep their content as it is."""
     cfg = cfg or AuditConfig()
     classified = cl.classify(files)
-    rows = with_patches(classified, level, cfg, line_fixers).selectExpr(
-        "project_id", "path",
-        f"CASE WHEN size(patches) > 0 THEN {apply_patches('patches', 'text')}.t ELSE content END AS content",
-        "size(patches) AS n_patches")
+    rows = with_applied(with_patches(classified, level, cfg, line_fixers)).selectExpr(
+        "project_id", "path", "CASE WHEN size(patches) > 0 THEN result.t ELSE content END AS content", "size(patches) AS n_patches")
     if _adds_gitignore(level, cfg):
         rows = rows.unionByName(gitignore_patches(classified, cfg).selectExpr(
             "project_id", "file_path AS path", "replacement AS content", "1 AS n_patches"))
