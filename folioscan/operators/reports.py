@@ -35,6 +35,30 @@ def worst_projects(audits: DataFrame, k: int) -> DataFrame:
     return audits.orderBy("overall", "project_id").limit(k)
 
 
+BEST_SCORE = 100
+
+
+def project_ranks(audits: DataFrame, *within: str) -> DataFrame:
+    """Adds rank, dense_rank and percent_rank by ``overall``, the best first, and
+    n_projects; among all projects or those alike in ``within``.
+
+    Scores are whole numbers up to 100, so projects are counted by score and each
+    score adds its count to the ranks of those below: no project is sorted, and
+    no task sees all of them."""
+    counts = audits.groupBy(*within, "overall").agg(F.count("*").alias("n"))
+    said = counts.select(*within, F.explode(F.sequence(F.lit(0), F.lit(BEST_SCORE))).alias("score"), "overall", "n").groupBy(*within, "score").agg(
+        F.expr("1 + sum(CASE WHEN overall > score THEN n ELSE 0 END) AS rank"), F.expr("1 + count_if(overall > score) AS dense_rank"),
+        F.sum("n").alias("n_projects"), F.expr("max(overall = score) AS held"))
+    said = said.filter("held").withColumn("percent_rank", F.expr("CASE WHEN n_projects > 1 THEN (rank - 1) / (n_projects - 1) ELSE 0.0D END"))
+    # A hundred and one scores; with `within`, as often as it has values.
+    small = said.selectExpr(*[f"{c} AS of_{c}" for c in within], "score", "rank", "dense_rank", "percent_rank", "n_projects")
+    same = F.col("overall") == F.col("score")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    rows = audits.join(small if within else F.broadcast(small), same)
+    return rows.drop("score", *[f"of_{c}" for c in within])
+
+
 def worst_per_type(audits: DataFrame, k: int) -> DataFrame:
     """The k lowest scores of each skill type; pruned before the shuffle."""
     order = Window.partitionBy("skill_type").orderBy("overall", "project_id")

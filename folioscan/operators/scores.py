@@ -5,6 +5,8 @@ Formulas are SQL expressions over the project signals.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from folioscan.functions import text as tx
@@ -72,13 +74,16 @@ SUB_SCORES = {
 }
 
 
-def sub_score_expressions(cfg: AuditConfig) -> dict[tuple[str, str], str]:
-    """Each sub-score of the enabled dimensions; NULL where its rule is off."""
+def sub_score_expressions(cfg: AuditConfig, switch: Callable[[str], str] | None = None) -> dict[tuple[str, str], str]:
+    """Each sub-score of the enabled dimensions; NULL where its rule is off, in
+    ``cfg`` or by the condition that ``switch`` gives for the rule."""
     out = {}
     for (dim, sub), formula in SUB_SCORES.items():
         if dim not in cfg.enabled_dimensions():
             continue
         expr = formula if cfg.runs(cat.SUB_RULE[dim, sub]) else "NULL"
+        if switch is not None:
+            expr = f"CASE WHEN {switch(cat.SUB_RULE[dim, sub])} THEN {expr} END"
         if dim == "P":
             # Without prompt text every sub-score is 0, also of rules that are off.
             expr = f"CASE WHEN {fd.PROMPT_MISSING} THEN 0 ELSE {expr} END"
@@ -166,13 +171,19 @@ def errors(scores: DataFrame, cfg: AuditConfig) -> DataFrame:
     return scores.selectExpr("project_id", f"inline(array_compact(array({cells})))")
 
 
-def severity_counts(cfg: AuditConfig, dimension: str | None = None) -> dict[str, str]:
+def severity_counts(cfg: AuditConfig, dimension: str | None = None, switch: Callable[[str], str] | None = None,
+                    severity: Callable[[str, str], str] | None = None) -> dict[str, str]:
     """Findings per severity, of one dimension's rules or all, from the signals
-    alone: nothing is exploded."""
+    alone: nothing is exploded.  ``switch`` and ``severity`` give a rule's switch
+    and severity as SQL."""
     totals = {s: ["0"] for s in cat.SEVERITIES}
 
     def add(rule, own, expr):
-        totals[cfg.severity(rule.rule_id, own)].append(f"({expr})")
+        if switch is None:
+            totals[cfg.severity(rule.rule_id, own)].append(f"({expr})")
+            return
+        for s in cat.SEVERITIES:
+            totals[s].append(f"CASE WHEN {switch(rule.rule_id)} AND {severity(rule.rule_id, own)} = '{s}' THEN ({expr}) ELSE 0 END")
 
     readme_ok = "NOT X_failed"
     for rule in cat.RULES:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from folioscan.functions.text import BREAK_CLASS, SPACE_CHARS, re2
 from folioscan.operators import fixes as fx, judges as jd
-from folioscan.plans.config import AuditConfig
+from folioscan.plans.config import AuditConfig, layered_config
 from folioscan.rules import catalog as cat
 from folioscan.workloads import corpus, queries as qs
 
@@ -729,6 +729,24 @@ def statements() -> dict[str, str]:
         " SELECT score.project_id, overall, h.project_hash, h.project_hash = e.project_hash AS reused FROM score JOIN h USING (project_id) "
         "JOIN e ON e.project_id = score.project_id")
 
+    own = {k: layered_config(*qs.OWN_LAYERS.get(k, ()), override_severity=True) for k in (0, 1, 2)}
+    held = "project_id, skill_type, n_files AS files_scanned, overall, {}, n_critical, n_warning, n_info, {} AS passed FROM full_ WHERE project_id % 3 = {}"
+    out["configured_per_project"] = " UNION ALL ".join(
+        f"(SELECT * FROM ({full('unreadable', c)} SELECT " + held.format(
+            ", ".join(d if d in c.enabled_dimensions() else f"NULL::BIGINT AS {d}" for d in cat.DIMENSIONS),
+            "true" if c.fail_threshold is None else f"overall >= {c.fail_threshold}", k) + "))" for k, c in own.items())
+    out["findings_per_project"] = " UNION ALL ".join(
+        f"(SELECT * FROM ({findings('unreadable', c)} SELECT project_id, rule_id, severity, count(*) AS n FROM found WHERE project_id % 3 = {k} "
+        f"AND rule_id IN ({', '.join(repr(r.rule_id) for r in cat.RULES if c.runs(r.rule_id))}) GROUP BY ALL))" for k, c in own.items())
+    out["gates_per_project"] = " UNION ALL ".join(
+        f"(SELECT * FROM ({scores('unreadable', c)} " + " UNION ALL ".join(
+            f"SELECT project_id, '{d}' AS dimension, {d} AS score, {c.dimensions[d].threshold} AS threshold, {d} >= {c.dimensions[d].threshold} AS passed "
+            f"FROM score WHERE project_id % 3 = {k}" for d in c.enabled_dimensions()) + "))" for k, c in own.items())
+    ranks = ("rank() OVER (w ORDER BY overall DESC) AS rank, dense_rank() OVER (w ORDER BY overall DESC) AS dense_rank, "
+             "percent_rank() OVER (w ORDER BY overall DESC) AS percent_rank, count(*) OVER (w) AS n_projects FROM score")
+    out["project_ranks"] = scores() + f" SELECT project_id, overall, {ranks}".replace("(w", "(")
+    out["project_ranks_per_type"] = scores() + f" SELECT project_id, skill_type, overall, {ranks}".replace("(w", "(PARTITION BY skill_type")
+
     cells = " UNION ALL ".join(
         f"(SELECT project_id, '{d}' AS dimension, {d} AS score, {qs.REWEIGHTED.weight(d)}::DOUBLE AS weight, n.*, same AND {'false' if d == 'S' else 'true'} AS reused "
         f"FROM full_ JOIN same USING (project_id), LATERAL (SELECT "

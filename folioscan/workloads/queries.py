@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscan.operators import (
-    classify as cl, evidence as ev, findings as fd, fixes as fx, incremental as inc, judges as jd, reports as rp,
+    classify as cl, evidence as ev, findings as fd, fixes as fx, incremental as inc, judges as jd, per_project as pp, reports as rp,
     scores as sc, signals as sg,
 )
 from folioscan.operators.maintained import SignalStore
@@ -205,6 +205,38 @@ def _dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return inc.incremental_dimensions(corpus.seeded_files(spark, sf), store, REWEIGHTED)
 
 
+# Projects by their number: nothing set, two layers of which the upper holds, and rules and severities of their own.
+OWN_LAYERS = {
+    1: ({"fail_threshold": 60, "dimensions": {"S": {"weight": 0.9}, "F": {"enabled": False}}}, {"fail_threshold": 88, "dimensions": {"S": {"weight": 0.4}}}),
+    2: ({"dimensions": {
+        "M": {"rules": {"compat_vendor_lock": {"enabled": False}}}, "X": {"weight": 1.0, "rules": {"maint_documentation": {"enabled": False}}},
+        "S": {"rules": {"sec_secrets": {"severity": "info"}, "sec_mcp_permissions": {"enabled": False}}},
+        "P": {"threshold": 80, "rules": {"prompt_injection": {"enabled": False}}}}},)}
+
+
+def _settings(files: DataFrame) -> DataFrame:
+    projects = files.select("project_id").distinct()
+    parts = [pp.settings_of(projects.filter(F.col("project_id") % 3 == k), *layers) for k, layers in OWN_LAYERS.items()]
+    nonsense = projects.selectExpr("project_id", "9 AS layer", "'S' AS dimension", "CAST(NULL AS STRING) AS rule_id", "'weight' AS key", "'heavy' AS value")
+    return parts[0].unionByName(parts[1]).unionByName(nonsense)
+
+
+def _own_audits(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus.unreadable_files(spark, sf)
+    scores = pp.score_table(pp.project_signals(files, _settings(files)))
+    return _wide(pp.audits(scores).select(*AUDIT_COLUMNS, "passed"))
+
+
+def _own_findings(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus.unreadable_files(spark, sf)
+    return _wide(fd.finding_counts(pp.findings(files, _settings(files))))
+
+
+def _own_gates(spark: SparkSession, sf: str) -> DataFrame:
+    files = corpus.unreadable_files(spark, sf)
+    return _wide(pp.dimension_gate(pp.score_table(pp.project_signals(files, _settings(files)))))
+
+
 AUDIT_COLUMNS = ("project_id", "skill_type", "files_scanned", "overall", *cat.DIMENSIONS, "n_critical", "n_warning", "n_info")
 
 
@@ -394,6 +426,9 @@ QUERIES: dict[str, Query] = {
     "summary": _seeded(_audits("band", "summary")),
     "gate": _seeded(_fail_gate),
     "dimension_gate": _seeded(_dimension_gate),
+    "configured_per_project": _own_audits,
+    "findings_per_project": _own_findings,
+    "gates_per_project": _own_gates,
     "configured_audit": _seeded(_configured),
     "error_findings": _errors,
     "error_audits": _unreadable_audits,
@@ -401,6 +436,8 @@ QUERIES: dict[str, Query] = {
     "findings_cube": _seeded(lambda files: rp.findings_cube(Audit(files).findings())),
     "rule_coverage": _seeded(lambda files: rp.rule_coverage(Audit(files).findings())),
     "worst_k": _seeded(lambda files: rp.worst_projects(Audit(files).audits(), 20).select("project_id", "overall")),
+    "project_ranks": _seeded(lambda files: rp.project_ranks(Audit(files).audits().select("project_id", "overall"))),
+    "project_ranks_per_type": _seeded(lambda files: rp.project_ranks(Audit(files).audits().select("project_id", "skill_type", "overall"), "skill_type")),
     "worst_per_type": _seeded(lambda files: rp.worst_per_type(Audit(files).audits(), 3).select("skill_type", "place", "project_id", "overall")),
     "sarif_results": _seeded(_sarif_results),
     "sarif_rules": _seeded(_sarif_rules),
