@@ -19,13 +19,13 @@ what links reach.
   expanded to their classes, whose whole sets are compared, exactly.
 
 Dense clusters of near copies would give a pair for each two of them.  As links
-only have to connect, each group first is compared with a neighbour, the one
-before it when groups are sorted by the least hashes of their listed shingles;
-so is each member with the first of its group.  What that connects is a
-component; rounds with other hashes follow as long as they add a twentieth to
-the links.  After that all pairs that are still in different components are
-compared, list by list, the largest component of a list with the others but
-never with itself.
+only have to connect, groups first are compared with a few neighbours, those
+before them when groups are sorted by the least hashes of their listed shingles,
+and members with the first of their group.  What that connects is a component.
+Then all pairs that are still in different components are compared, list by
+list, the largest component of a list with the others but never with itself.
+Pairs whose sets cannot be similar, by 512 parity bits of each, are not looked
+at further.
 
 Hashes of shingles have 64 bits, classes 128.  Texts are read once for each of
 the four steps and not shuffled, only prefixes and the sets that are compared.
@@ -58,6 +58,7 @@ BLOCK = 1 << 20  # bytes of texts that are hashed at a time
 REMEMBERED = 1 << 20  # groups or classes that a task remembers
 PARITY = 512  # bits that tell unlikely pairs before sets are compared
 FILTER_BITS = 1 << 27  # most bits of the filter that tells which sets to take
+TURNS, BEFORE = 6, 3  # sortings, and neighbours in each, that are compared first
 TILE = 1000  # comparisons with one set in a task
 SAME_PREFIX = 1 << 30  # weight of the list of a group's own members
 SPACE = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -338,18 +339,18 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right, ["b", "tile"]).where(5 * common >= 4 * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
-def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): members of ``lists(token, member, n, part)`` of different parts that
-    likely share much: those side by side when members are sorted by the least
-    hashes of their tokens, other hashes each turn."""
-    least = [F.min(F.xxhash64("token", F.lit(3 * turn + i))).alias(f"least_{i}") for i in range(3)]
-    members = lists.groupBy("member").agg(F.first("n").alias("n"), F.first("part").alias("part"), *least)
-    # The second hash splits what very many share the first of.
-    order = Window.partitionBy("least_0", "least_1").orderBy("least_2", "member")
-    own = F.struct(F.col("member").alias("b"), F.col("n").alias("m"), F.col("part").alias("of"))
-    near = members.withColumn("near", F.array(*[F.lag(own, i).over(order) for i in (1, 2, 3)]))
-    pairs = near.withColumn("before", F.explode("near")).where((F.col("part") != F.col("before.of")) & _alike(F.col("n"), F.col("before.m")))
-    return pairs.select(F.col("member").alias("a"), F.col("before.b").alias("b"))
+def _neighbours(lists: DataFrame) -> DataFrame:
+    """(a, b): members of ``lists(token, member, n)`` that likely share much.  Each
+    turn sorts them by the least hashes of their tokens and takes the ``BEFORE``
+    in front of a member that have the first two of them in common."""
+    least = F.array(*[F.struct(F.lit(t).alias("turn"), *[F.min(F.xxhash64("token", F.lit(3 * t + i))).alias(f"least_{i}") for i in range(3)])
+                      for t in range(TURNS)])
+    members = lists.groupBy("member").agg(F.first("n").alias("n"), least.alias("turns")).select("member", "n", F.inline("turns"))
+    order = Window.partitionBy("turn", "least_0", "least_1").orderBy("least_2", "member")
+    own = F.struct(F.col("member").alias("b"), F.col("n").alias("m"))
+    near = members.withColumn("near", F.array(*[F.lag(own, i + 1).over(order) for i in range(BEFORE)]))
+    pairs = near.withColumn("before", F.explode("near")).where(_alike(F.col("n"), F.col("before.m")))
+    return pairs.select(F.least("member", "before.b").alias("a"), F.greatest("member", "before.b").alias("b")).distinct()
 
 
 def _open(lists: DataFrame) -> DataFrame:
@@ -396,26 +397,16 @@ def links(docs: DataFrame, heat: np.ndarray, classes: DataFrame) -> DataFrame:
     wanted = stored(classes.join(heads, "group").select("class", "n", "group", "head"), "wanted")
     sets = whole_sets(docs, wanted)
     ends = [wanted.where("class = head").select(F.col("group").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab"]
-    near = _neighbours(lists, 0).join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    pairs = stored(near.unionByName(wanted.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))), "pairs")
+    near = _neighbours(lists).join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    pairs = near.unionByName(wanted.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")))
     found = stored(linked(_probable(pairs, sets), sets), "links")
     expanded = lists.select("token", F.col("member").alias("group"), "weight").join(wanted, "group").select("token", "class", "n", "weight")
     inside = wanted.join(wanted.where("class <> head").select("group").distinct(), "group", "left_semi")
     members = stored(expanded.unionByName(inside.select(F.col("group").alias("token"), "class", "n", F.lit(SAME_PREFIX).cast("long").alias("weight")))
                      .withColumnRenamed("class", "member"), "members")
-    turn, more, many = 0, found, 0
-    while True:
-        roots = components(found).select(F.col("node").alias("member"), "root")
-        apart = stored(_open(members.join(roots, "member", "left").withColumn("part", F.coalesce("root", "member")).drop("root")), "apart")
-        if not apart.limit(1).count():
-            return found
-        many += more.count()
-        if 20 * more.count() < many:
-            return stored(found.unionByName(linked(stored(_across(apart, sets), "pairs"), sets)), "links")
-        turn += 1
-        pairs = stored(_neighbours(apart, turn), "pairs")
-        more = stored(linked(_probable(pairs, sets), sets), "links")
-        found = stored(found.unionByName(more), "links")
+    roots = components(found).select(F.col("node").alias("member"), "root")
+    apart = stored(_open(members.join(roots, "member", "left").withColumn("part", F.coalesce("root", "member")).drop("root")), "apart")
+    return stored(found.unionByName(linked(stored(_across(apart, sets), "pairs"), sets)), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
