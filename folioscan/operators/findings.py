@@ -161,6 +161,8 @@ def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, class
         parts.append(project_signals.selectExpr("project_id", f"explode_outer(array_compact(array({', '.join(cells)}))) AS x").selectExpr(
             "project_id", "x.path", "x.place", "x.hit"))
 
+    if not parts:  # nothing is on
+        parts.append(files.selectExpr("project_id", "path", "CAST(NULL AS STRING) AS place", f"CAST(NULL AS {HIT}) AS hit").limit(0))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

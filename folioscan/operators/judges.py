@@ -267,3 +267,43 @@ def judge_usage(responses: DataFrame) -> DataFrame:
     return responses.groupBy(*keys).agg(F.expr("count(1) AS n_calls"), *[F.expr(e) for e in (
         "sum(input_tokens) AS input_tokens", "sum(output_tokens) AS output_tokens", "max(latency_ms) AS max_latency_ms",
         "CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) AS INT) AS median_latency_ms", "sum(retries) AS retries")])
+
+
+SKETCHED = "count(1) AS n_calls, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, sum(retries) AS retries"
+
+
+def usage_sketches(responses: DataFrame, *periods: str) -> DataFrame:
+    """Usage by judge, status and ``periods`` (such as the day of the call), with
+    sketches of the latencies and of the projects asked about: a few kilobytes
+    for each line, whatever the number of calls.  Store them; :func:`merged_usage`
+    sums up any of them without the answers."""
+    rows = responses.groupBy("judge", "status", *periods).agg(*[F.expr(e) for e in SKETCHED.split(", ")],
+        F.expr("kll_sketch_agg_bigint(CAST(latency_ms AS BIGINT)) AS latencies"), F.expr("hll_sketch_agg(CAST(project_id AS STRING)) AS projects"))
+    return rows
+
+
+def merged_usage(sketches: DataFrame, *by: str) -> DataFrame:
+    """Usage by judge, status and ``by``, out of stored sketches.  Sums are exact.
+    Quantiles are those of ranks within 1.7 % of the asked one, and numbers of
+    projects within about 2 %; both are exact as long as they are few."""
+    sums = [F.expr(f"sum({c}) AS {c}") for c in ("n_calls", "input_tokens", "output_tokens", "retries")]
+    merged = sketches.groupBy("judge", "status", *by).agg(
+        *sums, F.expr("kll_merge_agg_bigint(latencies) AS latencies"), F.expr("hll_union_agg(projects) AS projects"))
+    ranks = {"min": 0.0, "median": 0.5, "p95": 0.95, "max": 1.0}
+    return merged.selectExpr(
+        "judge", "status", *by, "n_calls", "input_tokens", "output_tokens", "retries", "hll_sketch_estimate(projects) AS n_projects",
+        *[f"kll_sketch_get_quantile_bigint(latencies, {r}D) AS {n}_latency_ms" for n, r in ranks.items()])
+
+
+def score_sketches(dimension_scores: DataFrame, *periods: str) -> DataFrame:
+    """Distribution of the dimensions' scores by ``periods``, to be merged by :func:`merged_scores`."""
+    return dimension_scores.groupBy("dimension", *periods).agg(
+        F.expr("count(1) AS n"), F.expr("sum(score) AS total"), F.expr("kll_sketch_agg_bigint(CAST(score AS BIGINT)) AS scores"))
+
+
+def merged_scores(sketches: DataFrame, *by: str) -> DataFrame:
+    """Number, mean and quartiles of the scores, out of stored sketches."""
+    merged = sketches.groupBy("dimension", *by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.expr("kll_merge_agg_bigint(scores) AS scores"))
+    quartiles = {"least": 0.0, "lower": 0.25, "median": 0.5, "upper": 0.75, "most": 1.0}
+    return merged.selectExpr("dimension", *by, "n", "total / n AS mean",
+                             *[f"kll_sketch_get_quantile_bigint(scores, {q}D) AS {c}" for c, q in quartiles.items()])

@@ -250,7 +250,7 @@ def summary(dims) -> str:
     return (
         "concat(" + tx.q("Project '") + ", CAST(project_id AS STRING), " + tx.q("' (") + ", skill_type, '): ', overall, "
         f"'/100 (', band, '). Findings: ', {counts}, 'scores: ', "
-        + "concat_ws(', ', " + ", ".join(f"concat('{d}=', {d})" for d in dims) + "))")
+        + "concat_ws(', '" + "".join(f", concat('{d}=', {d})" for d in dims) + "))")
 
 
 def dimension_gate(scores: DataFrame, cfg: AuditConfig) -> DataFrame:

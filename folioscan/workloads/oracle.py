@@ -779,6 +779,18 @@ def statements() -> dict[str, str]:
     head, tail = judge_requests().rsplit("\nSELECT project_id, judge,", 1)
     out["call_judge"] = f"{head},\nrequests AS (SELECT project_id, judge,{tail})" + STUB
     out["judge_requests_limited"] = limited_requests()
+    out["judge_usage_merged"] = f"WITH {SOURCES['seeded']}{parsed_ctes()}" + (
+        " SELECT judge, status, count(*) AS n_calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, "
+        "CAST(sum(retries) AS BIGINT) AS retries, count(DISTINCT project_id) AS n_projects, CAST(min(latency_ms) AS BIGINT) AS min_latency_ms, "
+        "CAST(max(latency_ms) AS BIGINT) AS max_latency_ms, CAST(quantile_disc(latency_ms, 0.5) AS BIGINT) AS median_latency_ms FROM responses GROUP BY judge, status")
+    spread = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS score FROM score" for d in cat.DIMENSIONS)
+    out["score_distributions"] = scores() + (
+        " SELECT dimension, count(*) AS n, " + ", ".join(f"CAST(quantile_disc(score, {p}) AS BIGINT) AS {c}" for c, p in (
+            ("least", 0.0), ("lower", 0.25), ("median", 0.5), ("upper", 0.75), ("most", 1.0))) + f" FROM ({spread}) GROUP BY dimension")
+    named = ", ".join(f"'{p}'" for p in qs.TREE_PROJECTS)
+    out["project_tree"] = (
+        "SELECT 'p' || page_id % 5 AS project_id, 'd' || page_id % 3 || '/' || page_id || '.html' AS path, length(html) AS n_chars, sha256(html) AS digest "
+        f"FROM pages WHERE page_id % 2 = 0 AND 'p' || page_id % 5 IN ({named})")
     out["judge_usage"] = f"WITH {SOURCES['seeded']}{parsed_ctes()}" + (
         " SELECT judge, status, count(*) AS n_calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, "
         "CAST(max(latency_ms) AS BIGINT) AS max_latency_ms, CAST(quantile_disc(latency_ms, 0.5) AS BIGINT) AS median_latency_ms, "

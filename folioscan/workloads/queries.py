@@ -17,6 +17,7 @@ from folioscan.plans.config import AuditConfig, layered_config, preset
 from folioscan.rules import catalog as cat
 from folioscan.session import shared_dir
 from folioscan.sources.files import files_from_table
+from folioscan.sources.tree_source import ProjectTree
 from folioscan.streaming import audit as st
 from folioscan.workloads import corpus
 
@@ -294,6 +295,32 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(scores.selectExpr("project_id", "P", "C", *merged, "overall"))
 
 
+# Below these projects lie the pages that the registered query reads back.
+TREE_PROJECTS = ("p1", "p3")
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as a tree of files, written and read again, but for what the conditions leave out."""
+    spark.dataSource.register(ProjectTree)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    root = shared_dir(spark, "tree")
+    pages = corpus.table(spark, sf, "pages").selectExpr(
+        "concat('p', page_id % 5) AS project_id", "concat('d', page_id % 3, '/', page_id, CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '.py' END) AS path", "html AS content")
+    pages.write.format("project_tree").mode("append").save(root)
+    files = spark.read.format("project_tree").load(root)
+    kept = files.filter(F.col("project_id").isin(*TREE_PROJECTS) & F.col("path").endswith(".html"))
+    return _wide(kept.selectExpr("project_id", "path", "length(content) AS n_chars", "sha2(content, 256) AS digest"))
+
+
+def _usage_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged from sketches of seven days, against the answers themselves."""
+    answers = corpus.responses(spark, sf).withColumn("day", F.col("project_id") % 7)
+    daily = jd.usage_sketches(answers, "day")
+    return _wide(jd.merged_usage(daily).select(
+        "judge", "status", "n_calls", "input_tokens", "output_tokens", "retries", F.round("n_projects", 0).cast("bigint").alias("n_projects"),
+        "min_latency_ms", "max_latency_ms", "median_latency_ms"))
+
+
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(jd.parse_responses(corpus.responses(spark, sf)))
 
@@ -465,6 +492,10 @@ QUERIES: dict[str, Query] = {
     "judge_blend": _judged,
     "judge_findings": _judge_findings,
     "judge_usage": _judge_usage,
+    "judge_usage_merged": _usage_sketches,
+    "score_distributions": _seeded(lambda files: jd.merged_scores(jd.score_sketches(
+        sc.dimension_scores(Audit(files).score_table, DEFAULT).withColumn("day", F.col("project_id") % 7), "day")).drop("mean")),
+    "project_tree": _tree,
     "call_judge": _call_judge,
     "stream_findings": _stream_findings,
     "stream_windows": _stream_windows,
