@@ -21,10 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T, Window
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from folioscan.llm.common import as_bytes, blocks, crc_class, stored
 
@@ -236,8 +237,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, fit_chunks:
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     if len(counts) < 2:
         return ByteCNN(prior)
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_class).drop("place")
+    # The first by hash of each label: tasks give no more than these back.
+    chosen = reduce(DataFrame.unionByName, [
+        known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class) for label in (0, 1)])
     # 2 * per_class rows at most
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sample = stored(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text")), "sample")

@@ -53,9 +53,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_name(df: DataFrame) -> str:
+    """A name for a row's key that no column of ``df`` has."""
+    name = ROW
+    while name in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def numbered(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` stored, each row with a key ``ROW`` that no other row has."""
-    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), purpose)
+    """``df`` stored, each row with a key that no other row has, named :func:`row_name`."""
+    return stored(df.withColumn(row_name(df), F.monotonically_increasing_id()), purpose)
 
 
 def crc_class(key: str, classes: int) -> Column:

@@ -5,16 +5,16 @@ documents link if their sets' Jaccard similarity is 0.8 or more; a component is
 what links reach.
 
 * Order.  Shingles are taken in one order by all documents: by how often they
-  occur, roughly, then by hash.  How often is read off a table of ``CELLS``
-  counters over the whole corpus, of which the cells far above the mean are
+  occur, roughly, then by hash.  How often is read off a table of counters,
+  ``2 ** CELL_BITS``, over the whole corpus, of which the cells far above the mean are
   kept; so what many documents share comes last.
 * Prefix.  Of n shingles, the first ``n - ceil(0.8 n) + extra + 1`` are a
   document's prefix, with ``extra`` of ``n // 10``.  So the prefixes of two linked
   documents share more than a tenth of their shingles (:func:`_enough`).
 * Groups.  Documents with the same size and prefix are one group, and only
   groups are listed under the shingles of their prefixes.  A group that has too
-  few shingles in lists with others, even for the smallest partner, is out.  Pairs of groups must agree in
-  size and share enough listed shingles.
+  few shingles in lists with others, even for the smallest partner, is out.
+  Pairs of groups must agree in size and meet in a list that both keep.
 * Members.  Documents with equal sets are one class.  Groups that are left are
   expanded to their classes, whose whole sets are compared, exactly.
 

@@ -37,7 +37,7 @@ SMOOTHING = 0.5
 PENALTY = 6.0
 ROUNDS = 12
 SLICE = 1 << 21  # bytes of a text that are counted at once
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and numerals such as ½, which are no letters
 
 _KEPT = np.array([b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
 
@@ -134,7 +134,7 @@ def infer(model: Languages, texts: list[str | None]) -> list[tuple[str, float, s
     results = [unknown] * len(texts)
     if not model.names:
         return results
-    known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if t and any(c.group().isalpha() for c in LETTER.finditer(t))]
     for a, b in blocks([len(texts[i]) for i in known], 1 << 20):
         mine = known[a:b]
         owner, bucket, count = counted([texts[i].lower().encode() for i in mine])

@@ -45,7 +45,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscan.llm.common import ROW, as_bytes, numbered, stored
+from folioscan.llm.common import as_bytes, numbered, row_name, stored
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 BANDS, BAND_BITS = 4, 16
@@ -411,11 +411,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, of those with its smallest doc_id; all columns
     kept.  Rows without doc_id stay.  Rows that share a doc_id and have texts in
     different components are told apart."""
-    rows = numbered(docs, "rows")
-    prints = stored(fingerprints(rows, ROW), "prints")
-    first = _rooted(prints, F.min(F.struct("doc_id", ROW))).groupBy("root").agg(F.min("least").alias("first"))
-    kept = stored(first.select(F.col("first")[ROW].alias(ROW)), "kept")
+    rows, row = numbered(docs, "rows"), row_name(docs)
+    prints = stored(fingerprints(rows, row), "prints")
+    first = _rooted(prints, F.min(F.struct("doc_id", row))).groupBy("root").agg(F.min("least").alias("first"))
+    kept = stored(first.select(F.col("first")[row].alias(row)), "kept")
     # Nearly all documents are kept, so the keys grow with the corpus: texts meet them by a shuffle at every size.
-    once = rows.where("doc_id IS NOT NULL").join(kept.hint("merge"), ROW, "left_semi")
+    once = rows.where("doc_id IS NOT NULL").join(kept.hint("merge"), row, "left_semi")
     nameless = rows.where("doc_id IS NULL")
     return once.select(docs.columns).unionByName(nameless.select(docs.columns))

@@ -29,7 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscan.llm.common import ROW, numbered, stored
+from folioscan.llm.common import numbered, row_name, stored
 
 SPAN = 9
 MASKS = ("111010011", "110101101", "101101011")
@@ -96,6 +96,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, slice_rows: int = 50_000) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without an overlap, all columns kept.  Each row is judged by its
     own text, whatever rows share its doc_id or have none."""
-    rows = numbered(docs, "rows")
-    found = stored(overlaps(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(ROW)).distinct(), "contaminated")
-    return rows.join(found, ROW, "left_anti").select(docs.columns)
+    rows, row = numbered(docs, "rows"), row_name(docs)
+    found = stored(overlaps(rows.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    return rows.join(found, row, "left_anti").select(docs.columns)

@@ -148,7 +148,9 @@ def _persons(text: str) -> Iterator[Entity]:
     at = 0
     for space in _BEFORE_NAME.finditer(text):
         end = space.start()
-        begin = max(text.rfind(" ", at, end), text.rfind("\n", at, end)) + 1
+        begin = text.rfind(" ", at, end)
+        # A line break only matters behind that space; further back, each word would search its whole line.
+        begin = max(text.rfind("\n", max(begin, at), end), begin) + 1
         begin = max(begin, at)
         word = text[begin:end].lstrip("([{\"'«„“‚‘")
         begin = end - len(word)
