@@ -124,6 +124,45 @@ def windowed_counts(counts: DataFrame, size: str, delay: str = "1 hour") -> Data
         .agg(F.sum("n").alias("n_findings")).selectExpr("window.start AS window_start", "rule_id", "n_findings"))
 
 
+def count_with_late(arrivals: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", cfg: AuditConfig | None = None,
+                    rules=FILE_LEVEL_RULES, trigger: dict | None = None) -> StreamingQuery:
+    """Counts what each rule finds in each arriving content, in two tables below
+    ``out``: ``on_time`` and, for what arrived more than ``delay`` before the
+    latest arrival of earlier batches, ``late``.  Nothing is dropped; a batch that
+    is run again overwrites what it wrote."""
+    cfg = cfg or AuditConfig()
+    sizes = [f"named_struct('rule_id', '{r}', 'n', CAST({' + '.join(f'coalesce(array_size({h}), 0)' for h in fd.file_hits(r))} AS BIGINT))"
+             for r in rules if cfg.runs(r)]
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        latest = None
+        if batch_id:
+            latest = spark.read.schema("latest timestamp, batch int").parquet(f"{out}/marks").where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0]
+        keyed = batch.withColumn("content_sha", F.sha2(F.coalesce("content", F.lit("unreadable")), 256))
+        found = sg.readable(cl.classify(keyed)).selectExpr(*FILE, "content_sha", "arrived", f"inline(array({', '.join(sizes)}))").where("n > 0")
+        late = F.lit(False) if latest is None else F.col("arrived") < F.lit(latest) - F.expr(f"INTERVAL {delay}")
+        counted = found.withColumn("late", F.coalesce(late, F.lit(False)))
+        counted.write.mode("overwrite").partitionBy("late").parquet(f"{out}/counts/batch={batch_id}")
+        batch.agg(F.max("arrived").alias("latest")).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
+
+    return (
+        arrivals.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def counted_windows(counts: DataFrame, size: str) -> DataFrame:
+    """(window_start, rule_id, n_findings, n_late) from the ``counts`` table of
+    :func:`count_with_late`: each content of a file once, in the window of its
+    first arrival, also if that came late.  ``n_late``: findings that only late
+    rows brought, or brought into this window."""
+    first = counts.groupBy(*FILE, "content_sha", "rule_id").agg(
+        F.first("n").alias("n"), F.min("arrived").alias("arrived"), F.expr("min(CASE WHEN NOT late THEN arrived END) AS on_time"))
+    rows = first.select("rule_id", "n", F.window("arrived", size).alias("window"), "on_time")
+    return rows.groupBy(F.col("window.start").alias("window_start"), "rule_id").agg(
+        F.sum("n").alias("n_findings"), F.expr("sum(CASE WHEN on_time < window.end THEN 0 ELSE n END) AS n_late"))
+
+
 def write_updates(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Writes each update of an aggregating stream with its batch number."""
 

@@ -804,6 +804,10 @@ def statements() -> dict[str, str]:
     out["stream_windows"] = findings() + (
         " SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS window_start, rule_id, count(*) AS n_findings FROM found "
         "JOIN events ON event_id = project_id WHERE rule_id IN (" + level + ") GROUP BY 1, 2")
+    out["stream_late"] = findings() + (
+        ", latest AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events JOIN (SELECT DISTINCT project_id FROM seeded_files) ON event_id = project_id WHERE project_id % 4 <> 1) "
+        "SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS window_start, rule_id, count(*) AS n_findings, "
+        "count(*) FILTER (project_id % 4 = 1 AND ts < mark) AS n_late FROM found JOIN events ON event_id = project_id, latest WHERE rule_id IN (" + level + ") GROUP BY 1, 2")
     out["stream_signals"] = scores() + f" SELECT project_id, overall, {DIMS} FROM score"
     out["stream_updates"] = out["stream_signals"]
     out["stream_update_findings"] = out["stream_findings"]

@@ -399,6 +399,18 @@ def _stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(rows.selectExpr("unix_seconds(window_start) AS window_start", "rule_id", "n_findings"))
 
 
+def _stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """A fourth of the projects is delivered after all others, with its own times."""
+    events = corpus.table(spark, sf, "events").selectExpr("event_id AS project_id", "CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP) AS arrived")
+    files = corpus.seeded_files(spark, sf).join(events, "project_id")
+    source, out, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "counts"), shared_dir(spark, "state")
+    for part in (files.filter("project_id % 4 <> 1"), files.filter("project_id % 4 = 1")):
+        part.write.mode("append").parquet(source)
+        st.count_with_late(spark.readStream.schema(files.schema).parquet(source), out, checkpoint).awaitTermination()
+    rows = st.counted_windows(spark.read.parquet(f"{out}/counts"), "6 hours")
+    return _wide(rows.selectExpr("unix_seconds(window_start) AS window_start", "rule_id", "n_findings", "n_late"))
+
+
 def _stream_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Scores from signals that streamed in, against the same files."""
     out, checkpoint = shared_dir(spark, "signals"), shared_dir(spark, "state")
@@ -503,6 +515,7 @@ QUERIES: dict[str, Query] = {
     "stream_updates": _stream_updates,
     "stream_update_findings": _stream_update_findings,
     "stream_audits": _stream_audits,
+    "stream_late": _stream_late,
     "incremental_appended_twice": _appended_twice,
     "stored_other_config": _stored_other_config,
     "single_files_shared_paths": _shared_paths,

@@ -194,3 +194,20 @@ def test_findings_read_the_text_twice(spark, tmp_path):
     files(spark).write.parquet(str(tmp_path / "files"))
     plan = fd.findings(spark.read.parquet(str(tmp_path / "files")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 2
+
+
+def test_late_files_are_kept_apart(spark):
+    def at(rows, hour):
+        return files(spark, rows).withColumn("arrived", F.expr(f"TIMESTAMP '2024-01-02 00:00:00' + INTERVAL {hour} HOURS"))
+
+    source, out, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "counts"), shared_dir(spark, "state")
+    deliveries = [at([("a", "m.py", KEY), ("a", "n.py", KEY + KEY.replace("1", "2"))], 30), at([("b", "m.py", KEY)], 30).unionByName(at([("a", "m.py", KEY)], 1)),
+                  at([("b", "m.py", KEY)], 40), at([], 0)]
+    for part in deliveries:
+        part.write.mode("append").parquet(source)
+        st.count_with_late(spark.readStream.schema(part.schema).parquet(source), out, checkpoint, rules=("sec_secrets",)).awaitTermination()
+    counts = spark.read.parquet(f"{out}/counts")
+    assert counts.filter("late").count() == 1 and counts.filter("NOT late").count() == 4
+    got = {r["window_start"].day * 24 + r["window_start"].hour - 48: (r["n_findings"], r["n_late"]) for r in st.counted_windows(counts, "1 hour").collect()}
+    n = fd.findings(files(spark, [("a", "m.py", KEY)]), rules=["sec_secrets"]).count()
+    assert got == {1: (n, n), 30: (3 * n, 0)}  # a/m.py counts at its first arrival, which came late; b/m.py came on time
