@@ -561,7 +561,7 @@ SELECT CAST(project_id AS VARCHAR) AS project_id, judge, '{"' || CASE judge WHEN
   'success' AS status, CAST(length(user_prompt) AS BIGINT) AS input_tokens, CAST(10 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS retries FROM scored"""
 
 
-def evidence() -> str:
+def evidence(ordered: bool = False) -> str:
     low = "coalesce(CAST({} AS DOUBLE) / nullif({}, 0) < {}, false)"
     tokens = "CAST(floor(prompt_chars / 3.5::DOUBLE) AS BIGINT)"
     def band(v, bands):
@@ -612,6 +612,10 @@ def evidence() -> str:
         ("perf_api_efficiency", "no_cache", UNCACHED),
     ):
         parts.append(f"SELECT project_id, '{cat.RULE[r].dimension}', '{r}', '{c}', path, NULL FROM k WHERE {cond}")
+    if ordered:  # by rule, then as listed; what is said of a file comes behind what is said of its project
+        places = [100 * cat.rank(r) + i for i, (r, *_) in enumerate(rows)] + [100 * cat.rank(r) + 90 for r in (
+            "compat_platform", "corr_hallucination_risk", "corr_hallucination_risk", "perf_api_efficiency")]
+        parts = [f"SELECT *, {place} AS seq FROM ({part})" for place, part in zip(places, parts)]
     return features() + " " + " UNION ALL ".join(parts)
 
 
@@ -658,6 +662,16 @@ def statements() -> dict[str, str]:
             f" SELECT project_id, '{d}' AS dimension, '{cat.DIMENSION_NAMES[d]}' AS name, {d} AS score, "
             f"{cat.DIMENSION_WEIGHTS[d]}::DOUBLE AS weight, {text} AS sub_scores FROM score")
     out["evidence"] = evidence()
+    out["evidence_in_order"] = f"SELECT * EXCLUDE (seq), {qs.EVIDENCE_PLACE} FROM ({evidence(ordered=True)})"
+    SOURCES["patched"] = f"files AS ({patched()} SELECT project_id, path, content FROM pf)"
+    out["reaudit_all_rules"] = findings("patched") + " SELECT project_id, rule_id, severity, count(*) AS n FROM found GROUP BY ALL"
+    subs = ", ".join(f"{d}_{s}" for d in cat.DIMENSIONS for s, _ in cat.SUB_WEIGHTS[d])
+    out["json_reports_whole"] = full() + (
+        f" SELECT project_id, skill_type, n_files AS files_scanned, overall, {DIMS}, n_critical, n_warning, n_info, {BAND} AS band, true AS passed, {subs} FROM full_")
+    out["report_lines"] = full() + patches("suggested")[len(findings()):] + (
+        ", lines AS (SELECT project_id, 'audit' AS record, overall::VARCHAR AS name, skill_type AS value FROM full_ "
+        "UNION ALL SELECT project_id, 'issue', rule_id, message FROM found UNION ALL SELECT project_id, 'patch', file_path, replacement FROM patch "
+        "UNION ALL SELECT project_id, 'file', path, kind FROM k) SELECT * FROM lines")
 
     out["severity_counts"] = full() + " SELECT project_id, n_critical, n_warning, n_info FROM full_"
     out["summary"] = full() + f" SELECT project_id, {BAND} AS band, {SUMMARY} AS summary FROM full_"

@@ -165,6 +165,28 @@ def _finding_lines(files: DataFrame) -> DataFrame:
     return lines.selectExpr("project_id", *[f"get_json_object(finding, '$.{f}') AS {f}" for f in LINE_FIELDS])
 
 
+EVIDENCE_PLACE = "row_number() OVER (PARTITION BY project_id ORDER BY seq, path) AS place"
+
+
+def _json_whole(files: DataFrame) -> DataFrame:
+    docs = rp.json_reports(Audit(files).audits(nested=True), DEFAULT)
+    texts = ("skill_type", "band")
+    cells = [f"get_json_object(report, '$.{c}') AS {c}" for c in texts]
+    cells += [f"CAST(get_json_object(report, '$.{c}') AS BIGINT) AS {c}" for c in AUDIT_COLUMNS if c not in (*texts, "project_id")]
+    cells += [f"CAST(get_json_object(report, '$.dimension_scores.{d}.sub_scores.{s}') AS BIGINT) AS {d}_{s}" for d in cat.DIMENSIONS for s, _ in cat.SUB_WEIGHTS[d]]
+    return docs.selectExpr("project_id", *cells, "CAST(get_json_object(report, '$.passed') AS BOOLEAN) AS passed")
+
+
+def _report_lines(files: DataFrame) -> DataFrame:
+    """What each line of the reports is about."""
+    audit = Audit(files)
+    lines = rp.report_lines(audit.audits(nested=True), audit.findings(), audit.patches("suggested"), cl.project_files(files), DEFAULT)
+    field = "get_json_object(line, '$.{}')".format
+    name, value = (f"CASE record WHEN 'audit' THEN {field(a)} WHEN 'issue' THEN {field(i)} WHEN 'patch' THEN {field(p)} ELSE {field(f)} END"
+                   for a, i, p, f in (("overall", "rule_id", "file_path", "path"), ("skill_type", "message", "replacement", "kind")))
+    return lines.selectExpr("project_id", "record", f"{name} AS name", f"{value} AS value")
+
+
 def _patches(level: str) -> Callable[[DataFrame], DataFrame]:
     return lambda files: fx.patches(files, level).select(
         "project_id", "file_path", "original", "replacement", "safety", "issue_rule_id")
@@ -482,6 +504,10 @@ QUERIES: dict[str, Query] = {
     "sarif_rules": _seeded(_sarif_rules),
     "sarif_documents": _seeded(_sarif_documents),
     "json_reports": _seeded(_json_reports),
+    "json_reports_whole": _seeded(_json_whole),
+    "report_lines": _seeded(_report_lines),
+    "evidence_in_order": _seeded(lambda files: ev.evidence(files, DEFAULT).selectExpr("*", EVIDENCE_PLACE).drop("seq")),
+    "reaudit_all_rules": _seeded(lambda files: fd.finding_counts(Audit(fx.patched_files(files, "suggested")).findings())),
     "finding_lines": _seeded(_finding_lines),
     "patches_safe": _seeded(_patches("safe")),
     "patches_suggested": _seeded(_patches("suggested")),
