@@ -44,21 +44,28 @@ def credentials() -> str:
 
 
 def spaced_seeds() -> str:
-    """The same definition, place by place; items all have a seed's length."""
+    """The same definition, place by place.  Short items are compared at every
+    place where one word of a fifth stands as in the item: no masks."""
     words = f"[w for w in string_split_regex(lower(coalesce(text, '')), {_text(ss.BREAKS)}) if w <> '']"
 
-    def seeds(table: str) -> str:
+    def seeds(table: str, only: str = "true") -> str:
         seen = ", ".join(
             f"'{mask} ' || " + " || ' ' || ".join(f"words[spot + {k + 1}]" for k, c in enumerate(mask) if c == "1") for mask in ss.MASKS)
         return (f"SELECT *, unnest([{seen}]) AS seed FROM (SELECT *, unnest(range(0, len(words) - {ss.SPAN - 1})) AS spot FROM {table} "
-                f"WHERE len(words) >= {ss.SPAN})")
+                f"WHERE len(words) >= {ss.SPAN} AND {only})")
 
     return f"""
-    WITH docs AS (SELECT doc_id, {words} AS words FROM documents),
-    items AS (SELECT DISTINCT item_id, {words} AS words FROM benchmark),
+    WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {words} AS words FROM documents),
+    items AS MATERIALIZED (SELECT DISTINCT item_id, {words} AS words FROM benchmark),
+    short AS (SELECT * FROM items WHERE len(words) BETWEEN {ss.LEAST_WORDS} AND {ss.OVERLAP}),
+    spots AS (SELECT row, doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS spot FROM docs),
+    asked AS (SELECT item_id, words AS item, unnest(words) AS word, unnest(range(0, len(words))) AS spot FROM short),
+    aligned AS (SELECT s.row, s.doc_id, a.item_id, a.item, s.spot - a.spot AS shift FROM spots s JOIN asked a USING (word)
+        GROUP BY ALL HAVING count(*) >= {ss.SIMILAR} * len(a.item)),
     hits AS (SELECT DISTINCT d.doc_id, d.words, i.item_id, i.words AS item, least(len(i.words), {ss.OVERLAP}) AS n_words,
         greatest(0, least(i.spot + {ss.SPAN // 2 - ss.OVERLAP // 2}, len(i.words) - least(len(i.words), {ss.OVERLAP}))) AS low, d.spot - i.spot AS shift
-        FROM ({seeds('docs')}) d JOIN ({seeds('items')}) i USING (seed)),
+        FROM ({seeds('docs')}) d JOIN ({seeds('items', f'len(words) > {ss.OVERLAP}')}) i USING (seed)
+        UNION ALL SELECT a.doc_id, d.words, item_id, item, len(item), 0, shift FROM aligned a JOIN docs d USING (row)),
     same AS (SELECT doc_id, item_id, shift + low AS start, n_words,
         list_sum([CASE WHEN shift + low + k >= 0 AND words[greatest(0, shift + low + k) + 1] = item[low + k + 1] THEN 1 ELSE 0 END
                   for k in range(0, n_words)]) AS n_same FROM hits),

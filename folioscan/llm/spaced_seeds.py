@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over nine consecutive words that looks at six of them and
+A seed is a fixed mask over consecutive words that looks at some of them and
 ignores the others, so that a changed word at an ignored place changes nothing.
 The hash of what each mask sees at each place of a document is joined with the
 same hashes of the benchmark.  Around a hit the words of document and item are
@@ -8,16 +8,22 @@ compared one by one, without shifts: over ``OVERLAP`` words of the item (all,
 if it has fewer) with the hit in the middle, at least ``SIMILAR`` of them must
 be equal.
 
-Everything is DataFrame and SQL functions.  Texts are read once and never
-shuffled: the benchmark's hashes are broadcast in slices of ``slice_rows``
-rows at most, each with the words compared around it and no others, so that
-what is broadcast is bounded for a benchmark of any size and items of any length;
-only verified overlaps are shuffled.
+Items of more than ``OVERLAP`` words have three masks that see six of nine words.
+Shorter ones have the five masks that see four of five: an item of n words may
+differ in n / 5 of them and holds as many runs of five side by side, so one run
+has at most one changed word.  No overlap of such an item is missed.
+
+Everything is DataFrame and SQL functions.  Texts are never shuffled: the
+benchmark's hashes are broadcast in slices of ``slice_rows`` rows at most, each
+with the words compared around it and no others, so that what is broadcast is
+bounded for a benchmark of any size and items of any length.  Each slice reads
+the texts once, as do short and long items.  Hits are compared in the loop that
+finds them, so a word that repeats all over a text costs time, not rows; only
+verified overlaps are shuffled.
 
 Defined results: words are runs of letters and digits (all characters beyond
-ASCII count as letters) in lower case; items of five to eight words are sought
-as they are, word for word; items of fewer words, null or empty texts match
-nothing; equal items are reported each; rows that repeat a doc_id are reported
+ASCII count as letters) in lower case; items of fewer than five words, null or
+empty texts match nothing; equal items are reported each; rows that repeat a doc_id are reported
 as one document, rows without doc_id under null; extra columns are ignored; an
 empty table gives no rows.
 """
@@ -33,6 +39,8 @@ from folioscan.llm.common import numbered, row_name, stored
 
 SPAN = 9
 MASKS = ("111010011", "110101101", "101101011")
+SHORT_SPAN = 5
+SHORT_MASKS = ("11110", "11101", "11011", "10111", "01111")
 LEAST_WORDS, OVERLAP, SIMILAR = 5, 20, 0.8
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -70,8 +78,11 @@ def _hits(rows: DataFrame, items: DataFrame, masks: tuple[str, ...], slice_rows:
     found = [places.join(F.broadcast(
         seeds if slices == 1 else seeds.where(F.pmod(F.xxhash64("seed", "item_id", "item_at"), F.lit(slices)) == i)), "seed")
         for i in range(slices)]
+    # Word by word without a lambda, so that it stays in the generated loop and no hit carries its text's hashes along.
+    start = F.col("at") - F.col("item_at") + F.col("low")
+    same = sum((F.when(F.get("hashes", start + k) == F.get("item", F.lit(k)), 1).otherwise(0) for k in range(OVERLAP)), F.lit(0))
     return reduce(DataFrame.unionByName, found).select(
-        "doc_id", "item_id", "hashes", "item", F.size("item").alias("n_words"), (F.col("at") - F.col("item_at") + F.col("low")).alias("start"))
+        "doc_id", "item_id", start.alias("start"), F.size("item").alias("n_words"), same.alias("n_same"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, slice_rows: int = 50_000) -> DataFrame:
@@ -79,14 +90,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, slice_rows: int = 50_000) ->
     at), n_words, n_same, similarity: the best verified overlap of each pair."""
     items = benchmark_items(benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _word_hashes(F.coalesce("text", F.lit(""))).alias("hashes"))
-    hits = _hits(rows, items, MASKS, slice_rows)
-    short = items.select(F.size("hashes").alias("n")).where(F.col("n") < SPAN).distinct().collect()  # four rows at most
-    for n in sorted(r["n"] for r in short):
-        hits = hits.unionByName(_hits(rows, items.where(F.size("hashes") == n), ("1" * n,), slice_rows))
-    same = F.aggregate(F.sequence(F.lit(0), F.col("n_words") - 1), F.lit(0), lambda acc, k: acc + F.when(
-        (F.col("start") + k >= 0) & (F.get(F.col("hashes"), F.greatest(F.lit(0), F.col("start") + k)) == F.get(F.col("item"), k)),
-        1).otherwise(0))
-    hits = hits.select("doc_id", "item_id", "start", "n_words", same.alias("n_same"))
+    short = F.size("hashes") <= OVERLAP
+    kinds = [(some, masks) for some, masks in ((short, SHORT_MASKS), (~short, MASKS)) if items.where(some).limit(1).count()]
+    hits = reduce(DataFrame.unionByName, [_hits(rows, items.where(some), masks, slice_rows) for some, masks in kinds or [(~short, MASKS)]])
     # Filtered after the sums: a filter before would move into the join and out of the generated loop.
     best = F.max(F.struct((F.col("n_same") / F.col("n_words")).alias("similarity"), (-F.col("start")).alias("back"), "n_words", "n_same"))
     return (hits.groupBy("doc_id", "item_id").agg(best.alias("best")).where(F.col("best.similarity") >= SIMILAR)

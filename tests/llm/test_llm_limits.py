@@ -1,5 +1,6 @@
 """Odd names, long lines, numerals."""
 
+import itertools
 import random
 import time
 
@@ -50,3 +51,27 @@ def test_the_sample_of_a_label_is_no_task_of_its_own(spark, monkeypatch):
     known = labels.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) != 2)
     want = {r["doc_id"] for q in (0, 1) for r in known.filter(f"quality = {q}").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(20).collect()}
     assert {r["doc_id"] for r in seen["sample"].collect()} == want
+
+
+def test_no_overlap_of_a_short_item_is_missed(spark):
+    """Every way to change a fifth of its words."""
+    docs, items = [], []
+    for n in (*range(5, 13), 15, 16, 19, 20):
+        words = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        for places in itertools.islice(itertools.combinations(range(n), n // 5), 0, None, 1 if n < 15 else 7):
+            changed = ["other" if i in places else w for i, w in enumerate(words)]
+            docs.append((len(docs), f"before it {' '.join(changed)} behind it", n))
+        if n > 5:  # one more is too many
+            docs.append((-n, " ".join(f"x{i}" if i <= n // 5 else w for i, w in enumerate(words)), n))
+    got = ss.overlaps(spark.createDataFrame(docs, "doc_id long, text string, n int"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, n) for i, _, n in docs if i >= 0}
+    assert all(r["start"] == 2 and r["n_words"] == r["item_id"] and r["n_same"] == r["item_id"] - r["item_id"] // 5 for r in got)
+
+
+def test_a_word_that_repeats(spark):
+    docs = spark.createDataFrame([(1, "word " * 20_000), (2, "word " * 30), (3, "word other " * 50)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word " * 50), (2, "word " * 12)], "item_id long, text string")
+    begin = time.perf_counter()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in ss.overlaps(docs, items).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 1.0, (2, 1): 1.0, (2, 2): 1.0} and time.perf_counter() - begin < 60
