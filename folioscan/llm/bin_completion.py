@@ -11,7 +11,12 @@ another whose lengths could be put inside its own), least waste first, takes
 one for as many bins as the counts allow, and goes on with what remains.  A
 branch ends when its waste is more than a packing with one bin less than the
 best known could have.  The best known packing at the start is best-fit
-decreasing; the search stops at the lower bound or after ``nodes`` steps.
+decreasing; the search stops at the lower bound or after ``nodes`` steps.  It is
+a bounded search: of a bin's undominated fillings the ``width`` with the least
+waste are followed, those of more than three lengths are looked for in 400 steps,
+and a filling is taken as often as the counts allow.  So the packing is only
+proven to be the best one where it meets the lower bound; no piece is left out
+in any case.
 
 Defined results: a null or empty text is one piece of the end token alone; a
 document of more than ``capacity`` tokens is cut into pieces of ``capacity``,
@@ -286,6 +291,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     # At most `capacity` rows.
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(slots(complete(counts, capacity)))
-    ranked = cut.join(by_task.drop("n"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # A row for each length in each task: they grow with the corpus, so pieces meet them by a shuffle at every size.
+    ranked = cut.join(by_task.drop("n").hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         _placer(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
