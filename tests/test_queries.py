@@ -10,7 +10,9 @@ import __spark_entry__ as entry_points
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("overall", "find_sec_secrets", "find_perf_api_efficiency", "duplicate_lines", "patched_files", "judge_blend",
           "evidence", "error_audits", "project_hash", "sarif_documents", "judged_audit", "stream_updates", "stored_other_config",
-          "single_files_shared_paths", "incremental_appended_twice", "call_judge")
+          "single_files_shared_paths", "incremental_appended_twice", "call_judge", "incremental_dimensions", "incremental_file_findings",
+          "stream_audits", "stream_late", "configured_per_project", "findings_per_project", "project_ranks", "report_lines",
+          "reaudit_all_rules", "judge_usage_merged", "project_tree")
 
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")

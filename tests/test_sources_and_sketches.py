@@ -1,12 +1,14 @@
 """The folder tree as a data source, and usage that merges."""
 
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators import judges as jd
-from folioscan.sources import tree_source as ts
+from folioscan.operators import judges as jd, reports as rp
+from folioscan.plans.audit import Audit
+from folioscan.sources import sinks, tree_source as ts
 
 FILES = "project_id string, path string, content string"
 
@@ -69,6 +71,14 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     assert not os.path.exists(tmp_path / "out") or os.listdir(tmp_path / "out") == []
 
 
+def test_sarif_files(spark, tmp_path):
+    files = spark.createDataFrame([("a", "lib/main.py", "exec(x)\npassword = 'hunter2hunter2'"), ("b", "x.py", "eval(y)")], FILES)
+    docs = rp.sarif_documents(Audit(files).findings())
+    sinks.write_tree(docs, str(tmp_path), "project_id", sinks.SARIF_PATH, "sarif")
+    found = {(r["project_id"], r["path"]): json.loads(r["content"])["version"] for r in read(spark, str(tmp_path)).collect()}
+    assert len(found) == docs.count() and set(found.values()) == {"2.1.0"} and ("a", "S/lib/main.py.sarif") in found and ("b", "X/project.sarif") in found
+
+
 def test_sketches_merge(spark):
     calls = spark.range(40_000).selectExpr(
         "concat('p', id % 900) AS project_id", "CASE WHEN id % 4 = 0 THEN 'P' ELSE 'C' END AS judge", "'success' AS status", "CAST(id % 31 AS INT) AS day",
