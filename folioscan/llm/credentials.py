@@ -60,6 +60,7 @@ KINDS = (
     Kind("host", "endpoint", rf"(?i:host(?:_?name)?|endpoint|server|base_?url|region|bucket){QUOTED}([A-Za-z0-9._:/-]+)",
          r"(?i:host|endpoint|server|url|region|bucket)", False, 1, 4),
 )
+PART = 256  # matches that are walked at a time
 STRONG = tuple(k.name for k in KINDS if k.strong)
 COMPLEMENT = {"identifier": "secret", "secret": "identifier", "endpoint": "secret"}
 
@@ -74,15 +75,36 @@ def _found(text: Column, rank: int, kind: Kind) -> Column:
             F.char_length(gap).alias("gap"), F.char_length(match).alias("size"))),
         value, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), F.char_length(v).alias("value")))
     empty = F.array().cast("array<struct<rank:int,start:int,end:int>>")
-    # The running place is kept beside the spans; the last gap has no match.
-    walked = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(x["value"].between(kind.least, kind.most), F.concat(acc["spans"], F.array(F.struct(
-                F.lit(rank).alias("rank"), (acc["at"] + x["gap"]).alias("start"),
-                (acc["at"] + x["gap"] + x["size"]).alias("end"))))).otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
+
+    def after(acc: Column, x: Column) -> Column:
+        return acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))  # the last gap has no match
+
+    def walk(part: Column, at: Column) -> Column:
+        """The spans of a part that begins at a place, which is kept beside them."""
+        return F.aggregate(
+            part, F.struct(at.alias("at"), empty.alias("spans")),
+            lambda acc, x: F.struct(
+                after(acc, x).alias("at"),
+                F.when(x["value"].between(kind.least, kind.most), F.concat(acc["spans"], F.array(F.struct(
+                    F.lit(rank).alias("rank"), (acc["at"] + x["gap"]).alias("start"),
+                    (acc["at"] + x["gap"] + x["size"]).alias("end"))))).otherwise(acc["spans"]).alias("spans")),
+            lambda acc: acc["spans"])
+
+    def places(parts: Column) -> Column:
+        """Where each part begins."""
+        return F.aggregate(
+            parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")),
+            lambda acc, part: F.struct(
+                F.aggregate(part, F.struct(acc["at"].alias("at")), lambda own, x: F.struct(after(own, x).alias("at")), lambda own: own["at"]).alias("at"),
+                F.concat(acc["begins"], F.array(acc["at"])).alias("begins")),
+            lambda acc: acc["begins"])
+
+    def parted(held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(held) - 1) / PART).cast("int")), lambda i: F.slice(held, i * PART + 1, F.lit(PART)))
+
+    # Appending copies an array, so matches are walked in parts; `array` and `transform` make Spark evaluate each once.
+    parts = F.transform(F.array(sizes), parted)
+    walked = F.transform(parts, lambda p: F.flatten(F.zip_with(p, places(p), walk)))[0]
     return F.when(text.rlike(kind.hint), walked).otherwise(empty)
 
 
@@ -104,7 +126,8 @@ def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
     spans = spans.withColumns({"role": role, "strong": strong})
     in_order = Window.partitionBy("row").orderBy("start", "end", "rank")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    after = in_order.rowsBetween(1, Window.unboundedFollowing)
+    # All that follow, as what comes before in reverse: a frame up to the end would be summed up anew for each row.
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
 
     def by_role(pick) -> Column:
         return F.coalesce(*[F.when(F.col("role") == mine, pick(other)) for mine, other in COMPLEMENT.items()])

@@ -1,12 +1,13 @@
 """Odd names, long lines, numerals."""
 
+import hashlib
 import itertools
 import random
 import time
 
 from pyspark.sql import functions as F
 
-from folioscan.llm import byte_cnn as cnn, mixture_lang as ml, simhash_vp as vp, spaced_seeds as ss, surrogates as sg
+from folioscan.llm import byte_cnn as cnn, credentials as cr, mixture_lang as ml, simhash_vp as vp, spaced_seeds as ss, surrogates as sg
 
 
 def test_a_column_named_as_the_helper(spark):
@@ -75,3 +76,15 @@ def test_a_word_that_repeats(spark):
     begin = time.perf_counter()
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in ss.overlaps(docs, items).collect()}
     assert got == {(1, 1): 1.0, (1, 2): 1.0, (2, 1): 1.0, (2, 2): 1.0} and time.perf_counter() - begin < 60
+
+
+def test_many_candidates_in_a_text(spark):
+    n = 200_000
+    text = "".join(f"token = abcdef{i:06}\n" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, text[:21 * 1000]), (3, None)], "doc_id long, text string")
+    begin = time.perf_counter()
+    got = {r["doc_id"]: r for r in cr.secret_scan(docs).collect()}
+    assert time.perf_counter() - begin < 100
+    spans = ",".join(f"assign:{21 * i}:{21 * i + 20}" for i in range(n))
+    assert got[1]["n_assign"] == n and got[1]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest() and got[1]["spans"] == spans
+    assert got[2]["n_assign"] == 1000 and got[3]["n_assign"] == 0
