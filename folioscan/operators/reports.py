@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folioscan.functions import text as tx
 from folioscan.operators import findings as fd
 from folioscan.plans.config import AuditConfig
-from folioscan.rules import catalog as cat
 
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscan.operators import (
     classify as cl, evidence as ev, findings as fd, fixes as fx, incremental as inc, judges as jd, per_project as pp, reports as rp,
-    scores as sc, signals as sg,
+    scores as sc,
 )
 from folioscan.operators.maintained import SignalStore
 from folioscan.operators.custom import CustomDimension, CustomRule, custom_findings, with_custom_dimensions
