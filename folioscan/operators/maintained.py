@@ -25,6 +25,11 @@ files are summed up.
 A content may belong to a third of all files.  Its files are summed up by
 project first, and contents that belong to more than a thousandth of the rows
 (so a thousand at most) are broadcast instead of joined by key.
+
+Files may come with the time they ``arrived``.  Of several rows of a file the
+last counts, by arrival and then by the hash of the content, in whatever order
+and in however many updates they come; what was deleted is forgotten with its
+time.  Files are named by project_id and path; rows without either are refused.
 """
 
 from __future__ import annotations
@@ -137,6 +142,7 @@ class SignalStore:
         version = self.version() + 1 if version is None else version
         if version <= self.version():
             return version
+        files = files.withColumn("path", F.expr("CASE WHEN project_id IS NULL OR path IS NULL THEN raise_error('a file without project or path') ELSE path END"))
         last = content_keys(files).groupBy(*FILE).agg(F.max(F.struct("at", "key")).alias("last")).select(*FILE, "last.*")
         self._write("arrived", version, last)
         arrived = self.spark.read.parquet(f"{self.path}/arrived/version={version}")

@@ -88,7 +88,7 @@ def write_stream(stream: DataFrame, out: str, checkpoint: str, trigger: dict | N
 
 def maintain(arrivals: DataFrame, store: SignalStore, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Feeds files(project_id, path, content, arrived) into a store of its own,
-    a version for each batch.  A batch that is run again after a failure
+    which nothing else updates, a version for each batch.  A batch that is run again after a failure
     overwrites what it left, or is skipped if it was done; files may come
     changed, again, or late."""
 

@@ -83,6 +83,13 @@ def test_one_changed_file_matches_one_text(spark):
     holds(store, many.filter("path <> 'f7.py'").unionByName(changed))
 
 
+def test_files_without_a_name_are_refused(spark):
+    store = SignalStore.create(spark, shared_dir(spark, "store"))
+    with pytest.raises(Exception, match="without project or path"):
+        store.update(files(spark, [(None, "m.py", "x = 1")]))
+    assert store.version() == 0 and store.audits().collect() == []
+
+
 def test_store_belongs_to_a_configuration(spark):
     path = SignalStore.create(spark, shared_dir(spark, "store")).path
     SignalStore.open(spark, path)
