@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
 def test_registry():
     names = list(q.QUERIES)
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(names) | {"pipeline"} <= set(entry_points.queries()) and set(oracle.STATEMENTS) <= set(entry_points.oracle_sql())
 
 
