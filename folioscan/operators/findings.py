@@ -118,8 +118,8 @@ def findings(files: DataFrame, cfg: AuditConfig | None = None, rules=None, class
     ``hits`` may be a stored table of (project_id, path, hits), see
     :func:`hits_column`; the text is then not matched again.  What rules that are
     off found in it is left out; a table that lacks a rule is refused.  With
-    ``hits`` and ``project_signals`` no text is read at all, else it is read once
-    for each of them.
+    ``hits`` and ``project_signals`` no text is read at all.  Else it is read for
+    the hits, for what decides about projects, and for what is found about them.
     """
     cfg = cfg or AuditConfig()
     spark = files.sparkSession

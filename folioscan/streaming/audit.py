@@ -126,10 +126,10 @@ def windowed_counts(counts: DataFrame, size: str, delay: str = "1 hour") -> Data
 
 def count_with_late(arrivals: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", cfg: AuditConfig | None = None,
                     rules=FILE_LEVEL_RULES, trigger: dict | None = None) -> StreamingQuery:
-    """Counts what each rule finds in each arriving content, in two tables below
-    ``out``: ``on_time`` and, for what arrived more than ``delay`` before the
-    latest arrival of earlier batches, ``late``.  Nothing is dropped; a batch that
-    is run again overwrites what it wrote."""
+    """Counts what each rule finds in each arriving content, in the table
+    ``counts`` below ``out``.  Rows that arrived more than ``delay`` before the
+    latest arrival of earlier batches are marked ``late``.  Nothing is dropped; a
+    batch that is run again overwrites what it wrote."""
     cfg = cfg or AuditConfig()
     sizes = [f"named_struct('rule_id', '{r}', 'n', CAST({' + '.join(f'coalesce(array_size({h}), 0)' for h in fd.file_hits(r))} AS BIGINT))"
              for r in rules if cfg.runs(r)]
@@ -143,7 +143,7 @@ def count_with_late(arrivals: DataFrame, out: str, checkpoint: str, delay: str =
         found = sg.readable(cl.classify(keyed)).selectExpr(*FILE, "content_sha", "arrived", f"inline(array({', '.join(sizes)}))").where("n > 0")
         late = F.lit(False) if latest is None else F.col("arrived") < F.lit(latest) - F.expr(f"INTERVAL {delay}")
         counted = found.withColumn("late", F.coalesce(late, F.lit(False)))
-        counted.write.mode("overwrite").partitionBy("late").parquet(f"{out}/counts/batch={batch_id}")
+        counted.write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
         batch.agg(F.max("arrived").alias("latest")).write.mode("overwrite").parquet(f"{out}/marks/batch={batch_id}")
 
     return (
