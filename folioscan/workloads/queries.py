@@ -376,7 +376,8 @@ def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """The seeded corpus as a stream; the files of a project arrive at the time
     of the event with its number."""
     schema = corpus.table(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # By a pattern, as the table may be one file or a folder of them; a stream takes only the latter by its name.
+    docs = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/documents.parque[t]")
     # A time without zone is taken as UTC.
     events = corpus.table(spark, sf, "events").selectExpr(
         "event_id AS project_id", "CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP) AS arrived")

@@ -41,3 +41,20 @@ def test_every_statement_belongs_to_a_query():
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    """Tables may be folders; a name is then that of no file."""
+    words = "You are an expert. api_key = 'sk-" + "a1B2" * 13 + "'"
+    docs = spark.createDataFrame([(i, f"{words} {i}", "en", "web", 60) for i in range(64)], "doc_id long, text string, lang string, source string, n_chars long")
+    times = spark.range(8).selectExpr("id AS event_id", "CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(id AS INT)) AS ts")
+    parts, whole = tmp_path / "parts", tmp_path / "whole"
+    docs.repartition(3).write.parquet(str(parts / "documents.parquet"))
+    times.repartition(2).write.parquet(str(parts / "events.parquet"))
+    whole.mkdir()
+    for name, df in (("documents", docs), ("events", times)):
+        df.toPandas().to_parquet(whole / f"{name}.parquet", index=False, coerce_timestamps="us")
+    for name in ("stream_findings", "stream_signals", "stream_windows"):
+        query = entry_points.queries()[name]
+        rows = sorted(map(str, query(spark, str(parts)).collect()))
+        assert rows and rows == sorted(map(str, query(spark, str(whole)).collect()))
