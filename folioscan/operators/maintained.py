@@ -18,7 +18,8 @@ version:
   overwritten by the next attempt, so a repeated update changes nothing.
 
 Sums, repeated lines, dependency files and findings are read from these small
-tables; text is only read to hash what arrives and to match new contents.  An
+tables; text is only read, in place, to hash what arrives and to match new
+contents, which are told by a filter of bounded size and then exactly.  An
 update's cost follows what arrives: of the changes before, only those of its
 files are summed up.
 
@@ -44,6 +45,8 @@ from folioscan.rules import catalog as cat
 FILE = ["project_id", "path"]
 TABLES = ("contents", "changes", "sums", "line_sums", "done")
 HOT_SHARE = 1000
+BITMAP = 1 << 15  # bits of what bitmap_construct_agg makes
+FILTER_BITS = 1 << 27  # most bits of a filter
 
 # What the rules ask of a path beside its text.
 TRAITS = (
@@ -77,6 +80,21 @@ def by_key(rows: DataFrame, contents: DataFrame) -> DataFrame:
         rows.join(F.broadcast(hot), "key", "left_anti").join(contents, "key"))
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, keys, found: str | None = None) -> DataFrame:
+    """The ``rows`` whose ``keys`` are in the stored table ``wanted``, and a few
+    others: a hash is looked up in bitmaps of at most ``FILTER_BITS`` bits, which
+    every task gets, so that rows stay where they are.  With ``found``, all rows
+    and a column of this name that tells them."""
+    bitmaps = max(1, min(FILTER_BITS, 16 * wanted.count()) // BITMAP)
+    at = F.pmod(F.xxhash64(*keys), F.lit(bitmaps * BITMAP))
+    held = wanted.select(at.alias("_at")).groupBy(F.expr(f"_at div {BITMAP} AS _bitmap")).agg(
+        F.bitmap_construct_agg(F.col("_at") % BITMAP).alias("_bits"))
+    marked = rows.withColumn("_at", at).withColumn("_bitmap", F.expr(f"_at div {BITMAP}")).join(F.broadcast(held), "_bitmap", "left")
+    byte = f"CAST(conv(hex(substring(_bits, CAST(_at % {BITMAP} div 8 + 1 AS INT), 1)), 16, 10) AS INT)"
+    tested = marked.withColumn(found or "_found", F.expr(f"coalesce(shiftright({byte}, CAST(_at % 8 AS INT)) & 1, 0) = 1")).drop("_at", "_bitmap", "_bits")
+    return tested if found else tested.where("_found").drop("_found")
+
+
 class SignalStore:
     """The store at ``path``, for one configuration of rules."""
 
@@ -122,8 +140,9 @@ class SignalStore:
         rows = self.spark.read.schema(schema.add("version", "integer")).parquet(f"{self.path}/{name}")
         return rows.where(F.col("version") < below).drop("version")
 
-    def _matched(self, classified: DataFrame) -> DataFrame:
-        """The row of each content; ``classified`` holds a file for each key."""
+    def _matched(self, classified: DataFrame, names=("key",)) -> DataFrame:
+        """The row of each content, with the columns ``names`` of ``classified``,
+        which holds a file for each key."""
         def number(name: str) -> str:
             expr, how = self.flags[name]
             return f"CAST({expr} AS BIGINT) AS {name}"
@@ -132,7 +151,7 @@ class SignalStore:
         dependency = f"{self.flags['dependency'][0]} AS dependency"
         digests = f"transform(filter(transform({tx.split_lines_loosely('text')}, l -> {tx.strip('l')}), l -> l <> ''), l -> unhex(substring(sha2(l, 256), 1, 32)))"
         lines = f"CASE WHEN {sg.IN_PROMPT} AND {'true' if self.lines else 'false'} THEN {digests} END AS lines"
-        rows = sg.readable(classified).selectExpr("key", *[number(n) for n in self.counted], dependency, f"{fd.hits_column(self.cfg)} AS hits", lines)
+        rows = sg.readable(classified).selectExpr(*names, *[number(n) for n in self.counted], dependency, f"{fd.hits_column(self.cfg)} AS hits", lines)
         return rows.withMetadata("hits", {"rules": sorted(fd.matched_rules(self.cfg))})
 
     def update(self, files: DataFrame, deleted: DataFrame | None = None, version: int | None = None) -> int:
@@ -149,10 +168,14 @@ class SignalStore:
         known = self.table("contents", version)
 
         new = arrived.join(known.select("key"), "key", "left_anti").groupBy("key").agg(F.min(F.struct(*FILE, "at")).alias("file"))
-        new = new.select("key", "file.project_id", "file.path", F.col("file.at.sha").alias("sha"))
-        texts = files.selectExpr(*FILE, "content", f"{_at(files)}.sha AS sha").join(new, [*FILE, "sha"])
+        self._write("new", version, new.select("key", "file.project_id", "file.path", F.col("file.at.sha").alias("sha")))
+        new = self.spark.read.parquet(f"{self.path}/new/version={version}")
+        place = [*FILE, "sha"]  # of a key
+        # Texts are matched where they are read; what came of them is moved.
+        texts = maybe_in(files.selectExpr(*FILE, "content", f"{_at(files)}.sha AS sha"), new, place)
+        matched = self._matched(cl.classify(texts), place).join(new, place)
         # The same content of a file may be delivered twice.
-        self._write("contents", version, self._matched(cl.classify(texts)).dropDuplicates(["key"]))
+        self._write("contents", version, matched.dropDuplicates(place).select("key", *[c for c in matched.columns if c not in (*place, "key")]))
 
         gone = arrived.limit(0).select(*FILE) if deleted is None else deleted.select(*FILE).distinct()
         before = self._current(self.table("changes", version).join(arrived.select(*FILE).unionByName(gone).distinct(), FILE, "left_semi"))

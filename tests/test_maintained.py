@@ -1,12 +1,14 @@
 """Audits that reuse: by dimension, by content, over streams; many patches."""
 
 import random
+from contextlib import redirect_stdout
+from io import StringIO
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan.operators import findings as fd, fixes as fx, incremental as inc, per_project as pp, reports as rp, signals as sg
-from folioscan.operators.maintained import SignalStore
+from folioscan.operators.maintained import SignalStore, maybe_in
 from folioscan.operators.splice import one_by_one, splice
 from folioscan.plans.audit import Audit
 from folioscan.plans.config import AuditConfig, layered_config
@@ -219,3 +221,35 @@ def test_late_files_are_kept_apart(spark):
     got = {r["window_start"].day * 24 + r["window_start"].hour - 48: (r["n_findings"], r["n_late"]) for r in st.counted_windows(counts, "1 hour").collect()}
     n = fd.findings(files(spark, [("a", "m.py", KEY)]), rules=["sec_secrets"]).count()
     assert got == {1: (n, n), 30: (3 * n, 0)}  # a/m.py counts at its first arrival, which came late; b/m.py came on time
+
+
+def test_new_contents_do_not_move(spark, tmp_path, monkeypatch):
+    """Texts are matched where they lie; only what came of them is shuffled."""
+    plans = {}
+
+    def write(self, name, version, rows):
+        if version and name == "contents":
+            out = StringIO()
+            with redirect_stdout(out):
+                rows.explain("formatted")
+            plans[version] = [b for b in out.getvalue().split("\n\n") if "Exchange" in b.split("\n")[0]]
+        kept(self, name, version, rows)
+
+    kept = SignalStore._write
+    monkeypatch.setattr(SignalStore, "_write", write)
+    store = SignalStore.create(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("p", f"f{i % 4}.py", f"x = eval(a{i % 4})") for i in range(12)], "project_id string, path string, content string")
+    rows.write.parquet(str(tmp_path / "in"))
+    store.update(spark.read.parquet(str(tmp_path / "in")))
+    assert plans[1] and not any("content#" in b or "text#" in b for b in plans[1])
+    assert store.table("contents").count() == 4
+
+
+def test_maybe_in_misses_nothing(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 100 = 7 THEN NULL ELSE id END AS a", "CAST(id % 3 AS STRING) AS b", "id AS n")
+    wanted = rows.where("n % 10 = 7").select("a", "b")
+    got = {r.n for r in maybe_in(rows, wanted, ["a", "b"]).select("n").collect()}
+    assert got >= set(range(7, 20_000, 10)) and len(got) < 4_000
+    assert maybe_in(rows, wanted.limit(0), ["a", "b"]).count() == 0
+    assert maybe_in(rows, wanted, ["a", "b"], "there").where("there").count() == len(got)
+    assert maybe_in(rows, wanted, ["a", "b"], "there").count() == 20_000
