@@ -17,34 +17,62 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscan.operators import classify as cl, findings as fd, signals as sg
-from folioscan.operators.maintained import SignalStore
+from folioscan.operators.maintained import SignalStore, maybe_in
 from folioscan.plans.config import AuditConfig
 from folioscan.rules import catalog as cat
+from folioscan.session import shared_dir
 
 FILE_LEVEL_RULES = (*cat.MATCH_RULES, "prompt_injection", "compat_vendor_lock", *cat.FILE_RULES)
 FILE = ("project_id", "path")
 VERSION = ("arrived", "content_sha")
 
 
-def versions(arrivals: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drops what is delivered again: the same content with the same arrival,
-    within ``delay``.
+def _named(arrivals: DataFrame) -> DataFrame:
+    return arrivals.withColumn("content_sha", F.sha2(F.coalesce("content", F.lit("unreadable")), 256))
+
+
+def _seen(arrivals: DataFrame, *columns: str, delay: str = "1 hour") -> DataFrame:
+    """``columns`` of the versions in a stream of files(project_id, path,
+    content, arrived).  What is delivered again, the same content with the same
+    arrival, is dropped within ``delay``; by then texts are done with, so they
+    are not shuffled."""
+    rows = sg.readable(cl.classify(_named(arrivals.withWatermark("arrived", delay)))).selectExpr(*FILE, *VERSION, *columns)
+    return rows.dropDuplicatesWithinWatermark([*FILE, *VERSION])
 
-    ``arrivals`` is a stream of files(project_id, path, content, arrived)."""
-    return (
-        arrivals.withWatermark("arrived", delay)
-        .withColumn("content_sha", F.sha2(F.coalesce("content", F.lit("unreadable")), 256))
-        .dropDuplicatesWithinWatermark([*FILE, *VERSION]))
 
+def store_versions(arrivals: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Writes each version of a file once, with its ``content_sha``, to the table
+    ``files`` below ``out``, however often and late it is delivered.  Only texts
+    that come twice within a batch, or seem to have come before, are shuffled.  A
+    batch that is run again overwrites what it wrote."""
+    keys = [*FILE, *VERSION]
 
-def _file_hits(rows: DataFrame, cfg: AuditConfig, rules) -> DataFrame:
-    return sg.readable(cl.classify(rows)).selectExpr(*FILE, *VERSION, f"{fd.hits_column(cfg, rules)} AS hits")
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = _named(batch)
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.lit(0).alias("batches"))
+        if batch_id:
+            known = spark.read.parquet(f"{out}/keys").where(F.col("batch") < batch_id).select(*keys, F.lit(0).alias("n"), F.lit(1).alias("batches"))
+            counts = counts.unionByName(known).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("batches").alias("batches")).where("n > 0")
+        path = shared_dir(spark, "versions")
+        counts.write.parquet(path)
+        counts = spark.read.parquet(path)
+        new = counts.where("batches = 0").select(*keys)
+        marked = maybe_in(maybe_in(rows, new, keys), counts.where("batches > 0 OR n > 1"), keys, "again")
+        same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
+        again = marked.where("again").alias("rows").join(new.alias("new"), same, "left_semi").dropDuplicates(keys)
+        marked.where("NOT again").unionByName(again).drop("again").write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/files/batch={batch_id}")
+        new.write.mode("overwrite").parquet(f"{out}/keys/batch={batch_id}")
+
+    return (
+        arrivals.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def stream_findings(arrivals: DataFrame, cfg: AuditConfig | None = None) -> DataFrame:
     """A stream of file-level findings, each with the version of its file."""
     cfg = cfg or AuditConfig()
-    hits = _file_hits(versions(arrivals), cfg, FILE_LEVEL_RULES)
+    hits = _seen(arrivals, f"{fd.hits_column(cfg, FILE_LEVEL_RULES)} AS hits")
     # The version travels through the operator as part of the path.
     keyed = hits.selectExpr("struct(project_id, arrived, content_sha) AS project_id", "path", "explode_outer(hits) AS hit", "CAST(NULL AS STRING) AS place")
     found = fd.finish(keyed, arrivals.sparkSession, cfg)
@@ -55,7 +83,7 @@ def stream_signals(arrivals: DataFrame, cfg: AuditConfig | None = None) -> DataF
     """A stream of per-file signals; batch audits sum them per project."""
     cfg = cfg or AuditConfig()
     flags = sg.file_flags(cfg)
-    return sg.readable(cl.classify(versions(arrivals))).selectExpr(*FILE, *VERSION, *[f"{c} AS {n}" for n, (c, _) in flags.items()])
+    return _seen(arrivals, *[f"{c} AS {n}" for n, (c, _) in flags.items()])
 
 
 def newest(signals: DataFrame) -> DataFrame:
@@ -74,9 +102,13 @@ def current_findings(found: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def current_files(arrived: DataFrame) -> DataFrame:
-    """The last version of each file of a stored table of arrivals."""
-    version = F.struct("arrived", F.sha2(F.coalesce("content", F.lit("unreadable")), 256))
-    return arrived.groupBy(*FILE).agg(F.max_by("content", version).alias("content"))
+    """The last version of each file of a stored table of arrivals.  Texts of
+    earlier ones are left out before the others are grouped."""
+    rows = _named(arrived.select(*FILE, "content", "arrived"))
+    path = shared_dir(arrived.sparkSession, "newest")
+    newest(rows.select(*FILE, *VERSION)).write.parquet(path)
+    last = maybe_in(rows, arrived.sparkSession.read.schema(rows.select(*FILE, *VERSION).schema).parquet(path), [*FILE, *VERSION])
+    return last.groupBy(*FILE).agg(F.max_by("content", F.struct(*VERSION)).alias("content"))
 
 
 def write_stream(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -287,7 +287,7 @@ def _stream_audits(spark: SparkSession, sf: str) -> DataFrame:
     store = SignalStore.create(spark, shared_dir(spark, "store"), project_id="bigint")
     audits = []
     for i, files in enumerate((before, now, before)):
-        files.write.mode("append").parquet(source)
+        _deliver(files, source)
         st.maintain(spark.readStream.schema(files.schema).parquet(source), store, checkpoint).awaitTermination()
         audits.append(store.audits().select(F.lit(i).alias("delivery"), *AUDIT_COLUMNS))
     return _wide(audits[0].unionByName(audits[1]).unionByName(audits[2]))
@@ -372,35 +372,51 @@ def _call_judge(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(answers.select("project_id", "judge", "path", "part", "raw", "status", "input_tokens", "output_tokens", "retries"))
 
 
+def _times(spark: SparkSession, sf: str) -> DataFrame:
+    """(project_id, arrived): the files of a project arrive at the time of the
+    event with its number.  Stored, so that Spark knows how few they are."""
+    # A time without zone is taken as UTC.
+    events = corpus.table(spark, sf, "events").selectExpr(
+        "event_id AS project_id", "CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP) AS arrived")
+    times = events.join(corpus.seeded_files(spark, sf).select("project_id").distinct(), "project_id", "left_semi")
+    path = shared_dir(spark, "times")
+    times.write.parquet(path)
+    return spark.read.schema(times.schema).parquet(path)
+
+
 def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
-    """The seeded corpus as a stream; the files of a project arrive at the time
-    of the event with its number."""
+    """The seeded corpus as a stream."""
     schema = corpus.table(spark, sf, "documents").schema
     # By a pattern, as the table may be one file or a folder of them; a stream takes only the latter by its name.
     docs = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/documents.parque[t]")
-    # A time without zone is taken as UTC.
-    events = corpus.table(spark, sf, "events").selectExpr(
-        "event_id AS project_id", "CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP) AS arrived")
-    return corpus.seeded_from(docs).join(events, "project_id")
+    return corpus.seeded_from(docs).join(_times(spark, sf), "project_id")
+
+
+def _deliver(files: DataFrame, source: str) -> None:
+    files.write.mode("append").option("compression", "zstd").parquet(source)
 
 
 def _streamed(spark: SparkSession, deliveries: list[DataFrame], *streams: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """The tables that ``streams`` write, one run of each after every delivery."""
-    source = shared_dir(spark, "arrivals")
+    """The versions that arrived, and the tables that ``streams`` write of them,
+    one run of each after every delivery."""
+    source, once, state = shared_dir(spark, "arrivals"), shared_dir(spark, "versions"), shared_dir(spark, "state")
     places = [(make, shared_dir(spark, "streamed"), shared_dir(spark, "state")) for make in streams]
     for files in deliveries:
-        files.write.mode("append").parquet(source)
+        _deliver(files, source)
+        versions = files.select("*", F.lit(0).alias("batch")).schema
+        st.store_versions(spark.readStream.schema(files.schema).parquet(source), once, state).awaitTermination()
         for make, out, checkpoint in places:
-            st.write_stream(make(spark.readStream.schema(files.schema).parquet(source)), out, checkpoint).awaitTermination()
-    return [spark.read.parquet(out) for _, out, _ in places]
+            arrivals = spark.readStream.schema(versions).parquet(f"{once}/files")
+            st.write_stream(make(arrivals), out, checkpoint).awaitTermination()
+    return [spark.read.parquet(path) for path in (f"{once}/files", *[out for _, out, _ in places])]
 
 
 def _deliveries(spark: SparkSession, sf: str) -> list[DataFrame]:
     """The corpus as it was earlier, later as it is, that twice within a
     delivery, and once more."""
-    events = corpus.table(spark, sf, "events").selectExpr("event_id AS project_id", "CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP) AS arrived")
-    before = corpus.earlier_files(spark, sf).join(events, "project_id")
-    now = corpus.seeded_files(spark, sf).join(events, "project_id").withColumn("arrived", F.expr("arrived + INTERVAL 400 DAYS"))
+    times = _times(spark, sf)
+    before = corpus.earlier_files(spark, sf).join(times, "project_id")
+    now = corpus.seeded_files(spark, sf).join(times, "project_id").withColumn("arrived", F.expr("arrived + INTERVAL 400 DAYS"))
     return [before, now.unionByName(now), now]
 
 
@@ -424,11 +440,10 @@ def _stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_late(spark: SparkSession, sf: str) -> DataFrame:
     """A fourth of the projects is delivered after all others, with its own times."""
-    events = corpus.table(spark, sf, "events").selectExpr("event_id AS project_id", "CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP) AS arrived")
-    files = corpus.seeded_files(spark, sf).join(events, "project_id")
+    files = corpus.seeded_files(spark, sf).join(_times(spark, sf), "project_id")
     source, out, checkpoint = shared_dir(spark, "arrivals"), shared_dir(spark, "counts"), shared_dir(spark, "state")
     for part in (files.filter("project_id % 4 <> 1"), files.filter("project_id % 4 = 1")):
-        part.write.mode("append").parquet(source)
+        _deliver(part, source)
         st.count_with_late(spark.readStream.schema(files.schema).parquet(source), out, checkpoint).awaitTermination()
     rows = st.counted_windows(spark.read.parquet(f"{out}/counts"), "6 hours")
     return _wide(rows.selectExpr("unix_seconds(window_start) AS window_start", "rule_id", "n_findings", "n_late"))
@@ -444,12 +459,12 @@ def _stream_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_updates(spark: SparkSession, sf: str) -> DataFrame:
     """Files that changed and came again: the scores of the last versions."""
-    signals, arrived = _streamed(spark, _deliveries(spark, sf), st.stream_signals, lambda arrivals: arrivals)
+    arrived, signals = _streamed(spark, _deliveries(spark, sf), st.stream_signals)
     return _wide(Audit(st.current_files(arrived), signals=st.newest(signals)).audits().select("project_id", "overall", *cat.DIMENSIONS))
 
 
 def _stream_update_findings(spark: SparkSession, sf: str) -> DataFrame:
-    found, signals = _streamed(spark, _deliveries(spark, sf), st.stream_findings, st.stream_signals)
+    _, found, signals = _streamed(spark, _deliveries(spark, sf), st.stream_findings, st.stream_signals)
     return _wide(fd.finding_counts(st.current_findings(found, signals)))
 
 

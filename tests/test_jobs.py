@@ -178,6 +178,34 @@ def test_streams_follow_the_last_version(spark, tmp_path):
     assert n["sec_dangerous_functions"] == 3 and n["sec_secrets"] == 1
 
 
+def test_versions_are_stored_once(spark, tmp_path):
+    """Repeats within a delivery, later and late, rows without names, an earlier version that comes last."""
+    first = stamped(frame(spark, FILES + [("q", None, "x"), (None, "n.py", None)]), "2024-01-02 00:00:00")
+    late = stamped(frame(spark, [("p", "main.py", "old"), ("r", "late.py", "eval(z)")]), "2023-01-01 00:00:00")
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for rows in (first.unionByName(first), first.unionByName(late), late):
+        rows.write.mode("append").parquet(source)
+        st.store_versions(spark.readStream.schema(rows.schema).parquet(source), out, state).awaitTermination()
+    kept = spark.read.parquet(f"{out}/files")
+    assert sorted(map(str, kept.select(rows.columns).collect())) == sorted(map(str, first.unionByName(late).collect()))
+    now = frame(spark, FILES + [("q", None, "x"), (None, "n.py", None), ("r", "late.py", "eval(z)")])
+    assert sorted(map(str, st.current_files(kept).collect())) == sorted(map(str, now.collect()))
+
+
+def test_streams_do_not_shuffle_texts(spark, tmp_path):
+    source = str(tmp_path / "in")
+    stamped(frame(spark, FILES), "2024-01-01 00:00:00").write.parquet(source)
+    arrivals = spark.readStream.schema("project_id string, path string, content string, arrived timestamp").parquet(source)
+    for make in (st.stream_findings, st.stream_signals):
+        query = st.write_stream(make(arrivals), str(tmp_path / make.__name__), str(tmp_path / f"state-{make.__name__}"))
+        query.awaitTermination()
+        plan = query._jsq.explainInternal(True)
+        moves = [line for line in plan.split("== Physical Plan ==")[1].split("\n") if "Exchange" in line or "Arguments" in line]
+        assert moves and "StreamingDeduplicate" in plan
+        below = plan.split("== Physical Plan ==")[1].split("Exchange", 1)[1]
+        assert "hits" in below or "n_files" in below  # matched before the exchange
+
+
 def test_custom_dimension(spark):
     rows = frame(spark, FILES)
     dims = (CustomDimension("Z", "style", (
