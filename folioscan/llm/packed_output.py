@@ -111,9 +111,9 @@ def _matrix(pieces: list[tuple], capacity: int, first: int) -> pa.RecordBatch:
 
 def _packer(tokenizer: str, pattern: str, capacity: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        encode = tokens.byte_bpe(tokenizer, pattern)
+        encode = tokens.byte_bpe_all(tokenizer, pattern)
         first = TaskContext.get().partitionId() << 33
-        end = tokens.packed([END])
+        end = np.array([END], np.int32)
         pieces: list[tuple] = []
         held = 0
 
@@ -127,8 +127,9 @@ def _packer(tokenizer: str, pattern: str, capacity: int, block: int) -> Callable
                 yield batch.slice(at, 256)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.frombuffer(encode(text or "") + end, "<u4").astype(np.int32)
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+                ids = np.concatenate([ids, end])
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     pieces.append((doc, piece, at, ids[at:at + capacity]))
                 held += len(ids)

@@ -529,6 +529,47 @@ def test_kept_words_do_not_change_ids():
         assert np.frombuffer(pieces(text), "<u4").tolist() == plain.encode_ordinary(text), repr(text)
 
 
+def test_texts_together_do_not_change_ids(monkeypatch):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(q.BYTE_BPE, "rb"))}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(12)
+    signs = "aAbBéÉçñÑ019  \n\t\r'.,!$|-_<>stre"
+    texts = ["", " ", "\n\n", "ab", " ab", "ab ", "ab  ab\n ab ", "漢 字 ab", "x" * 3000, "\xa0 ab", *("".join(rng.choice(signs)
+             for _ in range(rng.randint(0, 40))) for _ in range(1500))]
+    want = [plain.encode_ordinary(text) for text in texts]
+    for kept, size, together in ((400_000, 1 << 26, 1 << 23), (400_000, 1 << 26, 1), (40, 1 << 26, 100), (4000, 20_000, 1000), (0, 0, 300)):
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        monkeypatch.setattr(tokens, "KEPT_BYTES", size)
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        encode = tokens.byte_bpe_all.__wrapped__(q.BYTE_BPE, public_tokenizers.PATTERN)
+        for _ in range(2):
+            assert [ids.tolist() for ids in encode(texts)] == want
+        assert list(encode([])) == []
+
+
+def test_new_words_are_tokenized_in_one_call(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    import tiktoken
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 0)
+
+    calls, own = [], tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or own(self, text))
+    monkeypatch.setattr(po, "TaskContext", Task)
+    texts = [" " + " ".join(f"callword{i}x{j}" for j in range(50)) for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": texts})
+    out = list(po._packer(q.BYTE_BPE, public_tokenizers.PATTERN, 4096, 1 << 22)(iter([batch])))
+    assert sum(b.num_rows for b in out) > 0 and len(calls) <= 2
+
+
 def test_packed_matrices(spark):
     import base64
 
